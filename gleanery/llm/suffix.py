@@ -186,8 +186,9 @@ def _fetch(texts: pa.Table, marks: pa.Table, length: int, parts: int) -> pa.Tabl
             a = x["from"] - lo
             h = C.POLY.prefixes(seen)
             if is_hot:
-                x["p"] = x["n"] - 1
-                key = C.mix(C.POLY.of(h, a + x["n"] - 1, a + length) + x["q"].astype(np.uint64))
+                x["p"] = x["p"] - x["q"] * SUB  # to where the string begins that all windows of such a piece share
+                core = a + x["p"]
+                key = C.mix(C.POLY.of(h, core, core + length - SUB + 1) + x["q"].astype(np.uint64))
                 size = x["n"] - 1 + length
                 c1 = C.mix(C.POLY.of(h, a, a + size) + size.astype(np.uint64))
                 first, after = later([key, c1], x["doc"], x["s"])
