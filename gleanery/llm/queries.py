@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, suffix
+from . import bpe, cdc, decontam, minhash, suffix, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,30 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.exact_substring_dedup(_read(spark, sf_dir, "documents"), length=100, digests=True)
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the vocabulary file stands; every executor has the package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+
+
+def op4_cdc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.chunk_dedup(_read(spark, sf_dir, "documents"), digests=True)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -28,7 +52,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup)}
+    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op6_decontamination, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
