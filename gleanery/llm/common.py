@@ -41,6 +41,11 @@ def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df to be broadcast if its counted rows (of a few longs each) are few; else it is joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def parts_for(df: DataFrame, column: str, mb: int = 16) -> int:
     """How many parts hold about mb MB of the column each; grows with the input, at least the session's shuffle partitions."""
     total = df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0

@@ -10,8 +10,6 @@ from . import common as C
 #: Token positions that each seed compares; those between are ignored.
 MASKS = ((0, 1, 2, 4, 6), (0, 2, 3, 6, 7), (0, 1, 4, 5, 7))
 SPAN = 8
-#: Rows of benchmark seeds or of hits up to which a side is small enough to be broadcast (32 bytes each).
-BROADCAST_ROWS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -30,11 +28,6 @@ def _seeds(df: DataFrame, keys: list[str]) -> DataFrame:
     return all_.select(*keys, "n", F.posexplode("seeds").alias("k", "seed")).select(*keys, (F.col("k") % F.col("n")).alias("pos"), "seed")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its counted rows are few; else joined by shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, percent: int = 80) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, n_match and n_tokens (equal tokens and length of the best aligned window), doc_start (token of the document where the item's first token falls; may be negative).
 
@@ -47,9 +40,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.col(text_col).cast("string")).alias("words")).where("doc_id is not null")
     items = C.materialize(benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col(item_text).cast("string")).alias("item")).where(F.col("item_id").isNotNull() & (F.size("item") >= SPAN)).distinct())
     seeds = C.materialize(_seeds(items.withColumnRenamed("item", "words"), ["item_id"]).select("seed", "item_id", F.col("pos").alias("at")).distinct())
-    hits = _seeds(rows, ["doc_id"]).join(_small(seeds), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("doc_start")).distinct()
+    hits = _seeds(rows, ["doc_id"]).join(C.small(seeds), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("doc_start")).distinct()
     hits = C.materialize(hits)
-    found = rows.join(_small(hits), "doc_id").join(_small(items), "item_id")
+    found = rows.join(C.small(hits), "doc_id").join(C.small(items), "item_id")
     return _verified(found, window, percent)
 
 

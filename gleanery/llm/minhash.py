@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -14,9 +14,10 @@ from .components import connected
 
 U64 = np.uint64
 SLOTS, ROWS = 64, 4
-#: Fewer equal slots of 64 than this at a true similarity of 0.8 have a chance below 1e-9; used only to leave out hopeless pairs.
-LEAST_SLOTS = 28
-BLOCK = 2048
+#: Members, and shingles, of a block whose sets are compared with each other in one task.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Random divisions of a larger group into blocks, before what is still apart is compared with everything.
+DIVISIONS = 3
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +106,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.zeros((n, SLOTS // ROWS), np.uint64) + np.arange(SLOTS // ROWS, dtype=np.uint64) * U64(0xA24BAED4963EE407)
         for j in range(ROWS):
             key = C.mix(key * U64(0x9E3779B97F4A7C15) + sig[:, :, j])
-        yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), SLOTS // ROWS), pa.int64()), pa.array(np.repeat(batch.column("n_shingles").to_numpy(zero_copy_only=False), SLOTS // ROWS), pa.int64())], ["bkey", "rep", "n"])
+        yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), SLOTS // ROWS), pa.int64())], ["bkey", "rep"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -113,107 +114,118 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         data, at = C.binary(batch.column("text"))
         for i, j in C.slices(at, 1 << 20):
             sets, bounds = shingle_sets(data, at[i : j + 1], words)
-            yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["doc_id", "sh"])
+            yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["rep", "sh"])
+
+
+def _common(elems: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
+    """Sizes of the intersections of m sets, all at once: hashes held by one set only don't count, those held by a few add to their pairs, the others are columns of a 0/1 matrix that is multiplied with itself."""
+    order = np.argsort(elems, kind="stable")
+    elems, owner = elems[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], elems[1:] != elems[:-1]]))
+    df = np.diff(np.append(start, len(elems)))
+    out = np.zeros(m * m)
+    for d in range(2, 9):
+        at = start[df == d]
+        for i in range(d):
+            for j in range(i + 1, d):
+                x, y = owner[at + i], owner[at + j]
+                out += np.bincount(np.minimum(x, y) * m + np.maximum(x, y), minlength=m * m) if len(at) else 0
+    out = out.reshape(m, m)
+    out = out + out.T
+    many = np.flatnonzero(df > 8)
+    for k in range(0, len(many), 4096):
+        part = many[k : k + 4096]
+        x = np.zeros((m, len(part)), np.float32)
+        size = df[part]
+        run = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start[part], size)
+        x[owner[run], np.repeat(np.arange(len(part)), size)] = 1
+        out += x @ x.T
+    return out
+
+
+def block_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Of a block of sets: for each the first one that it is connected with over pairs of the similarity. Every pair is decided on the full sets."""
+    m, n = len(sets), np.array([len(x) for x in sets])
+    both = _common(np.concatenate(sets), np.repeat(np.arange(m), n), m)
+    near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    label = np.arange(m)
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], m).min(axis=1))
+        if (least == label).all():
+            return label
+        label = least[least]
+
+
+def _linked(table: pa.Table, percent: int) -> pa.Table:
+    """Links of a bin of blocks (grp, ia, ib); each block is compared by itself."""
+    ids = [table.column(c).to_numpy() for c in ("grp", "ia", "ib", "rep")]
+    order = np.lexsort(ids[::-1])
+    grp, ia, ib, rep = (x[order] for x in ids)
+    data, at = C.binary(table.column("sh"))
+    a, b = at[:-1][order], at[1:][order]
+    same = np.ones(len(rep), bool)
+    same[:1] = False
+    for x in (grp, ia, ib):
+        same[1:] &= x[1:] == x[:-1]
+    starts = np.flatnonzero(~same)
+    out = []
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)], strict=True):
+        keep = [k for k in range(lo, hi) if k == lo or rep[k] != rep[k - 1]]
+        if len(keep) > 1:
+            label = block_links([data[a[k] : b[k]].view(np.uint64) for k in keep], percent)
+            out += [(rep[keep[x]], rep[keep[i]]) for i, x in enumerate(label) if x != i]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        (da, aa), (db, ab) = C.binary(batch.column("sha")), C.binary(batch.column("shb"))
-        yes = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            a, b = da[aa[i] : aa[i + 1]].view(np.uint64), db[ab[i] : ab[i + 1]].view(np.uint64)
-            both = np.concatenate([a, b])
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            yes[i] = 100 * common >= percent * (len(a) + len(b) - common)
-        yield batch.select(["a", "b"]).filter(pa.array(yes))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("sh").alias(f"sh{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _confirmed(it, percent), "a long, b long")
-
-
-def _size_ok(a: Column, b: Column, percent: int) -> Column:
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
-
-
-def _close(table: pa.Table, percent: int) -> pa.Table:
-    """Of a block of one bucket: pairs of a main-side and a rest-side member of different components that could be similar."""
-    side = table.column("side").to_numpy()
-    rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
-    data, at = C.binary(table.column("sig"))
-    sig = data[at[0] : at[-1]].view("<u4").reshape(-1, SLOTS)
-    main, rest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    out = []
-    for r in rest:
-        ok = main[(comp[main] != comp[r]) & (n[main] * 100 >= n[r] * percent) & (n[r] * 100 >= n[main] * percent)]
-        ok = ok[(sig[ok] == sig[r]).sum(axis=1) >= LEAST_SLOTS]
-        out.append(np.stack([np.minimum(rep[ok], rep[r]), np.maximum(rep[ok], rep[r])]))
-    pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+def _links(blocks: DataFrame, bins: int, percent: int) -> DataFrame:
+    """blocks: (grp, ia, ib, rep, sh)."""
+    bin_ = F.pmod(F.xxhash64("grp", "ia", "ib"), F.lit(bins)).alias("bin")
+    return blocks.select(bin_, "grp", "ia", "ib", "rep", "sh").groupBy("bin").applyInArrow(lambda t: _linked(t.drop(["bin"]), percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, star_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links of Jaccard similarity >= percent / 100), kept (doc_id = component_id).
 
     Equal sets are one class first, so that any number of copies costs one row. Class representatives are banded (16
-    bands of 4 slots: a link of similarity 0.8 is missed with a chance below 3e-4 per pair, one of 0.85 below 1e-5).
-    In each bucket all members are compared exactly with the bucket's hub, the member that shares the most buckets.
-    Buckets that still hold several components compare, in blocks, every pair of members of different components, so
-    that no candidate is left out. Texts without words are linked with nothing; rows of one doc_id are one document;
-    a null doc_id gets null as its component and is kept.
+    bands of 4 slots: a link of similarity 0.8 is missed with a chance below 3e-4, one of 0.85 below 1e-5). Members of
+    a bucket hang on its smallest member, and union-find over those gives groups of candidates. Within a group every
+    pair is decided on the full sets, in blocks of at most 512 members. A larger group is dealt into random blocks
+    three times; then whatever is not yet in the group's main component is compared, block by block, with all
+    members, so that no link is left out and yet no pair ever becomes a row. Texts without words are linked with
+    nothing; rows of one doc_id are one document; a null doc_id gets a null component_id and is kept.
     """
     rows = C.text_rows(docs, id_col, text_col)
     sig = C.materialize(signatures(rows, words))
     key = ["k1", "k2", "n_shingles"]
     some = sig.where("n_shingles > 0 and doc_id is not null")
     classes = C.materialize(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")))
-    members = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig").mapInArrow(_bands, "bkey long, rep long, n long")
-    sizes = members.groupBy("bkey").agg(F.count("*").alias("size")).where("size > 1")
-    members = C.materialize(members.join(sizes, "bkey"))
-    score = members.groupBy("rep").agg(F.sum("size").alias("score"))
-    members = C.materialize(members.join(score, "rep").select("bkey", "rep", "n", F.struct("score", -F.col("rep")).alias("rank")))
-    involved = members.select("rep").distinct()
-    texts = rows.join(involved.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    sets = C.materialize(texts.mapInArrow(lambda it: _sets(it, words), "doc_id long, sh binary").groupBy(F.col("doc_id").alias("rep")).agg(F.min("sh").alias("sh")))
-    links, labels, tried = None, None, None
-    for k in range(star_rounds):
-        if labels is None:
-            open_ = members.withColumn("comp", F.col("rep"))
-        else:
-            open_ = members.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            several = open_.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bkey")
-            open_ = open_.join(several, "bkey", "left_semi")
-        # the hub of round k leads the k-th largest... any order works; later rounds take hubs of components that were none before
-        hubs = open_.groupBy("bkey", "comp").agg(F.max(F.struct("rank", "rep", "n")).alias("h"))
-        hubs = hubs.withColumn("at", F.row_number().over(Window.partitionBy("bkey").orderBy(F.col("h.rank").desc()))).where(F.col("at") == (1 if k == 0 else 2))
-        hubs = hubs.select("bkey", F.col("h.rep").alias("hub"), F.col("h.n").alias("hn"), F.col("comp").alias("hc"))
-        pairs = open_.join(hubs, "bkey").where(F.col("comp") != F.col("hc")).where(_size_ok(F.col("n"), F.col("hn"), percent)).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = C.materialize(pairs)
-        found = C.materialize(verified(pairs, sets, percent))
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = connected(links)
-        if not found.take(1):
-            break
-    open_ = members.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    per = open_.groupBy("bkey", "comp").agg(F.count("*").alias("c"))
-    main = per.groupBy("bkey").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.sum("c").alias("all"), F.max("c").alias("top")).where("all > top")
-    blocks = main.select("bkey", "main", F.ceil(F.col("all") / BLOCK).alias("na"), F.ceil((F.col("all") - F.col("top")) / BLOCK).alias("nb"))
-    open_ = open_.join(blocks, "bkey").join(classes.select("rep", "sig"), "rep")
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-    base = [F.col(c) for c in ("bkey", "rep", "comp", "n", "sig")]
-    a = open_.select(*base, F.lit(0).alias("side"), own("na").alias("ia"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("ib"))
-    b = open_.where("comp != main").select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("ia"), own("nb").alias("ib"))
-    rest = a.union(b).groupBy("bkey", "ia", "ib").applyInArrow(lambda t: _close(t, percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    found = C.materialize(verified(rest, sets, percent))
-    if found.take(1):
-        links = links.union(found)
-        labels = connected(links)
+    members = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig").mapInArrow(_bands, "bkey long, rep long")
+    firsts = members.groupBy("bkey").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
+    groups = connected(members.join(firsts, "bkey").where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("comp", "grp")
+    groups = C.materialize(groups.join(classes.select("rep", F.col("n_shingles").alias("n")), "rep"))
+    texts = rows.join(C.small(groups.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    sets = texts.mapInArrow(lambda it: _sets(it, words), "rep long, sh binary").groupBy("rep").agg(F.first("sh").alias("sh"))
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("g"), F.sum("n").alias("gn"))
+    sizes = sizes.withColumn("nb", F.ceil(F.greatest(F.col("g") / BLOCK, F.col("gn") / BLOCK_SHINGLES)))
+    held = C.materialize(sets.join(groups.join(sizes, "grp").select("rep", "grp", "nb"), "rep"))
+    bins = max(8, -(-(groups.agg(F.sum("n")).first()[0] or 0) // 500_000))
+    zero = F.lit(0).cast("long")
+    deals = [F.struct(F.lit(k).alias("ib"), F.pmod(F.xxhash64("rep", F.lit(k)), F.col("nb")).alias("ia")) for k in range(DIVISIONS)]
+    dealt = held.select("grp", "rep", "sh", F.explode(F.when(F.col("nb") > 1, F.array(*deals)).otherwise(F.array(F.struct(F.lit(0).alias("ib"), zero.alias("ia"))))).alias("d"))
+    links = C.materialize(_links(dealt.select("grp", "d.ia", "d.ib", "rep", "sh"), bins, percent))
+    labels = C.materialize(connected(links))
+    large = held.where("nb > 1")
+    if large.take(1):
+        at = large.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        per = at.groupBy("grp", "comp", "nb").agg(F.count("*").alias("c"))
+        main = per.groupBy("grp", "nb").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.sum("c").alias("g"), F.max("c").alias("top")).where("g > top")
+        main = main.select("grp", "main", F.ceil(F.col("nb") * (F.col("g") - F.col("top")) / F.col("g")).alias("nr"))
+        at = at.join(main, "grp")
+        all_ = at.select("grp", F.pmod(F.xxhash64("rep"), "nb").alias("ia"), F.explode(F.sequence(zero, F.col("nr") - 1)).alias("ib"), "rep", "sh")
+        rest = at.where("comp != main").select("grp", F.explode(F.sequence(zero, F.col("nb") - 1)).alias("ia"), F.pmod(F.xxhash64("rep"), "nr").alias("ib"), "rep", "sh")
+        more = C.materialize(_links(all_.union(rest), bins, percent))
+        if more.take(1):
+            labels = C.materialize(connected(more.union(labels.where("rep != comp").select(F.col("comp").alias("a"), F.col("rep").alias("b")))))
     named = classes.join(labels, "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
     out = sig.drop("sig").join(named, key, "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))

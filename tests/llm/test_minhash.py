@@ -52,6 +52,27 @@ def test_against_brute_force(spark):
         assert got == brute(rows, n, percent)
 
 
+def test_large_group_with_stragglers(spark, monkeypatch):
+    """More members than a block holds, many of them linked only over others, so all three steps matter."""
+    import gleanery.llm.minhash as M
+
+    monkeypatch.setattr(M, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    base = [f"w{rng.integers(5000)}" for _ in range(60)]
+    texts = []
+    for _ in range(130):
+        w = list(base)
+        for _ in range(rng.integers(0, 6)):
+            w[rng.integers(len(w))] = f"x{rng.integers(40)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, words=3, percent=85).collect()}
+    want = brute(rows, 3, 85)
+    assert len({c for _, c in want.values()}) > 3
+    assert got == want
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in near_duplicates(df).collect())
