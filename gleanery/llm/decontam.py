@@ -25,7 +25,8 @@ def _seeds(df: DataFrame, keys: list[str]) -> DataFrame:
     seeds = [F.transform(spots, at(k, mask)) for k, mask in enumerate(MASKS)]
     # the seeds of all masks in one array of longs, so that one pass over the texts and one posexplode do
     all_ = hashed.select(*keys, F.size(spots).alias("n"), F.concat(*seeds).alias("seeds"))
-    return all_.select(*keys, "n", F.posexplode("seeds").alias("k", "seed")).select(*keys, (F.col("k") % F.col("n")).alias("pos"), "seed")
+    # the outer form, as the plain one makes Catalyst infer a filter that evaluates the arrays once more for every element
+    return all_.select(*keys, "n", F.posexplode_outer("seeds").alias("k", "seed")).where("seed is not null").select(*keys, (F.col("k") % F.col("n")).alias("pos"), "seed")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, percent: int = 80) -> DataFrame:
@@ -37,12 +38,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     do no harm. Items of fewer than 8 tokens can't be told from chance and match nothing. Null texts are empty; rows of
     one doc_id are one document; null ids match nothing.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.col(text_col).cast("string")).alias("words")).where("doc_id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    split = lambda df: df.select("doc_id", tokens(F.col("text")).alias("words"))
     items = C.materialize(benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col(item_text).cast("string")).alias("item")).where(F.col("item_id").isNotNull() & (F.size("item") >= SPAN)).distinct())
     seeds = C.materialize(_seeds(items.withColumnRenamed("item", "words"), ["item_id"]).select("seed", "item_id", F.col("pos").alias("at")).distinct())
-    hits = _seeds(rows, ["doc_id"]).join(C.small(seeds), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("doc_start")).distinct()
+    hits = _seeds(split(texts), ["doc_id"]).join(C.small(seeds), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("doc_start")).distinct()
     hits = C.materialize(hits)
-    found = rows.join(C.small(hits), "doc_id").join(C.small(items), "item_id")
+    near = split(texts.join(C.small(hits.select("doc_id").distinct()), "doc_id", "left_semi"))
+    found = near.join(C.small(hits), "doc_id").join(C.small(items), "item_id")
     return _verified(found, window, percent)
 
 

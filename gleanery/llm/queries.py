@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cdc, decontam, minhash, suffix, toxicity
+from . import bpe, cdc, decontam, media, minhash, suffix, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.text_to_png(_read(spark, sf_dir, "documents")), digests=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -52,7 +56,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op6_decontamination, op8_toxicity)}
+    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op6_decontamination, op8_toxicity, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
