@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cdc, decontam, media, minhash, suffix, toxicity
+from . import bpe, cdc, decontam, media, minhash, suffix, toxicity, warc
+from .common import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +46,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    warc.write_warc(_read(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).drop("file", "offset", "url")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.text_to_png(_read(spark, sf_dir, "documents")), digests=True)
 
@@ -56,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op6_decontamination, op8_toxicity, op10_media)}
+    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op6_decontamination, op8_toxicity, op9_warc, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
