@@ -99,7 +99,7 @@ def _seen(table: pa.Table, parts: int) -> pa.Table:
     return _table(_marks(parts, 0, doc[after], s[after], r["n"][after]))
 
 
-def _cleaned(texts: pa.Table, marks: pa.Table, least_run: int, digests: bool) -> pa.Table:
+def _cleaned(texts: pa.Table, marks: pa.Table, least_run: int, digests: bool, carry: bool) -> pa.Table:
     schema, finish = (DIGEST, _digest) if digests else (FULL, _full)
     m = C.unpack(marks.column("blob").to_pylist(), MARK)
     order = np.lexsort((m["s"], m["doc"]))
@@ -112,10 +112,11 @@ def _cleaned(texts: pa.Table, marks: pa.Table, least_run: int, digests: bool) ->
         a, b = merge(s[lo[i] : hi[i]], e[lo[i] : hi[i]])
         long = b - a >= least_run
         rows.append(finish(data[at[i] : at[i + 1]].tobytes(), list(zip(a[long].tolist(), b[long].tolist(), strict=True))))
-    return pa.table([pa.array(ids, pa.int64()), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(schema)[1:]))], schema=schema)
+    out = pa.table([pa.array(ids, pa.int64()), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(schema)[1:]))], schema=schema)
+    return out.append_column("rest", texts.column("rest")) if carry else out
 
 
-def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, least: int = 12, most: int = 512, least_run: int = 128, digests: bool = False, part_mb: int = 4) -> DataFrame:
+def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, least: int = 12, most: int = 512, least_run: int = 128, digests: bool = False, part_mb: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes runs of at least least_run bytes made of chunks whose digest also stands earlier (smaller doc_id, or the same document, earlier).
 
     One row per row of docs: doc_id, n_bytes, n_removed, n_spans, starts and ends of the removed runs, kept (the
@@ -123,14 +124,17 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     2**bits + least bytes, so a repeated passage loses all but its ends, of about that size each; least_run leaves
     short common phrases and lines alone. Each task keeps one of each digest before the shuffle, so a chunk that
     a third of all documents share costs one row a task. Null text is empty. Rows of one doc_id don't count against
-    each other; a null doc_id counts as the smallest id and comes back as null.
+    each other; a null doc_id counts as the smallest id and comes back as null. carry: columns of docs that come along
+    in a struct `rest`, so that no join is needed to put them back.
     """
     none = -(1 << 63) + 1
-    rows = C.text_rows(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
     parts = prime(C.parts_for(rows, "text", part_mb))
-    texts = rows.select(F.pmod("doc_id", F.lit(parts)).cast("int").alias("bucket"), "doc_id", "text")
+    texts = rows.withColumn("bucket", F.pmod("doc_id", F.lit(parts)).cast("int"))
     by = lambda df: df.groupBy("bucket")
-    marks = by(rows.mapInArrow(lambda it: _cut(it, parts, bits, least, most), C.BLOBS)).applyInArrow(lambda t: _seen(t, parts), C.BLOBS)
+    marks = by(rows.select("doc_id", "text").mapInArrow(lambda it: _cut(it, parts, bits, least, most), C.BLOBS)).applyInArrow(lambda t: _seen(t, parts), C.BLOBS)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "starts array<long>, ends array<long>, kept binary")
-    out = by(texts).cogroup(by(marks)).applyInArrow(lambda a, b: _cleaned(a, b, least_run, digests), ddl)
+    ddl += f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else ""
+    out = by(texts).cogroup(by(marks)).applyInArrow(lambda a, b: _cleaned(a, b, least_run, digests, bool(carry)), ddl)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))

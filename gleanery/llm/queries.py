@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cdc, decontam, html_extract, media, minhash, suffix, toxicity, warc
+from . import bpe, cdc, decontam, html_extract, media, minhash, pst, suffix, toxicity, warc
 from .common import shared_dir
 
 
@@ -37,6 +37,10 @@ def op4_cdc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.chunk_dedup(_read(spark, sf_dir, "documents"), digests=True)
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score(_read(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op6_decontamination, op7_html, op8_toxicity, op9_warc, op10_media)}
+    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op5_suffix_tree, op6_decontamination, op7_html, op8_toxicity, op9_warc, op10_media, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
