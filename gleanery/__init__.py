@@ -1,0 +1 @@
+"""Hybrid retrieval over code and documents as Spark jobs: DataFrames in, DataFrames out."""
