@@ -9,7 +9,10 @@ from ..functions import display as D
 from ..functions.display import slug
 
 STATUSES = ("queued", "fetching", "indexing", "ready", "error")
-last_change = F.coalesce("indexed_at", "updated_at")
+
+
+def last_change() -> Column:
+    return F.coalesce("indexed_at", "updated_at")
 
 
 def listable_repos(repos: DataFrame, full: bool = False) -> DataFrame:
@@ -19,15 +22,15 @@ def listable_repos(repos: DataFrame, full: bool = False) -> DataFrame:
 
 
 def recent_repos(repos: DataFrame, n: int = 12) -> DataFrame:
-    return listable_repos(repos).orderBy((F.col("status") == "ready").desc(), last_change.desc(), F.asc("id")).limit(n)
+    return listable_repos(repos).orderBy((F.col("status") == "ready").desc(), last_change().desc(), F.asc("id")).limit(n)
 
 
 def all_repos(repos: DataFrame, n: int = 200) -> DataFrame:
-    return listable_repos(repos, full=True).orderBy(last_change.desc(), F.asc("id")).limit(n)
+    return listable_repos(repos, full=True).orderBy(last_change().desc(), F.asc("id")).limit(n)
 
 
 def sort_repos(repos: DataFrame, mode: str) -> DataFrame:
-    key = {"recent": last_change, "searched": F.col("search_count"), "largest": F.col("total_chunks"), "stars": F.coalesce("stars", F.lit(0))}[mode]
+    key = {"recent": last_change(), "searched": F.col("search_count"), "largest": F.col("total_chunks"), "stars": F.coalesce("stars", F.lit(0))}[mode]
     return repos.orderBy(key.desc(), F.asc("id"))
 
 
