@@ -74,5 +74,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op5_suffix_tree, op6_decontamination, op7_html, op8_toxicity, op9_warc, op10_media, pipeline)}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP1 = f"""WITH RECURSIVE w AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(generate_series(1, len(ws) - 2), lambda i: concat(ws[i], ' ', ws[i + 1], ' ', ws[i + 2])) END) AS sh FROM w),
+n AS (SELECT doc_id, count(sh) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT both_.b, r.c FROM r JOIN both_ ON r.doc_id = both_.a)
+SELECT r.doc_id, any_value(n.n) AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept FROM r JOIN n USING (doc_id) GROUP BY r.doc_id"""
+
+_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+
+def _seed_sql(table: str) -> str:
+    key = lambda k, m: f"concat({k}, {', '.join(f"' ', ws[i + {o + 1}]" for o in m)})"
+    masks = " UNION ALL ".join(f"SELECT id, i AS pos, {key(k, m)} AS seed FROM {table}_p" for k, m in enumerate(decontam.MASKS))
+    return f"{table}_p AS (SELECT id, ws, unnest(generate_series(0, len(ws) - {decontam.SPAN})) AS i FROM {table} WHERE len(ws) >= {decontam.SPAN}), {table}_s AS ({masks})"
+
+
+OP6 = f"""WITH d AS (SELECT DISTINCT doc_id AS id, {_TOKENS} AS ws FROM documents), q AS (SELECT DISTINCT item_id AS id, {_TOKENS} AS ws FROM benchmark), {_seed_sql("d")}, {_seed_sql("q")},
+h AS (SELECT DISTINCT d_s.id AS doc_id, q_s.id AS item_id, d_s.pos - q_s.pos AS diag FROM d_s JOIN q_s USING (seed)),
+m AS (SELECT doc_id, item_id, diag, least(len(q.ws), 13) AS n, list_transform(generate_series(1, len(q.ws)), lambda i: CASE WHEN diag + i >= 1 AND d.ws[diag + i] = q.ws[i] THEN 1 ELSE 0 END) AS eq FROM h JOIN d ON d.id = doc_id JOIN q ON q.id = item_id),
+b AS (SELECT doc_id, item_id, diag, n, list_max(list_transform(generate_series(1, len(eq) - n + 1), lambda i: list_sum(list_slice(eq, i, i + n - 1)))) AS best FROM m)
+SELECT doc_id, item_id, best::BIGINT AS n_match, n::BIGINT AS n_tokens, diag AS doc_start FROM b WHERE best * 100 >= n * 80 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best DESC, n DESC, diag) = 1"""
+
+_FIVES = ", ".join(f"substr('{warc.BASE32}', ((CAST(concat('0x', substr(sha1(p), {5 * g + 1}, 5)) AS INT) >> {s}) & 31) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+OP9 = f"""WITH r AS (SELECT page_id, coalesce(html, '') AS p FROM pages), d AS (SELECT page_id, strlen(p) AS payload_bytes, concat({_FIVES}) AS payload_digest FROM r),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of those that SQL can express on whole tables; the others are tested against brute-force versions."""
+    return {"op1_minhash": OP1, "op6_decontamination": OP6, "op9_warc": OP9}
