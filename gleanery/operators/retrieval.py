@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.paths import path_prior
+from ..sources.tables import materialize
 
 CANDIDATES, RESULTS, RRF_K, KEYWORD_WEIGHT = 40, 10, 60, 0.6
 #: Weight of a term in a name or path, and in a body.
@@ -135,12 +136,14 @@ def hybrid_search(chunks: DataFrame, terms: DataFrame, vectors: DataFrame, queri
     """The n best chunks of each query: query_id, id, path, language, semantic_rank, keyword_rank, score, similarity, final_rank.
 
     A query without terms is answered by its vector alone, one without a vector by its terms; a chunk without a vector
-    has similarity 0. languages: only chunks in those; none or an empty list: all.
+    has similarity 0. languages: only chunks in those; none or an empty list: all. The fused ids are written to the
+    shared folder, so the legs run when this is called.
     """
     if languages:
         terms, vectors = terms.where(F.col("language").isin(languages)), vectors.where(F.col("language").isin(languages))
-    fused = rrf_fuse(nearest(vectors, queries), keyword_leg(terms, queries))
-    top = apply_prior(fused, chunks, n)
+    # both are a few dozen rows a query and read several times below
+    fused = materialize(rrf_fuse(nearest(vectors, queries), keyword_leg(terms, queries)))
+    top = materialize(apply_prior(fused, chunks, n))
     with_vectors = vectors.select("id", "embedding").join(few(top.select("query_id", "id")), "id").join(few(queries.select("query_id", "vector")), "query_id")
     similarity = with_vectors.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"))
     return top.join(similarity, ["query_id", "id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))

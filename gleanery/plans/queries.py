@@ -16,6 +16,7 @@ from ..operators import catalog as K
 from ..operators import incremental as I
 from ..operators import retrieval as R
 from ..operators.explain import explain_hits
+from ..sources.tables import materialize
 from . import sqltext as S
 from .views import AS_OF, view, with_views
 
@@ -177,7 +178,7 @@ CASE WHEN len(ls) = 0 THEN '' WHEN ls[1] = ls[-1] THEN concat(' See line ', ls[1
 
 @query(f"WITH {S.LEGS}, {_LINES} SELECT query_id, id, {text('words')} AS matched_terms, {text('ls')} AS highlight_lines, {_REASON} AS reason FROM e2")
 def t23_explain_hits(spark, d):
-    hits = _hits(spark, d).select("query_id", "id", "semantic_rank", "keyword_rank")
+    hits = materialize(_hits(spark, d).select("query_id", "id", "semantic_rank", "keyword_rank"))
     full = view(spark, d, "corpus_chunks").join(R.few(hits), "id")
     out = explain_hits(full, view(spark, d, "search_queries"))
     return out.select("query_id", "id", joined("matched_terms").alias("matched_terms"), joined(F.transform("highlight_lines", lambda x: x.cast("string"))).alias("highlight_lines"), "reason")

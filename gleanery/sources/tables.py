@@ -21,6 +21,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the shared folder and read again: what several later steps read is computed once, and lost executors don't undo it."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_corpus(spark: SparkSession, sf_dir: str, table: str, id_col: str, text_col: str) -> DataFrame:
     """Text rows without an archive, as (repo_id, path, content)."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -101,21 +101,21 @@ def expire(events: DataFrame, key: str, ttl_seconds: int, delay: str = "10 minut
         if state.hasTimedOut:
             end = state.get[0] + ttl_seconds
             state.remove()
-            yield pd.DataFrame([(k[0], pd.Timestamp(end, unit="s"))], columns=[key, "expired_at"])
+            yield pd.DataFrame([(k[0], end)], columns=[key, "at"])
             return
         last, rows = (state.get[0] if state.exists else None), []
         for r in _ordered(pdfs).itertuples():
             at = r.ts.timestamp()
             if last is not None and at - last > ttl_seconds:
-                rows.append((k[0], pd.Timestamp(last + ttl_seconds, unit="s")))
+                rows.append((k[0], last + ttl_seconds))
             last = at if last is None else max(last, at)
         state.update((last,))
         state.setTimeoutTimestamp(max(int((last + ttl_seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         if rows:
-            yield pd.DataFrame(rows, columns=[key, "expired_at"])
+            yield pd.DataFrame(rows, columns=[key, "at"])
 
     marked = events.withWatermark("ts", delay)
-    return marked.groupBy(key).applyInPandasWithState(step, f"{key} long, expired_at timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy(key).applyInPandasWithState(step, f"{key} long, at double", "last double", "append", GroupStateTimeout.EventTimeTimeout).select(key, F.timestamp_seconds("at").alias("expired_at"))
 
 
 def index_stream(snapshots: DataFrame, stored: DataFrame, derive: Callable[[DataFrame], DataFrame], name: str = "index") -> DataFrame:
