@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery import ship
 from gleanery.llm import bpe, cdc, decontam, minhash, toxicity
 from gleanery.llm.common import materialize, small
 from gleanery.llm.common import shared_dir as _shared_dir
@@ -46,7 +47,15 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, tokenizer_path(), digests=True)
 
 
-STAGES = [("toxicity", drop_toxic), ("minhash_near_dedup", drop_near_copies), ("substring_dedup", cut_repeats), ("benchmark_decontamination", drop_leaks), ("bpe", encode)]
+def _shipping(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _shipping(f)) for name, f in (("toxicity", drop_toxic), ("minhash_near_dedup", drop_near_copies), ("substring_dedup", cut_repeats), ("benchmark_decontamination", drop_leaks), ("bpe", encode))]
 
 #: Compression distances, signatures and merges are not SQL; tests/llm compare run() with a brute-force version.
 ORACLE_SQL = None
