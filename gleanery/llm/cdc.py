@@ -116,7 +116,7 @@ def _cleaned(texts: pa.Table, marks: pa.Table, least_run: int, digests: bool, ca
     return out.append_column("rest", texts.column("rest")) if carry else out
 
 
-def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, least: int = 12, most: int = 512, least_run: int = 128, digests: bool = False, part_mb: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, least: int = 8, most: int = 512, least_run: int = 96, digests: bool = False, part_mb: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes runs of at least least_run bytes made of chunks whose digest also stands earlier (smaller doc_id, or the same document, earlier).
 
     One row per row of docs: doc_id, n_bytes, n_removed, n_spans, starts and ends of the removed runs, kept (the

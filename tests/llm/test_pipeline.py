@@ -24,7 +24,7 @@ def test_against_brute_force(spark, sf):
     rows = {i: t for i, t in rows.items() if model.score(toxicity.saved(t or "", *both)) < 0.5}
     near = test_minhash.brute(sorted(rows.items()), 5, 80)
     rows = {i: t for i, t in rows.items() if near[i][1] == i}
-    kept = test_cdc.brute(rows.items(), 128)
+    kept = test_cdc.brute(rows.items(), 96)
     rows = {i: kept[i].decode() for i, t in rows.items() if kept[i].strip() or kept[i] == (t or "").encode()}
     items = [(r.item_id, r.text) for r in bench.collect()]
     found = {i for i, t in rows.items() if test_decontam.brute([(i, t)], [x for x in items if near_any(t, x[1])])}
