@@ -12,12 +12,16 @@ from pyspark.sql import types as T
 REPO_META = T.StructType([T.StructField("id", T.LongType()), T.StructField("owner", T.StringType()), T.StructField("name", T.StringType()), T.StructField("description", T.StringType()), T.StructField("stars", T.LongType()), T.StructField("language", T.StringType()), T.StructField("private", T.BooleanType())])
 
 
+#: Folders of applications that name none, as tests do.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        _own[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
