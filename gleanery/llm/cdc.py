@@ -59,29 +59,32 @@ def _cut(batches: Iterator[pa.RecordBatch], parts: int, bits: int, least: int, m
     for batch in batches:
         data, at = C.binary(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        got = []
-        for i, j in C.slices(at):
-            s, e = chunks(data, at[i : j + 1], bits, least, most)
-            view, digest, lo = memoryview(data[at[i] : at[j]]), xxhash.xxh3_128_digest, int(at[i])
-            d = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip((s - lo).tolist(), (e - lo).tolist(), strict=True)]), "<u8").reshape(-1, 2)
-            row = np.searchsorted(at, s, "right") - 1
-            got.append((d[:, 0], d[:, 1], ids[row], s - at[row], e - s))
-        if not got:
-            continue
-        c1, c2, doc, s, n = (np.concatenate([x[k] for x in got]) for k in range(5))
-        c2 = c2.astype("<u4")
-        order = np.argsort(c1, kind="stable")
-        same = c1[order][1:] == c1[order][:-1]
-        twice = np.zeros(len(order), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
-        t = np.flatnonzero(twice)
-        first, after = later([c1[t], c2[t]], doc[t], s[t])
-        gone = t[after]
-        yield from _marks(parts, parts, doc[gone], s[gone], n[gone])
-        keep = np.ones(len(twice), bool)
-        keep[t[~first]] = False  # one of each digest in a task goes on
-        c1, c2, doc, s, n = (x[keep] for x in (c1, c2, doc, s, n))
-        yield from C.bucketed((c1 % np.uint64(parts)).astype(np.int64), {"c1": c1, "c2": c2, "doc_lo": (doc & 0xFFFFFFFF).astype("<u4"), "doc_hi": (doc >> 32).astype("<i4"), "s_lo": (s & 0xFFFF).astype("<u2"), "s_hi": (s >> 16).astype("<u2"), "n": n.astype("<u2")})
+        for lo, hi in C.slices(at, 12 << 20):
+            yield from _bucketed_chunks(data, at[lo : hi + 1], ids[lo:hi], parts, bits, least, most)
+
+
+def _bucketed_chunks(data: np.ndarray, at: np.ndarray, ids: np.ndarray, parts: int, bits: int, least: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of some rows by digest; of those that are equal here only the first goes on, the others are marked at once."""
+    got = []
+    for i, j in C.slices(at):
+        s, e = chunks(data, at[i : j + 1], bits, least, most)
+        view, digest, lo = memoryview(data[at[i] : at[j]]), xxhash.xxh3_128_digest, int(at[i])
+        d = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip((s - lo).tolist(), (e - lo).tolist(), strict=True)]), "<u8").reshape(-1, 2)
+        row = np.searchsorted(at, s, "right") - 1
+        got.append((d[:, 0], d[:, 1].astype("<u4"), ids[row], s - at[row], e - s))
+    c1, c2, doc, s, n = (np.concatenate([x[k] for x in got]) for k in range(5))
+    order = np.argsort(c1, kind="stable")
+    same = c1[order][1:] == c1[order][:-1]
+    twice = np.zeros(len(order), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    t = np.flatnonzero(twice)
+    first, after = later([c1[t], c2[t]], doc[t], s[t])
+    gone = t[after]
+    yield from _marks(parts, parts, doc[gone], s[gone], n[gone])
+    keep = np.ones(len(twice), bool)
+    keep[t[~first]] = False
+    c1, c2, doc, s, n = (x[keep] for x in (c1, c2, doc, s, n))
+    yield from C.bucketed((c1 % np.uint64(parts)).astype(np.int64), {"c1": c1, "c2": c2, "doc_lo": (doc & 0xFFFFFFFF).astype("<u4"), "doc_hi": (doc >> 32).astype("<i4"), "s_lo": (s & 0xFFFF).astype("<u2"), "s_hi": (s >> 16).astype("<u2"), "n": n.astype("<u2")})
 
 
 def _marks(parts: int, base: int, doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
