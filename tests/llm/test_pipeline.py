@@ -10,10 +10,10 @@ import corpus_pipeline
 from gleanery.llm import toxicity
 
 
-def near_any(text, item):
-    """Whether enough of the item's words stand in the text at all, so that the slow comparison is worth while."""
-    a, b = test_decontam.toks(text), test_decontam.toks(item)
-    return sum(w in set(a) for w in b) >= 10 or len(b) < 13
+def threes(text):
+    """Runs of three words. A window with 80 % equal words has at most two others in 13, so it holds such a run whole."""
+    w = test_decontam.toks(text)
+    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
 
 
 def test_against_brute_force(spark, sf):
@@ -27,7 +27,8 @@ def test_against_brute_force(spark, sf):
     kept = test_cdc.brute(rows.items(), 96)
     rows = {i: kept[i].decode() for i, t in rows.items() if kept[i].strip() or kept[i] == (t or "").encode()}
     items = [(r.item_id, r.text) for r in bench.collect()]
-    found = {i for i, t in rows.items() if test_decontam.brute([(i, t)], [x for x in items if near_any(t, x[1])])}
+    runs = [(x, threes(x[1])) for x in items]
+    found = {i for i, t in rows.items() if (own := threes(t)) and test_decontam.brute([(i, t)], [x for x, r in runs if r & own])}
     rows = {i: t for i, t in rows.items() if i not in found}
     known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = set()
