@@ -45,7 +45,7 @@ def test_contents(spark):
 
 
 def test_references(spark):
-    good = {"vercel/next.js": ("vercel", "next.js"), "https://github.com/a/b/tree/main/x?y#z": ("a", "b"), "git@github.com:a/b.git": ("a", "b"), "www.github.com/A/B/": ("A", "B"), " a/b ": ("a", "b")}
+    good = {"owner/next.js": ("owner", "next.js"), "https://github.com/a/b/tree/main/x?y#z": ("a", "b"), "git@github.com:a/b.git": ("a", "b"), "www.github.com/A/B/": ("A", "B"), " a/b ": ("a", "b")}
     bad = ["", "just-a-name", "a/..", "-a/b", "https://example.com"]
     df = spark.createDataFrame([(x,) for x in [*good, *bad]], "x string").select("x", D.parse_repo_ref(F.col("x")).alias("r"))
     got = {r.x: r.r and tuple(r.r) for r in df.collect()}
