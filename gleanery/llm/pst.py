@@ -2,16 +2,17 @@
 
 Learning: tasks count every (context of 5 bytes, next byte) of their training texts; the counts meet by the context's
 last two bytes, so that a context and all its suffixes of two bytes and more are in one task. There a context is
-retained if it is frequent enough (a share p_min of all bytes, which bounds the tree at 5 / p_min contexts whatever
-the corpus) and its next-byte distribution diverges from that of its suffix by more than a likelihood test allows;
-the suffixes of what is retained stay too. Only the retained contexts go to the driver. Scoring: for each byte the
-longest retained suffix is the state, found by steps through the tree; its smoothed distribution gives the probability.
+retained if it was seen often enough (a fixed count, so that the tree grows with the corpus) and its next-byte
+distribution diverges from that of its suffix by more than a likelihood test allows; the suffixes of what is retained
+stay too. The retained contexts stay in those tasks; only the counts of single bytes and pairs (256 x 256 at most) go to
+the driver. Scoring: each block of texts sends its different (context, next byte) to the contexts' tasks, once each, and
+gets their probabilities back: the longest retained suffix is the state, its smoothed distribution gives the probability.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +25,20 @@ from . import common as C
 
 U64 = np.uint64
 DEPTH = 5
+#: A context seen once says nothing of what follows it; for all others the likelihood test decides.
+LEAST = 2
+BLOCK = 16 << 20
 END = U64(0x5851F42D4C957F2D)
 GRAM = {"key": "<u8", "n": "<i8"}
 NODE = {"level": "u1", "key": "<u8", "n": "<i8"}
 WORD = {"word": "<u8", "train": "<u4", "rows": "<i4"}
 POST = {"row": "<i4", "n": "<i4"}
-DOC = {"batch": "<i8", "row": "<i4", "sum": "<f8", "known": "<i8"}
-INFO = {"batch": "<i8", "row": "<i4", "doc": "<i8", "some": "u1", "tokens": "<i8", "score": "<f8"}
+DOC = {"row": "<i4", "sum": "<f8", "known": "<i8"}
+ASK = {f"b{k}": "u1" for k in range(DEPTH + 1)}
+ANSWER = ASK | {"logp": "<f4"}
+TEXTS = "batch long, row int, doc_id long, text string"
+GATHERED = "bucket int, kind int, blob binary"
+ANSWERS = "batch long, kind int, blob binary"
 
 
 def canonical(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,26 +86,96 @@ def held_out(ids: list[int | None], folds: int) -> list[bool | None]:
     return [None if i is None else zlib.crc32(str(i).encode()) % folds == 0 for i in ids]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], parts: int, folds: int) -> Iterator[pa.RecordBatch]:
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for batch in batches:
-        batch = batch.filter(pa.array([h is False for h in held_out(batch.column("doc_id").to_pylist(), folds)], pa.bool_()))
-        data, at = C.binary(batch.column("text"))
+def _grams(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(context of DEPTH bytes, next byte) of every place, as one number."""
+    where = _places(x, bounds)
+    key = np.zeros(len(where), np.uint64)
+    for k in range(DEPTH, -1, -1):
+        key = key << U64(8) | x[where - k].astype(np.uint64)
+    return key
+
+
+def _bucket(key: np.ndarray, parts: int) -> np.ndarray:
+    return (C.mix(key >> U64(8) & U64(0xFFFF)) % U64(parts)).astype(np.int64)
+
+
+def _planes(key: np.ndarray) -> dict[str, np.ndarray]:
+    """Keys as one column for each of their bytes, which compress well when sorted."""
+    return {c: (key >> U64(8 * k)).astype(np.uint8) for k, c in enumerate(ASK)}
+
+
+def _keys(m: dict[str, np.ndarray]) -> np.ndarray:
+    key = np.zeros(len(m["b0"]), np.uint64)
+    for k, c in enumerate(ASK):
+        key |= m[c].astype(np.uint64) << U64(8 * k)
+    return key
+
+
+def _training(batch: pa.RecordBatch, folds: int) -> pa.RecordBatch:
+    return batch.filter(pa.array([h is False for h in held_out(batch.column("doc_id").to_pylist(), folds)], pa.bool_()))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], parts: int, folds: int) -> Iterator[pa.RecordBatch]:
+    """Of each block, to the contexts' buckets: its different (context, next byte), kind 1, and those of training texts with counts, kind 0."""
+    now, keys, counts = None, [], []
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        k, n = _summed(keys, counts)
+        bucket = _bucket(k, parts)
+        order = np.argsort(bucket, kind="stable")
+        names, kinds, blobs = [], [], []
+        for g in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+            learned = g[n[g] > 0]
+            names += [int(bucket[g[0]])] * 2
+            kinds += [0, 1]
+            blobs += [C.pack({"key": k[learned], "n": n[learned]}), np.int64(now).tobytes() + C.pack(_planes(k[g]))]
+        yield pa.record_batch([pa.array(names, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+
+    for serial, part in _runs(batches):
+        if serial != now:
+            if now is not None:
+                yield from sent()
+            now, keys, counts = serial, [], []
+        data, at = C.binary(part.column("text"))
+        other = np.array([h is not False for h in held_out(part.column("doc_id").to_pylist(), folds)], np.uint64)
         for i, j in C.slices(at, 1 << 20):
             x, bounds = canonical(data, at[i : j + 1])
-            where = _places(x, bounds)
-            key = np.zeros(len(where), np.uint64)
-            for k in range(DEPTH, -1, -1):
-                key = key << U64(8) | x[where - k].astype(np.uint64)
+            key = _grams(x, bounds) << U64(1) | np.repeat(other[i:j], np.diff(bounds) - DEPTH)
             key.sort()
-            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            learned = 1 - (key & U64(1)).astype(np.int64)
+            key >>= U64(1)
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             keys.append(key[cut])
-            counts.append(np.diff(np.append(cut, len(key))))
+            counts.append(np.add.reduceat(learned, cut))
             if len(keys) > 16:
                 k, n = _summed(keys, counts)
                 keys, counts = [k], [n]
-    k, n = _summed(keys, counts)
-    yield from C.bucketed((C.mix(k >> U64(8) & U64(0xFFFF)) % U64(parts)).astype(np.int64), {"key": k, "n": n})
+    if now is not None:
+        yield from sent()
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.RecordBatch]:
+    """How often each pair of bytes stands in a task's training texts."""
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        batch = _training(batch, folds)
+        data, at = C.binary(batch.column("text"))
+        for i, j in C.slices(at, 1 << 20):
+            x, bounds = canonical(data, at[i : j + 1])
+            where = _places(x, bounds)
+            total += np.bincount(x[where - 1].astype(np.int64) << 8 | x[where], minlength=1 << 16)
+    some = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(some, pa.int32()), pa.array(total[some])], ["pair", "n"])
+
+
+def first_level(pair: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """[context of one byte, next byte]: probabilities, smoothed as in grow()."""
+    c = np.zeros(1 << 16)
+    c[pair] = n
+    c = c.reshape(256, 256)
+    root = (c.sum(axis=0) + 0.5) / (c.sum() + 128.0)
+    kinds, total = (c > 0).sum(axis=1, keepdims=True), c.sum(axis=1, keepdims=True)
+    return np.where(total > 0, (c + kinds * root) / np.maximum(total + kinds, 1), root)
 
 
 def _level(key: np.ndarray, n: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,30 +274,95 @@ def grow(level: np.ndarray, key: np.ndarray, n: np.ndarray) -> Tree:
     return Tree(symbol, np.concatenate(children), np.log10(np.concatenate(probs)).astype(np.float32))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, p_min: float = 1e-5, parts: int | None = None) -> Tree:
-    """A tree from all texts whose crc32(doc_id as text) mod folds is not 0."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, p_min: float = 0.0, parts: int | None = None, least: int = LEAST) -> Tree:
+    """A tree on the driver, for corpora whose contexts fit there, from all texts whose crc32(doc_id as text) mod folds is not 0; p_min: the least share of all bytes."""
     rows = C.text_rows(docs, id_col, text_col)
     parts = parts or C.parts_for(rows, "text", 16)
     size = rows.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0).agg(F.sum(F.octet_length("text") + F.lit(1).cast("long"))).first()[0] or 0
-    counted = rows.mapInArrow(lambda it: _counted(it, parts, folds), C.BLOBS)
-    kept = counted.groupBy("bucket").applyInArrow(lambda t: _retained(t, p_min * size), "blob binary").collect()
+    counted = rows.mapInArrow(_blocks, TEXTS).mapInArrow(lambda it: _gathered(it, parts, folds), GATHERED).where("kind = 0")
+    kept = counted.groupBy("bucket").applyInArrow(lambda t: _retained(t, max(least, p_min * size)), "blob binary").collect()
     m = C.unpack([r.blob for r in kept], NODE)
     return grow(m["level"], m["key"], m["n"])
 
 
-def _posted(batches: Iterator[pa.RecordBatch], tree, parts: int, folds: int) -> Iterator[pa.RecordBatch]:
-    """Of each batch: the score of every row, to its own bucket, and the words with the rows that hold them, to the words' buckets."""
-    t: Tree = tree.value
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the rows: batch, of up to BLOCK bytes of text or one longer row, and row in it."""
     task = TaskContext.get()
     serial = (task.partitionId() if task else 0) << 24
     for batch in batches:
-        data, at = C.binary(batch.column("text"))
-        ids = batch.column("doc_id").to_pylist()
-        learned = np.array([h is False for h in held_out(ids, folds)], bool)
+        _, at = C.binary(batch.column("text"))
+        for i, j in C.slices(at, BLOCK):
+            yield pa.record_batch([pa.array(np.full(j - i, serial, np.int64)), pa.array(np.arange(j - i, dtype=np.int32)), batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i)], ["batch", "row", "doc_id", "text"])
+            serial += 1
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Parts of batches whose rows are of one block."""
+    for batch in batches:
+        serial = batch.column("batch").to_numpy()
+        cut = np.flatnonzero(np.diff(serial)) + 1
+        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(serial)], strict=True):
+            if j > i:
+                yield int(serial[i]), batch.slice(i, j - i)
+
+
+def _found(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x stands in the sorted table, and whether it does."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
+
+
+def _finder(table: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Finds places in the sorted table, of values that are in it: by a hash, where that has the place of another by search."""
+    bits = max(8, (4 * len(table)).bit_length())
+    slot = lambda x: (x * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)
+    places = np.zeros(1 << bits, np.int32)
+    places[slot(table)] = np.arange(len(table), dtype=np.int32)
+
+    def find(x: np.ndarray) -> np.ndarray:
+        at = places[slot(x)]
+        miss = np.flatnonzero(table[at] != x)
+        at[miss] = np.searchsorted(table, x[miss])
+        return at
+
+    return find
+
+
+def _answered(table: pa.Table, first: np.ndarray, least: float) -> pa.Table:
+    """One bucket of contexts: retains them from the counts, then gives each block the log10 probabilities that it asked for."""
+    kind, blob = table.column("kind").to_numpy(), table.column("blob")
+    m = C.unpack(_retained(pa.table({"blob": blob.filter(pa.array(kind == 0))}), least).column("blob").to_pylist(), NODE)
+    levels = []
+    for k in range(2, DEPTH + 1):
+        grams, n = m["key"][m["level"] == k], m["n"][m["level"] == k]
+        ctx, at = np.unique(grams >> U64(8), return_index=True)
+        levels.append((k, ctx, np.add.reduceat(n, at) if len(at) else n, np.diff(np.append(at, len(grams))), grams, n))
+    to, out = [], []
+    for b in blob.filter(pa.array(kind == 1)).to_pylist():
+        key = _keys(C.unpack([b[8:]], ASK))
+        p, live = first[(key >> U64(8) & U64(255)).astype(np.int64), (key & U64(255)).astype(np.int64)], np.arange(len(key))
+        for k, ctx, total, kinds, grams, n in levels:
+            at, ok = _found(ctx, key[live] >> U64(8) & U64((1 << 8 * k) - 1))
+            live, at = live[ok], at[ok]
+            gram, seen = _found(grams, key[live] & U64((1 << 8 * (k + 1)) - 1))
+            count = np.zeros(len(live))
+            count[seen] = n[gram[seen]]
+            p[live] = (count + kinds[at] * p[live]) / (total[at] + kinds[at])
+        to.append(int(np.frombuffer(b, "<i8", 1)[0]))
+        out.append(C.pack(_planes(key) | {"logp": np.log10(p).astype("<f4")}))
+    return pa.table([pa.array(to, pa.int64()), pa.array([1] * len(to), pa.int32()), pa.array(out, pa.binary())], names=["batch", "kind", "blob"])
+
+
+def _posted(batches: Iterator[pa.RecordBatch], parts: int, folds: int) -> Iterator[pa.RecordBatch]:
+    """Of each block: the words with the rows that hold them, to the words' buckets."""
+    for serial, part in _runs(batches):
+        data, at = C.binary(part.column("text"))
+        number = part.column("row").to_numpy()
+        learned = np.array([h is False for h in held_out(part.column("doc_id").to_pylist(), folds)], bool)
         for i, j in C.slices(at):
-            x, bounds = canonical(data, at[i : j + 1])
-            score = t.log10(x, bounds)
-            words, row, wb = C.words_of(data, at[i : j + 1])
+            words, row, _ = C.words_of(data, at[i : j + 1])
             m = j - i
             words, row = np.concatenate([words, np.full(m, END)]), np.concatenate([row, np.arange(m)])
             order = np.lexsort((row, words))
@@ -232,6 +375,7 @@ def _posted(batches: Iterator[pa.RecordBatch], tree, parts: int, folds: int) ->
             head = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
             rows_of = np.diff(np.append(head, len(words)))
             train = np.add.reduceat(np.where(learned[i:j][row], n, 0), head)
+            row = number[i:j][row]
             bucket = (words[head] % U64(parts)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.diff(bucket[by])) + 1
@@ -241,20 +385,12 @@ def _posted(batches: Iterator[pa.RecordBatch], tree, parts: int, folds: int) ->
                 at_ = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - head[g], size)
                 names.append(int(bucket[g[0]]))
                 blobs.append(np.int64(serial).tobytes() + C.pack({"word": words[head[g]], "train": train[g].astype("<u4"), "rows": size.astype("<i4")}) + C.pack({"row": row[at_].astype("<i4"), "n": n[at_].astype("<i4")}))
-            own = [-1 if k is None else k for k in ids[i:j]]
-            info = {"batch": np.full(m, serial), "row": np.arange(m), "doc": np.array(own), "some": np.array([k is not None for k in ids[i:j]]), "tokens": np.diff(wb) + 1, "score": score}
-            names.append(parts + int(C.mix(np.array([serial], np.uint64))[0] % U64(parts)))
-            blobs.append(C.pack({c: v.astype(INFO[c]) for c, v in info.items()}))
             yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-            serial += 1
 
 
-def _weighed(table: pa.Table, parts: int) -> pa.Table:
-    """One bucket of words: their training counts over all batches, then what they add to each row of each batch. Also how many tokens and kinds of words training has here."""
-    bucket, blobs = table.column("bucket")[0].as_py(), table.column("blob").to_pylist()
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
-    if bucket >= parts:
-        return pa.table([pa.array([bucket - parts] * len(blobs), pa.int32()), pa.array([1] * len(blobs), pa.int32()), pa.array(blobs, pa.binary()), pa.array([0] * len(blobs), pa.int64()), pa.array([0] * len(blobs), pa.int64())], schema=schema)
+def _weighed(table: pa.Table) -> pa.Table:
+    """One bucket of words: their training counts over all blocks, then what they add to each row of each block. Also how many tokens and kinds of words training has here."""
+    blobs = table.column("blob").to_pylist()
     width, heads, posts = sum(np.dtype(t).itemsize for t in WORD.values()), [], []
     for b in blobs:
         n = int(np.frombuffer(b, "<i8", 1, 8)[0])
@@ -268,44 +404,56 @@ def _weighed(table: pa.Table, parts: int) -> pa.Table:
         m = int(p["row"].max()) + 1
         total, known = np.bincount(p["row"], log[k] * p["n"], m), np.bincount(p["row"], np.where(train[k] > 0, p["n"], 0), m)
         has = np.flatnonzero(np.bincount(p["row"], minlength=m))
-        to = int(C.mix(np.array([serial], np.uint64))[0] % U64(parts))
-        out.append((to, C.pack({"batch": np.full(len(has), serial, "<i8"), "row": has.astype("<i4"), "sum": total[has], "known": known[has].astype("<i8")})))
+        out.append((serial, C.pack({"row": has.astype("<i4"), "sum": total[has], "known": known[has].astype("<i8")})))
     tokens, kinds = [0] * len(out), [0] * len(out)
     tokens[0], kinds[0] = int(train.sum()), int((train > 0).sum())
-    return pa.table([pa.array([b for b, _ in out], pa.int32()), pa.array([0] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary()), pa.array(tokens, pa.int64()), pa.array(kinds, pa.int64())], schema=schema)
+    return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary()), pa.array(tokens, pa.int64()), pa.array(kinds, pa.int64())], names=["batch", "kind", "blob", "tokens", "kinds"])
+
+
+def _totals(texts: pa.Table, answers: pa.Table, folds: int) -> pa.Table:
+    """One block: its texts with what the words and contexts answered."""
+    kind, blob = answers.column("kind").to_numpy(), answers.column("blob")
+    part = C.unpack(blob.filter(pa.array(kind == 0)).to_pylist(), DOC)
+    m = C.unpack(blob.filter(pa.array(kind == 1)).to_pylist(), ANSWER)
+    key = _keys(m)
+    order = np.argsort(key)
+    key, logp = key[order], m["logp"][order].astype(np.float64)
+    find = _finder(key)
+    row, n = texts.column("row").to_numpy(), len(texts)
+    data, at = C.binary(texts.column("text"))
+    score, tokens = np.zeros(n), np.zeros(n, np.int64)
+    for i, j in C.slices(at, 1 << 20):
+        x, bounds = canonical(data, at[i : j + 1])
+        sizes = np.diff(bounds) - DEPTH
+        score[i:j] = np.add.reduceat(logp[find(_grams(x, bounds))], np.cumsum(sizes) - sizes)
+        spaces = np.concatenate([[0], np.cumsum(x == 0x20)])
+        tokens[i:j] = spaces[bounds[1:]] - spaces[bounds[:-1]] + (sizes > 1) + 1  # words have one space between them; and the end
+    total, known = np.bincount(part["row"], part["sum"], n)[row], np.bincount(part["row"], part["known"], n)[row].astype(np.int64)
+    ids = texts.column("doc_id").to_pylist()
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held_out(ids, folds), pa.bool_()), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "sum": pa.array(total), "score": pa.array(score)})
 
 
-def _totals(table: pa.Table, folds: int) -> pa.Table:
-    kind = table.column("kind").to_numpy()
-    blobs = table.column("blob").to_pylist()
-    info = C.unpack([b for b, k in zip(blobs, kind, strict=True) if k], INFO)
-    part = C.unpack([b for b, k in zip(blobs, kind, strict=True) if not k], DOC)
-    order = np.lexsort((info["row"], info["batch"]))
-    info = {c: v[order] for c, v in info.items()}
-    batches = np.unique(info["batch"])
-    start = np.searchsorted(info["batch"], batches)  # rows of a batch are 0, 1, ...
-    at = start[np.searchsorted(batches, part["batch"])] + part["row"] if len(part["row"]) else np.zeros(0, np.int64)
-    n = len(info["row"])
-    ids = [int(d) if s else None for d, s in zip(info["doc"], info["some"], strict=True)]
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held_out(ids, folds), pa.bool_()), "n_tokens": pa.array(info["tokens"]), "n_known": pa.array(np.bincount(at, part["known"], n).astype(np.int64)), "sum": pa.array(np.bincount(at, part["sum"], n)), "score": pa.array(info["score"])})
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, p_min: float = 1e-5) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, least: int = LEAST) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words, lower-cased A-Z, and one end per text. base_score: the unigram log10 probability with training
     counts, smoothed by 0.1 for each kind of token and one unseen kind. score: the tree's log10 probability of the words
     with one space between them and the end. Null text is empty (its only token is the end). Rows of one doc_id are
-    scored, and learned from, each; a null doc_id is not learned from and its held_out is null.
+    scored, and learned from, each; a null doc_id is not learned from and its held_out is null. Contexts seen fewer than
+    `least` times are not retained.
     """
     rows = C.text_rows(docs, id_col, text_col)
     parts = C.parts_for(rows, "text", 16)
-    tree = learn(docs, id_col, text_col, folds, p_min, parts)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    posted = rows.mapInArrow(lambda it: _posted(it, shared, parts, folds), C.BLOBS)
-    weighed = C.materialize(posted.groupBy("bucket").applyInArrow(lambda t: _weighed(t, parts), "bucket int, kind int, blob binary, tokens long, kinds long"))
+    texts = C.materialize(rows.mapInArrow(_blocks, TEXTS))
+    pairs = texts.mapInArrow(lambda it: _pairs(it, folds), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    first = first_level(np.array([r.pair for r in pairs], np.int64), np.array([r.n for r in pairs], np.int64))
+    posted = texts.mapInArrow(lambda it: _posted(it, parts, folds), C.BLOBS)
+    weighed = C.materialize(posted.groupBy("bucket").applyInArrow(_weighed, "batch long, kind int, blob binary, tokens long, kinds long"))
     n, v = weighed.agg(F.sum("tokens"), F.sum("kinds")).first()
     n, v = n or 0, v or 0
-    out = weighed.select("bucket", "kind", "blob").groupBy("bucket").applyInArrow(lambda t: _totals(t, folds), "doc_id long, held_out boolean, n_tokens long, n_known long, sum double, score double")
+    gathered = texts.mapInArrow(lambda it: _gathered(it, parts, folds), GATHERED)
+    answered = gathered.groupBy("bucket").applyInArrow(lambda t: _answered(t, first, least), ANSWERS)
+    answers = weighed.select("batch", "kind", "blob").union(answered)
+    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda t, a: _totals(t, a, folds), "doc_id long, held_out boolean, n_tokens long, n_known long, sum double, score double")
     base = F.col("sum") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.1 * (v + 1))))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -5,6 +5,7 @@ from math import log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests_llm_corpus import prose
 
 from gleanery.llm.pst import DEPTH, Tree, _places, canonical, learn, score
@@ -85,3 +86,26 @@ def test_repeated_rows_nulls_and_empty(spark):
     out = sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens) for r in score(df).collect())
     assert out == [(0, 3, 2, 7), (1, 3, 3, 7), (1, 3, 3, 7), (2, 1, 1, 7)]
     assert score(df.limit(0)).count() == 0
+
+
+def test_a_rare_context_keeps_its_probability_when_the_corpus_grows(spark):
+    """The same 20 texts of a rare vocabulary, alone and beside 3 MB of others: a share of all bytes would drop their contexts."""
+    ids = [k for k in range(100000) if zlib.crc32(str(k).encode()) % 10]
+    rare = [(k, "qxjzv wqkzx") for k in ids[:20]]
+    words = prose(2, 300).split()
+    rng = np.random.default_rng(3)
+    many = [(k, " ".join(rng.choice(words, 600))) for k in ids[20:1020]]
+    df = spark.createDataFrame([*rare, *many], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.score for r in score(df).where(F.col("doc_id") <= ids[19]).collect()}
+    assert all(got[k] > -6 for k, _ in rare)
+
+
+def test_scores_are_those_of_the_whole_tree(spark):
+    data = rows()
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    tree = learn(df)
+    got = {r.doc_id: r.score for r in score(df).collect()}
+    for i, t in data:
+        raw = (t or "").encode()
+        x, bounds = canonical(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert got[i] == pytest.approx(tree.log10(x, bounds)[0], abs=1e-3)
