@@ -56,8 +56,9 @@ def c4_line_windows(spark, d):
 
 @query("SELECT concat(repo_id, '.tar.gz') AS archive, sha1(repo_id) AS commit_sha, path, strlen(content)::BIGINT AS size, CASE WHEN strlen(content) <= 204800 THEN sha1(content) END AS content_hash FROM corpus_files")
 def s1_archives(spark, d):
+    """An archive that is rejected or damaged has a row without path."""
     out = AR.open_archives(AR.pack_archives(view(spark, d, "corpus_files")))
-    return out.where("problem is null").select("archive", "commit_sha", "path", "size", F.sha1("content").alias("content_hash"))
+    return out.select(AR.repo_of(F.col("archive")).alias("archive"), "commit_sha", "path", "size", F.sha1("content").alias("content_hash"))
 
 
 @query("SELECT 'documents' AS repo_id, concat('documents/', doc_id, '.md') AS path, text AS content FROM documents UNION ALL SELECT 'pages', concat('pages/', page_id, '.md'), html FROM pages")

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import re
 import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 
 MAX_BYTES, MAX_RATIO = 60 << 20, 8
+#: Bytes of an archive before compression, and of a member's headers and padding, about.
+PART_BYTES, MEMBER_BYTES = 32 << 20, 3 << 10
 FILES = "archive string, commit_sha string, path string, size long, content binary, problem string"
 
 
@@ -83,22 +86,51 @@ def read_archives(spark: SparkSession, glob: str, most: int = MAX_BYTES) -> Data
     return open_archives(small.union(large), most)
 
 
-def pack_archives(files: DataFrame) -> DataFrame:
-    """(path, length, content): one gzip tarball per repo of files (repo_id, path, content), as a code host would send it; for tests and exports of repos that fit a task."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        repo, raw = str(pdf["repo_id"].iloc[0]), io.BytesIO()
-        import hashlib
+def pack_archives(files: DataFrame, most: int = PART_BYTES) -> DataFrame:
+    """(path, length, content): gzip tarballs of the files (repo_id, path, content) of each repo, as a code host would send them; for tests and exports.
 
+    A repo is dealt by a hash of its files into groups of about half of `most` bytes each, counted beforehand, so that no
+    task has a whole repo; a group that is still larger goes on in a further archive. Only one file may pass `most`.
+    Archives are named REPO.partG-K.tar.gz (repo_of takes that off again).
+    """
+    weight = F.coalesce(F.octet_length("content").cast("long"), F.lit(0)) + F.lit(MEMBER_BYTES)
+    sizes = files.groupBy(F.col("repo_id").alias("repo")).agg(F.greatest(F.lit(1), F.ceil(F.sum(weight) / F.lit(max(1, most // 2)))).alias("parts"))
+    sizes = F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes
+    dealt = files.select("repo_id", "path", "content").join(sizes, F.col("repo_id").eqNullSafe(F.col("repo")))
+    dealt = dealt.select("repo_id", "path", "content", F.pmod(F.xxhash64("path", "content"), F.col("parts")).alias("part"))
+
+    def archive(repo: str, rows: list) -> bytes:
+        raw = io.BytesIO()
         with tarfile.open(fileobj=raw, mode="w:gz", format=tarfile.PAX_FORMAT, pax_headers={"comment": hashlib.sha1(repo.encode()).hexdigest()}, compresslevel=1) as tar:
             top = tarfile.TarInfo(f"{repo}-main")
             top.type = tarfile.DIRTYPE
             tar.addfile(top)
-            for r in pdf.sort_values("path").itertuples():
-                body = r.content.encode()
-                info = tarfile.TarInfo(f"{repo}-main/{r.path}")
+            for path, body in rows:
+                info = tarfile.TarInfo(f"{repo}-main/{path}")
                 info.size = len(body)
                 tar.addfile(info, io.BytesIO(body))
-        return pd.DataFrame([(f"{repo}.tar.gz", len(raw.getvalue()), raw.getvalue())], columns=["path", "length", "content"])
+        return raw.getvalue()
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        repo, part, out, rows, size = str(pdf["repo_id"].iloc[0]), pdf["part"].iloc[0], [], [], 0
+
+        def close() -> None:
+            content = archive(repo, rows)
+            out.append((f"{repo}.part{part}-{len(out)}.tar.gz", len(content), content))
+
+        for r in pdf.sort_values("path").itertuples():
+            body = r.content.encode()
+            if rows and size + len(body) + MEMBER_BYTES > most:
+                close()
+                rows, size = [], 0
+            rows.append((r.path, body))
+            size += len(body) + MEMBER_BYTES
+        close()
+        return pd.DataFrame(out, columns=["path", "length", "content"])
+
+    return dealt.groupBy("repo_id", "part").applyInPandas(pack, "path string, length long, content binary")
+
 
-    return files.select("repo_id", "path", "content").groupBy("repo_id").applyInPandas(pack, "path string, length long, content binary")
+def repo_of(archive: Column) -> Column:
+    """REPO.tar.gz of an archive's name by pack_archives."""
+    return F.regexp_replace(archive, r"\.part\d+-\d+\.tar\.gz$", ".tar.gz")

@@ -79,6 +79,23 @@ def test_archives(spark):
     assert [r.problem for r in AR.open_archives(packed.withColumn("content", F.lit(b"no archive"))).collect()] == ["damaged"]
 
 
+def test_a_repo_above_the_limit_keeps_all_its_files(spark):
+    body = lambda k: "".join(np.random.default_rng(k).choice(list("0123456789abcdef"), 20_000))
+    files = spark.createDataFrame([(repo, f"src/{k}.ts", body(k)) for repo, n in (("big", 60), ("r.part1-2", 2), (None, 1)) for k in range(n)], "repo_id string, path string, content string")
+    packed = AR.pack_archives(files, most=100_000)
+    assert packed.count() > 12 and packed.agg(F.max("length")).first()[0] < 100_000
+    out = AR.open_archives(packed, most=100_000).withColumn("archive", AR.repo_of(F.col("archive"))).collect()
+    want = [("big.tar.gz", f"src/{k}.ts", body(k)) for k in range(60)] + [("r.part1-2.tar.gz", f"src/{k}.ts", body(k)) for k in range(2)] + [("None.tar.gz", "src/0.ts", body(0))]
+    assert sorted((r.archive, r.path, bytes(r.content).decode()) for r in out) == sorted(want)
+
+
+def test_rejected_archives_have_rows(spark, sf, monkeypatch):
+    whole = AR.pack_archives
+    monkeypatch.setattr(AR, "pack_archives", lambda files: whole(files).withColumn("length", F.lit(AR.MAX_BYTES + 1).cast("long")))
+    out = QUERIES["s1_archives"](spark, sf).collect()
+    assert out and all(r.path is None and r.archive.endswith(".tar.gz") for r in out)
+
+
 def test_throttle_and_expiry(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "ts", "event_type").orderBy("ts", "event_id").collect()
     last, kept = {}, set()
