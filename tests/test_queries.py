@@ -96,6 +96,17 @@ def test_rejected_archives_have_rows(spark, sf, monkeypatch):
     assert out and all(r.path is None and r.archive.endswith(".tar.gz") for r in out)
 
 
+def test_every_benchmark_row_is_a_query(spark, sf, tmp_path):
+    for t in ("benchmark", "embeddings", "documents"):
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        if t == "benchmark":
+            df = df.union(df.select((F.col("item_id") + 40).alias("item_id"), "text"))
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    first, all_ = (view(spark, d, "search_labels").collect() for d in (sf, str(tmp_path)))
+    assert sorted(all_) == sorted([*first, *((r.query_id + 40, r.id) for r in first)])
+    assert {r.query_id for r in QUERIES["t19_hybrid_search"](spark, str(tmp_path)).collect()} == set(range(80))
+
+
 def test_throttle_and_expiry(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "ts", "event_type").orderBy("ts", "event_id").collect()
     last, kept = {}, set()
