@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +22,27 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-#: Folders of applications that name none, as tests do.
+#: Folders of local applications that name none, as tests do.
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the one that all executors share; a local one only where none is set, as in tests."""
+    """A new folder name below the one that all executors share. Only a session without executors of its own may leave that unset, as tests do."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
-        _own[spark.sparkContext.applicationId] = base
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        base = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/gleanery-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table in the shared folder that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage is cut and survives lost executors."""
     path = shared_dir(df.sparkSession)
@@ -68,7 +78,7 @@ def binary(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def slices(at: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(at: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes each; a single longer row is a range of its own."""
     i, n = 0, len(at) - 1
     while i < n:
@@ -125,17 +135,72 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows data[at[i]:at[i+1]], lower-cased: the 64-bit hashes of all words, each word's row, and len + 1 word offsets of the rows. Words never cross rows."""
+def words_of(data: np.ndarray, at: np.ndarray, lower: bool = True, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows data[at[i]:at[i+1]]: the hashes of all words (lower-cased A-Z), each word's row, and len + 1 word offsets of the rows. Words never cross rows.
+
+    A word's hash is the low half of its xxh3-128 digest, with `wide` both halves, as columns. Only the different words of the rows are hashed.
+    """
     n = len(at) - 1
-    parted = np.full(int(at[-1] - at[0]) + n, 0x20, np.uint8)  # a space after each row
     lengths = np.diff(at)
+    parted = np.full(int(at[-1] - at[0]) + n, 0x20, np.uint8)  # a space after each row
     where = np.arange(int(at[-1] - at[0])) + np.repeat(np.arange(n), lengths)
-    parted[where] = LOWER[data[at[0] : at[-1]]]
+    parted[where] = LOWER[data[at[0] : at[-1]]] if lower else data[at[0] : at[-1]]
+    del where
     start, end = word_spans(parted)
-    hashes = mix(POLY.of(POLY.prefixes(parted), start, end) + (end - start).astype(np.uint64))
+    ends = np.concatenate([[0], np.cumsum(end - start)])
+    small_ = ends[-1] < 1 << 31
+    kind, offsets = (pa.binary(), ends.astype(np.int32)) if small_ else (pa.large_binary(), ends)
+    words = pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(offsets), pa.py_buffer(parted[~SPACE[parted]])]).dictionary_encode()
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.dictionary.to_pylist())), ">u8").reshape(-1, 2).astype(np.uint64)
+    which = words.indices.to_numpy()
     bounds = np.searchsorted(start, at - at[0] + np.arange(n + 1))
-    return hashes, np.repeat(np.arange(n), np.diff(bounds)), bounds
+    return (digests if wide else digests[:, 1])[which], np.repeat(np.arange(n), np.diff(bounds)), bounds
+
+
+_libc = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Gives free memory back to the system: Python workers outlive their tasks and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def mapped(f: Callable[..., Iterator[pa.RecordBatch]], *args) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f with its further arguments, for mapInArrow; its memory goes back when the task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches, *args)
+        finally:
+            trim()
+
+    return run
+
+
+def grouped(f: Callable[..., pa.Table], *args) -> Callable[[pa.Table], pa.Table]:
+    """The same for applyInArrow."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return f(table, *args)
+        finally:
+            trim()
+
+    return run
+
+
+def cogrouped(f: Callable[..., pa.Table], *args) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for applyInArrow of two tables."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        try:
+            return f(a, b, *args)
+        finally:
+            trim()
+
+    return run
 
 
 def frames(table: list[tuple[int, dict[str, np.ndarray]]]) -> pa.RecordBatch:
