@@ -19,6 +19,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 NONE = 1 << 40
 #: Words of more bytes than this are merged with a heap, as repeated scans take quadratic time.
 SHORT = 128
+#: What a known word takes up besides its letters and ids, about.
+WORD_BYTES = 220
 
 
 def byte_chars() -> dict[str, int]:
@@ -29,9 +31,9 @@ def byte_chars() -> dict[str, int]:
 
 
 class Tokenizer:
-    """A byte-level BPE vocabulary. `known` keeps the words met so far; it is emptied when it holds `most` of them."""
+    """A byte-level BPE vocabulary. `known` keeps the words met so far, but no long ones; it is emptied when it has taken up `most` bytes."""
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 32 << 20) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, table = spec["model"], byte_chars()
@@ -50,7 +52,7 @@ class Tokenizer:
         self.pieces |= {i: s.encode() for s, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.words = regex.compile(SPLIT).findall
-        self.most, self.known, self.back = most, {}, {}
+        self.most, self.held, self.known, self.back = most, 0, {}, {}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one short word. ids[i] is the part between two boundaries, rank[i] that of the pair (i, i + 1); the least rank goes first, the leftmost of equals."""
@@ -88,12 +90,30 @@ class Tokenizer:
                 heapq.heappush(heap, (x, before[i]))
         return [i for i in ids if i >= 0]
 
-    def _learn(self, words: set[str]) -> None:
+    def _one(self, word: str) -> tuple[str, str]:
+        raw = word.encode()
+        ids = self.merge(raw)
+        back = self.decode_bytes(ids)
+        return ",".join(map(str, ids)), word if back == raw else back.decode(errors="replace")
+
+    def _known(self, words: list[str]) -> list[str]:
+        """The ids of each word. Words that decode to something else are noted in `back`."""
+        get, out = self.known.get, []
         for w in words:
-            raw = w.encode()
-            ids = self.merge(raw)
-            back = self.decode_bytes(ids)
-            self.known[w], self.back[w] = ",".join(map(str, ids)), w if back == raw else back.decode(errors="replace")
+            ids = get(w)
+            if ids is None:
+                ids, back = self._one(w)
+                if len(w) <= SHORT:
+                    self.held += WORD_BYTES + 2 * len(w) + len(ids)
+                    if self.held > self.most:
+                        self.known.clear()
+                        self.back.clear()
+                        self.held = 0
+                    self.known[w] = ids
+                    if back is not w:
+                        self.back[w] = back
+            out.append(ids)
+        return out
 
     def encoded(self, text: str) -> tuple[list[str], list[str]]:
         """The ids of the text's words, each word's as decimal text joined by commas, and what those ids decode to."""
@@ -104,13 +124,9 @@ class Tokenizer:
                 back.append(part)
             elif part:
                 words = self.words(part)
-                if new := set(words).difference(self.known):
-                    if len(self.known) + len(new) > self.most:
-                        self.known, self.back = {}, {}
-                        new = set(words)
-                    self._learn(new)
-                ids += map(self.known.__getitem__, words)
-                back += map(self.back.__getitem__, words)
+                ids += self._known(words)
+                # nothing decodes to anything else, but for vocabularies that lack bytes
+                back.append("".join(self.back.get(w, w) for w in words) if self.back else part)
         return ids, back
 
     def encode(self, text: str) -> list[int]:
@@ -157,4 +173,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     are no UTF-8 are replaced by U+FFFD first. Every row is encoded by itself, so any skew of ids or sources is harmless.
     """
     ddl = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return C.text_rows(docs, id_col, text_col).mapInArrow(lambda it: _encode(it, path, digests), ddl)
+    return C.text_rows(docs, id_col, text_col).mapInArrow(C.mapped(_encode, path, digests), ddl)

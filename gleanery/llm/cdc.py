@@ -136,8 +136,8 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = prime(C.parts_for(rows, "text", part_mb))
     texts = rows.withColumn("bucket", F.pmod("doc_id", F.lit(parts)).cast("int"))
     by = lambda df: df.groupBy("bucket")
-    marks = by(rows.select("doc_id", "text").mapInArrow(lambda it: _cut(it, parts, bits, least, most), C.BLOBS)).applyInArrow(lambda t: _seen(t, parts), C.BLOBS)
+    marks = by(rows.select("doc_id", "text").mapInArrow(C.mapped(_cut, parts, bits, least, most), C.BLOBS)).applyInArrow(C.grouped(_seen, parts), C.BLOBS)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "starts array<long>, ends array<long>, kept binary")
     ddl += f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else ""
-    out = by(texts).cogroup(by(marks)).applyInArrow(lambda a, b: _cleaned(a, b, least_run, digests, bool(carry)), ddl)
+    out = by(texts).cogroup(by(marks)).applyInArrow(C.cogrouped(_cleaned, least_run, digests, bool(carry)), ddl)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))

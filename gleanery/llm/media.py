@@ -145,7 +145,7 @@ def _written(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.Recor
 
 def text_to_png(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 6) -> DataFrame:
     """doc_id, n_bytes, media: the UTF-8 bytes of each whole text, padded with zero bytes to a positive multiple of 64, as a grey PNG 64 samples wide. Null text is empty and becomes one line of zeros; a null doc_id stays null."""
-    return C.text_rows(docs, id_col, text_col).mapInArrow(lambda it: _written(it, level), "doc_id long, n_bytes long, media binary")
+    return C.text_rows(docs, id_col, text_col).mapInArrow(C.mapped(_written, level), "doc_id long, n_bytes long, media binary")
 
 
 def _read(batches: Iterator[pa.RecordBatch], digests: bool) -> Iterator[pa.RecordBatch]:
@@ -172,4 +172,4 @@ def read_media(images: DataFrame, digests: bool = False) -> DataFrame:
     """Reads the PNG bytes of column media: width, height, samples, feature (hash of low cosine frequencies) and error (why an image can't be read; the rest is null then); with digests, lengths and digests of samples and file instead. Other columns than media stay and must not have those names."""
     own = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" if digests else "width int, height int, samples binary, feature string, error string"
     rest = ", ".join(f"`{c}` {t}" for c, t in images.dtypes if c != "media")
-    return images.mapInArrow(lambda it: _read(it, digests), f"{rest}, {own}" if rest else own)
+    return images.mapInArrow(C.mapped(_read, digests), f"{rest}, {own}" if rest else own)

@@ -95,7 +95,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, a 128-bit key of the set (k1, k2), the signature."""
-    return docs.mapInArrow(lambda it: _signed(it, words), "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
+    return docs.mapInArrow(C.mapped(_signed, words), "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def _linked(table: pa.Table, percent: int) -> pa.Table:
 def _links(blocks: DataFrame, bins: int, percent: int) -> DataFrame:
     """blocks: (grp, ia, ib, rep, sh)."""
     bin_ = F.pmod(F.xxhash64("grp", "ia", "ib"), F.lit(bins)).alias("bin")
-    return blocks.select(bin_, "grp", "ia", "ib", "rep", "sh").groupBy("bin").applyInArrow(lambda t: _linked(t.drop(["bin"]), percent), "a long, b long")
+    return blocks.select(bin_, "grp", "ia", "ib", "rep", "sh").groupBy("bin").applyInArrow(C.grouped(_linked, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -199,12 +199,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["k1", "k2", "n_shingles"]
     some = sig.where("n_shingles > 0 and doc_id is not null")
     classes = C.materialize(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")))
-    members = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig").mapInArrow(_bands, "bkey long, rep long")
+    members = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig").mapInArrow(C.mapped(_bands), "bkey long, rep long")
     firsts = members.groupBy("bkey").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
     groups = connected(members.join(firsts, "bkey").where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("comp", "grp")
     groups = C.materialize(groups.join(classes.select("rep", F.col("n_shingles").alias("n")), "rep"))
     texts = rows.join(C.small(groups.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-    sets = texts.mapInArrow(lambda it: _sets(it, words), "rep long, sh binary").groupBy("rep").agg(F.first("sh").alias("sh"))
+    sets = texts.mapInArrow(C.mapped(_sets, words), "rep long, sh binary").groupBy("rep").agg(F.first("sh").alias("sh"))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("g"), F.sum("n").alias("gn"))
     sizes = sizes.withColumn("nb", F.ceil(F.greatest(F.col("g") / BLOCK, F.col("gn") / BLOCK_SHINGLES)))
     held = C.materialize(sets.join(groups.join(sizes, "grp").select("rep", "grp", "nb"), "rep"))

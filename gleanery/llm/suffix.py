@@ -402,9 +402,9 @@ def exact_substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str
     finish, schema = (_digest, DIGEST) if digests else (_full, FULL)
     texts = rows.select(F.pmod("doc_id", F.lit(parts)).cast("int").alias("bucket"), "doc_id", "text")
     by = lambda df: df.groupBy("bucket")
-    marks = by(rows.mapInArrow(lambda it: _cut(it, length, parts, many), C.BLOBS)).applyInArrow(lambda t: _classes(t, parts, many), C.BLOBS)
-    asked = by(texts).cogroup(by(marks)).applyInArrow(lambda a, b: _fetch(a, b, length, parts), C.BLOBS)
-    spans = by(asked).applyInArrow(lambda t: _repeats(t, length, parts), C.BLOBS)
+    marks = by(rows.mapInArrow(C.mapped(_cut, length, parts, many), C.BLOBS)).applyInArrow(C.grouped(_classes, parts, many), C.BLOBS)
+    asked = by(texts).cogroup(by(marks)).applyInArrow(C.cogrouped(_fetch, length, parts), C.BLOBS)
+    spans = by(asked).applyInArrow(C.grouped(_repeats, length, parts), C.BLOBS)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "starts array<long>, ends array<long>, kept binary")
-    out = by(texts).cogroup(by(spans)).applyInArrow(lambda a, b: _cleaned(a, b, length, finish, schema), ddl)
+    out = by(texts).cogroup(by(spans)).applyInArrow(C.cogrouped(_cleaned, length, finish, schema), ddl)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))

@@ -153,4 +153,4 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     The whole text is scored in windows of 16 words. Texts without words save nothing and get the lowest score; null
     text is empty; a null doc_id has a null held_out. The model is two dictionaries of 4 KB and three numbers.
     """
-    return C.text_rows(docs, id_col, text_col).mapInArrow(lambda it: _scored(it, model, folds), "doc_id long, held_out boolean, score double, predicted int")
+    return C.text_rows(docs, id_col, text_col).mapInArrow(C.mapped(_scored, model, folds), "doc_id long, held_out boolean, score double, predicted int")
