@@ -1,12 +1,13 @@
 """Language-model scoring with a probabilistic suffix tree over bytes, beside a unigram base over words.
 
-Learning: tasks count every (context of 5 bytes, next byte) of their training texts; the counts meet by the context's
-last two bytes, so that a context and all its suffixes of two bytes and more are in one task. There a context is
-retained if it was seen often enough (a fixed count, so that the tree grows with the corpus) and its next-byte
-distribution diverges from that of its suffix by more than a likelihood test allows; the suffixes of what is retained
-stay too. The retained contexts stay in those tasks; only the counts of single bytes and pairs (256 x 256 at most) go to
-the driver. Scoring: each block of texts sends its different (context, next byte) to the contexts' tasks, once each, and
-gets their probabilities back: the longest retained suffix is the state, its smoothed distribution gives the probability.
+Texts are dealt into blocks by a hash. Each block sends its different words and its different (context, next byte) to buckets by a
+hash of the whole key, with their counts in training texts, so that no common word or ending makes a bucket large.
+There the blocks' counts are added up; the different grams, now once each, go on to buckets by the context's last two
+bytes, where a context meets all its suffixes of two bytes and more. A context is retained if it was seen often enough
+(a fixed count, so that the tree grows with the corpus) and its next-byte distribution diverges from that of its suffix
+by more than a likelihood test allows; the suffixes of what is retained stay too. The longest retained suffix is the
+state, its smoothed distribution gives the probability. These go back to the blocks that asked, in the order of asking;
+only the counts of pairs of bytes (256 x 256 at most) go to the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,18 +27,20 @@ U64 = np.uint64
 DEPTH = 5
 #: A context seen once says nothing of what follows it; for all others the likelihood test decides.
 LEAST = 2
-BLOCK = 16 << 20
-END = U64(0x5851F42D4C957F2D)
-GRAM = {"key": "<u8", "n": "<i8"}
+BLOCK_MB = 16
+#: The end of a text among words; no word has this digest.
+END = b"end of the text."
+PLANES = {f"b{k}": "u1" for k in range(DEPTH + 1)}
+GRAM = PLANES | {"n": "<i8"}
+ANSWER = PLANES | {"logp": "<f4"}
+WORD = {"w0": "<u8", "w1": "<u8", "n": "<u4"}
 NODE = {"level": "u1", "key": "<u8", "n": "<i8"}
-WORD = {"word": "<u8", "train": "<u4", "rows": "<i4"}
-POST = {"row": "<i4", "n": "<i4"}
-DOC = {"row": "<i4", "sum": "<f8", "known": "<i8"}
-ASK = {f"b{k}": "u1" for k in range(DEPTH + 1)}
-ANSWER = ASK | {"logp": "<f4"}
-TEXTS = "batch long, row int, doc_id long, text string"
-GATHERED = "bucket int, kind int, blob binary"
-ANSWERS = "batch long, kind int, blob binary"
+ASKED = "bucket int, block int, blob binary"
+ANSWERED = "block int, bucket int, blob binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def canonical(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,72 +97,116 @@ def _grams(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return key
 
 
-def _bucket(key: np.ndarray, parts: int) -> np.ndarray:
-    return (C.mix(key >> U64(8) & U64(0xFFFF)) % U64(parts)).astype(np.int64)
-
-
 def _planes(key: np.ndarray) -> dict[str, np.ndarray]:
     """Keys as one column for each of their bytes, which compress well when sorted."""
-    return {c: (key >> U64(8 * k)).astype(np.uint8) for k, c in enumerate(ASK)}
+    return {c: (key >> U64(8 * k)).astype(np.uint8) for k, c in enumerate(PLANES)}
 
 
 def _keys(m: dict[str, np.ndarray]) -> np.ndarray:
     key = np.zeros(len(m["b0"]), np.uint64)
-    for k, c in enumerate(ASK):
+    for k, c in enumerate(PLANES):
         key |= m[c].astype(np.uint64) << U64(8 * k)
     return key
 
 
-def _training(batch: pa.RecordBatch, folds: int) -> pa.RecordBatch:
-    return batch.filter(pa.array([h is False for h in held_out(batch.column("doc_id").to_pylist(), folds)], pa.bool_()))
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], parts: int, folds: int) -> Iterator[pa.RecordBatch]:
-    """Of each block, to the contexts' buckets: its different (context, next byte), kind 1, and those of training texts with counts, kind 0."""
-    now, keys, counts = None, [], []
-
-    def sent() -> Iterator[pa.RecordBatch]:
-        k, n = _summed(keys, counts)
-        bucket = _bucket(k, parts)
-        order = np.argsort(bucket, kind="stable")
-        names, kinds, blobs = [], [], []
-        for g in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-            learned = g[n[g] > 0]
-            names += [int(bucket[g[0]])] * 2
-            kinds += [0, 1]
-            blobs += [C.pack({"key": k[learned], "n": n[learned]}), np.int64(now).tobytes() + C.pack(_planes(k[g]))]
-        yield pa.record_batch([pa.array(names, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
-
-    for serial, part in _runs(batches):
-        if serial != now:
-            if now is not None:
-                yield from sent()
-            now, keys, counts = serial, [], []
-        data, at = C.binary(part.column("text"))
-        other = np.array([h is not False for h in held_out(part.column("doc_id").to_pylist(), folds)], np.uint64)
-        for i, j in C.slices(at, 1 << 20):
-            x, bounds = canonical(data, at[i : j + 1])
-            key = _grams(x, bounds) << U64(1) | np.repeat(other[i:j], np.diff(bounds) - DEPTH)
-            key.sort()
-            learned = 1 - (key & U64(1)).astype(np.int64)
-            key >>= U64(1)
-            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            keys.append(key[cut])
-            counts.append(np.add.reduceat(learned, cut))
-            if len(keys) > 16:
-                k, n = _summed(keys, counts)
-                keys, counts = [k], [n]
-    if now is not None:
-        yield from sent()
+def _dealt(key: np.ndarray, parts: int) -> np.ndarray:
+    return (C.mix(key) % U64(parts)).astype(np.int64)
+
+
+def _in_buckets(bucket: np.ndarray) -> list[np.ndarray]:
+    """The places of each bucket's items, in order."""
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+
+
+def _learned(texts: pa.Table, folds: int) -> np.ndarray:
+    return np.array([h is False for h in held_out(texts.column("doc_id").to_pylist(), folds)], bool)
+
+
+def block_words(texts: pa.Table, folds: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """The different words of a block by their digests, numbered in sorted order, END too, and how often each stands in training texts."""
+    data, at = C.binary(texts.column("text"))
+    learned, counts = _learned(texts, folds), {END: 0}
+    counts[END] = int(learned.sum())
+    for i, j in C.slices(at):
+        digests, which, row, _ = C.distinct_words(data, at[i : j + 1])
+        n = np.bincount(which, learned[i:j][row], len(digests)).astype(np.int64)
+        for d, c in zip(digests, n.tolist(), strict=True):
+            counts[d] = counts.get(d, 0) + c
+    order = sorted(counts)
+    return {d: k for k, d in enumerate(order)}, np.array([counts[d] for d in order], np.int64)
+
+
+def block_grams(texts: pa.Table, folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different (context, next byte) of a block, sorted, and how often each stands in training texts."""
+    data, at = C.binary(texts.column("text"))
+    learned, keys, counts = _learned(texts, folds), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in C.slices(at):
+        x, bounds = canonical(data, at[i : j + 1])
+        key = _grams(x, bounds) << U64(1) | np.repeat(~learned[i:j], np.diff(bounds) - DEPTH).astype(np.uint64)
+        key.sort()
+        own = 1 - (key & U64(1)).astype(np.int64)
+        key >>= U64(1)
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        keys.append(key[cut])
+        counts.append(np.add.reduceat(own, cut) if len(cut) else own)
+        if len(keys) > 8:
+            k, n = _summed(keys, counts)
+            keys, counts = [k], [n]
+    return _summed(keys, counts)
+
+
+def _word_arrays(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    w = np.frombuffer(b"".join(words), "<u8").reshape(-1, 2)
+    return w[:, 0], w[:, 1]
+
+
+def _asked(texts: pa.Table, parts: int, folds: int, grams: bool) -> pa.Table:
+    """What a block asks of each bucket."""
+    block = texts.column("block")[0].as_py()
+    if grams:
+        key, n = block_grams(texts, folds)
+        groups = _in_buckets(bucket := _dealt(key, parts))
+        blobs = [C.pack(_planes(key[g]) | {"n": n[g]}) for g in groups]
+    else:
+        words, n = block_words(texts, folds)
+        w0, w1 = _word_arrays(words)
+        groups = _in_buckets(bucket := _dealt(w0, parts))
+        blobs = [C.pack({"w0": w0[g], "w1": w1[g], "n": n[g].astype("<u4")}) for g in groups]
+    return pa.table([pa.array([int(bucket[g[0]]) for g in groups], pa.int32()), pa.array([block] * len(groups), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
+
+
+def _weighed(table: pa.Table) -> pa.Table:
+    """One bucket of words: to each block their counts in all training texts, in the order of asking. Also how many tokens and kinds of words training has here."""
+    parts = [C.unpack([b], WORD) for b in table.column("blob").to_pylist()]
+    w0, w1, n = (np.concatenate([p[c] for p in parts]) for c in WORD)
+    order = np.lexsort((w1, w0))
+    new = np.ones(len(order), bool)
+    new[1:] = (w0[order][1:] != w0[order][:-1]) | (w1[order][1:] != w1[order][:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    total = np.bincount(which, n).astype(np.int64)
+    ends = np.cumsum([len(p["n"]) for p in parts])
+    blobs = [x.tobytes() for x in np.split(total[which].astype("<i8"), ends[:-1])]
+    first = [1] + [0] * (len(parts) - 1)
+    return pa.table([table.column("block"), table.column("bucket"), pa.array(blobs, pa.binary()), pa.array([f * int(total.sum()) for f in first], pa.int64()), pa.array([f * int((total > 0).sum()) for f in first], pa.int64())], names=["block", "bucket", "blob", "tokens", "kinds"])
+
+
+def _once(table: pa.Table, parts: int) -> pa.Table:
+    """One bucket of grams: each once, with its count in all training texts, to the bucket of its context's last two bytes."""
+    m = C.unpack(table.column("blob").to_pylist(), GRAM)
+    key, n = _summed([_keys(m)], [m["n"]])
+    groups = _in_buckets(bucket := _dealt(key >> U64(8) & U64(0xFFFF), parts))
+    return pa.table([pa.array([int(bucket[g[0]]) for g in groups], pa.int32()), pa.array([C.pack(_planes(key[g]) | {"n": n[g]}) for g in groups], pa.binary())], names=["bucket", "blob"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.RecordBatch]:
     """How often each pair of bytes stands in a task's training texts."""
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        batch = _training(batch, folds)
+        batch = batch.filter(pa.array(_learned(batch, folds)))
         data, at = C.binary(batch.column("text"))
-        for i, j in C.slices(at, 1 << 20):
+        for i, j in C.slices(at):
             x, bounds = canonical(data, at[i : j + 1])
             where = _places(x, bounds)
             total += np.bincount(x[where - 1].astype(np.int64) << 8 | x[where], minlength=1 << 16)
@@ -168,14 +214,34 @@ def _pairs(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.RecordB
     yield pa.record_batch([pa.array(some, pa.int32()), pa.array(total[some])], ["pair", "n"])
 
 
-def first_level(pair: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """[context of one byte, next byte]: probabilities, smoothed as in grow()."""
+def diverges(counts: np.ndarray, parent: np.ndarray, of: np.ndarray, least: float) -> np.ndarray:
+    """Which contexts are seen often enough and differ from their suffix. of: each gram's context; counts and parent: its count and its share after the suffix. Twice the gain in log likelihood is about chi-squared with one degree of freedom for each next byte; the bound is that of the Bayesian information criterion."""
+    total, kinds = np.bincount(of, counts), np.bincount(of)
+    gain = np.bincount(of, counts * np.log(counts / total[of] / parent))
+    return (total >= least) & (gain > 0.5 * kinds * np.log(np.maximum(total, 1)))
+
+
+@dataclass
+class Roots:
+    """What all buckets need of the tree: the pairs' counts, which contexts of one byte are retained, and p[context of one byte, next byte], smoothed."""
+
+    pairs: np.ndarray
+    keep: np.ndarray
+    p: np.ndarray
+
+
+def roots(pair: np.ndarray, n: np.ndarray, least: float) -> Roots:
     c = np.zeros(1 << 16)
     c[pair] = n
     c = c.reshape(256, 256)
     root = (c.sum(axis=0) + 0.5) / (c.sum() + 128.0)
+    some = np.argwhere(c > 0)
+    keep = np.zeros(256, bool)
+    if len(some):
+        ctx, of = np.unique(some[:, 0], return_inverse=True)
+        keep[ctx] = diverges(c[some[:, 0], some[:, 1]], c.sum(axis=0)[some[:, 1]] / c.sum(), of, least)
     kinds, total = (c > 0).sum(axis=1, keepdims=True), c.sum(axis=1, keepdims=True)
-    return np.where(total > 0, (c + kinds * root) / np.maximum(total + kinds, 1), root)
+    return Roots(c, keep, np.where(keep[:, None], (c + kinds * root) / np.maximum(total + kinds, 1), root))
 
 
 def _level(key: np.ndarray, n: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,127 +249,33 @@ def _level(key: np.ndarray, n: np.ndarray, level: int) -> tuple[np.ndarray, np.n
     return _summed([key & U64((1 << 8 * (level + 1)) - 1)], [n])
 
 
-def _retained(table: pa.Table, least: float) -> pa.Table:
-    """The retained contexts of one bucket with the counts of their next bytes: rows (level, context and next byte, count). Contexts of one byte come as parts that the driver adds."""
-    r = C.unpack(table.column("blob").to_pylist(), GRAM)
-    key, n = _summed([r["key"]], [r["n"]])
-    levels = {k: _level(key, n, k) for k in range(1, DEPTH + 1)}
+def retained(key: np.ndarray, n: np.ndarray, top: Roots, least: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, grams, counts) of the retained contexts of two bytes and more, from all counted grams of some buckets. A context whose last byte alone is no state is none either."""
+    some = n > 0
+    levels = {k: _level(key[some], n[some], k) for k in range(2, DEPTH + 1)}
     keep: dict[int, np.ndarray] = {}
     for k in range(DEPTH, 1, -1):
         grams, c = levels[k]
-        ctx, at, inv = np.unique(grams >> U64(8), return_index=True, return_inverse=True)
-        total = np.add.reduceat(c, at) if len(at) else c
-        up, cu = levels[k - 1]
-        up_ctx, up_at = np.unique(up >> U64(8), return_index=True)
-        up_total = np.add.reduceat(cu, up_at) if len(up_at) else cu
-        own = c / total[inv]
+        ctx, of = np.unique(grams >> U64(8), return_inverse=True)
         suffix = grams & U64((1 << 8 * k) - 1)
-        parent = cu[np.searchsorted(up, suffix)] / up_total[np.searchsorted(up_ctx, suffix >> U64(8))]
-        gain = np.bincount(inv, c * np.log(own / parent), len(ctx))
-        kinds = np.bincount(inv, minlength=len(ctx))
-        ok = total >= least
-        if k > 2:  # twice the gain is about chi-squared with one degree of freedom for each next byte
-            ok &= gain > 0.5 * kinds * np.log(total)
+        if k > 2:
+            up, cu = levels[k - 1]
+            up_ctx, up_of = np.unique(up >> U64(8), return_inverse=True)
+            parent = cu[np.searchsorted(up, suffix)] / np.bincount(up_of, cu)[np.searchsorted(up_ctx, suffix >> U64(8))] if len(up) else np.zeros(0)
+        else:
+            last, next_ = (suffix >> U64(8)).astype(np.int64), (suffix & U64(255)).astype(np.int64)
+            parent = top.pairs[last, next_] / np.maximum(top.pairs.sum(axis=1)[last], 1)
+        ok = diverges(c, parent, of, least) if len(ctx) else np.zeros(0, bool)
         if k < DEPTH:
             ok |= np.isin(ctx, keep[k + 1] & U64((1 << 8 * k) - 1))
+        ok &= top.keep[(ctx & U64(255)).astype(np.int64)]
         keep[k] = ctx[ok]
-    out = {"level": [np.full(len(levels[1][0]), 1, np.uint8)], "key": [levels[1][0]], "n": [levels[1][1]]}
-    for k, ctx in keep.items():
+    out = []
+    for k in range(2, DEPTH + 1):
         grams, c = levels[k]
-        sel = np.isin(grams >> U64(8), ctx)
-        out["level"].append(np.full(int(sel.sum()), k, np.uint8))
-        out["key"].append(grams[sel])
-        out["n"].append(c[sel])
-    return pa.table({"blob": pa.array([C.pack({c: np.concatenate(v).astype(NODE[c]) for c, v in out.items()})], pa.binary())})
-
-
-@dataclass
-class Tree:
-    """symbol: byte to column; child[node, symbol]: the context longer by that (older) byte, or -1; logp[node, symbol]: log10 of the next byte's probability."""
-
-    symbol: np.ndarray
-    child: np.ndarray
-    logp: np.ndarray
-
-    def log10(self, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 probability of each canonical row."""
-        where = _places(x, bounds)
-        s = self.symbol[x]
-        node, live = np.zeros(len(where), np.int32), np.arange(len(where))
-        for k in range(1, DEPTH + 1):
-            if k > 1:
-                to = self.child[node[live], s[where[live] - k]]
-            else:
-                to = self.child[0, s[where - 1]]
-            ok = to >= 0
-            live = live[ok]
-            node[live] = to[ok]
-        p = self.logp[node, s[where]].astype(np.float64)
-        sizes = np.diff(bounds) - DEPTH
-        return np.add.reduceat(p, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
-
-
-def grow(level: np.ndarray, key: np.ndarray, n: np.ndarray) -> Tree:
-    """The tree of retained contexts; each distribution is smoothed with that of its suffix, by as much weight as it has kinds of next bytes (Witten and Bell)."""
-    k1, n1 = _summed([key[level == 1]], [n[level == 1]])
-    root_counts = np.bincount((k1 & U64(255)).astype(np.int64), n1, 256)
-    seen = np.unique(np.concatenate([[0], (k1 & U64(255)).astype(np.int64), (k1 >> U64(8)).astype(np.int64)]))
-    symbol = np.full(256, len(seen), np.int32)  # the last column: bytes never seen in training
-    symbol[seen] = np.arange(len(seen))
-    a = len(seen) + 1
-    rare = 256 - len(seen)
-    c = np.append(root_counts[seen], 0.0)
-    root = (c + np.append(np.full(len(seen), 0.5), 0.5 * max(rare, 1))) / (c.sum() + 128.0)
-    if rare:
-        root[-1] /= rare
-    probs, children, ids = [root[None, :]], [np.full((1, a), -1, np.int32)], {0: (np.zeros(1, np.uint64), np.zeros(1, np.int64))}
-    total = 1
-    for k in range(1, DEPTH + 1):
-        grams, cnt = (k1, n1) if k == 1 else _summed([key[level == k]], [n[level == k]])
-        ctx, inv = np.unique(grams >> U64(8), return_inverse=True)
-        dense = np.zeros((len(ctx), a))
-        dense[inv, symbol[(grams & U64(255)).astype(np.int64)]] = cnt
-        up_ctx, up_id = ids[k - 1]
-        up = np.searchsorted(up_ctx, ctx & U64((1 << 8 * (k - 1)) - 1))
-        kinds = (dense > 0).sum(axis=1, keepdims=True)
-        probs.append((dense + kinds * probs[k - 1][up]) / (dense.sum(axis=1, keepdims=True) + kinds))
-        children.append(np.full((len(ctx), a), -1, np.int32))
-        children[k - 1][up, symbol[(ctx >> U64(8 * (k - 1))).astype(np.int64)]] = total + np.arange(len(ctx))
-        ids[k] = (ctx, total + np.arange(len(ctx)))
-        total += len(ctx)
-    return Tree(symbol, np.concatenate(children), np.log10(np.concatenate(probs)).astype(np.float32))
-
-
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, p_min: float = 0.0, parts: int | None = None, least: int = LEAST) -> Tree:
-    """A tree on the driver, for corpora whose contexts fit there, from all texts whose crc32(doc_id as text) mod folds is not 0; p_min: the least share of all bytes."""
-    rows = C.text_rows(docs, id_col, text_col)
-    parts = parts or C.parts_for(rows, "text", 16)
-    size = rows.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0).agg(F.sum(F.octet_length("text") + F.lit(1).cast("long"))).first()[0] or 0
-    counted = rows.mapInArrow(_blocks, TEXTS).mapInArrow(lambda it: _gathered(it, parts, folds), GATHERED).where("kind = 0")
-    kept = counted.groupBy("bucket").applyInArrow(lambda t: _retained(t, max(least, p_min * size)), "blob binary").collect()
-    m = C.unpack([r.blob for r in kept], NODE)
-    return grow(m["level"], m["key"], m["n"])
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the rows: batch, of up to BLOCK bytes of text or one longer row, and row in it."""
-    task = TaskContext.get()
-    serial = (task.partitionId() if task else 0) << 24
-    for batch in batches:
-        _, at = C.binary(batch.column("text"))
-        for i, j in C.slices(at, BLOCK):
-            yield pa.record_batch([pa.array(np.full(j - i, serial, np.int64)), pa.array(np.arange(j - i, dtype=np.int32)), batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i)], ["batch", "row", "doc_id", "text"])
-            serial += 1
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Parts of batches whose rows are of one block."""
-    for batch in batches:
-        serial = batch.column("batch").to_numpy()
-        cut = np.flatnonzero(np.diff(serial)) + 1
-        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(serial)], strict=True):
-            if j > i:
-                yield int(serial[i]), batch.slice(i, j - i)
+        sel = np.isin(grams >> U64(8), keep[k])
+        out.append((k, grams[sel], c[sel]))
+    return out
 
 
 def _found(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,6 +286,40 @@ def _found(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == x
 
 
+def log10_of(key: np.ndarray, top: Roots, levels: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 probability of each gram: the longest retained suffix is the state. Each state's distribution is smoothed with that of its suffix, by as much weight as it has kinds of next bytes (Witten and Bell)."""
+    p, live = top.p[(key >> U64(8) & U64(255)).astype(np.int64), (key & U64(255)).astype(np.int64)], np.arange(len(key))
+    for k, grams, n in levels:
+        ctx, at = np.unique(grams >> U64(8), return_index=True)
+        total, kinds = np.add.reduceat(n, at) if len(at) else n, np.diff(np.append(at, len(grams)))
+        at, ok = _found(ctx, key[live] >> U64(8) & U64((1 << 8 * k) - 1))
+        live, at = live[ok], at[ok]
+        gram, seen = _found(grams, key[live] & U64((1 << 8 * (k + 1)) - 1))
+        count = np.zeros(len(live))
+        count[seen] = n[gram[seen]]
+        p[live] = (count + kinds[at] * p[live]) / (total[at] + kinds[at])
+    return np.log10(p)
+
+
+def _answered(table: pa.Table, parts: int, top: Roots, least: float) -> pa.Table:
+    """One bucket of contexts: every gram's log10 probability, to the bucket of the whole gram."""
+    m = C.unpack(table.column("blob").to_pylist(), GRAM)
+    key, n = _summed([_keys(m)], [m["n"]])
+    logp = log10_of(key, top, retained(key, n, top, least)).astype("<f4")
+    groups = _in_buckets(bucket := _dealt(key, parts))
+    return pa.table([pa.array([int(bucket[g[0]]) for g in groups], pa.int32()), pa.array([C.pack(_planes(key[g]) | {"logp": logp[g]}) for g in groups], pa.binary())], names=["bucket", "blob"])
+
+
+def _looked_up(asks: pa.Table, answers: pa.Table) -> pa.Table:
+    """One bucket of grams: to each block the log10 probabilities, in the order of asking."""
+    m = C.unpack(answers.column("blob").to_pylist(), ANSWER)
+    key = _keys(m)
+    order = np.argsort(key)
+    key, logp = key[order], m["logp"][order]
+    blobs = [logp[np.searchsorted(key, _keys(C.unpack([b], GRAM)))].astype("<f4").tobytes() for b in asks.column("blob").to_pylist()]
+    return pa.table([asks.column("block"), asks.column("bucket"), pa.array(blobs, pa.binary())], names=["block", "bucket", "blob"])
+
+
 def _finder(table: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     """Finds places in the sorted table, of values that are in it: by a hash, where that has the place of another by search."""
     bits = max(8, (4 * len(table)).bit_length())
@@ -330,130 +336,66 @@ def _finder(table: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     return find
 
 
-def _answered(table: pa.Table, first: np.ndarray, least: float) -> pa.Table:
-    """One bucket of contexts: retains them from the counts, then gives each block the log10 probabilities that it asked for."""
-    kind, blob = table.column("kind").to_numpy(), table.column("blob")
-    m = C.unpack(_retained(pa.table({"blob": blob.filter(pa.array(kind == 0))}), least).column("blob").to_pylist(), NODE)
-    levels = []
-    for k in range(2, DEPTH + 1):
-        grams, n = m["key"][m["level"] == k], m["n"][m["level"] == k]
-        ctx, at = np.unique(grams >> U64(8), return_index=True)
-        levels.append((k, ctx, np.add.reduceat(n, at) if len(at) else n, np.diff(np.append(at, len(grams))), grams, n))
-    to, out = [], []
-    for b in blob.filter(pa.array(kind == 1)).to_pylist():
-        key = _keys(C.unpack([b[8:]], ASK))
-        p, live = first[(key >> U64(8) & U64(255)).astype(np.int64), (key & U64(255)).astype(np.int64)], np.arange(len(key))
-        for k, ctx, total, kinds, grams, n in levels:
-            at, ok = _found(ctx, key[live] >> U64(8) & U64((1 << 8 * k) - 1))
-            live, at = live[ok], at[ok]
-            gram, seen = _found(grams, key[live] & U64((1 << 8 * (k + 1)) - 1))
-            count = np.zeros(len(live))
-            count[seen] = n[gram[seen]]
-            p[live] = (count + kinds[at] * p[live]) / (total[at] + kinds[at])
-        to.append(int(np.frombuffer(b, "<i8", 1)[0]))
-        out.append(C.pack(_planes(key) | {"logp": np.log10(p).astype("<f4")}))
-    return pa.table([pa.array(to, pa.int64()), pa.array([1] * len(to), pa.int32()), pa.array(out, pa.binary())], names=["batch", "kind", "blob"])
-
-
-def _posted(batches: Iterator[pa.RecordBatch], parts: int, folds: int) -> Iterator[pa.RecordBatch]:
-    """Of each block: the words with the rows that hold them, to the words' buckets."""
-    for serial, part in _runs(batches):
-        data, at = C.binary(part.column("text"))
-        number = part.column("row").to_numpy()
-        learned = np.array([h is False for h in held_out(part.column("doc_id").to_pylist(), folds)], bool)
-        for i, j in C.slices(at):
-            words, row, _ = C.words_of(data, at[i : j + 1])
-            m = j - i
-            words, row = np.concatenate([words, np.full(m, END)]), np.concatenate([row, np.arange(m)])
-            order = np.lexsort((row, words))
-            words, row = words[order], row[order]
-            new = np.ones(len(words), bool)
-            new[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(words)))
-            words, row = words[first], row[first]
-            head = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-            rows_of = np.diff(np.append(head, len(words)))
-            train = np.add.reduceat(np.where(learned[i:j][row], n, 0), head)
-            row = number[i:j][row]
-            bucket = (words[head] % U64(parts)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.diff(bucket[by])) + 1
-            names, blobs = [], []
-            for g in np.split(by, cut):
-                size = rows_of[g]
-                at_ = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - head[g], size)
-                names.append(int(bucket[g[0]]))
-                blobs.append(np.int64(serial).tobytes() + C.pack({"word": words[head[g]], "train": train[g].astype("<u4"), "rows": size.astype("<i4")}) + C.pack({"row": row[at_].astype("<i4"), "n": n[at_].astype("<i4")}))
-            yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+def _told(answers: pa.Table, lo: int, hi: int, groups: list[np.ndarray], bucket: np.ndarray, kind: str) -> np.ndarray:
+    """The answers of buckets lo .. hi - 1, where they were asked."""
+    out = np.zeros(sum(map(len, groups)), kind)
+    blobs = {b: x for b, x in zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True) if lo <= b < hi}
+    for g in groups:
+        out[g] = np.frombuffer(blobs[lo + int(bucket[g[0]])], kind)
+    return out
 
 
-def _weighed(table: pa.Table) -> pa.Table:
-    """One bucket of words: their training counts over all blocks, then what they add to each row of each block. Also how many tokens and kinds of words training has here."""
-    blobs = table.column("blob").to_pylist()
-    width, heads, posts = sum(np.dtype(t).itemsize for t in WORD.values()), [], []
-    for b in blobs:
-        n = int(np.frombuffer(b, "<i8", 1, 8)[0])
-        heads.append((int(np.frombuffer(b, "<i8", 1)[0]), C.unpack([b[8:]], WORD)))
-        posts.append(C.unpack([b[16 + n * width :]], POST))
-    word, train = _summed([h["word"] for _, h in heads], [h["train"].astype(np.int64) for _, h in heads])
+def _totals(texts: pa.Table, answers: pa.Table, parts: int, folds: int) -> pa.Table:
+    """One block: its texts with what words (buckets from 0) and grams (buckets from `parts`) answered, and the size of training (bucket -1)."""
+    if not texts.num_rows:
+        return pa.table([[]] * 7, schema=SCHEMA)
+    size, kinds = map(int, answers.column("blob").filter(pa.array(answers.column("bucket").to_numpy() == -1))[0].as_py().split())
+    words, _ = block_words(texts, folds)
+    bucket = _dealt(_word_arrays(words)[0], parts)
+    train = _told(answers, 0, parts, _in_buckets(bucket), bucket, "<i8")
     log = np.log10(train + 0.1)
-    out = []
-    for (serial, h), p in zip(heads, posts, strict=True):
-        k = np.repeat(np.searchsorted(word, h["word"]), h["rows"])
-        m = int(p["row"].max()) + 1
-        total, known = np.bincount(p["row"], log[k] * p["n"], m), np.bincount(p["row"], np.where(train[k] > 0, p["n"], 0), m)
-        has = np.flatnonzero(np.bincount(p["row"], minlength=m))
-        out.append((serial, C.pack({"row": has.astype("<i4"), "sum": total[has], "known": known[has].astype("<i8")})))
-    tokens, kinds = [0] * len(out), [0] * len(out)
-    tokens[0], kinds[0] = int(train.sum()), int((train > 0).sum())
-    return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary()), pa.array(tokens, pa.int64()), pa.array(kinds, pa.int64())], names=["batch", "kind", "blob", "tokens", "kinds"])
-
-
-def _totals(texts: pa.Table, answers: pa.Table, folds: int) -> pa.Table:
-    """One block: its texts with what the words and contexts answered."""
-    kind, blob = answers.column("kind").to_numpy(), answers.column("blob")
-    part = C.unpack(blob.filter(pa.array(kind == 0)).to_pylist(), DOC)
-    m = C.unpack(blob.filter(pa.array(kind == 1)).to_pylist(), ANSWER)
-    key = _keys(m)
-    order = np.argsort(key)
-    key, logp = key[order], m["logp"][order].astype(np.float64)
-    find = _finder(key)
-    row, n = texts.column("row").to_numpy(), len(texts)
+    key, _ = block_grams(texts, folds)
+    bucket = _dealt(key, parts)
+    logp = _told(answers, parts, 2 * parts, _in_buckets(bucket), bucket, "<f4").astype(np.float64)
+    find, n = _finder(key), len(texts)
     data, at = C.binary(texts.column("text"))
-    score, tokens = np.zeros(n), np.zeros(n, np.int64)
-    for i, j in C.slices(at, 1 << 20):
+    score_, base, tokens, known = np.zeros(n), np.full(n, log[words[END]]), np.ones(n, np.int64), np.full(n, int(train[words[END]] > 0))
+    for i, j in C.slices(at):
         x, bounds = canonical(data, at[i : j + 1])
         sizes = np.diff(bounds) - DEPTH
-        score[i:j] = np.add.reduceat(logp[find(_grams(x, bounds))], np.cumsum(sizes) - sizes)
-        spaces = np.concatenate([[0], np.cumsum(x == 0x20)])
-        tokens[i:j] = spaces[bounds[1:]] - spaces[bounds[:-1]] + (sizes > 1) + 1  # words have one space between them; and the end
-    total, known = np.bincount(part["row"], part["sum"], n)[row], np.bincount(part["row"], part["known"], n)[row].astype(np.int64)
+        score_[i:j] = np.add.reduceat(logp[find(_grams(x, bounds))], np.cumsum(sizes) - sizes)
+        digests, which, row, starts = C.distinct_words(data, at[i : j + 1])
+        mine = np.array([words[d] for d in digests], np.int64)[which] if len(which) else which
+        base[i:j] += np.bincount(row, log[mine], j - i)
+        known[i:j] += np.bincount(row, train[mine] > 0, j - i).astype(np.int64)
+        tokens[i:j] += np.diff(starts)
     ids = texts.column("doc_id").to_pylist()
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held_out(ids, folds), pa.bool_()), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "sum": pa.array(total), "score": pa.array(score)})
+    base -= tokens * np.log10(size + 0.1 * (kinds + 1))
+    return pa.table([ids, held_out(ids, folds), tokens, known, np.full(n, size), base, score_], schema=SCHEMA)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, least: int = LEAST) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, least: int = LEAST, block_mb: int = BLOCK_MB) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Tokens are words, lower-cased A-Z, and one end per text. base_score: the unigram log10 probability with training
-    counts, smoothed by 0.1 for each kind of token and one unseen kind. score: the tree's log10 probability of the words
-    with one space between them and the end. Null text is empty (its only token is the end). Rows of one doc_id are
-    scored, and learned from, each; a null doc_id is not learned from and its held_out is null. Contexts seen fewer than
-    `least` times are not retained.
+    Tokens are words, lower-cased A-Z, and one end per text; words are told apart by 128 bits of their digests.
+    base_score: the unigram log10 probability with training counts, smoothed by 0.1 for each kind of token and one unseen
+    kind. score: the tree's log10 probability of the words with one space between them and the end. Null text is empty
+    (its only token is the end). Rows of one doc_id are scored, and learned from, each; a null doc_id is not learned from
+    and its held_out is null. Contexts seen fewer than `least` times are not retained. A very long text is a block of its
+    own or makes its block that long. Other columns don't matter.
     """
     rows = C.text_rows(docs, id_col, text_col)
-    parts = C.parts_for(rows, "text", 16)
-    texts = C.materialize(rows.mapInArrow(_blocks, TEXTS))
-    pairs = texts.mapInArrow(lambda it: _pairs(it, folds), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    first = first_level(np.array([r.pair for r in pairs], np.int64), np.array([r.n for r in pairs], np.int64))
-    posted = texts.mapInArrow(lambda it: _posted(it, parts, folds), C.BLOBS)
-    weighed = C.materialize(posted.groupBy("bucket").applyInArrow(_weighed, "batch long, kind int, blob binary, tokens long, kinds long"))
-    n, v = weighed.agg(F.sum("tokens"), F.sum("kinds")).first()
-    n, v = n or 0, v or 0
-    gathered = texts.mapInArrow(lambda it: _gathered(it, parts, folds), GATHERED)
-    answered = gathered.groupBy("bucket").applyInArrow(lambda t: _answered(t, first, least), ANSWERS)
-    answers = weighed.select("batch", "kind", "blob").union(answered)
-    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda t, a: _totals(t, a, folds), "doc_id long, held_out boolean, n_tokens long, n_known long, sum double, score double")
-    base = F.col("sum") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.1 * (v + 1))))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    parts = C.parts_for(rows, "text", block_mb)
+    texts = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("block"), "doc_id", "text").groupBy("block")
+    pairs = rows.mapInArrow(C.mapped(_pairs, folds), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    top = roots(np.array([r.pair for r in pairs], np.int64), np.array([r.n for r in pairs], np.int64), least)
+    # texts, words and grams are shuffled once each; Spark reuses these exchanges below
+    words = texts.applyInArrow(C.grouped(_asked, parts, folds, False), ASKED).groupBy("bucket")
+    weighed = words.applyInArrow(C.grouped(_weighed), ANSWERED + ", tokens long, kinds long")
+    sizes = weighed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v"))
+    sizes = sizes.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"), F.lit(-1).alias("bucket"), F.encode(F.concat_ws(" ", "n", "v"), "utf-8").alias("blob"))
+    grams = texts.applyInArrow(C.grouped(_asked, parts, folds, True), ASKED).groupBy("bucket")
+    answers = grams.applyInArrow(C.grouped(_once, parts), C.BLOBS).groupBy("bucket").applyInArrow(C.grouped(_answered, parts, top, least), C.BLOBS)
+    looked = grams.cogroup(answers.groupBy("bucket")).applyInArrow(C.cogrouped(_looked_up), ANSWERED).withColumn("bucket", F.col("bucket") + parts)
+    told = weighed.select("block", "bucket", "blob").union(looked).union(sizes)
+    return texts.cogroup(told.groupBy("block")).applyInArrow(C.cogrouped(_totals, parts, folds), SCORED)

@@ -1,14 +1,14 @@
 import re
 import zlib
 from collections import Counter
-from math import log10
+from math import log, log10
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests_llm_corpus import prose
 
-from gleanery.llm.pst import DEPTH, Tree, _places, canonical, learn, score
+from gleanery.llm.pst import DEPTH, retained, roots, score
 
 SPLIT = r"[^\x20\x09-\x0D]+"
 
@@ -44,41 +44,60 @@ def test_base_score_and_counts(spark):
     assert sum(r.score for r in mixed) < 1.3 * sum(r.score for r in held)  # the order of letters was learned
 
 
-def test_tree_against_brute_force(spark):
-    data = rows()[:120]
-    tree = learn(spark.createDataFrame(data, "doc_id long, text string").repartition(2), p_min=1e-3)
+def brute(data, least=2):
+    """The retained contexts, found one by one, and the log10 probability of each text."""
+    streams = {}
     counts = {}
     for i, t in data:
+        streams[i] = b = b"\0" * DEPTH + b" ".join(w.encode() for w in tokens(t)[:-1]) + b"\n"
         if zlib.crc32(str(i).encode()) % 10:
-            b = b"\0" * DEPTH + b" ".join(w.encode() for w in tokens(t)[:-1]) + b"\n"
             for k in range(DEPTH, len(b)):
                 for d in range(DEPTH + 1):
                     counts.setdefault(b[k - d : k], Counter())[b[k]] += 1
-    nodes = {b"": 0}
-    for ctx in sorted((c for c in counts if c), key=len):  # the tree's contexts are closed under suffixes
-        up = nodes.get(ctx[1:])
-        if up is not None and (k := int(tree.child[up, tree.symbol[ctx[0]]])) >= 0:
-            nodes[ctx] = k
-    assert len(nodes) == len(tree.child) > 50
-    assert {c for c in counts if len(c) == 1} <= set(nodes)
-    size = sum(counts[b""].values())
-    assert all(sum(counts[c].values()) >= 1e-3 * size * 0.9 for c in nodes if len(c) > 1)
-    assert np.allclose((10.0 ** tree.logp[:, :-1]).sum(axis=1), 1, atol=0.1)
-    for ctx, k in nodes.items():
-        if ctx:
-            c, up = counts[ctx], 10.0 ** tree.logp[nodes[ctx[1:]]]
-            for b, n in c.items():
-                want = (n + len(c) * up[tree.symbol[b]]) / (sum(c.values()) + len(c))
-                assert 10.0 ** tree.logp[k, tree.symbol[b]] == pytest.approx(want, rel=1e-3)
-    text = b"Some  TEXT here"
-    x, bounds = canonical(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    total, s = 0.0, x.tobytes()
-    for k in _places(x, bounds).tolist():
-        ctx = max((s[k - d : k] for d in range(DEPTH + 1) if s[k - d : k] in nodes), key=len)
-        while any(ctx[j:] not in nodes for j in range(len(ctx))):
-            ctx = ctx[1:]
-        total += tree.logp[nodes[ctx], tree.symbol[s[k]]]
-    assert Tree.log10(tree, x, bounds)[0] == pytest.approx(total, abs=1e-4)
+    total = {c: sum(n.values()) for c, n in counts.items()}
+
+    def passes(c):
+        n = counts[c]
+        gain = sum(k * log(k / total[c] / (counts[c[1:]][b] / total[c[1:]])) for b, k in n.items())
+        return total[c] >= least and gain > 0.5 * len(n) * log(total[c])
+
+    kept = {c for c in counts if c and passes(c)}
+    kept |= {c[j:] for c in kept for j in range(len(c) - 1)}
+    kept = {c for c in kept if passes(c[-1:])}
+
+    def p(c, b):
+        if not c:
+            return (counts[b""][b] + 0.5) / (total[b""] + 128)
+        up = p(c[1:], b)
+        return (counts[c][b] + len(counts[c]) * up) / (total[c] + len(counts[c])) if c in kept else up
+
+    return kept, counts, {i: sum(log10(p(s[k - DEPTH : k], s[k])) for k in range(DEPTH, len(s))) for i, s in streams.items()}
+
+
+def test_against_brute_force(spark):
+    data = rows()[:60] + rows()[-5:]
+    kept, counts, want = brute(data)
+    assert 100 < len(kept) < 0.9 * sum(len(c) > 0 for c in counts) and {len(c) for c in kept} == set(range(1, DEPTH + 1))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for mb in (1, 16):
+        got = {r.doc_id: r.score for r in score(df, block_mb=mb).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-4) for i in want)
+    # the retained contexts themselves, both ways
+    gram = Counter({(c, b): n for c, x in counts.items() if len(c) == DEPTH for b, n in x.items()})
+    key = np.array([int.from_bytes(c + bytes([b]), "big") for c, b in gram], np.uint64)
+    pair = Counter({(c[0] << 8) | b: n for c, x in counts.items() if len(c) == 1 for b, n in x.items()})
+    top = roots(np.array(list(pair)), np.array(list(pair.values())), 2)
+    got = {g.tobytes()[::-1][8 - k - 1 : 7] for k, grams, _ in retained(key, np.array(list(gram.values())), top, 2) for g in grams}
+    assert got == {c for c in kept if len(c) > 1} and {bytes([c]) for c in np.flatnonzero(top.keep)} == {c for c in kept if len(c) == 1}
+
+
+def test_words_are_told_apart(spark):
+    """Two words whose polynomial hashes modulo 2**64 are equal whatever the base."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    train, held = next(k for k in range(9, 99) if zlib.crc32(str(k).encode()) % 10), next(k for k in range(9, 999) if not zlib.crc32(str(k).encode()) % 10)
+    out = {r.doc_id: r for r in score(spark.createDataFrame([(train, a), (held, b)], "doc_id long, text string")).collect()}
+    assert (out[train].n_known, out[held].n_known) == (2, 1)
 
 
 def test_repeated_rows_nulls_and_empty(spark):
@@ -98,14 +117,3 @@ def test_a_rare_context_keeps_its_probability_when_the_corpus_grows(spark):
     df = spark.createDataFrame([*rare, *many], "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.score for r in score(df).where(F.col("doc_id") <= ids[19]).collect()}
     assert all(got[k] > -6 for k, _ in rare)
-
-
-def test_scores_are_those_of_the_whole_tree(spark):
-    data = rows()
-    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-    tree = learn(df)
-    got = {r.doc_id: r.score for r in score(df).collect()}
-    for i, t in data:
-        raw = (t or "").encode()
-        x, bounds = canonical(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        assert got[i] == pytest.approx(tree.log10(x, bounds)[0], abs=1e-3)
