@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .suffix import DIGEST, FULL, MARK, _digest, _full, _table, later, merge, prime
+from .suffix import DIGEST, FULL, MARK, _digest, _full, _table, later, merge, numbered, prime, rows_of
 
-ROW = {"c1": "<u8", "c2": "<u4", "doc_lo": "<u4", "doc_hi": "<i4", "s_lo": "<u2", "s_hi": "<u2", "n": "<u2"}
+ROW = {"c1": "<u8", "c2": "<u4", "doc_lo": "<u4", "doc_hi": "<i4", "row": "<i8", "s_lo": "<u2", "s_hi": "<u2", "n": "<u2"}
 GEAR = np.append(np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32), np.uint32(0))
 
 
@@ -58,12 +58,12 @@ def chunks(data: np.ndarray, at: np.ndarray, bits: int, least: int, most: int) -
 def _cut(batches: Iterator[pa.RecordBatch], parts: int, bits: int, least: int, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = C.binary(batch.column("text"))
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, rows = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "row"))
         for lo, hi in C.slices(at, 12 << 20):
-            yield from _bucketed_chunks(data, at[lo : hi + 1], ids[lo:hi], parts, bits, least, most)
+            yield from _bucketed_chunks(data, at[lo : hi + 1], ids[lo:hi], rows[lo:hi], parts, bits, least, most)
 
 
-def _bucketed_chunks(data: np.ndarray, at: np.ndarray, ids: np.ndarray, parts: int, bits: int, least: int, most: int) -> Iterator[pa.RecordBatch]:
+def _bucketed_chunks(data: np.ndarray, at: np.ndarray, ids: np.ndarray, rows: np.ndarray, parts: int, bits: int, least: int, most: int) -> Iterator[pa.RecordBatch]:
     """The chunks of some rows by digest; of those that are equal here only the first goes on, the others are marked at once."""
     got = []
     for i, j in C.slices(at):
@@ -71,25 +71,25 @@ def _bucketed_chunks(data: np.ndarray, at: np.ndarray, ids: np.ndarray, parts: i
         view, digest, lo = memoryview(data[at[i] : at[j]]), xxhash.xxh3_128_digest, int(at[i])
         d = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip((s - lo).tolist(), (e - lo).tolist(), strict=True)]), "<u8").reshape(-1, 2)
         row = np.searchsorted(at, s, "right") - 1
-        got.append((d[:, 0], d[:, 1].astype("<u4"), ids[row], s - at[row], e - s))
-    c1, c2, doc, s, n = (np.concatenate([x[k] for x in got]) for k in range(5))
+        got.append((d[:, 0], d[:, 1].astype("<u4"), ids[row], rows[row], s - at[row], e - s))
+    c1, c2, doc, row, s, n = (np.concatenate([x[k] for x in got]) for k in range(6))
     order = np.argsort(c1, kind="stable")
     same = c1[order][1:] == c1[order][:-1]
     twice = np.zeros(len(order), bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
     t = np.flatnonzero(twice)
-    first, after = later([c1[t], c2[t]], doc[t], s[t])
+    first, after, _ = later([c1[t], c2[t]], doc[t], row[t], s[t])
     gone = t[after]
-    yield from _marks(parts, parts, doc[gone], s[gone], n[gone])
+    yield from _marks(parts, parts, doc[gone], row[gone], s[gone], n[gone])
     keep = np.ones(len(twice), bool)
     keep[t[~first]] = False
-    c1, c2, doc, s, n = (x[keep] for x in (c1, c2, doc, s, n))
-    yield from C.bucketed((c1 % np.uint64(parts)).astype(np.int64), {"c1": c1, "c2": c2, "doc_lo": (doc & 0xFFFFFFFF).astype("<u4"), "doc_hi": (doc >> 32).astype("<i4"), "s_lo": (s & 0xFFFF).astype("<u2"), "s_hi": (s >> 16).astype("<u2"), "n": n.astype("<u2")})
+    c1, c2, doc, row, s, n = (x[keep] for x in (c1, c2, doc, row, s, n))
+    yield from C.bucketed((c1 % np.uint64(parts)).astype(np.int64), {"c1": c1, "c2": c2, "doc_lo": (doc & 0xFFFFFFFF).astype("<u4"), "doc_hi": (doc >> 32).astype("<i4"), "row": row, "s_lo": (s & 0xFFFF).astype("<u2"), "s_hi": (s >> 16).astype("<u2"), "n": n.astype("<u2")})
 
 
-def _marks(parts: int, base: int, doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _marks(parts: int, base: int, doc: np.ndarray, row: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     zero = np.zeros(len(doc), np.uint8)
-    yield from C.bucketed(base + doc % parts, {k: v.astype(t) for (k, t), v in zip(MARK.items(), (doc, s, n, zero, zero), strict=True)})
+    yield from C.bucketed(base + (doc ^ row) % parts, {k: v.astype(t) for (k, t), v in zip(MARK.items(), (doc, row, s, n, zero, zero), strict=True)})
 
 
 def _seen(table: pa.Table, parts: int) -> pa.Table:
@@ -98,18 +98,19 @@ def _seen(table: pa.Table, parts: int) -> pa.Table:
         return _table([C.frames([(bucket - parts, C.unpack(blobs, MARK))])])
     r = C.unpack(blobs, ROW)
     doc, s = (r["doc_hi"].astype(np.int64) << 32) | r["doc_lo"].astype(np.int64), (r["s_hi"].astype(np.int64) << 16) | r["s_lo"].astype(np.int64)
-    _, after = later([r["c1"], r["c2"]], doc, s)
-    return _table(_marks(parts, 0, doc[after], s[after], r["n"][after]))
+    _, after, _ = later([r["c1"], r["c2"]], doc, r["row"], s)
+    return _table(_marks(parts, 0, doc[after], r["row"][after], s[after], r["n"][after]))
 
 
 def _cleaned(texts: pa.Table, marks: pa.Table, least_run: int, digests: bool, carry: bool) -> pa.Table:
     schema, finish = (DIGEST, _digest) if digests else (FULL, _full)
     m = C.unpack(marks.column("blob").to_pylist(), MARK)
-    order = np.lexsort((m["s"], m["doc"]))
-    doc, s, e = m["doc"][order], m["s"][order].astype(np.int64), (m["s"].astype(np.int64) + m["n"])[order]
+    which, of = rows_of(texts, m)
+    order = np.lexsort((m["s"], of))
+    of, s, e = of[order], m["s"][order].astype(np.int64), (m["s"].astype(np.int64) + m["n"])[order]
     data, at = C.binary(texts.column("text")) if texts.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
     ids = texts.column("doc_id").to_numpy() if texts.num_rows else np.zeros(0, np.int64)
-    lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
+    lo, hi = np.searchsorted(of, which), np.searchsorted(of, which, "right")
     rows = []
     for i in range(texts.num_rows):
         a, b = merge(s[lo[i] : hi[i]], e[lo[i] : hi[i]])
@@ -126,17 +127,18 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     remaining bytes, whole UTF-8 characters); with digests, kept_sha256 in place of the last three. Chunks have about
     2**bits + least bytes, so a repeated passage loses all but its ends, of about that size each; least_run leaves
     short common phrases and lines alone. Each task keeps one of each digest before the shuffle, so a chunk that
-    a third of all documents share costs one row a task. Null text is empty. Rows of one doc_id don't count against
-    each other; a null doc_id counts as the smallest id and comes back as null. carry: columns of docs that come along
+    a third of all documents share costs one row a task. Null text is empty. Rows of one doc_id and text don't count
+    against each other, rows of one doc_id with different texts are documents of their own; a null doc_id counts as the smallest id and comes back as null. carry: columns of docs that come along
     in a struct `rest`, so that no join is needed to put them back.
     """
     none = -(1 << 63) + 1
     rest = [F.struct(*carry).alias("rest")] if carry else []
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
+    rows = numbered(rows)
     parts = prime(C.parts_for(rows, "text", part_mb))
-    texts = rows.withColumn("bucket", F.pmod("doc_id", F.lit(parts)).cast("int"))
+    texts = rows.withColumn("bucket", F.pmod(F.col("doc_id").bitwiseXOR(F.col("row")), F.lit(parts)).cast("int"))
     by = lambda df: df.groupBy("bucket")
-    marks = by(rows.select("doc_id", "text").mapInArrow(C.mapped(_cut, parts, bits, least, most), C.BLOBS)).applyInArrow(C.grouped(_seen, parts), C.BLOBS)
+    marks = by(rows.select("doc_id", "row", "text").mapInArrow(C.mapped(_cut, parts, bits, least, most), C.BLOBS)).applyInArrow(C.grouped(_seen, parts), C.BLOBS)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "starts array<long>, ends array<long>, kept binary")
     ddl += f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else ""
     out = by(texts).cogroup(by(marks)).applyInArrow(C.cogrouped(_cleaned, least_run, digests, bool(carry)), ddl)

@@ -3,9 +3,9 @@
 Every string of `length` bytes holds a minimizer (the k-gram of least hash), so equal strings meet under an equal
 k-gram, at an equal offset. Three passes, all dealt out by Spark:
 
-1. Each task cuts its texts into runs of window starts that share a minimizer. Runs with equal bytes (128-bit
-   polynomial hash of the run's whole context) keep the first one only, within the task before the shuffle and then
-   by k-gram bucket. What remains under a k-gram are contexts that differ.
+1. Each task cuts its texts into runs of window starts that share a minimizer. Of runs with equal bytes only the first
+   goes on: in the task by hash and then byte for byte, between tasks by k-gram bucket and 128 bits of hashes. What
+   remains under a k-gram are contexts that differ.
 2. Only those fetch their bytes. Each bucket sorts the suffixes (and reversed prefixes) at the k-gram: a mergesort
    whose comparisons find the common extension by binary search over prefix polynomial hashes; the order and all
    common lengths are then verified on the bytes, and re-sorted by bytes should a hash have collided. A window is
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from . import common as C
 
 U64 = np.uint64
-RUN = {"key": "<u4", "c1": "<u8", "c2": "<u4", "doc_lo": "<u4", "doc_hi": "<i4", "s_lo": "<u2", "s_hi": "<u2", "n": "u1", "p": "u1"}
-MARK = {"doc": "<i8", "s": "<u4", "n": "<u4", "p": "u1", "kind": "u1"}
-ITEM = {"key": "<u8", "doc": "<i8", "s": "<u4", "n": "u1", "p": "u1"}
+RUN = {"key": "<u4", "c1": "<u8", "c2": "<u4", "doc_lo": "<u4", "doc_hi": "<i4", "row": "<i8", "s_lo": "<u2", "s_hi": "<u2", "n": "u1", "p": "u1"}
+MARK = {"doc": "<i8", "row": "<i8", "s": "<u4", "n": "<u4", "p": "u1", "kind": "u1"}
+ITEM = {"key": "<u8", "doc": "<i8", "row": "<i8", "s": "<u4", "n": "u1", "p": "u1"}
 COVERED, ASKED, HOT = 0, 1, 2
 #: A k-gram with more differing contexts than this is split by the strings that neighbouring windows share.
 MANY, SUB = 64, 8
+#: Longer texts are cut into runs piece by piece.
+PIECE = 1 << 20
 
 
 def prime(n: int) -> int:
@@ -73,35 +75,71 @@ def runs(data: np.ndarray, at: np.ndarray, length: int) -> dict[str, np.ndarray]
     return {"row": np.searchsorted(at, lo, "right") - 1, "s": lo, "n": hi - lo + 1, "p": p - lo, "key": grams[p], "c1": C.mix(C.POLY.of(h, lo, hi + length) + size), "c2": C.mix(C.POLY2.of(h2, lo, hi + length) + size)}
 
 
-def later(keys: list[np.ndarray], doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of items with equal keys: (first in its class, stands later than the first). Items at one (doc, s) are the same and neither is later."""
-    order = np.lexsort((s, doc, *keys[::-1]))
+def later(keys: list[np.ndarray], doc: np.ndarray, row: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of items with equal keys: (first in its class, stands later than the first, which the first is). Items at one (doc, row, s) are the same and neither is later."""
+    order = np.lexsort((s, row, doc, *keys[::-1]))
     new = np.ones(len(order), bool)
     for k in keys:
         new[1:] &= k[order][1:] == k[order][:-1]
     new[1:] = ~new[1:]
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    first, after = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    head = np.empty(len(order), np.int64)
+    head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    first = np.zeros(len(order), bool)
     first[order[new]] = True
-    after[order] = (doc[head] != doc[order]) | (s[head] != s[order])
-    return first, after
+    return first, (doc[head] != doc) | (row[head] != row) | (s[head] != s), head
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + size] and data[b:b + size] are equal."""
+    out, ends = np.ones(len(a), bool), np.concatenate([[0], np.cumsum(size)])
+    for i, j in C.slices(ends):
+        n = size[i:j]
+        differ = data[_ranges(a[i:j], n)] != data[_ranges(b[i:j], n)]
+        out[i:j] = np.add.reduceat(differ, ends[i:j] - ends[i]) == 0
+    return out
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with `row`: 0, but for ids with several texts a hash of the text, so that each of these is a document of its own. Only ids and hashes are shuffled to find them."""
+    h = F.xxhash64("text")
+    several = C.materialize(rows.groupBy("doc_id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a != b").select("doc_id", F.lit(True).alias("several")))
+    zero = F.lit(0).cast("long")
+    if not several.take(1):
+        return rows.withColumn("row", zero)
+    return rows.join(C.small(several), "doc_id", "left").withColumn("row", F.when(F.col("several"), h).otherwise(zero)).drop("several")
 
 
 def _marks(out_of: int, base: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     cols = {k: columns[k].astype(t) for k, t in MARK.items()}
-    yield from C.bucketed(base + cols["doc"] % out_of, cols)
+    yield from C.bucketed(base + (cols["doc"] ^ cols["row"]) % out_of, cols)
+
+
+def rows_of(texts: pa.Table, m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for the texts' and the marks' (doc_id, row), equal where those are."""
+    n = texts.num_rows
+    pair = np.empty(n + len(m["doc"]), [("doc", "<i8"), ("row", "<i8")])
+    pair["doc"], pair["row"] = (np.concatenate([texts.column(t).to_numpy() if n else np.zeros(0, np.int64), m[c]]) for t, c in (("doc_id", "doc"), ("row", "row")))
+    which = np.unique(pair, return_inverse=True)[1]
+    return which[:n], which[n:]
+
+
+def _cut_pieces(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[dict[str, np.ndarray]]:
+    """runs() of all rows, slice by slice; s is the start in data. A long row is cut where only runs end."""
+    for i, j in C.slices(at, PIECE):
+        for lo in range(int(at[i]), int(at[j]), PIECE) if j == i + 1 else [int(at[i])]:
+            hi = min(lo + PIECE + length - 1, int(at[j])) if j == i + 1 else int(at[j])
+            r = runs(data[lo:hi], at[i : j + 1] - lo if j > i + 1 else np.array([0, hi - lo]), length)
+            yield r | {"row": r["row"] + i, "s": r["s"] + lo}
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, parts: int, many: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = C.binary(batch.column("text"))
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, numbers = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "row"))
         got = []
-        for i, j in C.slices(at):
-            r = runs(data[at[i] : at[j]], at[i : j + 1] - at[i], length)
-            r["doc"] = ids[i + r["row"]]
-            r["s"] = r["s"] - (at[i + r["row"]] - at[i])
-            got.append({k: r[k] for k in ("doc", "s", "n", "p", "key", "c1", "c2")})
+        for r in _cut_pieces(data, at, length):
+            k = r["row"]
+            got.append({"doc": ids[k], "row": numbers[k], "from": r["s"], "s": r["s"] - at[k]} | {c: r[c] for c in ("n", "p", "key", "c1", "c2")})
         if not got:
             continue
         r = {k: np.concatenate([x[k] for x in got]) for k in got[0]}
@@ -110,9 +148,14 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, parts: int, many: int)
         twice = np.zeros(len(order), bool)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
         t = np.flatnonzero(twice)
-        first, after = later([r["key"][t], r["c1"][t], r["c2"][t]], r["doc"][t], r["s"][t])
-        gone = t[after]
-        yield from _marks(parts, parts, doc=r["doc"][gone], s=r["s"][gone], n=r["n"][gone], p=r["p"][gone], kind=np.zeros(len(gone)))
+        first, after, head = later([r[c][t] for c in ("key", "c1", "c2")], r["doc"][t], r["row"][t], r["s"][t])
+        after = np.flatnonzero(after)
+        gone, of = t[after], t[head[after]]
+        equal = same_bytes(data, r["from"][gone], r["from"][of], r["n"][gone] - 1 + length)
+        r["c2"][gone[~equal]] ^= U64(1)  # a hash collided: the second pass will have the bytes of both
+        first[after[~equal]] = True
+        gone = gone[equal]
+        yield from _marks(parts, parts, doc=r["doc"][gone], row=r["row"][gone], s=r["s"][gone], n=r["n"][gone], p=r["p"][gone], kind=np.zeros(len(gone)))
         keep = np.ones(len(twice), bool)
         keep[t[~first]] = False
         r = {k: v[keep] for k, v in r.items()}
@@ -122,9 +165,9 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, parts: int, many: int)
         nth = np.empty(len(order), np.int64)
         nth[order] = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
         over = nth >= many
-        yield from _marks(parts, parts, doc=r["doc"][over], s=r["s"][over], n=r["n"][over], p=r["p"][over], kind=np.full(int(over.sum()), HOT))
+        yield from _marks(parts, parts, doc=r["doc"][over], row=r["row"][over], s=r["s"][over], n=r["n"][over], p=r["p"][over], kind=np.full(int(over.sum()), HOT))
         r = {k: v[~over] for k, v in r.items()}
-        yield from C.bucketed((r["key"] % U64(parts)).astype(np.int64), {"key": (r["key"] >> U64(32)).astype("<u4"), "c1": r["c1"], "c2": r["c2"].astype("<u4"), "doc_lo": (r["doc"] & 0xFFFFFFFF).astype("<u4"), "doc_hi": (r["doc"] >> 32).astype("<i4"), "s_lo": (r["s"] & 0xFFFF).astype("<u2"), "s_hi": (r["s"] >> 16).astype("<u2"), "n": r["n"].astype("u1"), "p": r["p"].astype("u1")})
+        yield from C.bucketed((r["key"] % U64(parts)).astype(np.int64), {"key": (r["key"] >> U64(32)).astype("<u4"), "c1": r["c1"], "c2": r["c2"].astype("<u4"), "doc_lo": (r["doc"] & 0xFFFFFFFF).astype("<u4"), "doc_hi": (r["doc"] >> 32).astype("<i4"), "row": r["row"], "s_lo": (r["s"] & 0xFFFF).astype("<u2"), "s_hi": (r["s"] >> 16).astype("<u2"), "n": r["n"].astype("u1"), "p": r["p"].astype("u1")})
 
 
 def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table:
@@ -144,7 +187,7 @@ def _classes(table: pa.Table, parts: int, many: int) -> pa.Table:
     twice[order[1:][same]] = twice[order[:-1][same]] = True
     r = {k: v[twice] for k, v in r.items()}
     doc, s = (r["doc_hi"].astype(np.int64) << 32) | r["doc_lo"].astype(np.int64), (r["s_hi"].astype(np.int64) << 16) | r["s_lo"].astype(np.int64)
-    first, after = later([r["key"], r["c1"], r["c2"]], doc, s)
+    first, after, _ = later([r["key"], r["c1"], r["c2"]], doc, r["row"], s)
     key, f = r["key"], np.flatnonzero(first)
     _, inverse, count = np.unique(key[f], return_inverse=True, return_counts=True)
     count = count[inverse] if len(f) else np.zeros(0, np.int64)
@@ -152,7 +195,7 @@ def _classes(table: pa.Table, parts: int, many: int) -> pa.Table:
     kind = np.where(count[count > 1] >= many, HOT, ASKED)  # a bucket sees that many of a k-gram if any task had more
     i = np.concatenate([np.flatnonzero(after), ask])
     kinds = np.concatenate([np.zeros(int(after.sum()), np.int64), kind])
-    return _table(_marks(parts, 0, doc=doc[i], s=s[i], n=r["n"][i], p=r["p"][i], kind=kinds))
+    return _table(_marks(parts, 0, doc=doc[i], row=r["row"][i], s=s[i], n=r["n"][i], p=r["p"][i], kind=kinds))
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -170,10 +213,9 @@ def _fetch(texts: pa.Table, marks: pa.Table, length: int, parts: int) -> pa.Tabl
     m = {k: v[~done] for k, v in m.items()}
     if len(m["doc"]) and texts.num_rows:
         data, at = C.binary(texts.column("text"))
-        ids = texts.column("doc_id").to_numpy()
+        ids, asked = rows_of(texts, m)
         order = np.argsort(ids, kind="stable")
-        row = order[np.searchsorted(ids[order], m["doc"])]
-        m["from"] = at[row] + m["s"]
+        m["from"] = at[order[np.searchsorted(ids[order], asked)]] + m["s"]
         hot = np.flatnonzero(m["kind"] == HOT)
         cold = {k: v[m["kind"] != HOT] for k, v in m.items()}
         k = max(8, length // 4)
@@ -191,8 +233,12 @@ def _fetch(texts: pa.Table, marks: pa.Table, length: int, parts: int) -> pa.Tabl
                 key = C.mix(C.POLY.of(h, core, core + length - SUB + 1) + x["q"].astype(np.uint64))
                 size = x["n"] - 1 + length
                 c1 = C.mix(C.POLY.of(h, a, a + size) + size.astype(np.uint64))
-                first, after = later([key, c1], x["doc"], x["s"])
-                out += _marks(parts, parts, **{c: x[c][after] for c in MARK})
+                first, after, head = later([key, c1], x["doc"], x["row"], x["s"])
+                gone = np.flatnonzero(after)
+                equal = same_bytes(seen, a[gone], a[head[gone]], size[gone])
+                first[gone[~equal]] = True  # a hash collided: the second pass compares the bytes
+                gone = gone[equal]
+                out += _marks(parts, parts, **{c: x[c][gone] for c in MARK})
                 x, key, a = {c: v[first] for c, v in x.items()}, key[first], a[first]
             else:
                 key = C.mix(C.POLY.of(h, a + x["p"], a + x["p"] + k))
@@ -305,8 +351,8 @@ def _repeats(table: pa.Table, length: int, parts: int) -> pa.Table:
     text = np.concatenate([np.frombuffer(b, np.uint8)[8 + width * int(np.frombuffer(b, np.int64, 1)[0]) :] for b in blobs])
     size = x["n"].astype(np.int64) - 1 + length
     begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    order = np.lexsort((x["s"].astype(np.int64) + x["p"], x["doc"], x["key"]))
-    key, doc, s, n, p = (x[c][order].astype(np.int64 if c != "key" else np.uint64) for c in ("key", "doc", "s", "n", "p"))
+    order = np.lexsort((x["s"].astype(np.int64) + x["p"], x["row"], x["doc"], x["key"]))
+    key, doc, row, s, n, p = (x[c][order].astype(np.int64 if c != "key" else np.uint64) for c in ("key", "doc", "row", "s", "n", "p"))
     begin, size = begin[order], size[order]
     group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     ranks = []
@@ -328,17 +374,17 @@ def _repeats(table: pa.Table, length: int, parts: int) -> pa.Table:
         head = own[by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]]
         me = own[by]
         start = s + p - left
-        hit = (doc[head] != doc[me]) | (start[head] != start[me])
-        out.append((doc[me[hit]], start[me[hit]]))
+        hit = (doc[head] != doc[me]) | (row[head] != row[me]) | (start[head] != start[me])
+        out.append((doc[me[hit]], row[me[hit]], start[me[hit]]))
     if not out:
         return _table([])
-    doc, start = (np.concatenate([o[i] for o in out]) for i in (0, 1))
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(start) > 1)])) if len(doc) else np.zeros(0, np.int64)
+    doc, row, start = (np.concatenate([o[i] for o in out]) for i in range(3))
+    order = np.lexsort((start, row, doc))
+    doc, row, start = doc[order], row[order], start[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (np.diff(start) > 1)])) if len(doc) else np.zeros(0, np.int64)
     end = np.append(new[1:], len(doc)) - 1
     n = start[end] - start[new] + 1 if len(doc) else start
-    return _table(_marks(parts, 0, doc=doc[new], s=start[new], n=n, p=np.zeros(len(new)), kind=np.zeros(len(new))))
+    return _table(_marks(parts, 0, doc=doc[new], row=row[new], s=start[new], n=n, p=np.zeros(len(new)), kind=np.zeros(len(new))))
 
 
 def merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -353,11 +399,11 @@ def merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _cleaned(texts: pa.Table, marks: pa.Table, length: int, finish: Callable[[bytes, list[tuple[int, int]]], tuple], schema: pa.Schema) -> pa.Table:
     m = C.unpack(marks.column("blob").to_pylist(), MARK)
-    order = np.argsort(m["doc"], kind="stable")
-    doc, s, e = m["doc"][order], m["s"][order].astype(np.int64), (m["s"].astype(np.int64) + m["n"] - 1 + length)[order]
+    ids, of = rows_of(texts, m)
+    order = np.argsort(of, kind="stable")
+    of, s, e = of[order], m["s"][order].astype(np.int64), (m["s"].astype(np.int64) + m["n"] - 1 + length)[order]
     data, at = C.binary(texts.column("text")) if texts.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    ids = texts.column("doc_id").to_numpy() if texts.num_rows else np.zeros(0, np.int64)
-    lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
+    lo, hi = np.searchsorted(of, ids), np.searchsorted(of, ids, "right")
     rows = []
     for i in range(texts.num_rows):
         a, b = merge(s[lo[i] : hi[i]], e[lo[i] : hi[i]])
@@ -390,17 +436,18 @@ def exact_substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     One row per row of docs: doc_id, n_bytes, n_removed, n_spans, starts and ends of the removed runs, kept (the
     remaining bytes); with digests, kept_sha256 in place of the last three. Overlaps count, strings are judged on the
-    input, matches never cross documents. Null text is empty. Rows of one doc_id should be copies of one document and
-    then don't count against each other. A null doc_id counts as the smallest id there is and comes back as null.
-    length must be from 32 to 255.
+    input, matches never cross documents. Null text is empty. Rows of one doc_id and text are one document and don't
+    count against each other; rows of one doc_id with different texts are documents of their own, in the order of a hash
+    of their texts. A null doc_id counts as the smallest id there is and comes back as null. Very long texts are cut up
+    piece by piece; other columns don't matter. length must be from 32 to 255.
     """
     if not 32 <= length <= 255:
         raise ValueError("length must be from 32 to 255")
     none = -(1 << 63) + 1
-    rows = C.text_rows(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(none)))
+    rows = numbered(C.text_rows(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(none))))
     parts = prime(C.parts_for(rows, "text", part_mb))
     finish, schema = (_digest, DIGEST) if digests else (_full, FULL)
-    texts = rows.select(F.pmod("doc_id", F.lit(parts)).cast("int").alias("bucket"), "doc_id", "text")
+    texts = rows.select(F.pmod(F.col("doc_id").bitwiseXOR(F.col("row")), F.lit(parts)).cast("int").alias("bucket"), "doc_id", "row", "text")
     by = lambda df: df.groupBy("bucket")
     marks = by(rows.mapInArrow(C.mapped(_cut, length, parts, many), C.BLOBS)).applyInArrow(C.grouped(_classes, parts, many), C.BLOBS)
     asked = by(texts).cogroup(by(marks)).applyInArrow(C.cogrouped(_fetch, length, parts), C.BLOBS)

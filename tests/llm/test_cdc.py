@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from gleanery.llm.cdc import GEAR, chunk_dedup, chunks, gear
 from tests_llm_corpus import prose
@@ -74,3 +75,13 @@ def test_repeated_rows_nulls_and_empty(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in chunk_dedup(df, digests=True).collect())
     assert got == [(0, 0), (1, 0), (1, 0), (2, len(t.encode()))]
     assert chunk_dedup(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    w, t = prose(1, 30), prose(2, 90)
+    texts = [(1, t), (3, w + t), (3, prose(3, 120)), (3, "x" * 30), (None, prose(4, 50)), (None, w)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    order = [r.text for r in df.orderBy("doc_id", F.xxhash64("text")).collect()]
+    want = brute(list(enumerate(order)), 96)
+    got = sorted(bytes(r.kept) for r in chunk_dedup(df).collect())
+    assert got == sorted(want.values()) and len(b"".join(got)) < len("".join(order).encode()) - 300
