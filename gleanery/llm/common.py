@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -55,9 +55,12 @@ def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """df to be broadcast if its counted rows (of a few longs each) are few; else it is joined by shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = 1_000_000, size: Column | None = None, most_mb: int = 32) -> DataFrame:
+    """df to be broadcast if its counted rows (of a few longs each) are few and, where a row's size is given, their sum is small; else it is joined by shuffle."""
+    few = df.limit(most + 1).count() <= most
+    if few and size is not None:
+        few = (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most_mb << 20
+    return F.broadcast(df) if few else df
 
 
 def parts_for(df: DataFrame, column: str, mb: int = 16) -> int:

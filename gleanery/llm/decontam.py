@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Token positions that each seed compares; those between are ignored.
-MASKS = ((0, 1, 2, 4, 6), (0, 2, 3, 6, 7), (0, 1, 4, 5, 7))
+#: Token positions that each seed compares; those between are ignored. Any window of 8 to 13 tokens with 80 % equal ones
+#: holds one of these unharmed (counted over all patterns of substitutions).
+MASKS = ((0, 1, 2, 4, 6), (0, 2, 3, 6, 7), (0, 1, 4, 5, 7), (1, 3, 4, 6, 7))
 SPAN = 8
+#: Items of fewer tokens than a mask spans are looked for as a whole, if they have so many characters.
+SHORT_CHARS = 24
+#: Seeds that are broadcast at most; words of the bitmap that stands before the shuffle of more.
+MANY, WORDS = 1_000_000, 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -17,35 +22,54 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(df: DataFrame, keys: list[str]) -> DataFrame:
+def _seeds(df: DataFrame, keys: list[str], masks: list[tuple[int, ...]], span: int) -> DataFrame:
     """(keys, pos, seed) of every position and mask; df has `words`."""
     hashed = df.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("wh"))
-    spots = F.when(F.size("wh") >= SPAN, F.sequence(F.lit(0), F.size("wh") - SPAN)).otherwise(F.array().cast("array<int>"))
-    at = lambda k, mask: lambda i: F.xxhash64(F.lit(k), *(F.get("wh", i + o) for o in mask))
-    seeds = [F.transform(spots, at(k, mask)) for k, mask in enumerate(MASKS)]
+    spots = F.when(F.size("wh") >= span, F.sequence(F.lit(0), F.size("wh") - span)).otherwise(F.array().cast("array<int>"))
+    at = lambda k, mask: lambda i: F.xxhash64(F.lit(k + 100 * (span < SPAN) * span), *(F.get("wh", i + o) for o in mask))
+    seeds = [F.transform(spots, at(k, mask)) for k, mask in enumerate(masks)]
     # the seeds of all masks in one array of longs, so that one pass over the texts and one posexplode do
     all_ = hashed.select(*keys, F.size(spots).alias("n"), F.concat(*seeds).alias("seeds"))
     # the outer form, as the plain one makes Catalyst infer a filter that evaluates the arrays once more for every element
     return all_.select(*keys, "n", F.posexplode_outer("seeds").alias("k", "seed")).where("seed is not null").select(*keys, (F.col("k") % F.col("n")).alias("pos"), "seed")
 
 
+def _hits(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """found with the items of its seeds. Many seeds are joined by shuffle, but only of what passes a bitmap of them (one hash, 64 bits a word), which is broadcast: at most a million words, 16 bytes each."""
+    if seeds.limit(MANY + 1).count() <= MANY:
+        return found.join(F.broadcast(seeds), "seed")
+    slot = F.pmod(F.xxhash64("seed"), F.lit(64 * WORDS))
+    word, bit = F.floor(slot / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")
+    bitmap = C.materialize(seeds.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    passed = found.withColumns({"word": word, "bit": bit}).join(F.broadcast(bitmap), "word").where(F.col("bit").bitwiseAND(F.col("bits")) != 0)
+    return passed.drop("word", "bit", "bits").join(seeds, "seed")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, percent: int = 80) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, n_match and n_tokens (equal tokens and length of the best aligned window), doc_start (token of the document where the item's first token falls; may be negative).
 
     Texts are lower-cased runs of letters and digits. Every position of every text is hashed under each mask; equal
     hashes of a document and an item put both on one diagonal. Around it, every window of `window` tokens of the item
     (the whole item if shorter) is compared token by token, and `percent` of them must be equal, so substituted words
-    do no harm. Items of fewer than 8 tokens can't be told from chance and match nothing. Null texts are empty; rows of
-    one doc_id are one document; null ids match nothing.
+    do no harm. Items of fewer than 8 tokens must stand whole in a document, and match nothing if they have fewer than
+    24 letters and digits, which chance may bring together. Null texts are empty; rows of one doc_id are one document;
+    null ids match nothing; very long texts are rows like others; other columns don't matter.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     split = lambda df: df.select("doc_id", tokens(F.col("text")).alias("words"))
-    items = C.materialize(benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col(item_text).cast("string")).alias("item")).where(F.col("item_id").isNotNull() & (F.size("item") >= SPAN)).distinct())
-    seeds = C.materialize(_seeds(items.withColumnRenamed("item", "words"), ["item_id"]).select("seed", "item_id", F.col("pos").alias("at")).distinct())
-    hits = _seeds(split(texts), ["doc_id"]).join(C.small(seeds), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("doc_start")).distinct()
-    hits = C.materialize(hits)
+    letters = F.char_length(F.array_join("item", ""))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col(item_text).cast("string")).alias("item")).where("item_id is not null")
+    items = C.materialize(items.where((F.size("item") >= SPAN) | (letters >= SHORT_CHARS)).distinct())
+    lengths = sorted(r.n for r in items.select(F.size("item").alias("n")).where(F.col("n") < SPAN).distinct().collect())
+    hits = None
+    for masks, span, these in [(MASKS, SPAN, F.size("item") >= SPAN), *(([tuple(range(n))], n, F.size("item") == n) for n in lengths)]:
+        own = items.where(these).withColumnRenamed("item", "words")
+        seeds = C.materialize(_seeds(own, ["item_id"], masks, span).select("seed", "item_id", F.col("pos").alias("at")).distinct())
+        part = _hits(_seeds(split(texts), ["doc_id"], masks, span), seeds).select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("doc_start"))
+        hits = part if hits is None else hits.union(part)
+    hits = C.materialize(hits.distinct())
     near = split(texts.join(C.small(hits.select("doc_id").distinct()), "doc_id", "left_semi"))
-    found = near.join(C.small(hits), "doc_id").join(C.small(items), "item_id")
+    found = near.join(C.small(hits), "doc_id").join(C.small(items, size=F.octet_length(F.array_join("item", " ")) + 16 * F.size("item")), "item_id")
     return _verified(found, window, percent)
 
 

@@ -95,7 +95,10 @@ def _seed_sql(table: str) -> str:
 
 
 OP6 = f"""WITH d AS (SELECT DISTINCT doc_id AS id, {_TOKENS} AS ws FROM documents), q AS (SELECT DISTINCT item_id AS id, {_TOKENS} AS ws FROM benchmark), {_seed_sql("d")}, {_seed_sql("q")},
-h AS (SELECT DISTINCT d_s.id AS doc_id, q_s.id AS item_id, d_s.pos - q_s.pos AS diag FROM d_s JOIN q_s USING (seed)),
+q_short AS (SELECT id, ws, len(ws) AS n, array_to_string(ws, ' ') AS seed FROM q WHERE len(ws) < {decontam.SPAN} AND length(array_to_string(ws, '')) >= {decontam.SHORT_CHARS}),
+d_short AS (SELECT id, n, pos, array_to_string(ws[pos + 1:pos + n], ' ') AS seed FROM (SELECT id, ws, n, unnest(generate_series(0, len(ws) - n)) AS pos FROM d, (SELECT DISTINCT n FROM q_short) WHERE len(ws) >= n)),
+h AS (SELECT DISTINCT d_s.id AS doc_id, q_s.id AS item_id, d_s.pos - q_s.pos AS diag FROM d_s JOIN q_s USING (seed)
+UNION SELECT d_short.id, q_short.id, pos FROM d_short JOIN q_short USING (n, seed)),
 m AS (SELECT doc_id, item_id, diag, least(len(q.ws), 13) AS n, list_transform(generate_series(1, len(q.ws)), lambda i: CASE WHEN diag + i >= 1 AND d.ws[diag + i] = q.ws[i] THEN 1 ELSE 0 END) AS eq FROM h JOIN d ON d.id = doc_id JOIN q ON q.id = item_id),
 b AS (SELECT doc_id, item_id, diag, n, list_max(list_transform(generate_series(1, len(eq) - n + 1), lambda i: list_sum(list_slice(eq, i, i + n - 1)))) AS best FROM m)
 SELECT doc_id, item_id, best::BIGINT AS n_match, n::BIGINT AS n_tokens, diag AS doc_start FROM b WHERE best * 100 >= n * 80 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best DESC, n DESC, diag) = 1"""

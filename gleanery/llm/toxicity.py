@@ -1,4 +1,4 @@
-"""Toxicity by compression distance: one zstandard dictionary of toxic text, one of ordinary text, and the lengths of short windows under each."""
+"""Toxicity by compression distance: one zstandard dictionary trained on toxic text, one on ordinary text, and the lengths of short windows under each."""
 
 from __future__ import annotations
 
@@ -36,30 +36,43 @@ def _grams(ws: Iterable[bytes]) -> set[bytes]:
     return {x[i : i + GRAM] for x in (b" " + w + b" " for w in ws) for i in range(len(x) - GRAM + 1)}
 
 
-def dictionary(own: list[set[bytes]], own_grams: Counter, other_grams: Counter, n_other: int, share: float, ratio: float) -> bytes:
-    """Raw zstandard content of one class: the longest pieces of its words of which every 5-gram stands in at least `share` of its texts and `ratio` times as often as in the other class. The most frequent piece comes last, where matches are cheapest."""
+def _pieces(word: bytes, keys: set[bytes]) -> list[bytes]:
+    """The longest pieces of a word of which every gram is a key."""
+    w, i, out = b" " + word + b" ", 0, []
+    while i <= len(w) - GRAM:
+        j = i
+        while j <= len(w) - GRAM and w[j : j + GRAM] in keys:
+            j += 1
+        if j > i:
+            out.append(w[i : j + GRAM - 1])
+        i = max(j, i + 1)
+    return out
+
+
+def dictionary(own: list[list[bytes]], own_grams: Counter, other_grams: Counter, n_other: int, share: float, ratio: float) -> bytes:
+    """zstandard dictionary of one class, from the words of its texts in order: windows are reduced to the pieces of words of which every 5-gram stands in at least `share` of its texts and `ratio` times as often as in the other class, and the library's trainer makes a dictionary of half the size from them. Pieces that it left out follow; the most frequent comes last, where matches are cheapest."""
     n = len(own)
     keys = {g for g, k in own_grams.items() if k >= max(5, share * n) and (k + 0.5) / n >= ratio * (other_grams[g] + 0.5) / max(n_other, 1)}
-    found: Counter = Counter()
+    found, samples = Counter(), []
     for ws in own:
-        seen = set()
-        for w in ws:
-            w, i = b" " + w + b" ", 0
-            while i <= len(w) - GRAM:
-                j = i
-                while j <= len(w) - GRAM and w[j : j + GRAM] in keys:
-                    j += 1
-                if j > i:
-                    seen.add(w[i : j + GRAM - 1])
-                i = max(j, i + 1)
-        found.update(seen)
+        per = [_pieces(w, keys) for w in ws]
+        found.update({p for ps in per for p in ps})
+        for i in range(0, len(ws), WORDS):
+            if window := b"".join(p for ps in per[i : i + WORDS] for p in ps):
+                samples.append(window)
+    try:
+        trained = zstandard.train_dictionary(SIZE // 2, samples).as_bytes()
+        # without the header and entropy tables before the content, as they hold no text
+        trained = trained[min((at for p in found if (at := trained.find(p)) >= 0), default=len(trained)) :]
+    except zstandard.ZstdError:  # too few samples for the trainer
+        trained = b""
     pieces: list[bytes] = []
     for p, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if not any(p in q for q in pieces):
+        if p not in trained and not any(p in q for q in pieces):
             pieces.append(p)
-        if sum(map(len, pieces)) > SIZE:
+        if sum(map(len, pieces)) > SIZE - len(trained):
             break
-    body = b"".join(p + bytes([1 + i % 7]) for i, p in enumerate(reversed(pieces)))
+    body = trained + b"".join(p + bytes([1 + i % 7]) for i, p in enumerate(reversed(pieces)))
     return body[-SIZE:].rjust(SIZE, b"\0")
 
 
@@ -99,12 +112,12 @@ def saved(text: str, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCo
 def fit(texts: list[str], labels: list[int], prior: float, share: float = 0.02, ratio: float = 10.0) -> Model:
     """Dictionaries from half the texts, calibration on the other half; prior: the share of toxic texts among all labelled ones."""
     y = np.array(labels)
-    sets = [sorted(set(words(t))) for t in texts]
+    lists = [words(t) for t in texts]
     half = np.arange(len(y)) % 3 != 2
     grams = [Counter(), Counter()]
     for k in np.flatnonzero(half):
-        grams[y[k]].update(_grams(sets[k]))
-    own = [[set(sets[k]) for k in np.flatnonzero(half & (y == c))] for c in (0, 1)]
+        grams[y[k]].update(_grams(set(lists[k])))
+    own = [[lists[k] for k in np.flatnonzero(half & (y == c))] for c in (0, 1)]
     if not own[0] or not own[1]:  # one class only: nothing to tell apart
         return Model(b"\0" * SIZE, b"\0" * SIZE, (0.0, 0.0, 3.0 if len(y) and y.mean() > 0.5 else -3.0))
     model = Model(dictionary(own[1], grams[1], grams[0], len(own[0]), share, ratio), dictionary(own[0], grams[0], grams[1], len(own[1]), share, ratio), (0.0, 0.0, 0.0))
@@ -126,14 +139,19 @@ def fit(texts: list[str], labels: list[int], prior: float, share: float = 0.02,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500, folds: int = 5) -> Model:
-    """A model from at most `sample` labelled texts of each class, taken in the order of a hash of the id; rows whose crc32(doc_id as text) mod `folds` is 0 are held out. Only texts and labels are read."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500, folds: int = 5, sample_mb: int = 32) -> Model:
+    """A model from at most `sample` labelled texts of each class and `sample_mb` MB of both, whole texts in the order of a hash of the id; rows whose crc32(doc_id as text) mod `folds` is 0 are held out. Only texts and labels are read. An id with several labels is toxic if one of them says so, one with several texts counts with the least."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id")
     ids = known.where("y = 1").orderBy(order).limit(sample).union(known.where("y = 0").orderBy(order).limit(sample))
-    got = C.text_rows(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    some = C.materialize(C.text_rows(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")))
+    taken, left = [], sample_mb << 20
+    for r in some.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.n <= left:
+            taken, left = [*taken, r.doc_id], left - r.n
+    got = some.where(F.col("doc_id").isin(taken)).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return fit([r.text for r in got], [r.y for r in got], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
@@ -151,6 +169,6 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row per row of docs: doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted (1 if score >= 0.5).
 
     The whole text is scored in windows of 16 words. Texts without words save nothing and get the lowest score; null
-    text is empty; a null doc_id has a null held_out. The model is two dictionaries of 4 KB and three numbers.
+    text is empty; a null doc_id has a null held_out; rows of one doc_id are scored each; other columns don't matter. The model is two dictionaries of 4 KB and three numbers.
     """
     return C.text_rows(docs, id_col, text_col).mapInArrow(C.mapped(_scored, model, folds), "doc_id long, held_out boolean, score double, predicted int")
