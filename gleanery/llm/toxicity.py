@@ -50,7 +50,7 @@ def _pieces(word: bytes, keys: set[bytes]) -> list[bytes]:
 
 
 def dictionary(own: list[list[bytes]], own_grams: Counter, other_grams: Counter, n_other: int, share: float, ratio: float) -> bytes:
-    """zstandard dictionary of one class, from the words of its texts in order: windows are reduced to the pieces of words of which every 5-gram stands in at least `share` of its texts and `ratio` times as often as in the other class, and the library's trainer makes a dictionary of half the size from them. Pieces that it left out follow; the most frequent comes last, where matches are cheapest."""
+    """zstandard dictionary of one class, from the words of its texts in order: windows are reduced to the pieces of words of which every 5-gram stands in at least `share` of its texts and `ratio` times as often as in the other class, and the library's trainer makes a dictionary of half the size from them. The most frequent pieces follow, the first of them last, where matches are cheapest."""
     n = len(own)
     keys = {g for g, k in own_grams.items() if k >= max(5, share * n) and (k + 0.5) / n >= ratio * (other_grams[g] + 0.5) / max(n_other, 1)}
     found, samples = Counter(), []
@@ -58,17 +58,15 @@ def dictionary(own: list[list[bytes]], own_grams: Counter, other_grams: Counter,
         per = [_pieces(w, keys) for w in ws]
         found.update({p for ps in per for p in ps})
         for i in range(0, len(ws), WORDS):
-            if window := b"".join(p for ps in per[i : i + WORDS] for p in ps):
+            if window := b"".join(p + b"\n" for ps in per[i : i + WORDS] for p in ps):  # what no text has stands between
                 samples.append(window)
     try:
         trained = zstandard.train_dictionary(SIZE // 2, samples).as_bytes()
-        # without the header and entropy tables before the content, as they hold no text
-        trained = trained[min((at for p in found if (at := trained.find(p)) >= 0), default=len(trained)) :]
     except zstandard.ZstdError:  # too few samples for the trainer
         trained = b""
     pieces: list[bytes] = []
     for p, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if p not in trained and not any(p in q for q in pieces):
+        if not any(p in q for q in pieces):
             pieces.append(p)
         if sum(map(len, pieces)) > SIZE - len(trained):
             break
