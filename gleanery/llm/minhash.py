@@ -16,8 +16,6 @@ U64 = np.uint64
 SLOTS, ROWS = 64, 4
 #: Members, and shingles, of a block whose sets are compared with each other in one task.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
-#: Random divisions of a larger group into blocks, before what is still apart is compared with everything.
-DIVISIONS = 3
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,22 +175,57 @@ def _linked(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def _links(blocks: DataFrame, bins: int, percent: int) -> DataFrame:
-    """blocks: (grp, ia, ib, rep, sh)."""
+def _starred(table: pa.Table, percent: int) -> pa.Table:
+    """Links of a bin of stars (grp, ia): every set is compared with that of the star's centre, whose id is grp."""
+    grp, ia, rep = (table.column(c).to_numpy() for c in ("grp", "ia", "rep"))
+    order = np.lexsort((rep, ia, grp))
+    grp, ia, rep = (x[order] for x in (grp, ia, rep))
+    data, at = C.binary(table.column("sh"))
+    a, b = at[:-1][order], at[1:][order]
+    starts = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (ia[1:] != ia[:-1])])) if len(grp) else grp
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)], strict=True):
+        centre = next(k for k in range(lo, hi) if rep[k] == grp[k])
+        core = data[a[centre] : b[centre]].view(np.uint64)
+        others = [k for k in range(lo, hi) if rep[k] != grp[k]]
+        if not others:
+            continue
+        sets = [data[a[k] : b[k]].view(np.uint64) for k in others]
+        size = np.array([len(x) for x in sets])
+        elems = np.concatenate(sets)
+        found = np.minimum(np.searchsorted(core, elems), len(core) - 1)
+        both = np.bincount(np.repeat(np.arange(len(sets)), size), core[found] == elems, len(sets))
+        near = np.array(others)[100 * both >= percent * (size + len(core) - both)]
+        out_a.append(np.full(len(near), grp[centre]))
+        out_b.append(rep[near])
+    return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+
+def _links(blocks: DataFrame, percent: int, compare=_linked) -> DataFrame:
+    """blocks: (grp, ia, ib, rep, n, sh), dealt into bins of about half a million shingles."""
+    blocks = C.materialize(blocks)
+    bins = max(8, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // 500_000))
     bin_ = F.pmod(F.xxhash64("grp", "ia", "ib"), F.lit(bins)).alias("bin")
-    return blocks.select(bin_, "grp", "ia", "ib", "rep", "sh").groupBy("bin").applyInArrow(C.grouped(_linked, percent), "a long, b long")
+    return C.materialize(blocks.select(bin_, "grp", "ia", "ib", "rep", "sh").groupBy("bin").applyInArrow(C.grouped(compare, percent), "a long, b long"))
+
+
+def _blocks_of(df: DataFrame, key: str) -> DataFrame:
+    """(key, g, nb): members of each group and the blocks that they make."""
+    sizes = df.groupBy(key).agg(F.count("*").alias("g"), F.sum("n").alias("gn"))
+    return sizes.select(key, "g", F.ceil(F.greatest(F.col("g") / BLOCK, F.col("gn") / BLOCK_SHINGLES)).alias("nb"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links of Jaccard similarity >= percent / 100), kept (doc_id = component_id).
 
     Equal sets are one class first, so that any number of copies costs one row. Class representatives are banded (16
-    bands of 4 slots: a link of similarity 0.8 is missed with a chance below 3e-4, one of 0.85 below 1e-5). Members of
-    a bucket hang on its smallest member, and union-find over those gives groups of candidates. Within a group every
-    pair is decided on the full sets, in blocks of at most 512 members. A larger group is dealt into random blocks
-    three times; then whatever is not yet in the group's main component is compared, block by block, with all
-    members, so that no link is left out and yet no pair ever becomes a row. Texts without words are linked with
-    nothing; rows of one doc_id are one document; a null doc_id gets a null component_id and is kept.
+    bands of 4 slots: a link of similarity 0.8 is missed with a chance below 3e-4, one of 0.85 below 1e-5). Every member
+    is compared with the smallest of its bucket-mates, on the full sets; union-find over the links gives components.
+    Bucket-mates that are still apart put their components into one group, and within a group every pair of different
+    components is decided on the full sets, in blocks of at most 512 members: in a larger group, whatever is not in its
+    main component is compared, block by block, with all members. So no link is left out and yet no pair ever becomes a
+    row. Texts without words are linked with nothing; rows of one doc_id are one document; a null doc_id gets a null
+    component_id and is kept; other columns don't matter.
     """
     rows = C.text_rows(docs, id_col, text_col)
     sig = C.materialize(signatures(rows, words))
@@ -201,29 +234,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = C.materialize(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")))
     members = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sig").mapInArrow(C.mapped(_bands), "bkey long, rep long")
     firsts = members.groupBy("bkey").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
-    groups = connected(members.join(firsts, "bkey").where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("comp", "grp")
-    groups = C.materialize(groups.join(classes.select("rep", F.col("n_shingles").alias("n")), "rep"))
-    texts = rows.join(C.small(groups.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    mates = C.materialize(members.join(firsts, "bkey").where("rep != first").select("first", "rep").distinct())
+    ids = C.materialize(mates.select("rep").union(mates.select("first")).distinct())
+    texts = rows.join(C.small(ids.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
     sets = texts.mapInArrow(C.mapped(_sets, words), "rep long, sh binary").groupBy("rep").agg(F.first("sh").alias("sh"))
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("g"), F.sum("n").alias("gn"))
-    sizes = sizes.withColumn("nb", F.ceil(F.greatest(F.col("g") / BLOCK, F.col("gn") / BLOCK_SHINGLES)))
-    held = C.materialize(sets.join(groups.join(sizes, "grp").select("rep", "grp", "nb"), "rep"))
-    bins = max(8, -(-(groups.agg(F.sum("n")).first()[0] or 0) // 500_000))
+    sets = C.materialize(sets.withColumn("n", F.octet_length("sh") / 8))
     zero = F.lit(0).cast("long")
-    deals = [F.struct(F.lit(k).alias("ib"), F.pmod(F.xxhash64("rep", F.lit(k)), F.col("nb")).alias("ia")) for k in range(DIVISIONS)]
-    dealt = held.select("grp", "rep", "sh", F.explode(F.when(F.col("nb") > 1, F.array(*deals)).otherwise(F.array(F.struct(F.lit(0).alias("ib"), zero.alias("ia"))))).alias("d"))
-    links = C.materialize(_links(dealt.select("grp", "d.ia", "d.ib", "rep", "sh"), bins, percent))
-    labels = C.materialize(connected(links))
-    large = held.where("nb > 1")
-    if large.take(1):
-        at = large.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        per = at.groupBy("grp", "comp", "nb").agg(F.count("*").alias("c"))
-        main = per.groupBy("grp", "nb").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.sum("c").alias("g"), F.max("c").alias("top")).where("g > top")
-        main = main.select("grp", "main", F.ceil(F.col("nb") * (F.col("g") - F.col("top")) / F.col("g")).alias("nr"))
-        at = at.join(main, "grp")
-        all_ = at.select("grp", F.pmod(F.xxhash64("rep"), "nb").alias("ia"), F.explode(F.sequence(zero, F.col("nr") - 1)).alias("ib"), "rep", "sh")
-        rest = at.where("comp != main").select("grp", F.explode(F.sequence(zero, F.col("nb") - 1)).alias("ia"), F.pmod(F.xxhash64("rep"), "nr").alias("ib"), "rep", "sh")
-        more = C.materialize(_links(all_.union(rest), bins, percent))
+    # stars: each member and the smallest of its mates; a large star is dealt out with its centre in every part
+    star = mates.groupBy("rep").agg(F.min("first").alias("grp"))
+    sizes = _blocks_of(star.join(sets.select("rep", "n"), "rep"), "grp")
+    points = star.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("rep"), "nb").alias("ia"), "rep")
+    centres = sizes.select("grp", F.explode(F.sequence(zero, F.col("nb") - 1)).alias("ia"), F.col("grp").alias("rep"))
+    stars = points.union(centres).join(sets, "rep").select("grp", "ia", zero.alias("ib"), "rep", "n", "sh")
+    labels = C.materialize(connected(_links(stars, percent, _starred)))
+    # mates that are still apart
+    side = lambda c: labels.select(F.col("rep").alias(c), F.col("comp").alias(f"{c}_comp"))
+    apart = mates.join(side("rep"), "rep", "left").join(side("first"), "first", "left")
+    apart = C.materialize(apart.select(F.coalesce("rep_comp", "rep").alias("a"), F.coalesce("first_comp", "first").alias("b")).where("a != b").distinct())
+    if apart.take(1):
+        groups = C.materialize(connected(apart).select(F.col("rep").alias("comp"), F.col("comp").alias("grp")))
+        held = sets.select("rep", "n").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(groups, "comp")
+        held = C.materialize(held.join(_blocks_of(held, "grp"), "grp"))
+        per = held.groupBy("grp", "comp", "nb", "g").agg(F.count("*").alias("c"))
+        main = per.groupBy("grp").agg(F.max(F.struct("c", "comp")).alias("m"), F.first("g").alias("g"), F.first("nb").alias("nb"))
+        main = main.select("grp", F.col("m.comp").alias("main"), F.ceil(F.col("nb") * (F.col("g") - F.col("m.c")) / F.col("g")).alias("nr"))
+        at = held.join(main, "grp")
+        whole = at.where("nb = 1").select("grp", zero.alias("ia"), zero.alias("ib"), "rep")
+        large = at.where("nb > 1")
+        all_ = large.select("grp", F.pmod(F.xxhash64("rep"), "nb").alias("ia"), F.explode(F.sequence(zero, F.col("nr") - 1)).alias("ib"), "rep")
+        rest = large.where("comp != main").select("grp", F.explode(F.sequence(zero, F.col("nb") - 1)).alias("ia"), F.pmod(F.xxhash64("rep"), "nr").alias("ib"), "rep")
+        blocks = whole.union(all_).union(rest).join(sets, "rep").select("grp", "ia", "ib", "rep", "n", "sh")
+        more = _links(blocks, percent)
         if more.take(1):
             labels = C.materialize(connected(more.union(labels.where("rep != comp").select(F.col("comp").alias("a"), F.col("rep").alias("b")))))
     named = classes.join(labels, "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))

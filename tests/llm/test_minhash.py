@@ -73,6 +73,59 @@ def test_large_group_with_stragglers(spark, monkeypatch):
     assert got == want
 
 
+def test_components_by_shuffle(spark, monkeypatch):
+    import gleanery.llm.components as K
+
+    monkeypatch.setattr(K, "FEW", 0)
+    monkeypatch.setattr(K, "HUB", 4)
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(70 + k, 69 + k) for k in range(20)] + [(100, 101 + k) for k in range(30)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    out = {r.rep: r.comp for r in K.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {x: find(x) for x in root}
+
+
+def test_groups_that_percolate(spark, monkeypatch):
+    """Texts that share half of their words collide in many buckets without being links; near copies hide among them."""
+    import gleanery.llm.minhash as M
+
+    monkeypatch.setattr(M, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    common = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(90):
+        own = [f"o{k}_{i}" for i in range(60 if k % 3 else 20)]
+        texts.append(" ".join(common + own))
+        if k % 5 == 0:  # a chain of copies, each linked with the last
+            for _ in range(3):
+                own = list(own)
+                own[rng.integers(len(own))] = f"x{rng.integers(10**6)}"
+                texts.append(" ".join(common + own))
+    rows = [(int(i), texts[k]) for k, i in enumerate(rng.permutation(len(texts)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 3, 85)
+    assert 60 < len({c for _, c in want.values()}) < 120
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, words=3, percent=85).collect()} == want
+
+
+def test_words_are_told_apart(spark):
+    """Two words whose polynomial hashes modulo 2**64 are equal whatever the base."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    out = near_duplicates(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert all(r.kept for r in out)
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in near_duplicates(df).collect())
