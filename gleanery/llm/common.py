@@ -50,9 +50,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, mb: int = 4) -> DataFrame:
+    """df dealt out to all cores if it has less than `mb` MB for each: a small file may be one task otherwise. Larger tables come in tasks enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (mb << 20) else df
+
+
 def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that matter, as (doc_id long, text string); other columns can't clash. Null text is empty."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return spread(df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
 
 
 def small(df: DataFrame, most: int = 1_000_000, size: Column | None = None, most_mb: int = 32) -> DataFrame:

@@ -27,9 +27,9 @@ def connected(links: DataFrame) -> DataFrame:
     """(rep, comp) for every node of links (a, b); comp is the smallest node reachable. Edges are rehung on the smallest neighbour until nothing changes (Kiveris and others, 2014: the number of rounds grows with the logarithm of the edges); each round is written to the shared folder, in place of the last, and no component ever meets in one task."""
     spark = links.sparkSession
 
-    def written(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+    def written(df: DataFrame, few: bool = False) -> tuple[DataFrame, str, tuple]:
         path = shared_dir(spark)
-        df.write.parquet(path)
+        (df.coalesce(4) if few else df).write.parquet(path)  # few edges are 8 MB at most
         edges = spark.read.schema("u long, v long").parquet(path)
         return edges, path, tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -45,7 +45,7 @@ def connected(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         pairs = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
         old = path
-        edges, path, state = written(_with_least(large, low, few).select(pairs.alias("e")).select("e.*").where("u != v").distinct())
+        edges, path, state = written(_with_least(large, low, few).select(pairs.alias("e")).select("e.*").where("u != v").distinct(), few)
         delete(spark, old)
     roots = edges.select(F.col("v").alias("rep"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("rep"), F.col("v").alias("comp")).union(roots)

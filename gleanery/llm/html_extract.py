@@ -462,7 +462,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = rows.withColumn("h", F.xxhash64(host))
+    rows = C.spread(rows.withColumn("h", F.xxhash64(host)))
     sizes = C.materialize(rows.groupBy("h").agg(F.ceil(F.count("*") / group).alias("n")))
     dealt = rows.join(C.small(sizes), "h")
     contents = dealt.select("h", "n", "html").mapInArrow(C.mapped(_contents), "h long, deal long, content long, blocks binary")
@@ -474,9 +474,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     everywhere = lambda df: df.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("deal"), "string", "n", "total")
     if sizes.where("n > 1").take(1):
         # a group says nothing of strings that only one of its contents has; where that could matter, they are counted again
-        asked = C.materialize(found.where(F.col("n") + F.col("groups") - F.col("seen") >= enough))
-        again = contents.groupBy("h", "deal").cogroup(everywhere(asked).groupBy("h", "deal")).applyInArrow(C.cogrouped(_recounted), "h long, string long, n long")
-        found = C.materialize(again.groupBy("h", "string").agg(F.sum("n").alias("n"))).join(totals, "h")
+        most, common = F.col("n") + F.col("groups") - F.col("seen"), F.greatest(F.lit(10), F.ceil(F.col("total") / 2))
+        open_ = ((F.col("n") < enough) & (most >= enough)) | ((F.col("n") < common) & (most >= common))
+        asked = C.materialize(found.where(open_))
+        if asked.take(1):
+            again = contents.groupBy("h", "deal").cogroup(everywhere(asked).groupBy("h", "deal")).applyInArrow(C.cogrouped(_recounted), "h long, string long, n long")
+            again = C.materialize(again.groupBy("h", "string").agg(F.sum("n").alias("n"))).join(totals, "h")
+            found = found.where(~open_).drop("seen").unionByName(again)
     shared = everywhere(found.where(F.col("n") >= enough))
     parsed = dealt.select("h", F.pmod(F.xxhash64("page_id", "url"), F.col("n")).alias("deal"), "page_id", "url", "html").mapInArrow(C.mapped(_parsed), "h long, deal long, page_id long, url string, blocks binary")
     # a group without pages has no rows; one without shared strings has pages only
