@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,3 +90,11 @@ def skip_reason_content(text: Column) -> Column:
 
 def path_prior(path: Column, language: Column) -> Column:
     return F.when(path.rlike(TEST_PATH), TEST_PRIOR).when(language == "Markdown", DOCS_PRIOR).otherwise(1.0)
+
+
+def wants_content(path: str) -> bool:
+    """skip_reason_path() is null, for readers that decide file by file whether to unpack a body."""
+    *dirs, name = path.split("/")
+    base = name.lower()
+    known = base in SPECIAL_FILES or ("." in base and base.rsplit(".", 1)[1] in EXTENSIONS)
+    return known and not any(d in IGNORED_DIRS or (d.startswith(".") and d != ".") for d in dirs) and not any(re.search(p, path) for p in IGNORED_FILES)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import display as D
+from .catalog import mark_public
 
 
 def _now(as_of: str) -> Column:
@@ -35,11 +36,14 @@ def latest_access(access: DataFrame) -> DataFrame:
     return access.groupBy("repo_id", "user_id").agg(F.max("verified_at").alias("verified_at"))
 
 
-def visible_repos(repos: DataFrame, access: DataFrame, answers: DataFrame, as_of: str) -> DataFrame:
+def visible_repos(repos: DataFrame, access: DataFrame, answers: DataFrame, as_of: str, now_public: DataFrame | None = None) -> DataFrame:
     """(repo_id, user_id) of private repos that a user may see; public repos are open to all and come as user_id null.
 
-    A fresh access row is enough. Else the answer decides: yes opens, no closes, unknown keeps what was there and never opens.
+    A fresh access row is enough. Else the answer decides: yes opens, no closes, unknown keeps what was there and never
+    opens. A private repo that is reported public by now (now_public: id) opens for all.
     """
+    if now_public is not None:
+        repos = mark_public(repos, now_public.select("id").distinct())
     rows = latest_access(access).join(answers, ["repo_id", "user_id"], "full_outer")
     may = F.coalesce(fresh(as_of), F.lit(False)) | (F.col("answer") == "yes") | ((F.coalesce("answer", F.lit("unknown")) == "unknown") & F.col("verified_at").isNotNull())
     private = repos.where("is_private").select(F.col("id").alias("repo_id"))
@@ -62,13 +66,21 @@ def upsert_users(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return df.select("id", pick("login"), pick("name"))
 
 
-def open_repos(refs: DataFrame, repos: DataFrame, as_of: str, requeue_errors: bool = True) -> DataFrame:
-    """(ref_id, slug, outcome, status) for typed references: existing, requeued, created or not found (no reference, or private)."""
-    parsed = refs.select(F.col("id").alias("ref_id"), D.parse_repo_ref(F.col("ref")).alias("r")).select("ref_id", D.slug(F.col("r.owner"), F.col("r.name")).alias("slug"), F.col("r").isNotNull().alias("ok"))
-    known = repos.select(D.slug(F.col("owner"), F.col("name")).alias("slug"), "status", "is_private")
-    df = parsed.join(known, "slug", "left")
-    again = (F.col("status") == "error") & F.lit(requeue_errors)
-    outcome = F.when(~F.col("ok") | F.col("is_private"), "not found").when(F.col("status").isNull(), "created").when(again, "requeued").otherwise("existing")
-    return df.select("ref_id", F.when(F.col("ok"), F.col("slug")).alias("slug"), outcome.alias("outcome")).join(known.select("slug", F.col("status").alias("was")), "slug", "left").select("ref_id", "slug", "outcome", F.when(F.col("outcome").isin("created", "requeued"), "queued").when(F.col("outcome") == "existing", F.col("was")).alias("status"))
-
+def open_repos(refs: DataFrame, repos: DataFrame, visible: DataFrame, requeue_errors: bool = True) -> DataFrame:
+    """(ref_id, slug, outcome, status) for typed references (id, user_id, ref): existing, requeued, created or not found.
 
+    Not found: it is no reference, or its repo is private and not in visible (repo_id, user_id) for that user. Of repos
+    with one slug, that with the smallest id counts.
+    """
+    r = D.parse_repo_ref(F.col("ref"))
+    parsed = refs.select(F.col("id").alias("ref_id"), "user_id", r.alias("r")).select("ref_id", "user_id", D.slug(F.col("r.owner"), F.col("r.name")).alias("slug"), F.col("r").isNotNull().alias("ok"))
+    known = repos.groupBy(D.slug(F.col("owner"), F.col("name")).alias("slug")).agg(F.min(F.struct("id", "status", "is_private")).alias("k"))
+    df = parsed.join(known, "slug", "left").withColumn("repo_id", F.col("k.id"))
+    mine = visible.where("user_id is not null").select("repo_id", "user_id", F.lit(True).alias("mine")).distinct()
+    all_ = visible.where("user_id is null").select("repo_id", F.lit(True).alias("open")).distinct()
+    df = df.join(mine, ["repo_id", "user_id"], "left").join(all_, "repo_id", "left")
+    hidden = F.col("k").isNotNull() & F.col("mine").isNull() & F.col("open").isNull()
+    again = (F.col("k.status") == "error") & F.lit(requeue_errors)
+    outcome = F.when(~F.col("ok") | hidden, "not found").when(F.col("k").isNull(), "created").when(again, "requeued").otherwise("existing")
+    status = F.when(F.col("outcome").isin("created", "requeued"), "queued").when(F.col("outcome") == "existing", F.col("k.status"))
+    return df.withColumn("outcome", outcome).select("ref_id", F.when(F.col("ok"), F.col("slug")).alias("slug"), "outcome", status.alias("status"))

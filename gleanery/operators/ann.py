@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import CANDIDATES, few, nearest, ranked
+from .retrieval import CANDIDATES, _nearest, matrix, nearest, ranked
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -19,15 +19,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def centroids(vectors: DataFrame, lists: int, sample: int = 200_000, seed: int = 7) -> np.ndarray:
     """Unit centroids, fitted on at most `sample` vectors in the order of a hash of their id; every vector is indexed."""
     some = vectors.where("embedding is not null").orderBy(F.xxhash64("id")).limit(sample)
-    model = KMeans(k=lists, seed=seed, maxIter=15).fit(some.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features")))
+    model = KMeans(k=lists, seed=seed, maxIter=8).fit(some.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features")))
     return _unit(np.array(model.clusterCenters()))
 
 
 def _closest(batches, centers: np.ndarray, column: str, n: int):
     for batch in batches:
-        v = _unit(np.array(batch.column(column).to_pylist(), np.float64).reshape(batch.num_rows, centers.shape[1]))
-        lists = np.argsort(-(v @ centers.T), axis=1, kind="stable")[:, :n]
-        yield pa.record_batch([*batch.columns, pa.array(lists.tolist(), pa.list_(pa.int64()))], [*batch.schema.names, "lists"])
+        lists = np.argsort(-(matrix(batch.column(column)).reshape(batch.num_rows, -1) @ centers.T), axis=1, kind="stable")[:, :n] if batch.num_rows else np.zeros((0, n), np.int64)
+        yield pa.record_batch([*batch.columns, pa.array(list(lists), pa.list_(pa.int64()))], [*batch.schema.names, "lists"])
 
 
 def in_lists(df: DataFrame, centers: np.ndarray, column: str, n: int) -> DataFrame:
@@ -43,17 +42,27 @@ def build_ivf(vectors: DataFrame, lists: int, sample: int = 200_000) -> tuple[Da
     return in_lists(vectors, centers, "embedding", 1), centers
 
 
-def knn_ivf(index: DataFrame, centers: np.ndarray, queries: DataFrame, n: int = CANDIDATES, probes: int = 8) -> DataFrame:
-    """(query_id, id, similarity, semantic_rank) among the probed lists; exact within them."""
-    asked = in_lists(queries.select("query_id", "vector"), centers, "vector", probes)
-    pairs = index.select("id", "embedding", "list").join(few(asked), "list")
-
-    def scored(batches):
-        for b in batches:
-            x, y = (np.array(b.column(c).to_pylist(), np.float64).reshape(b.num_rows, centers.shape[1]) for c in ("embedding", "vector"))
-            yield pa.record_batch([b.column("query_id"), b.column("id"), pa.array(np.round((_unit(x) * _unit(y)).sum(axis=1), 6))], ["query_id", "id", "similarity"])
+def knn_ivf(index: DataFrame, centers: np.ndarray, queries: DataFrame, n: int = CANDIDATES, probes: int = 8, part: int = 100_000) -> DataFrame:
+    """(query_id, id, similarity, semantic_rank) among the probed lists; exact within them.
 
-    found = pairs.select("query_id", "id", "embedding", "vector").mapInArrow(scored, "query_id long, id long, similarity double")
+    Queries go to the lists that they probe and meet their vectors there, block by block as one product; n of each query
+    leave a list. A list of more than `part` vectors is several tasks.
+    """
+    asked = in_lists(queries.select("query_id", "vector"), centers, "vector", probes)
+    sizes = index.groupBy("list").agg(F.ceil(F.count("*") / part).alias("parts"))
+    sizes = F.broadcast(sizes)  # a row for each centroid
+    zero = F.lit(0).cast("long")
+    v = index.select("id", "embedding", "list").join(sizes, "list").select("list", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "embedding")
+    q = asked.join(sizes, "list").select("list", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"), "query_id", "vector")
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        ids, rows = b.column("query_id").to_numpy().astype(np.int64), a.column("id").to_numpy()
+        return pa.Table.from_batches(_nearest(matrix(a.column("embedding")), rows, rows, matrix(b.column("vector")), ids, [None] * len(ids), n)).cast(schema)
+
+    found = v.groupBy("list", "part").cogroup(q.groupBy("list", "part")).applyInArrow(near, "query_id long, id long, similarity double")
     return ranked(found, [F.desc("similarity"), F.asc("id")], n, "semantic_rank")
 
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import display as D
 from ..functions.display import slug
+from .retrieval import few
 
 STATUSES = ("queued", "fetching", "indexing", "ready", "error")
+# Shapes of ids.
+UUID, DIGITS = r"^[0-9a-f-]{36}$", r"^\d+$"
 
 
 def last_change() -> Column:
@@ -200,3 +203,26 @@ def my_repos(granted: DataFrame, repos: DataFrame) -> DataFrame:
     """Granted repos with the status of their index, if they have one."""
     index = repos.select(slug(F.col("owner"), F.col("name")).alias("slug"), F.col("id").alias("index_id"), F.col("status").alias("index_status"))
     return granted.withColumn("slug", slug(F.col("owner"), F.col("name"))).join(index, "slug", "left")
+
+
+def get_repo(repos: DataFrame, id: int | None = None, owner: str | None = None, name: str | None = None) -> DataFrame:
+    """The repo of an id, or of an owner and name whatever their case; a plain filter that reaches the scan."""
+    if id is not None:
+        return repos.where(F.col("id") == id)
+    return repos.where((F.lower("owner") == (owner or "").lower()) & (F.lower("name") == (name or "").lower()))
+
+
+def chunk_detail(chunks: DataFrame, repos: DataFrame, visible: DataFrame, asked: DataFrame) -> DataFrame:
+    """(chunk_id, user_id, repo_id, path, symbol, language, content) for asked results (chunk_id text, user_id): those whose id is a number, whose chunk and repo exist and whose repo the user may see. visible: (repo_id, user_id), user_id null for everyone."""
+    ids = asked.where(F.col("chunk_id").rlike(DIGITS)).select("chunk_id", "user_id", F.expr("try_cast(chunk_id AS BIGINT)").alias("id"))
+    found = chunks.select("id", "repo_id", "path", "symbol", "language", "content").join(few(ids), "id").join(repos.select(F.col("id").alias("repo_id")), "repo_id", "left_semi")
+    may = visible.select("repo_id", F.col("user_id").alias("who")).distinct()
+    # (repo, null) opens to all, (repo, user) to one: two equi-joins
+    open_ = found.join(may.where("who is null").select("repo_id"), "repo_id", "left_semi")
+    own = found.join(may.where("who is not null").select("repo_id", F.col("who").alias("user_id")), ["repo_id", "user_id"], "left_semi")
+    return open_.unionByName(own).distinct().select("chunk_id", "user_id", "repo_id", "path", "symbol", "language", "content")
+
+
+def id_shapes(id: Column, number: Column) -> tuple[Column, Column]:
+    """Whether a text looks like a UUID, and whether one is digits only."""
+    return id.rlike(UUID), number.rlike(DIGITS)

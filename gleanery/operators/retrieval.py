@@ -7,7 +7,7 @@ vector are small; chunks stay where they are and each leg reads only its own tab
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,61 +61,110 @@ def keyword_leg(terms: DataFrame, queries: DataFrame, n: int = CANDIDATES) -> Da
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays, in doubles."""
+    """Cosine similarity of two arrays, in doubles; 0 if one of them has no length."""
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
     d = lambda x: F.transform(x, lambda v: v.cast("double"))
     dot = add(F.zip_with(d(a), d(b), lambda x, y: x * y))
     norm = lambda x: F.sqrt(add(F.transform(d(x), lambda v: v * v)))
-    return dot / (norm(a) * norm(b))
-
-
-def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, repos: list, n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        have = batch.filter(batch.column("embedding").is_valid())
-        if not have.num_rows:
-            continue
-        v = np.array(have.column("embedding").to_pylist(), np.float64)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        rows, repo = have.column("id").to_numpy(), np.array(have.column("repo_id").to_pylist(), object)
-        for start in range(0, len(ids), 256):
-            sim = np.round(q[start : start + 256] @ v.T, 6)
-            out = []
-            for k in range(sim.shape[0]):
-                ok = np.arange(len(rows)) if repos[start + k] is None else np.flatnonzero(repo == repos[start + k])
-                best = ok[np.lexsort((rows[ok], -sim[k, ok]))[:n]]
-                out.append((np.full(len(best), ids[start + k]), rows[best], sim[k, best]))
-            yield pa.record_batch([np.concatenate(x) for x in zip(*out, strict=True)], ["query_id", "id", "similarity"])
+    both = F.nullif(norm(a) * norm(b), F.lit(0.0))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(dot / both, F.lit(0.0)))
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit rows of a column of equally long arrays without nulls, straight from its buffers; a row without length stays zero."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def best_of(sim: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n largest of one query's similarities, ties by the smaller id."""
+    if len(sim) > 4 * n:  # only what can be among them is sorted
+        some = np.flatnonzero(sim >= np.partition(sim, len(sim) - n)[len(sim) - n])
+        return some[np.lexsort((rows[some], -sim[some]))[:n]]
+    return np.lexsort((rows, -sim))[:n]
+
+
+def _nearest(v: np.ndarray, rows: np.ndarray, repo: np.ndarray, q: np.ndarray, ids: np.ndarray, repos: list, n: int) -> Iterator[pa.RecordBatch]:
+    """The n best rows of a block for each query of a block."""
+    for start in range(0, len(ids), 256):
+        sim, out = np.round(q[start : start + 256] @ v.T, 6), []
+        for k in range(sim.shape[0]):
+            want = repos[start + k]
+            ok = np.arange(len(rows)) if want is None else np.flatnonzero(repo == want)
+            best = ok[best_of(sim[k, ok], rows[ok], n)]
+            out.append((np.full(len(best), ids[start + k]), rows[best], sim[k, best]))
+        yield pa.record_batch([np.concatenate(x) for x in zip(*out, strict=True)], ["query_id", "id", "similarity"])
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return matrix(batch.column("embedding")), batch.column("id").to_numpy(), np.array(batch.column("repo_id").to_pylist(), object)
+
+
+NEAREST = "query_id long, id long, similarity double"
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, n: int = CANDIDATES) -> DataFrame:
     """(query_id, id, similarity, semantic_rank): exact nearest chunks by cosine, similarities rounded to 6 digits, ties by id.
 
     Every task multiplies its vectors with the queries, block by block, and keeps n of each query, so only those are
-    shuffled. queries: (query_id, vector) and, to search one repo each, repo_id. Queries come to the tasks from the
-    driver in blocks of at most 20,000.
+    shuffled. queries: (query_id, vector) and, to search one repo each, repo_id. Up to 20,000 queries come to the tasks
+    from the driver; more are dealt into blocks that meet the vectors' blocks by shuffle. A vector without length has
+    similarity 0; null ones are no candidates.
     """
     own = queries.withColumn("repo_id", F.col("repo_id") if "repo_id" in queries.columns else F.lit(None).cast("string"))
     own = own.where("vector is not null").select("query_id", "vector", "repo_id")
-    count = own.limit(MANY_QUERIES + 1).count()
-    if count > MANY_QUERIES:  # a block matrix product by shuffle instead: both sides dealt into blocks
-        return _nearest_shuffled(vectors, own, n)
-    rows = own.collect()
-    q = np.array([r.vector for r in rows], np.float64)
-    q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else np.zeros((0, 1))
-    ids, repos = np.array([r.query_id for r in rows], np.int64), [r.repo_id for r in rows]
-    local = vectors.select("id", "repo_id", "embedding").mapInArrow(lambda it: _nearest(it, ids, q, repos, n), "query_id long, id long, similarity double")
+    have = vectors.where("embedding is not null").select("id", "repo_id", "embedding")
+    if own.limit(MANY_QUERIES + 1).count() > MANY_QUERIES:
+        local = _nearest_blocks(have, own, n)
+    else:
+        asked = own.toArrow()
+        q, ids, repos = matrix(asked.column("vector")), asked.column("query_id").to_numpy().astype(np.int64), asked.column("repo_id").to_pylist()
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    yield from _nearest(*_rows(batch), q, ids, repos, n)
+
+        local = have.mapInArrow(near, NEAREST)
     return ranked(local, [F.desc("similarity"), F.asc("id")], n, "semantic_rank")
 
 
-def _nearest_shuffled(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    blocks = max(1, -(-queries.count() // MANY_QUERIES))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    v = vectors.where("embedding is not null").select("id", F.col("repo_id").alias("vrepo"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
-    best = None
-    for b in range(blocks):
-        part = nearest(v.where(F.col("block") == b).withColumnRenamed("vrepo", "repo_id"), q.where(F.col("block") == b).drop("block"), n)
-        best = part if best is None else best.union(part)
-    return best
+def _nearest_blocks(vectors: DataFrame, queries: DataFrame, n: int, q_rows: int = MANY_QUERIES, v_rows: int = 200_000) -> DataFrame:
+    """A block matrix product: each block of queries meets each block of vectors in one task, and n of each query leave it."""
+    nq, nv = (max(1, -(-df.count() // rows)) for df, rows in ((queries, q_rows), (vectors, v_rows)))
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    v = vectors.select(block("id", nv).alias("vb"), every(nq).alias("qb"), "id", "repo_id", "embedding")
+    q = queries.select(every(nv).alias("vb"), block("query_id", nq).alias("qb"), "query_id", "vector", F.col("repo_id"))
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        return pa.Table.from_batches(_nearest(*_rows(a), matrix(b.column("vector")), b.column("query_id").to_numpy().astype(np.int64), b.column("repo_id").to_pylist(), n)).cast(schema)
+
+    return v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(near, NEAREST)
+
+
+def best_query(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(id, query_id, similarity): of each vector the query that it answers best, every one compared, ties to the smaller query. Queries are a stated set; their number is checked."""
+    asked = queries.where("vector is not null").select("query_id", "vector").orderBy("query_id").limit(MANY_QUERIES + 1).toArrow()
+    if asked.num_rows > MANY_QUERIES:
+        raise ValueError(f"more than {MANY_QUERIES} queries")
+    q, ids = matrix(asked.column("vector")), asked.column("query_id").to_numpy().astype(np.int64)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                sim = np.round(matrix(batch.column("embedding")) @ q.T, 6)
+                at = sim.argmax(axis=1)
+                yield pa.record_batch([batch.column("id"), pa.array(ids[at]), pa.array(sim[np.arange(len(at)), at])], ["id", "query_id", "similarity"])
+
+    return vectors.where("embedding is not null").select("id", "embedding").mapInArrow(best, "id long, query_id long, similarity double")
 
 
 def rrf_fuse(semantic: DataFrame, keyword: DataFrame, k: int = RRF_K, weight: float = KEYWORD_WEIGHT) -> DataFrame:
@@ -149,6 +198,41 @@ def hybrid_search(chunks: DataFrame, terms: DataFrame, vectors: DataFrame, queri
     return top.join(similarity, ["query_id", "id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
+def containing(items: DataFrame, docs: DataFrame, run: int = 4) -> DataFrame:
+    """(query_id, id): the documents (id, text) that hold an item's (query_id, text) whole text.
+
+    Words inside an item, all but its first and last, stand in such a document as words too, so the first `run` of them
+    bring both together; then the text itself decides. Items of fewer words are compared with every document.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    key = lambda ws, i: F.xxhash64(*(F.get(ws, i + k) for k in range(run)))
+    items = items.where("text is not null").select("query_id", F.col("text").alias("item"), words(F.col("text")).alias("ws"))
+    long = items.where(F.size("ws") >= run + 2).select("query_id", "item", key(F.col("ws"), 1).alias("key"))
+    ws = docs.select("id", "text", words(F.col("text")).alias("ws"))
+    keys = F.transform(F.when(F.size("ws") >= run, F.sequence(F.lit(0), F.size("ws") - run)).otherwise(F.array().cast("array<int>")), lambda i: key(F.col("ws"), i))
+    met = ws.select("id", F.explode(F.array_distinct(keys)).alias("key")).join(few(long.select("key", "query_id")), "key").select("id", "query_id").distinct()
+    found = docs.join(few(met), "id").join(few(long.drop("key")), "query_id").where(F.contains("text", "item")).select("query_id", "id")
+    short = items.where(F.size("ws") < run + 2)
+    if short.take(1):
+        found = found.union(docs.join(few(short), F.contains("text", "item")).select("query_id", "id"))
+    return found.distinct()
+
+
+def validate_queries(requests: DataFrame, repos: DataFrame, most_chars: int = 300, most_languages: int = 20) -> DataFrame:
+    """(query_id, repo_id, query, languages, problem, partial) of search requests (query_id, repo_id, query, languages).
+
+    The text is trimmed and cut to 300 characters, languages to the first 20 that are not null. problem: 'empty' without
+    text, 'not found' without its repo, 'no embeddings' if that has none yet, else null. partial: the repo isn't ready.
+    """
+    text = F.left(F.trim(F.coalesce("query", F.lit(""))), F.lit(most_chars))
+    languages = F.slice(F.filter(F.coalesce("languages", F.array().cast("array<string>")), lambda x: x.isNotNull()), 1, most_languages)
+    known = repos.select(F.col("id").alias("repo_id"), "status", "embedded_chunks").dropDuplicates(["repo_id"])
+    df = requests.select("query_id", "repo_id", text.alias("query"), languages.alias("languages")).join(known, "repo_id", "left")
+    none = F.coalesce("embedded_chunks", F.lit(0)) == 0
+    problem = F.when(F.col("query") == "", "empty").when(F.col("status").isNull(), "not found").when(none, "no embeddings")
+    return df.select("query_id", "repo_id", "query", "languages", problem.alias("problem"), (F.col("status") != "ready").alias("partial"))
+
+
 def hit_at_k(hits: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame:
     """One row: labelled queries, those with a labelled chunk in their first k, and the share."""
     found = hits.where(F.col("final_rank") <= k).join(labels, ["query_id", "id"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1))
@@ -156,6 +240,20 @@ def hit_at_k(hits: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame:
     return per.agg(F.count("*").alias("queries"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("hit_rate"))
 
 
+#: Turns (id, text) into (id, embedding): a model's pandas UDF or map over Arrow batches, or the default below.
+Embedder = Callable[[DataFrame], DataFrame]
+
+
+def embed(chunks: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """(id, embedding) of chunks (id, path, symbol, kind, content): unit vectors of their embedding text. Vectors without length are left out."""
+    if embedder is None:
+        return hashed_embedding(chunks)
+    text = T.embedding_text(F.col("path"), F.col("symbol"), F.col("kind"), F.col("content"))
+    made = embedder(chunks.select("id", text.alias("text"))).select("id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
+    return made.where(norm > 0).select("id", F.transform("e", lambda x: x / norm).alias("embedding"))
+
+
 def hashed_embedding(chunks: DataFrame, dims: int = 64) -> DataFrame:
     """(id, embedding) without a model: each word adds +1 or -1 to a dimension, both taken from its MD5, then unit length. A text without words has none."""
     text = T.embedding_text(F.col("path"), F.col("symbol"), F.col("kind"), F.col("content"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..operators import admission as AD
 from ..operators import ann
 from ..operators import chunking as C
@@ -29,12 +30,18 @@ def w5_w6_heading_sections(spark, d):
     return out.withColumns({"section": F.col("section").cast("long"), "start_line": F.col("start_line").cast("long")})
 
 
-@query("SELECT node, CASE WHEN contains(node, 'interface') THEN 'interface' WHEN contains(node, 'class') OR contains(node, 'record') THEN 'class' WHEN contains(node, 'method') OR contains(node, 'constructor') THEN 'method' WHEN contains(node, 'function') OR contains(node, 'arrow') THEN 'function' WHEN contains(node, 'type') THEN 'type' ELSE 'block' END AS kind, regexp_matches(node, '(function|method|class|interface|constructor|record)') AND NOT regexp_matches(node, '(call|expression|parameter)') AS is_def, count(*) AS n FROM (SELECT list_extract(['class_declaration', 'method_call', 'function_item', 'interface_body_type', 'record_declaration', 'if_statement', 'arrow_expression', 'string_type'], CAST(event_id % 8 + 1 AS INT)) AS node FROM events) GROUP BY ALL")
+_NODES = ["class_declaration", "method_call", "function_item", "interface_body_type", "record_declaration", "if_statement", "arrow_expression", "string_type", "impl_item", "enum_body", "struct_item", "trait_item", "rule_set", "module", "type_alias", "constructor_declaration"]
+_CALLS = ["it", "describe.each", "expect", "test.only.each", "suite", "bench_", "context", "a.test"]
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(node, '{part}') THEN '{kind}'" for part, kind in C.KINDS) + " ELSE 'block' END"
+
+
+@query(f"SELECT l_orderkey AS id, l_linenumber AS line, node, {_KIND} AS kind, regexp_matches(node, '{C.DEFINES}') AND NOT regexp_matches(node, '{C.DEFINES_NOT}') AS is_def, call, regexp_matches(call, '{C.TEST_CALL}') AS is_test FROM (SELECT l_orderkey, l_linenumber, list_extract({_NODES}, CAST((l_orderkey + l_linenumber) % 16 + 1 AS INT)) AS node, list_extract({_CALLS}, CAST((l_partkey + l_linenumber) % 8 + 1 AS INT)) AS call FROM lineitem)")
 def c11_c12_definition_kinds(spark, d):
-    kinds = F.array(*map(F.lit, ["class_declaration", "method_call", "function_item", "interface_body_type", "record_declaration", "if_statement", "arrow_expression", "string_type"]))
-    nodes = spark.read.parquet(f"{d}/events.parquet").select(F.get(kinds, (F.col("event_id") % 8).cast("int")).alias("node"))
-    rule = nodes["node"].rlike("(function|method|class|interface|constructor|record)") & ~nodes["node"].rlike("(call|expression|parameter)")
-    return nodes.select("node", C.definition_kind(F.col("node")).alias("kind"), rule.alias("is_def")).groupBy("node", "kind", "is_def").agg(F.count("*").alias("n"))
+    """A node kind and a call's name for every line item."""
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), (n % len(names)).cast("int"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), pick(_NODES, F.col("l_orderkey") + F.col("l_linenumber")).alias("node"), pick(_CALLS, F.col("l_partkey") + F.col("l_linenumber")).alias("call"))
+    node, call = F.col("node"), F.col("call")
+    return rows.select("id", "line", "node", C.definition_kind(node).alias("kind"), C.is_definition(node).alias("is_def"), "call", C.is_test_call(call).alias("is_test"))
 
 
 def _admitted(spark, d):
@@ -82,11 +89,45 @@ def s10_write_chunks(spark, d):
     return spark.read.parquet(path).select("id", "repo_id", "symbol", F.sha1("content").alias("h"))
 
 
+@query(f"SELECT concat(repo_id, '.tar.gz') AS archive, path, strlen(content)::BIGINT AS size, CASE WHEN strlen(content) <= 204800 AND {S.PATH_REASON} IS NULL THEN sha1(content) END AS content_hash FROM corpus_files")
+def s4_wanted_bodies(spark, d):
+    """Bodies that admission refuses by path are not unpacked."""
+    out = AR.open_archives(AR.pack_archives(view(spark, d, "corpus_files")), wanted=P.wants_content)
+    return out.select(AR.repo_of(F.col("archive")).alias("archive"), "path", "size", F.sha1("content").alias("content_hash"))
+
+
+@query(f"SELECT repo_id, path, sha1(concat(content, chr(65533))) AS text_hash, coalesce({S.CONTENT_REASON}, 'kept') AS reason FROM corpus_files WHERE strlen(content) + 4 <= 204800 AND {S.PATH_REASON} IS NULL")
+def f6_s4_archive_texts(spark, d):
+    """Bodies with a byte-order mark and a bad last byte, through archives, as text and admission see them."""
+    raw = view(spark, d, "corpus_files").withColumn("content", F.concat(F.unhex(F.lit("EFBBBF")), F.col("content").cast("binary"), F.unhex(F.lit("FF"))))
+    files = AR.file_texts(AR.open_archives(AR.pack_archives(raw), wanted=P.wants_content))
+    out = AD.admit_files(files)
+    return out.select("repo_id", "path", F.sha1(F.col("content").cast("binary")).alias("text_hash"), F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
+@query()
+def c1_s4_archive_chunks(spark, d):
+    """From archives to chunks; equal to c1_chunk_files on the same files, which is tested."""
+    files = AR.file_texts(AR.open_archives(AR.pack_archives(view(spark, d, "corpus_files")), wanted=P.wants_content))
+    return C.chunk_files(AD.admit_files(files).where("reason is null"))
+
+
+@query("SELECT c.l_orderkey * 10 + c.l_linenumber AS id, o.o_custkey AS repo_id, f.file_id FROM lineitem c JOIN orders o ON c.l_orderkey = o.o_orderkey JOIN (SELECT repo_id, path, min(id) AS file_id FROM files_v GROUP BY 1, 2) f ON f.repo_id = o.o_custkey AND f.path = concat('src/f', o.o_orderkey, '.ts') WHERE c.l_linenumber <= 5")
+def j7_file_ids(spark, d):
+    """Chunks of orders get the ids of their files by repo and path, on their way into the sink."""
+    lines, orders = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "orders"))
+    chunks = lines.where("l_linenumber <= 5").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    chunks = chunks.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("o_custkey").alias("repo_id"), F.concat(F.lit("src/f"), F.col("o_orderkey").cast("string"), F.lit(".ts")).alias("path"), F.lit("").alias("symbol"))
+    path = TB.shared_dir(spark, "chunks")
+    TB.write_chunks(chunks, path, view(spark, d, "files_v"))
+    return spark.read.parquet(path).select("id", "repo_id", "file_id")
+
+
 @query(f"WITH {S.LEGS} SELECT query_id, id, rank FROM text_ranks")
 def s11_search_written_terms(spark, d):
     path, q = TB.shared_dir(spark, "terms"), view(spark, d, "search_queries")
     TB.write_terms(R.postings(view(spark, d, "corpus_chunks")), path)
-    return R.text_rank(TB.read_terms(spark, path, R.query_stems(q)).drop("bucket"), q)
+    return R.text_rank(TB.read_terms(spark, path, R.query_stems(q)), q)
 
 
 @query("SELECT d.doc_id AS id, d.source AS repo_id, len(e.embedding) AS dims FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id")
@@ -129,17 +170,36 @@ def st1_search_counters_stream(spark, d):
     return ST.run_now(ST.search_counters_stream(log), "complete", "st1")
 
 
-_FILES = "SELECT repo_id, path, content_hash FROM snapshot_new UNION ALL SELECT repo_id, path, content_hash FROM snapshot_old WHERE repo_id NOT IN (SELECT repo_id FROM snapshot_new)"
+_ORDER_TEXT = "concat('const order = ', o_orderkey, chr(10), 'const customer = ', o_custkey, chr(10), 'const state = ', {flag})"
+_NEW = f"new_ AS (SELECT o_custkey AS repo_id, concat('src/f', o_orderkey, '.ts') AS path, {_ORDER_TEXT.format(flag=chr(39) + '1' + chr(39) + ' || CASE WHEN o_orderkey % 17 = 0 THEN ' + chr(39) + 'x' + chr(39) + ' ELSE ' + chr(39) + chr(39) + ' END')} AS content FROM orders WHERE o_orderkey % 13 <> 0)"
+_OLD = f"old_ AS (SELECT o_custkey AS repo_id, concat('src/f', o_orderkey, '.ts') AS path, {_ORDER_TEXT.format(flag=chr(39) + '1' + chr(39))} AS content FROM orders WHERE o_orderkey % 11 <> 0)"
+_TEXT = "concat(path, chr(10), content)"
+
+
+def _order_files(rows, new: bool):
+    flag = F.concat(F.lit("1"), F.when(F.col("o_orderkey") % 17 == 0, "x").otherwise("")) if new else F.lit("1")
+    text = F.concat(F.lit("const order = "), F.col("o_orderkey").cast("string"), F.lit("\nconst customer = "), F.col("o_custkey").cast("string"), F.lit("\nconst state = "), flag)
+    kept = rows.where("o_orderkey % 13 <> 0" if new else "o_orderkey % 11 <> 0")
+    files = kept.select(F.col("o_custkey").alias("repo_id"), F.concat(F.lit("src/f"), F.col("o_orderkey").cast("string"), F.lit(".ts")).alias("path"), text.alias("content"))
+    return files.withColumn("content_hash", F.sha1("content"))
 
 
-@query(_FILES)
+def derive_chunks(files):
+    """(repo_id, path, id, start_line, end_line, content, embedding): the chunks of files and their vectors."""
+    chunks = C.chunk_files(AD.admit_files(files.select("repo_id", "path", "content")).where("reason is null"))
+    vectors = R.embed(chunks)
+    return chunks.join(vectors, "id", "left").select(F.col("repo_id").cast("int").alias("repo_id"), "path", "id", "start_line", "end_line", "content", "embedding")
+
+
+@query(f"WITH {_NEW}, {_OLD}, all_ AS (SELECT * FROM new_ UNION ALL SELECT * FROM old_ WHERE repo_id NOT IN (SELECT repo_id FROM new_)) SELECT repo_id, path, sha1(content) AS content_hash, 1 AS start_line, 3 AS end_line, sha1(content) AS chunk_hash, 64 AS dims FROM all_")
 def st2_index_stream(spark, d):
-    """Snapshots arrive as a stream of order rows; the index so far is the old snapshot."""
-    path = f"{d}/orders.parquet"
-    rows = ST.table_stream(spark, path)
-    flag = F.when(F.col("o_orderkey") % 17 == 0, "x").otherwise("")
-    snap = rows.where("o_orderkey % 13 <> 0").select(F.col("o_custkey").alias("repo_id"), F.concat(F.lit("src/f"), F.col("o_orderkey").cast("string"), F.lit(".ts")).alias("path"), F.sha1(F.concat(F.col("o_orderkey").cast("string"), flag)).alias("content_hash"))
-    return ST.index_stream(snap, view(spark, d, "snapshot_old"), lambda df: df)
+    """Snapshots arrive as a stream of order rows; the index so far is that of the old snapshot. What changed is cut and embedded again."""
+    base = TB.shared_dir(spark, "index")
+    old = _order_files(spark.read.parquet(f"{d}/orders.parquet"), False)
+    ST.write_store(old.select("repo_id", "path", "content_hash"), derive_chunks(old), base)
+    ST.index_stream(_order_files(ST.table_stream(spark, f"{d}/orders.parquet"), True), base, derive_chunks)
+    files, derived = ST.read_store(spark, base, "files"), ST.read_store(spark, base, "derived")
+    return files.join(derived, ["repo_id", "path"], "left").select("repo_id", "path", "content_hash", "start_line", "end_line", F.sha1("content").alias("chunk_hash"), F.size("embedding").alias("dims"))
 
 
 def _progress(spark, d):
@@ -155,12 +215,12 @@ def st3_progress_rate_stream(spark, d):
     return ST.run_now(ST.progress_rate_stream(_progress(spark, d)), "append", "st3")
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), k AS (SELECT user_id, event_id, ts, n FROM e WHERE n = 1 UNION ALL SELECT user_id, x.event_id, x.ts, x.n FROM (SELECT e.*, row_number() OVER (PARTITION BY k.user_id ORDER BY e.n) AS nth FROM k JOIN e ON e.user_id = k.user_id AND e.n > k.n AND e.ts >= k.ts + INTERVAL 4 HOUR) x WHERE nth = 1) SELECT user_id, event_id, ts FROM k")
 def st4_throttle(spark, d):
     return ST.run_now(ST.throttle(_events(spark, d, "true").select("user_id", "event_id", "ts"), "user_id", 4 * 3600), "append", "st4")
 
 
-@query()
+@query("WITH s AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_, max(ts) OVER () AS last_ FROM events WHERE event_type = 'signup') SELECT user_id, ts + INTERVAL 5 DAY AS expired_at FROM s WHERE next_ - ts > INTERVAL 5 DAY OR (next_ IS NULL AND ts + INTERVAL 5 DAY < last_ - INTERVAL 10 MINUTE)")
 def st5_expire(spark, d):
     return ST.run_now(ST.expire(_events(spark, d, "event_type = 'signup'").select("user_id", "event_id", "ts"), "user_id", 5 * 86400), "append", "st5")
 

@@ -16,7 +16,7 @@ from ..operators import catalog as K
 from ..operators import incremental as I
 from ..operators import retrieval as R
 from ..operators.explain import explain_hits
-from ..sources.tables import materialize
+from ..sources.tables import materialize, read_repo_meta, shared_dir
 from . import sqltext as S
 from .views import AS_OF, view, with_views
 
@@ -108,10 +108,10 @@ def t12_hashed_embedding(spark, d):
     return e.select("id", F.posexplode("embedding").alias("dim", "v")).where("v != 0").select("id", F.col("dim").cast("long").alias("dim"), F.round("v", 6).alias("v"))
 
 
-@query(f"SELECT q.query_id, v.id, {S.SIMILARITY} AS similarity FROM chunk_vectors v JOIN search_queries q ON v.id % 40 = q.query_id WHERE q.vector IS NOT NULL")
+@query(f"SELECT id, query_id, similarity FROM (SELECT v.id, q.query_id, {S.SIMILARITY} AS similarity FROM chunk_vectors v, search_queries q WHERE q.vector IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, query_id) = 1")
 def t13_cosine(spark, d):
-    v, q = view(spark, d, "chunk_vectors"), view(spark, d, "search_queries").where("vector is not null")
-    return v.join(q, F.col("id") % 40 == F.col("query_id")).select("query_id", "id", F.round(R.cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"))
+    """Every vector scored against every query; the best one is reported."""
+    return R.best_query(view(spark, d, "chunk_vectors"), view(spark, d, "search_queries"))
 
 
 @query(f"WITH {S.LEGS} SELECT * FROM semantic")
@@ -136,7 +136,7 @@ def t17_rrf_fuse(spark, d):
     return R.rrf_fuse(R.nearest(view(spark, d, "chunk_vectors"), q), R.keyword_leg(R.postings(view(spark, d, "corpus_chunks")), q))
 
 
-@query(f"WITH {S.LEGS} SELECT h.query_id, h.id, h.path, h.language, h.semantic_rank, h.keyword_rank, h.score, h.final_rank, coalesce(s.similarity, 0) AS similarity FROM hits h LEFT JOIN sims s USING (query_id, id)")
+@query(f"WITH {S.LEGS} SELECT h.query_id, h.id, h.path, h.language, h.semantic_rank, h.keyword_rank, h.score, h.final_rank, CASE WHEN q.vector IS NULL OR v.embedding IS NULL THEN 0 ELSE {S.SIMILARITY} END AS similarity FROM hits h JOIN search_queries q USING (query_id) LEFT JOIN chunk_vectors v ON v.id = h.id")
 def t19_hybrid_search(spark, d):
     return _hits(spark, d)
 
@@ -273,14 +273,19 @@ def p12_path_prior(spark, d):
     return view(spark, d, "corpus_chunks").select("id", P.path_prior(F.col("path"), F.col("language")).alias("prior"))
 
 
-@query("SELECT query_id, trim(substr(query, 1, 300)) AS query FROM search_queries WHERE trim(query) <> ''")
+@query("SELECT query_id, repo_id, query, len(languages) AS languages, CASE WHEN query = '' THEN 'empty' WHEN status IS NULL THEN 'not found' WHEN embedded_chunks = 0 THEN 'no embeddings' END AS problem, status <> 'ready' AS partial FROM (SELECT item_id AS query_id, item_id * 10 AS repo_id, substr(trim(CASE WHEN item_id % 7 = 3 THEN '   ' ELSE concat('  ', text) END), 1, 300) AS query, list_slice(list_filter(list_transform(generate_series(1, 1 + item_id % 30), lambda i: CASE WHEN i % 9 > 0 THEN 'Go' END), lambda x: x IS NOT NULL), 1, 20) AS languages FROM benchmark) q LEFT JOIN repos_v r ON r.id = q.repo_id")
 def p17_valid_queries(spark, d):
-    return view(spark, d, "search_queries").select("query_id", F.trim(F.substring("query", 1, 300)).alias("query")).where("query != ''")
+    item = F.col("item_id")
+    languages = F.transform(F.sequence(F.lit(1), (1 + item % 30).cast("int")), lambda i: F.when(i % 9 > 0, "Go"))
+    requests = spark.read.parquet(f"{d}/benchmark.parquet").select(item.alias("query_id"), (item * 10).alias("repo_id"), F.when(item % 7 == 3, "   ").otherwise(F.concat(F.lit("  "), F.col("text"))).alias("query"), languages.alias("languages"))
+    out = R.validate_queries(requests, view(spark, d, "repos_v"))
+    return out.withColumn("languages", F.size("languages").cast("long"))
 
 
 @query("SELECT id, regexp_full_match(id, '[0-9a-f-]{36}') AS uuid_like, regexp_full_match(CAST(user_id AS VARCHAR), '\\d+') AS digits FROM sessions_v")
 def p23_id_shapes(spark, d):
-    return view(spark, d, "sessions_v").select("id", F.col("id").rlike("^[0-9a-f-]{36}$").alias("uuid_like"), F.col("user_id").cast("string").rlike(r"^\d+$").alias("digits"))
+    uuid_like, digits = K.id_shapes(F.col("id"), F.col("user_id").cast("string"))
+    return view(spark, d, "sessions_v").select("id", uuid_like.alias("uuid_like"), digits.alias("digits"))
 
 
 # ---- incremental indexing
@@ -496,9 +501,10 @@ def s16_mark_public(spark, d):
 
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN concat('meta ', id) ELSE description END AS description, CASE WHEN id % 2 = 0 THEN coalesce(CASE WHEN id % 6 > 0 THEN id END, stars) ELSE stars END AS stars, CASE WHEN id % 2 = 0 THEN 'Go' END AS primary_language FROM repos_v")
 def s6_j13_enrich_repos(spark, d):
-    repos = view(spark, d, "repos_v")
-    meta = repos.where("id % 2 = 0").select("id", F.concat(F.lit("meta "), F.col("id").cast("string")).alias("description"), F.when(F.col("id") % 6 > 0, F.col("id")).alias("stars"), F.lit("Go").alias("language"))
-    return K.enrich_repos(repos, meta).select("id", "description", "stars", "primary_language")
+    """Metadata comes as lines of JSON, as a code host's answers would be stored."""
+    repos, path = view(spark, d, "repos_v"), shared_dir(spark, "meta")
+    repos.where("id % 2 = 0").select("id", F.concat(F.lit("meta "), F.col("id").cast("string")).alias("description"), F.when(F.col("id") % 6 > 0, F.col("id")).alias("stars"), F.lit("Go").alias("language")).write.json(path)
+    return K.enrich_repos(repos, read_repo_meta(spark, path)).select("id", "description", "stars", "primary_language")
 
 
 @query("SELECT repo_id, ts, event_id, done, CASE WHEN n >= 3 AND r > 0 THEN round(r, 6) END AS per_second FROM (SELECT *, (done - first(done) OVER w) / nullif(floor(epoch(ts)) - floor(epoch(first(ts) OVER w)), 0) AS r, count(*) OVER w AS n FROM progress_v WINDOW w AS (PARTITION BY repo_id ORDER BY ts, event_id ROWS BETWEEN 30 PRECEDING AND CURRENT ROW))")
@@ -506,6 +512,13 @@ def w9_progress_rate(spark, d):
     return K.progress_rate(view(spark, d, "progress_v"))
 
 
+@query("SELECT id, CASE WHEN embedded_chunks = 0 OR total_chunks <= embedded_chunks THEN 'measuring speed…' WHEN s < 60 THEN concat('about ', greatest(5, CAST(floor(s / 5 + 0.5) AS BIGINT) * 5), ' s left') ELSE concat('about ', CAST(floor(s / 60 + 0.5) AS BIGINT), ' min left') END AS eta FROM (SELECT *, floor((total_chunks - embedded_chunks) / nullif(embedded_chunks / 50.0, 0) + 0.5) AS s FROM repos_v)")
+def w9_eta_text(spark, d):
+    """As if a repo's chunks had been embedded within the last 50 seconds."""
+    rate = F.nullif(F.col("embedded_chunks") / 50.0, F.lit(0.0))
+    return view(spark, d, "repos_v").select("id", D.eta_text(rate, F.col("total_chunks") - F.col("embedded_chunks")).alias("eta"))
+
+
 @query("SELECT repo_id, event_id, max(done) OVER (PARTITION BY repo_id ORDER BY ts, event_id) AS shown FROM progress_v")
 def w11_monotone_progress(spark, d):
     return K.monotone_progress(view(spark, d, "progress_v")).select("repo_id", "event_id", "shown")
@@ -555,11 +568,39 @@ def s17_purge_sessions(spark, d):
 _ACCESS = "acc AS (SELECT repo_id, user_id, max(verified_at) AS verified_at FROM repo_access_v GROUP BY 1, 2), both_ AS (SELECT repo_id, user_id, a.verified_at, w.answer FROM acc a FULL OUTER JOIN answers_v w USING (repo_id, user_id))"
 
 
-@query(f"WITH {_ACCESS} SELECT repo_id, user_id FROM both_ WHERE repo_id IN (SELECT id FROM repos_v WHERE is_private) AND (coalesce(verified_at > {NOW} - INTERVAL 1 HOUR, false) OR coalesce(answer, '') = 'yes' OR (coalesce(answer, 'unknown') = 'unknown' AND verified_at IS NOT NULL)) UNION ALL SELECT id, NULL FROM repos_v WHERE NOT is_private")
+@query(f"WITH {_ACCESS} SELECT repo_id, user_id FROM both_ WHERE repo_id IN (SELECT id FROM repos_v WHERE is_private AND id % 14 <> 0) AND (coalesce(verified_at > {NOW} - INTERVAL 1 HOUR, false) OR coalesce(answer, '') = 'yes' OR (coalesce(answer, 'unknown') = 'unknown' AND verified_at IS NOT NULL)) UNION ALL SELECT id, NULL FROM repos_v WHERE NOT is_private OR id % 14 = 0")
 def j11_visible_repos(spark, d):
+    """Repos whose id 14 divides are reported public by now."""
+    repos = view(spark, d, "repos_v")
+    return A.visible_repos(repos, view(spark, d, "repo_access_v"), view(spark, d, "answers_v"), AS_OF, repos.where("id % 14 = 0"))
+
+
+def _visible(spark, d):
     return A.visible_repos(view(spark, d, "repos_v"), view(spark, d, "repo_access_v"), view(spark, d, "answers_v"), AS_OF)
 
 
+_SEEN = f"{_ACCESS}, seen AS (SELECT repo_id, user_id FROM both_ WHERE repo_id IN (SELECT id FROM repos_v WHERE is_private) AND (coalesce(verified_at > {NOW} - INTERVAL 1 HOUR, false) OR coalesce(answer, '') = 'yes' OR (coalesce(answer, 'unknown') = 'unknown' AND verified_at IS NOT NULL)))"
+
+
+@query(f"WITH {_SEEN}, asked AS (SELECT CASE WHEN event_id % 10 = 0 THEN concat('x', event_id) ELSE CAST(event_id AS VARCHAR) END AS chunk_id, event_id AS id, event_id % 40 AS user_id FROM events) SELECT a.chunk_id, a.user_id, c.repo_id, c.path, c.content_hash FROM asked a JOIN (SELECT id, repo_id, path, content_hash FROM files_v) c ON c.id = a.id AND a.chunk_id = CAST(a.id AS VARCHAR) JOIN repos_v r ON r.id = c.repo_id WHERE NOT r.is_private OR EXISTS (SELECT 1 FROM seen s WHERE s.repo_id = c.repo_id AND s.user_id = a.user_id)")
+def j14_chunk_detail(spark, d):
+    """Every event asks for the chunk of its number (or for none) on behalf of one of 40 users; chunks are the catalog's files."""
+    e, event = F.col("event_id"), spark.read.parquet(f"{d}/events.parquet")
+    asked = event.select(F.when(e % 10 == 0, F.concat(F.lit("x"), e.cast("string"))).otherwise(e.cast("string")).alias("chunk_id"), (e % 40).alias("user_id"))
+    chunks = view(spark, d, "files_v").select("id", "repo_id", "path", F.lit(None).cast("string").alias("symbol"), "language", F.col("content_hash").alias("content"))
+    return K.chunk_detail(chunks, view(spark, d, "repos_v"), _visible(spark, d), asked).select("chunk_id", "user_id", "repo_id", "path", F.col("content").alias("content_hash"))
+
+
+@query("SELECT 'id' AS by_, id, owner, name, status FROM repos_v WHERE id = 77 UNION ALL SELECT 'slug', id, owner, name, status FROM repos_v WHERE owner = 'machinery' AND name = (SELECT name FROM repos_v WHERE owner = 'machinery' ORDER BY id LIMIT 1) UNION ALL SELECT 'slug', id, owner, name, status FROM repos_v WHERE owner = 'nobody'")
+def j15_get_repo(spark, d):
+    repos = view(spark, d, "repos_v")
+    name = repos.where("owner = 'machinery'").orderBy("id").first()["name"]
+    found = K.get_repo(repos, id=77).select(F.lit("id").alias("by_"), "*")
+    for owner, n in (("Machinery", name.upper()), ("nobody", "nothing")):
+        found = found.unionByName(K.get_repo(repos, owner=owner, name=n).select(F.lit("slug").alias("by_"), "*"))
+    return found.select("by_", "id", "owner", "name", "status")
+
+
 @query(f"SELECT repo_id, user_id, verified_at > {NOW} - INTERVAL 1 HOUR AS fresh FROM repo_access_v")
 def p21_access_freshness(spark, d):
     return view(spark, d, "repo_access_v").select("repo_id", "user_id", A.fresh(AS_OF).alias("fresh"))
@@ -577,6 +618,8 @@ def s15_upsert_users(spark, d):
     return A.upsert_users(u, named(u.where("id % 5 = 0")).union(named(u.where("id % 5 = 1").select((F.col("id") + 100000).alias("id")))))
 
 
-@query("SELECT f.id AS ref_id, CASE WHEN p.owner IS NOT NULL THEN lower(concat(p.owner, '/', p.name)) END AS slug, CASE WHEN p.owner IS NULL OR coalesce(r.is_private, false) THEN 'not found' WHEN r.id IS NULL THEN 'created' WHEN r.status = 'error' THEN 'requeued' ELSE 'existing' END AS outcome, CASE WHEN p.owner IS NULL OR coalesce(r.is_private, false) THEN NULL WHEN r.id IS NULL OR r.status = 'error' THEN 'queued' ELSE r.status END AS status FROM refs_v f LEFT JOIN (SELECT id, CASE WHEN ok THEN o END AS owner, CASE WHEN ok THEN n END AS name FROM (SELECT *, coalesce(regexp_full_match(o, '[A-Za-z0-9][A-Za-z0-9-]{0,38}') AND regexp_full_match(n, '[A-Za-z0-9._-]{1,100}') AND n NOT IN ('.', '..'), false) AS ok FROM (SELECT id, p[1] AS o, regexp_replace(p[2], '(?i)\\.git$', '') AS n FROM (SELECT id, list_filter(string_split(regexp_extract(regexp_replace(regexp_replace(trim(ref), '(?i)^git@github\\.com:', ''), '(?i)^(https?://)?(www\\.)?github\\.com/', ''), '^[^?#]*'), '/'), lambda x: x <> '') AS p FROM refs_v)))) p ON f.id = p.id LEFT JOIN repos_v r ON lower(concat(p.owner, '/', p.name)) = concat(r.owner, '/', r.name)")
+@query(f"WITH {_SEEN} SELECT f.id AS ref_id, CASE WHEN p.owner IS NOT NULL THEN lower(concat(p.owner, '/', p.name)) END AS slug, CASE WHEN p.owner IS NULL OR (coalesce(r.is_private, false) AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.repo_id = r.id AND s.user_id = f.id % 40)) THEN 'not found' WHEN r.id IS NULL THEN 'created' WHEN r.status = 'error' THEN 'requeued' ELSE 'existing' END AS outcome, CASE WHEN p.owner IS NULL OR (coalesce(r.is_private, false) AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.repo_id = r.id AND s.user_id = f.id % 40)) THEN NULL WHEN r.id IS NULL OR r.status = 'error' THEN 'queued' ELSE r.status END AS status FROM refs_v f LEFT JOIN (SELECT id, CASE WHEN ok THEN o END AS owner, CASE WHEN ok THEN n END AS name FROM (SELECT *, coalesce(regexp_full_match(o, '[A-Za-z0-9][A-Za-z0-9-]{{0,38}}') AND regexp_full_match(n, '[A-Za-z0-9._-]{{1,100}}') AND n NOT IN ('.', '..'), false) AS ok FROM (SELECT id, p[1] AS o, regexp_replace(p[2], '(?i)\\.git$', '') AS n FROM (SELECT id, list_filter(string_split(regexp_extract(regexp_replace(regexp_replace(trim(ref), '(?i)^git@github\\.com:', ''), '(?i)^(https?://)?(www\\.)?github\\.com/', ''), '^[^?#]*'), '/'), lambda x: x <> '') AS p FROM refs_v)))) p ON f.id = p.id LEFT JOIN repos_v r ON lower(concat(p.owner, '/', p.name)) = concat(r.owner, '/', r.name)")
 def i9_open_repos(spark, d):
-    return A.open_repos(view(spark, d, "refs_v"), view(spark, d, "repos_v"), AS_OF)
+    """One of 40 users types each reference."""
+    refs = view(spark, d, "refs_v").withColumn("user_id", F.col("id") % 40)
+    return A.open_repos(refs, view(spark, d, "repos_v"), _visible(spark, d))

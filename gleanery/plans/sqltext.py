@@ -38,24 +38,24 @@ TERMS = f"""q_words AS (SELECT query_id, unnest(list_transform({split_identifier
 q_flat AS (SELECT query_id, p, unnest(ws) AS word, generate_subscripts(ws, 1) AS p2 FROM q_words),
 q_kept AS (SELECT query_id, p, p2, word, {stem('word')} AS stem FROM q_flat WHERE length(word) >= 2 AND word NOT IN {words_list(T.QUESTION_WORDS)}),
 q_first AS (SELECT *, row_number() OVER (PARTITION BY query_id, stem ORDER BY p, p2) AS nth FROM q_kept),
-q_terms AS (SELECT * FROM (SELECT query_id, word, stem, row_number() OVER (PARTITION BY query_id ORDER BY p, p2) AS pos FROM q_first WHERE nth = 1) WHERE pos <= {T.MAX_TERMS})"""
+q_terms AS MATERIALIZED (SELECT * FROM (SELECT query_id, word, stem, row_number() OVER (PARTITION BY query_id ORDER BY p, p2) AS pos FROM q_first WHERE nth = 1) WHERE pos <= {T.MAX_TERMS})"""
 
 BODY = f"string_split(left(array_to_string({split_identifiers('content')}, ' '), {T.MAX_BODY}), ' ')"
 #: (id, repo_id, language, term, weight, tf) of corpus_chunks.
 POSTINGS = f"""p_words AS (SELECT id, repo_id, language, unnest(list_concat({split_identifiers('symbol')}, {split_identifiers('path')})) AS word, 'A' AS weight FROM corpus_chunks
 UNION ALL SELECT id, repo_id, language, unnest({BODY}) AS word, 'D' AS weight FROM corpus_chunks),
-terms AS (SELECT id, repo_id, language, {stem('word')} AS term, weight, count(*) AS tf FROM p_words WHERE word <> '' AND word NOT IN {words_list(T.ENGLISH_WORDS)} GROUP BY ALL)"""
+terms AS MATERIALIZED (SELECT id, repo_id, language, {stem('word')} AS term, weight, count(*) AS tf FROM p_words WHERE word <> '' AND word NOT IN {words_list(T.ENGLISH_WORDS)} GROUP BY ALL)"""
 
-SIMILARITY = "round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.vector AS DOUBLE[])) / (sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(q.vector, lambda x: CAST(x AS DOUBLE) * x)))), 6)"
+SIMILARITY = "round(coalesce(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.vector AS DOUBLE[])) / nullif(sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(q.vector, lambda x: CAST(x AS DOUBLE) * x))), 0), 0), 6)"
 #: The two legs and what fusion makes of them.
 LEGS = f"""{TERMS}, {POSTINGS},
 text_ranks AS (SELECT t.query_id, p.id, round(sum(CASE p.weight WHEN 'A' THEN 1.0 ELSE 0.1 END * p.tf), 6) AS rank FROM terms p JOIN q_terms t ON p.term = t.stem WHERE t.word NOT IN {words_list(T.ENGLISH_WORDS)} GROUP BY 1, 2),
 keyword AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) AS keyword_rank FROM text_ranks) WHERE keyword_rank <= 40),
-sims AS (SELECT q.query_id, v.id, {SIMILARITY} AS similarity FROM chunk_vectors v, search_queries q WHERE q.vector IS NOT NULL),
+sims AS MATERIALIZED (SELECT q.query_id, v.id, {SIMILARITY} AS similarity FROM chunk_vectors v, search_queries q WHERE q.vector IS NOT NULL),
 semantic AS (SELECT * FROM (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS semantic_rank FROM sims) WHERE semantic_rank <= 40),
-fused AS (SELECT query_id, id, semantic_rank, keyword_rank, round(coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) + 0.6::DOUBLE * coalesce(1.0::DOUBLE / (60 + keyword_rank), 0), 6) AS score FROM semantic FULL OUTER JOIN keyword USING (query_id, id)),
+fused AS MATERIALIZED (SELECT query_id, id, semantic_rank, keyword_rank, round(coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) + 0.6::DOUBLE * coalesce(1.0::DOUBLE / (60 + keyword_rank), 0), 6) AS score FROM semantic FULL OUTER JOIN keyword USING (query_id, id)),
 priced AS (SELECT f.query_id, f.id, f.semantic_rank, f.keyword_rank, c.path, c.language, round(f.score * {{prior}}, 6) AS score FROM fused f JOIN corpus_chunks c USING (id)),
-hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS final_rank FROM priced) WHERE final_rank <= 10)"""
+hits AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS final_rank FROM priced) WHERE final_rank <= 10)"""
 
 
 def prior(path: str, language: str) -> str:

@@ -5,8 +5,14 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.retrieval import containing
+from ..sources.tables import spread
 
 AS_OF = "2024-01-31 00:00:00"
+#: Tables of long rows, which a small file may give to a single task.
+TEXTS = ("documents", "pages", "conversations")
 
 VIEWS = {
     "corpus_files": """SELECT source AS repo_id,
@@ -23,8 +29,8 @@ VIEWS = {
     "chunk_vectors": """SELECT d.doc_id AS id, d.source AS repo_id, CASE d.lang WHEN 'en' THEN 'Markdown' WHEN 'fr' THEN 'Python' WHEN 'de' THEN 'Go' ELSE 'Rust' END AS language,
   e.embedding FROM {documents} d JOIN {embeddings} e ON d.doc_id = e.vec_id""",
     "search_queries": """SELECT b.item_id AS query_id, substr(trim(b.text), 1, 300) AS query, e.embedding AS vector
-  FROM {benchmark} b LEFT JOIN {embeddings} e ON b.item_id = e.vec_id WHERE b.item_id < 40""",
-    "search_labels": "SELECT b.item_id AS query_id, d.doc_id AS id FROM {benchmark} b JOIN {documents} d ON contains(d.text, b.text) WHERE b.item_id < 40",
+  FROM {benchmark} b LEFT JOIN {embeddings} e ON b.item_id = e.vec_id""",
+    "search_labels": "SELECT b.item_id AS query_id, d.doc_id AS id FROM {benchmark} b JOIN {documents} d ON contains(d.text, b.text)",
     "talk_files": """SELECT concat('conv', CAST(conv_id % 10 AS VARCHAR(20))) AS repo_id, concat('docs/c', CAST(conv_id AS VARCHAR(20)), '_', CAST(turn AS VARCHAR(20)), '.md') AS path,
   concat('# ', role, chr(10), chr(10), text) AS content FROM {conversations}""",
     "repos_v": """SELECT c_custkey AS id, lower(c_mktsegment) AS owner, lower(replace(c_name, '#', '-')) AS name, CAST(floor(c_acctbal) AS INT) AS stars,
@@ -60,21 +66,15 @@ FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey""",
 }
 
 
-#: What Spark reads in place of the texts above: every row of benchmark is a query. DuckDB's SQL stays with its first 40 items, which are all there are up to sf0.01.
-WHOLE = {
-    "search_queries": """SELECT b.item_id AS query_id, substr(trim(b.text), 1, 300) AS query, e.embedding AS vector
-  FROM {benchmark} b LEFT JOIN {embeddings} e ON b.item_id = e.vec_id""",
-    "search_labels": "SELECT b.item_id AS query_id, d.doc_id AS id FROM {benchmark} b JOIN {documents} d ON contains(d.text, b.text)",
-}
-
-
 def tables_of(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = WHOLE.get(name, VIEWS[name])
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(sql)})
+    table = lambda t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) if t in TEXTS else spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    if name == "search_labels":  # the same rows without comparing every item with every document
+        return containing(table("benchmark").select(F.col("item_id").alias("query_id"), "text"), table("documents").select(F.col("doc_id").alias("id"), "text"))
+    return spark.sql(VIEWS[name], **{t: table(t) for t in tables_of(VIEWS[name])})
 
 
 def with_views(body: str) -> str:

@@ -7,13 +7,14 @@ import hashlib
 import io
 import re
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.display import decode_text
 
 MAX_BYTES, MAX_RATIO = 60 << 20, 8
 #: Bytes of an archive before compression, and of a member's headers and padding, about.
@@ -47,11 +48,12 @@ def _limited(data: bytes, most: int) -> Iterator[tuple[tarfile.TarInfo, tarfile.
             yield member, tar
 
 
-def open_archives(archives: DataFrame, most: int = MAX_BYTES, largest_file: int = P.MAX_FILE_BYTES) -> DataFrame:
+def open_archives(archives: DataFrame, most: int = MAX_BYTES, largest_file: int = P.MAX_FILE_BYTES, wanted: Callable[[str], bool] | None = None) -> DataFrame:
     """(archive, commit_sha, path, size, content, problem) of every regular file of archives (path, length, content).
 
     The top folder goes; long and pax names are honoured; the commit is the global pax comment if it is 40 hex digits.
-    Files above largest_file have a null content. An archive that is too large, unpacks to more than eight times the
+    Files above largest_file, and those whose path is not wanted, have a null content, and their bodies are not unpacked
+    (P.wants_content: what admission by path keeps). An archive that is too large, unpacks to more than eight times the
     limit, or is damaged has one row that names its problem (files before a damage are kept).
     """
 
@@ -65,8 +67,9 @@ def open_archives(archives: DataFrame, most: int = MAX_BYTES, largest_file: int
                             comment = tar.pax_headers.get("comment", "")
                             sha = comment if re.fullmatch(r"[0-9a-f]{40}", comment) else None
                             if m.isreg() and "/" in m.name.strip("/"):
-                                body = tar.extractfile(m).read() if m.size <= largest_file else None
-                                out.append((row.path, sha, m.name.strip("/").split("/", 1)[1], m.size, body, None))
+                                path = m.name.strip("/").split("/", 1)[1]
+                                body = tar.extractfile(m).read() if m.size <= largest_file and (wanted is None or wanted(path)) else None
+                                out.append((row.path, sha, path, m.size, body, None))
                     except (OSError, EOFError, tarfile.TarError, ValueError) as e:
                         problem = "unpacks to too much" if "too much" in str(e) else "damaged"
                 if problem:
@@ -78,12 +81,12 @@ def open_archives(archives: DataFrame, most: int = MAX_BYTES, largest_file: int
     return kept.mapInPandas(unpack, FILES)
 
 
-def read_archives(spark: SparkSession, glob: str, most: int = MAX_BYTES) -> DataFrame:
-    """The files of all archives that match; one archive is the unit of work. Oversized ones are rejected by their length alone."""
+def read_archives(spark: SparkSession, glob: str, most: int = MAX_BYTES, wanted: Callable[[str], bool] | None = P.wants_content) -> DataFrame:
+    """The files of all archives that match; one archive is the unit of work. Oversized ones are rejected by their length alone; bodies that admission refuses by path stay packed."""
     files = spark.read.format("binaryFile").load(glob)
     large = files.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"))
     small = files.where(F.col("length") <= most).select("path", "length", "content")
-    return open_archives(small.union(large), most)
+    return open_archives(small.union(large), most, wanted=wanted)
 
 
 def pack_archives(files: DataFrame, most: int = PART_BYTES) -> DataFrame:
@@ -119,7 +122,7 @@ def pack_archives(files: DataFrame, most: int = PART_BYTES) -> DataFrame:
             out.append((f"{repo}.part{part}-{len(out)}.tar.gz", len(content), content))
 
         for r in pdf.sort_values("path").itertuples():
-            body = r.content.encode()
+            body = r.content.encode() if isinstance(r.content, str) else bytes(r.content)
             if rows and size + len(body) + MEMBER_BYTES > most:
                 close()
                 rows, size = [], 0
@@ -131,6 +134,11 @@ def pack_archives(files: DataFrame, most: int = PART_BYTES) -> DataFrame:
     return dealt.groupBy("repo_id", "part").applyInPandas(pack, "path string, length long, content binary")
 
 
+def file_texts(files: DataFrame) -> DataFrame:
+    """(repo_id, path, content) of unpacked files whose bodies were read, as text: what admission and the chunker take."""
+    return files.where("content is not null").select(F.regexp_replace(repo_of(F.col("archive")), r"\.tar\.gz$", "").alias("repo_id"), "path", decode_text(F.col("content")).alias("content"))
+
+
 def repo_of(archive: Column) -> Column:
     """REPO.tar.gz of an archive's name by pack_archives."""
     return F.regexp_replace(archive, r"\.part\d+-\d+\.tar\.gz$", ".tar.gz")

@@ -12,16 +12,20 @@ from pyspark.sql import types as T
 REPO_META = T.StructType([T.StructField("id", T.LongType()), T.StructField("owner", T.StringType()), T.StructField("name", T.StringType()), T.StructField("description", T.StringType()), T.StructField("stars", T.LongType()), T.StructField("language", T.StringType()), T.StructField("private", T.BooleanType())])
 
 
-#: Folders of applications that name none, as tests do.
+#: Up to so many words go into the scan's filter.
+MANY_WORDS = 2000
+#: Folders of local applications that name none, as tests do.
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below spark.checkpoint.dir. Only a session without executors of its own may leave that unset, as tests do."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
-        _own[spark.sparkContext.applicationId] = base
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        base = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -32,6 +36,13 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, mb: int = 4) -> DataFrame:
+    """df dealt out to all cores if it has less than `mb` MB for each: a small file may be one task otherwise. Larger tables come in tasks enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (mb << 20) else df
+
+
 def read_corpus(spark: SparkSession, sf_dir: str, table: str, id_col: str, text_col: str) -> DataFrame:
     """Text rows without an archive, as (repo_id, path, content)."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -48,21 +59,44 @@ def write_files(files: DataFrame, path: str) -> None:
     rows.withColumn("bucket", F.pmod(F.xxhash64("repo_id"), F.lit(64))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks by repo bucket; an empty symbol is none."""
+def with_file_ids(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """chunks with the file_id of their (repo_id, path) in files (id, repo_id, path); chunks of unknown files are left out, and of files that come twice the smallest id counts."""
+    ids = files.groupBy("repo_id", "path").agg(F.min("id").alias("file_id"))
+    return chunks.join(ids, ["repo_id", "path"])
+
+
+def write_chunks(chunks: DataFrame, path: str, files: DataFrame | None = None) -> None:
+    """Chunks by repo bucket, with their file ids if files are given; an empty symbol is none."""
+    chunks = chunks if files is None else with_file_ids(chunks, files)
     rows = chunks.withColumn("symbol", F.nullif(F.col("symbol"), F.lit("")))
     rows.withColumn("bucket", F.pmod(F.xxhash64("repo_id"), F.lit(64))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def write_terms(terms: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings by a hash of the term, so that a search reads the buckets of its words only."""
-    terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def bucket_count(rows: int, per_bucket: int = 2_000_000, least: int = 16) -> int:
+    """A power of 2, so that about per_bucket rows are in a bucket."""
+    return max(least, 1 << max(0, (rows // per_bucket) - 1).bit_length())
+
+
+def write_terms(terms: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Postings by a hash of the term, sorted by it, so that a search reads the buckets of its words only and in them the row groups that hold these. The number of buckets follows from the counted postings."""
+    if buckets is None:
+        terms = materialize(terms, "postings")
+        buckets = bucket_count(terms.count())
+    rows = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
+    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    terms.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}-meta")
 
 
-def read_terms(spark: SparkSession, path: str, words: DataFrame, buckets: int = 64) -> DataFrame:
-    """Postings in the buckets of some words (term); the partition filter is pushed down at run time."""
-    wanted = words.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket")).distinct()
-    return spark.read.parquet(path).join(F.broadcast(wanted), "bucket", "left_semi")
+def read_terms(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
+    """Postings of some words (term; a question's few): only their buckets are listed, and the words reach the scan as a filter."""
+    buckets = spark.read.parquet(f"{path.rstrip('/')}-meta").first().buckets
+    wanted = [r.term for r in words.select("term").distinct().limit(MANY_WORDS + 1).collect()]
+    table = spark.read.parquet(path)
+    if len(wanted) > MANY_WORDS:
+        ids = words.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket")).distinct()
+        return table.join(ids, "bucket", "left_semi")
+    at = [r.b for r in spark.createDataFrame([(w,) for w in wanted], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("b")).distinct().collect()]
+    return table.where(F.col("bucket").isin(at) & F.col("term").isin(wanted))
 
 
 def write_vectors(vectors: DataFrame, chunks: DataFrame, path: str) -> None:

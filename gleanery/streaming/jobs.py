@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import incremental as I
-from ..sources.tables import shared_dir
+from ..sources.tables import materialize, shared_dir
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -118,22 +118,44 @@ def expire(events: DataFrame, key: str, ttl_seconds: int, delay: str = "10 minut
     return marked.groupBy(key).applyInPandasWithState(step, f"{key} long, at double", "last double", "append", GroupStateTimeout.EventTimeTimeout).select(key, F.timestamp_seconds("at").alias("expired_at"))
 
 
-def index_stream(snapshots: DataFrame, stored: DataFrame, derive: Callable[[DataFrame], DataFrame], name: str = "index") -> DataFrame:
-    """The index after arriving snapshots (repo_id, path, content_hash, …): each batch is compared with the table so far, and only what changed is derived again. The table is written anew beside the old one, which it never overwrites while reading."""
-    spark, base = snapshots.sparkSession, shared_dir(snapshots.sparkSession, name)
-    state = {"path": f"{base}/0"}
-    stored.write.parquet(state["path"])
+BUCKETS = 16
+
+
+def write_store(files: DataFrame, derived: DataFrame, base: str) -> None:
+    """The index as two tables by bucket of the repo: files (repo_id, path, content_hash) and what is derived from them (repo_id, path, …)."""
+    for df, name in ((derived, "derived"), (files, "files")):  # a file counts as done only once what is derived from it stands
+        rows = df.withColumn("bucket", F.pmod(F.xxhash64("repo_id"), F.lit(BUCKETS)))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{base}/{name}")
+
+
+def read_store(spark: SparkSession, base: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{base}/{name}").drop("bucket")
+
+
+def index_stream(snapshots: DataFrame, base: str, derive: Callable[[DataFrame], DataFrame]) -> None:
+    """Takes arriving snapshots (repo_id, path, content_hash, …; a repo's rows come together) into the index at base.
+
+    Each batch is compared with the repos' stored files; derive gets only rows of added and changed ones, and only the
+    buckets of the batch's repos are written. All state is at base, the stream's checkpoint too, so a later call goes on
+    where the last one ended; a batch that is repeated after a failure gives the same index.
+    """
+    spark = snapshots.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
-        now = spark.read.parquet(state["path"])
+        df = materialize(df, "batch")
         repos = df.select("repo_id").distinct()
-        touched = now.join(repos, "repo_id", "left_semi")
-        diff = I.diff_snapshot(touched.select("repo_id", "path", "content_hash").distinct(), df)
-        after = I.apply_diff(touched, diff, derive(df)).unionByName(now.join(repos, "repo_id", "left_anti"))
-        path = f"{base}/{number + 1}"
-        after.write.mode("overwrite").parquet(path)
-        state["path"] = path
-
-    q = snapshots.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").start()
+        in_batch = [r.b for r in repos.select(F.pmod(F.xxhash64("repo_id"), F.lit(BUCKETS)).alias("b")).distinct().collect()]
+        if not in_batch:
+            return
+        files, derived = (spark.read.parquet(f"{base}/{t}").where(F.col("bucket").isin(in_batch)).drop("bucket") for t in ("files", "derived"))
+        own, others = (files.join(repos, "repo_id", how) for how in ("left_semi", "left_anti"))
+        diff = materialize(I.diff_snapshot(own, df), "diff")
+        new = df.join(diff.where(F.col("change").isin("added", "changed")).select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+        hashes = df.select("repo_id", "path", "content_hash")
+        # both are read in full before their buckets are overwritten
+        files = materialize(I.apply_diff(own, diff, hashes).unionByName(others), "files")
+        derived = materialize(I.apply_diff(derived, diff, derive(new)), "derived")
+        write_store(files, derived, base)
+
+    q = snapshots.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").start()
     q.awaitTermination()
-    return spark.read.parquet(state["path"])
