@@ -136,3 +136,95 @@ def test_second_run_changes_nothing(spark, sf):
 def test_vectors_are_unit(spark, sf):
     rows = R.hashed_embedding(view(spark, sf, "corpus_chunks")).collect()
     assert np.allclose([np.linalg.norm(r.embedding) for r in rows], 1) and {len(r.embedding) for r in rows} == {64}
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Snapshots that arrive one after the other; only what changed is derived, and the index equals one built at once."""
+    from gleanery.plans.jobs import derive_chunks
+    from gleanery.streaming import jobs as ST
+
+    base, source = str(tmp_path / "index"), str(tmp_path / "in")
+    body = lambda k, v: f"def f{k}():\n    return {v}\n" * 3
+    table = lambda rows: spark.createDataFrame(rows, "repo_id int, path string, content string").withColumn("content_hash", F.sha1("content"))
+    first = table([(r, f"a{k}.py", body(k, 0)) for r in range(4) for k in range(3)])
+    ST.write_store(first.select("repo_id", "path", "content_hash"), derive_chunks(first), base)
+    derived = spark.sparkContext.accumulator(0)
+
+    def derive(df):
+        derived.add(df.count())
+        return derive_chunks(df)
+
+    second = table([(0, "a0.py", body(0, 0)), (0, "a1.py", body(1, 9)), (0, "new.py", body(7, 7))])
+    third = table([(0, "a1.py", body(1, 9)), (3, "a0.py", body(0, 5)), (9, "z.py", body(1, 1))])
+    for k, snapshot in enumerate((second, third)):
+        snapshot.coalesce(1).write.parquet(f"{source}/{k}")
+        stream = spark.readStream.schema(snapshot.schema).option("recursiveFileLookup", "true").parquet(source)
+        ST.index_stream(stream, base, derive)
+    assert derived.value == 2 + 2
+    want = table([(0, "a1.py", body(1, 9)), *((r, f"a{k}.py", body(k, 0)) for r in (1, 2) for k in range(3)), (3, "a0.py", body(0, 5)), (9, "z.py", body(1, 1))])
+    key = lambda r: (r.repo_id, r.path)
+    assert sorted(map(tuple, ST.read_store(spark, base, "files").select("repo_id", "path", "content_hash").collect())) == sorted(map(tuple, want.select("repo_id", "path", "content_hash").collect()))
+    got = sorted(ST.read_store(spark, base, "derived").select("repo_id", "path", "id", "content", "embedding").collect(), key=key)
+    assert got == sorted(derive_chunks(want).select("repo_id", "path", "id", "content", "embedding").collect(), key=key) and all(len(r.embedding) == 64 for r in got)
+
+
+def test_chunks_from_archives_are_those_of_the_files(spark, sf):
+    from gleanery.operators import admission as AD
+    from gleanery.operators import chunking as C
+
+    files = view(spark, sf, "corpus_files").where(F.octet_length("content") <= 200 * 1024)
+    want = C.chunk_files(AD.admit_files(files).where("reason is null")).select("id", "content").collect()
+    assert sorted(QUERIES["c1_s4_archive_chunks"](spark, sf).select("id", "content").collect()) == sorted(want) and len(want) > 100
+
+
+def test_wanted_paths_are_those_that_admission_keeps(spark):
+    from gleanery.functions import paths as P
+
+    paths = ["a.ts", "src/.hidden/a.ts", "./a.py", "node_modules/x.js", "a/b.min.js", "Dockerfile", "x/.py", "nodot", "a.PY", "v/CHANGELOG.md", "a_pb2.py", "b.PB.go", "dist", "x/package.json", "a.d.ts", "yarn.lock", "testdata/a.go", "a.png"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", P.skip_reason_path(F.col("path")).isNull().alias("keep")).collect()
+    assert [P.wants_content(r.path) for r in rows] == [r.keep for r in rows]
+
+
+def test_vectors_without_length(spark):
+    v = spark.createDataFrame([(1, "r", "Go", [0.0, 0.0]), (2, "r", "Go", [1.0, 0.0]), (3, "r", "Go", None), (4, "r", "Go", [0.0, -2.0])], "id long, repo_id string, language string, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id long, vector array<float>")
+    got = {(r.query_id, r.id): (r.similarity, r.semantic_rank) for r in R.nearest(v, q).collect()}
+    assert got == {(1, 2): (1.0, 1), (1, 1): (0.0, 2), (1, 4): (0.0, 3), (2, 1): (0.0, 1), (2, 2): (0.0, 2), (2, 4): (0.0, 3)}
+    sims = v.crossJoin(q.withColumnRenamed("query_id", "q")).select("id", "q", R.cosine(F.col("embedding"), F.col("vector")).alias("s")).collect()
+    assert {(r.q, r.id): r.s for r in sims if r.s is not None} == {k: s for k, (s, _) in got.items()}
+    assert {(r.id, r.query_id) for r in R.best_query(v, q).collect()} == {(1, 1), (2, 1), (4, 1)}
+
+
+def test_many_queries_meet_blocks_of_vectors(spark, sf):
+    v, q = view(spark, sf, "chunk_vectors"), view(spark, sf, "search_queries").where("vector is not null").withColumn("repo_id", F.when(F.col("query_id") % 3 == 0, "src1"))
+    want = R.nearest(v, q, 7).collect()
+    blocks = R._nearest_blocks(v.where("embedding is not null"), q.select("query_id", "vector", "repo_id"), 7, q_rows=9, v_rows=30)
+    got = R.ranked(blocks, [F.desc("similarity"), F.asc("id")], 7, "semantic_rank").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 100
+
+
+def test_an_embedder_of_ones_own(spark, sf):
+    chunks = view(spark, sf, "corpus_chunks").limit(20)
+    out = R.embed(chunks, lambda df: df.select("id", F.array(F.lit(3.0), F.lit(4.0)).alias("embedding"))).collect()
+    assert len(out) == 20 and all(np.allclose(r.embedding, [0.6, 0.8]) for r in out)
+    assert R.embed(chunks, lambda df: df.select("id", F.array(F.lit(0.0)).alias("embedding"))).count() == 0
+
+
+def test_stored_postings_answer_as_fresh_ones(spark, sf, tmp_path):
+    from gleanery.sources import tables as TB
+
+    terms, q = R.postings(view(spark, sf, "corpus_chunks")), view(spark, sf, "search_queries")
+    TB.write_terms(terms, f"{tmp_path}/t")
+    stems = R.query_stems(q)
+    got = TB.read_terms(spark, f"{tmp_path}/t", stems)
+    assert sorted(map(tuple, R.text_rank(got, q).collect())) == sorted(map(tuple, R.text_rank(terms, q).collect()))
+    assert got.select("term").distinct().count() <= stems.select("term").distinct().count()
+    assert [TB.bucket_count(n) for n in (0, 1, 10**9)] == [16, 16, 512]
+
+
+def test_containing_finds_all_texts(spark):
+    docs = [(1, "x the quick brown fox jumps over y"), (2, "the quick  brown fox jumps over"), (3, "athe quick brown fox jumps overb"), (4, None), (5, "short one"), (6, "")]
+    items = [(1, "the quick brown fox jumps over"), (2, "one"), (3, None), (4, "quick brown fox jumps"), (5, "the quick  brown fox jumps over")]
+    out = R.containing(spark.createDataFrame(items, "query_id long, text string"), spark.createDataFrame(docs, "id long, text string")).collect()
+    want = {(q, i) for q, t in items for i, d in docs if t is not None and d is not None and t in d}
+    assert {(r.query_id, r.id) for r in out} == want and len(out) == len(want)
