@@ -13,7 +13,7 @@ only the counts of pairs of bytes (256 x 256 at most) go to the driver.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -320,22 +320,6 @@ def _looked_up(asks: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table([asks.column("block"), asks.column("bucket"), pa.array(blobs, pa.binary())], names=["block", "bucket", "blob"])
 
 
-def _finder(table: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """Finds places in the sorted table, of values that are in it: by a hash, where that has the place of another by search."""
-    bits = max(8, (4 * len(table)).bit_length())
-    slot = lambda x: (x * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)
-    places = np.zeros(1 << bits, np.int32)
-    places[slot(table)] = np.arange(len(table), dtype=np.int32)
-
-    def find(x: np.ndarray) -> np.ndarray:
-        at = places[slot(x)]
-        miss = np.flatnonzero(table[at] != x)
-        at[miss] = np.searchsorted(table, x[miss])
-        return at
-
-    return find
-
-
 def _told(answers: pa.Table, lo: int, hi: int, groups: list[np.ndarray], bucket: np.ndarray, kind: str) -> np.ndarray:
     """The answers of buckets lo .. hi - 1, where they were asked."""
     out = np.zeros(sum(map(len, groups)), kind)
@@ -350,25 +334,34 @@ def _totals(texts: pa.Table, answers: pa.Table, parts: int, folds: int) -> pa.Ta
     if not texts.num_rows:
         return pa.table([[]] * 7, schema=SCHEMA)
     size, kinds = map(int, answers.column("blob").filter(pa.array(answers.column("bucket").to_numpy() == -1))[0].as_py().split())
-    words, _ = block_words(texts, folds)
+    n = len(texts)
+    data, at = C.binary(texts.column("text"))
+    # of each slice its different words and grams, and where they stand; the answers come once for all slices
+    slices = []
+    for i, j in C.slices(at):
+        digests, which, row, starts = C.distinct_words(data, at[i : j + 1])
+        x, bounds = canonical(data, at[i : j + 1])
+        key = _grams(x, bounds)
+        order = np.argsort(key)
+        key = key[order]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        slices.append((i, j, digests, which, row, np.diff(starts), np.diff(bounds) - DEPTH, key[cut], np.diff(np.append(cut, len(key))), order.astype(np.int32)))
+    words = {d: k for k, d in enumerate(sorted({END, *(d for s in slices for d in s[2])}))}
     bucket = _dealt(_word_arrays(words)[0], parts)
     train = _told(answers, 0, parts, _in_buckets(bucket), bucket, "<i8")
     log = np.log10(train + 0.1)
-    key, _ = block_grams(texts, folds)
+    key = np.unique(np.concatenate([s[7] for s in slices]))
     bucket = _dealt(key, parts)
     logp = _told(answers, parts, 2 * parts, _in_buckets(bucket), bucket, "<f4").astype(np.float64)
-    find, n = _finder(key), len(texts)
-    data, at = C.binary(texts.column("text"))
     score_, base, tokens, known = np.zeros(n), np.full(n, log[words[END]]), np.ones(n, np.int64), np.full(n, int(train[words[END]] > 0))
-    for i, j in C.slices(at):
-        x, bounds = canonical(data, at[i : j + 1])
-        sizes = np.diff(bounds) - DEPTH
-        score_[i:j] = np.add.reduceat(logp[find(_grams(x, bounds))], np.cumsum(sizes) - sizes)
-        digests, which, row, starts = C.distinct_words(data, at[i : j + 1])
+    for i, j, digests, which, row, count, sizes, grams, times, order in slices:
+        p = np.empty(len(order))
+        p[order] = np.repeat(logp[np.searchsorted(key, grams)], times)
+        score_[i:j] = np.add.reduceat(p, np.cumsum(sizes) - sizes)
         mine = np.array([words[d] for d in digests], np.int64)[which] if len(which) else which
         base[i:j] += np.bincount(row, log[mine], j - i)
         known[i:j] += np.bincount(row, train[mine] > 0, j - i).astype(np.int64)
-        tokens[i:j] += np.diff(starts)
+        tokens[i:j] += count
     ids = texts.column("doc_id").to_pylist()
     base -= tokens * np.log10(size + 0.1 * (kinds + 1))
     return pa.table([ids, held_out(ids, folds), tokens, known, np.full(n, size), base, score_], schema=SCHEMA)
