@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.paths import path_prior
-from ..sources.tables import materialize
+from ..sources.tables import materialize, planned_bytes
 
 CANDIDATES, RESULTS, RRF_K, KEYWORD_WEIGHT = 40, 10, 60, 0.6
 #: Weight of a term in a name or path, and in a body.
@@ -25,8 +25,10 @@ WEIGHTS = {"A": 1.0, "D": 0.1}
 MANY_QUERIES = 20_000
 
 
-def few(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df, to be broadcast if it has few rows (they are counted), else joined by shuffle."""
+def few(df: DataFrame, most: int = 100_000, kb: int = 1024) -> DataFrame:
+    """df, to be broadcast if it is known to be small (files or local rows of at most so many KB) or counted and has few rows; else it is joined by shuffle."""
+    if planned_bytes(df) <= kb << 10:
+        return F.broadcast(df)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
@@ -117,11 +119,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = CANDIDATES) -> Data
     """
     own = queries.withColumn("repo_id", F.col("repo_id") if "repo_id" in queries.columns else F.lit(None).cast("string"))
     own = own.where("vector is not null").select("query_id", "vector", "repo_id")
+    asked = own.limit(MANY_QUERIES + 1).toArrow()
     have = vectors.where("embedding is not null").select("id", "repo_id", "embedding")
-    if own.limit(MANY_QUERIES + 1).count() > MANY_QUERIES:
+    if asked.num_rows > MANY_QUERIES:
         local = _nearest_blocks(have, own, n)
     else:
-        asked = own.toArrow()
         q, ids, repos = matrix(asked.column("vector")), asked.column("query_id").to_numpy().astype(np.int64), asked.column("repo_id").to_pylist()
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,11 +36,15 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """What Spark's plan says of df's size: that of its files or local rows, an upper bound or no guess at all for what is computed."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame, mb: int = 4) -> DataFrame:
     """df dealt out to all cores if it has less than `mb` MB for each: a small file may be one task otherwise. Larger tables come in tasks enough."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * (mb << 20) else df
+    return df.repartition(cores) if planned_bytes(df) < cores * (mb << 20) else df
 
 
 def read_corpus(spark: SparkSession, sf_dir: str, table: str, id_col: str, text_col: str) -> DataFrame:
