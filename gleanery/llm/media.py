@@ -115,20 +115,43 @@ def read_png(png: bytes, most: int = 1 << 31) -> np.ndarray:
     return unfilter(np.frombuffer(lines, np.uint8).reshape(h, 1 + w * step), step).reshape(h, w, step)
 
 
-@lru_cache(4096)
-def _low(n: int, size: int = 32, keep: int = 8) -> np.ndarray:
-    """(keep, n): shrinks or stretches n samples to `size` by area and gives the lowest `keep` cosine frequencies."""
-    edge = np.arange(size + 1) * n / size
+SIZE, KEEP, LINES = 32, 8, 1024
+
+
+def _cover(n: int, a: int, b: int) -> np.ndarray:
+    """(SIZE, b - a): how much of samples a .. b - 1, of n, goes to each of SIZE cells of equal width, by area."""
+    edge = np.arange(SIZE + 1) * n / SIZE
     lo, hi = edge[:-1, None], edge[1:, None]
-    cover = np.clip(np.minimum(hi, np.arange(1, n + 1)) - np.maximum(lo, np.arange(n)), 0, None) * size / n
-    k, x = np.arange(keep)[:, None], np.arange(size)
-    return np.cos(np.pi * k * (2 * x + 1) / (2 * size)) @ cover
+    return np.clip(np.minimum(hi, np.arange(a + 1, b + 1)) - np.maximum(lo, np.arange(a, b)), 0, None) * SIZE / n
+
+
+def _cosines() -> np.ndarray:
+    k, x = np.arange(KEEP)[:, None], np.arange(SIZE)
+    return np.cos(np.pi * k * (2 * x + 1) / (2 * SIZE))
+
+
+@lru_cache(LINES)
+def _low(n: int) -> np.ndarray:
+    """(KEEP, n): shrinks or stretches n samples to SIZE by area and gives the lowest KEEP cosine frequencies."""
+    return _cosines() @ _cover(n, 0, n)
+
+
+def _along(samples: np.ndarray) -> np.ndarray:
+    """The lowest cosine frequencies of each column. Tall images are taken a thousand lines at a time and not kept in the cache."""
+    n = len(samples)
+    if n <= LINES:
+        return _low(n) @ samples.astype(np.float64)
+    cells = np.zeros((SIZE, samples.shape[1]))
+    for a in range(0, n, LINES):
+        part = samples[a : a + LINES]
+        cells += _cover(n, a, a + len(part)) @ part.astype(np.float64)
+    return _cosines() @ cells
 
 
 def cosine_hash(samples: np.ndarray) -> str:
     """64 bits as hex: which of the 8 x 8 lowest cosine coefficients (all but the mean) exceed their median."""
     grey = samples.mean(axis=2) if samples.shape[2] > 1 else samples[:, :, 0]
-    f = (_low(grey.shape[0]) @ grey.astype(np.float64) @ _low(grey.shape[1]).T).ravel()
+    f = _along(_along(grey).T).T.ravel()
     bits = f > np.median(f[1:])
     bits[0] = False
     return np.packbits(bits).tobytes().hex()
@@ -144,7 +167,7 @@ def _written(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.Recor
 
 
 def text_to_png(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 6) -> DataFrame:
-    """doc_id, n_bytes, media: the UTF-8 bytes of each whole text, padded with zero bytes to a positive multiple of 64, as a grey PNG 64 samples wide. Null text is empty and becomes one line of zeros; a null doc_id stays null."""
+    """doc_id, n_bytes, media: the UTF-8 bytes of each whole text, padded with zero bytes to a positive multiple of 64, as a grey PNG 64 samples wide. Null text is empty and becomes one line of zeros; a null doc_id stays null; every row is an image, however long its text; other columns don't matter."""
     return C.text_rows(docs, id_col, text_col).mapInArrow(C.mapped(_written, level), "doc_id long, n_bytes long, media binary")
 
 
