@@ -53,7 +53,7 @@ ALIASES = {
     "retries": ["retry", "backoff"],
 }
 
-MAX_TERMS, MAX_BODY = 16, 200_000
+MAX_TERMS = 16
 
 
 def no_words() -> Column:
@@ -105,9 +105,10 @@ def head_words(path: Column, symbol: Column) -> Column:
     return F.concat(split_identifiers(symbol), split_identifiers(path))
 
 
-def searchable_text(path: Column, symbol: Column, content: Column) -> Column:
-    """struct<head, body>: symbol and path words, content words up to 200,000 characters."""
-    body = F.left(F.array_join(split_identifiers(content), " "), F.lit(MAX_BODY))
+def searchable_text(path: Column, symbol: Column, content: Column, most: int | None = None) -> Column:
+    """struct<head, body>: symbol and path words, content words, all of them or up to `most` characters."""
+    body = F.array_join(split_identifiers(content), " ")
+    body = body if most is None else F.left(body, F.lit(most))
     return F.struct(F.array_join(head_words(path, symbol), " ").alias("head"), body.alias("body"))
 
 

@@ -254,8 +254,8 @@ def fold_slivers(spans: list[Span], lines: Lines) -> list[Span]:
     return out
 
 
-def finalize(spans: list[Span], lines: Lines) -> list[tuple[int, int, str | None, str, str]]:
-    """(start line, end line, symbol, kind, content) of at most 120 chunks: blank edges trimmed, nearly empty ones dropped."""
+def finalize(spans: list[Span], lines: Lines, most: int | None = None) -> list[tuple[int, int, str | None, str, str]]:
+    """(start line, end line, symbol, kind, content) of all chunks, or of the first `most`: blank edges trimmed, nearly empty ones dropped."""
     out = []
     for s in fold_slivers(spans, lines):
         a, b = s.start, s.end
@@ -269,36 +269,36 @@ def finalize(spans: list[Span], lines: Lines) -> list[tuple[int, int, str | None
         names = list(dict.fromkeys(s.symbols))
         more = f" +{len(names) - 3}" if len(names) > 3 else ""
         out.append((a + 1, b + 1, (", ".join(names[:3]) + more)[:160] or None, s.kind, content))
-        if len(out) == MAX_CHUNKS:
+        if len(out) == most:
             break
     return out
 
 
-def chunk_text(text: str, language: str, strategy: str, provider: BoundaryProvider = signature_boundaries) -> list[tuple[int, int, str | None, str, str]]:
+def chunk_text(text: str, language: str, strategy: str, provider: BoundaryProvider = signature_boundaries, most: int | None = None) -> list[tuple[int, int, str | None, str, str]]:
     text = re.sub(r"\r\n?", "\n", text)
     lines = Lines(text)
     last = len(lines.lines) - 1
     if strategy == "markdown":
-        return finalize(heading_sections(lines), lines)
+        return finalize(heading_sections(lines), lines, most)
     if len(text) <= MAX_CHARS:
-        return finalize([Span(0, last, [], "file")], lines)
+        return finalize([Span(0, last, [], "file")], lines, most)
     if strategy == "ast":
         defs = provider(lines.lines, language)
         if defs:
-            return finalize(definition_spans(lines, defs, 0, last, []), lines)
-    return finalize(line_windows(lines, 0, last, [], "block"), lines)
+            return finalize(definition_spans(lines, defs, 0, last, []), lines, most)
+    return finalize(line_windows(lines, 0, last, [], "block"), lines, most)
 
 
 CHUNKS = "repo_id string, path string, language string, start_line int, end_line int, symbol string, kind string, content string"
 
 
-def chunk_files(files: DataFrame, provider: BoundaryProvider = signature_boundaries) -> DataFrame:
-    """(id, repo_id, path, language, start_line, end_line, symbol, kind, content) of admitted files (repo_id, path, language, strategy, content). The id follows from repo, path and lines, so that runs agree."""
+def chunk_files(files: DataFrame, provider: BoundaryProvider = signature_boundaries, most: int | None = None) -> DataFrame:
+    """(id, repo_id, path, language, start_line, end_line, symbol, kind, content) of admitted files (repo_id, path, language, strategy, content): whole files, or the first `most` chunks of each (MAX_CHUNKS is the usual limit). The id follows from repo, path and lines, so that runs agree."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in CHUNKS.split(", ")]
         for pdf in batches:
-            rows = [(r.repo_id, r.path, r.language, *c) for r in pdf.itertuples() if r.content for c in chunk_text(r.content, r.language, r.strategy, provider)]
+            rows = [(r.repo_id, r.path, r.language, *c) for r in pdf.itertuples() if r.content for c in chunk_text(r.content, r.language, r.strategy, provider, most)]
             yield pd.DataFrame(rows, columns=names)
 
     out = files.select(F.col("repo_id").cast("string"), "path", "language", "strategy", "content").mapInPandas(cut, CHUNKS)

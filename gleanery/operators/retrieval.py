@@ -32,9 +32,11 @@ def few(df: DataFrame, most: int = 100_000, kb: int = 1024) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(id, repo_id, language, term, weight, tf): stemmed words of path and symbol with weight A, of the content with weight D; English stop words go."""
-    body = F.split(T.searchable_text(F.col("path"), F.col("symbol"), F.col("content"))["body"], " ")
+def postings(chunks: DataFrame, most_body: int | None = None) -> DataFrame:
+    """(id, repo_id, language, term, weight, tf): stemmed words of path and symbol with weight A, of the content (all of it, or up to most_body characters of its words) with weight D; English stop words go."""
+    body = T.split_identifiers(F.col("content"))
+    if most_body is not None:
+        body = F.split(T.searchable_text(F.col("path"), F.col("symbol"), F.col("content"), most_body)["body"], " ")
     words = chunks.select("id", "repo_id", "language", F.explode(F.concat(F.transform(T.head_words(F.col("path"), F.col("symbol")), lambda w: F.struct(w.alias("word"), F.lit("A").alias("weight"))), F.transform(body, lambda w: F.struct(w.alias("word"), F.lit("D").alias("weight"))))).alias("w"))
     words = words.where((F.col("w.word") != "") & ~F.col("w.word").isin(T.ENGLISH_WORDS))
     return words.groupBy("id", "repo_id", "language", T.stem(F.col("w.word")).alias("term"), F.col("w.weight").alias("weight")).agg(F.count("*").alias("tf"))

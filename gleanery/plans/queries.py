@@ -69,7 +69,7 @@ def t5_query_terms(spark, d):
     return df.select("query_id", joined(F.transform("t", lambda t: F.concat(t["word"], F.lit("/"), t["stem"]))).alias("terms"), T.or_query(F.col("t")).alias("or_query"))
 
 
-@query(f"SELECT id, {text(f'list_concat({S.split_identifiers(_SYMBOL)}, {S.split_identifiers(_PATH)})')} AS head, left({text(S.split_identifiers('content'))}, 200000) AS body FROM corpus_chunks")
+@query(f"SELECT id, {text(f'list_concat({S.split_identifiers(_SYMBOL)}, {S.split_identifiers(_PATH)})')} AS head, {text(S.split_identifiers('content'))} AS body FROM corpus_chunks")
 def t7_searchable_text(spark, d):
     both = T.searchable_text(F.col("path"), F.col("symbol"), F.col("content"))
     return view(spark, d, "corpus_chunks").select("id", both["head"].alias("head"), both["body"].alias("body"))

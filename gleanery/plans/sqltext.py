@@ -40,7 +40,7 @@ q_kept AS (SELECT query_id, p, p2, word, {stem('word')} AS stem FROM q_flat WHER
 q_first AS (SELECT *, row_number() OVER (PARTITION BY query_id, stem ORDER BY p, p2) AS nth FROM q_kept),
 q_terms AS MATERIALIZED (SELECT * FROM (SELECT query_id, word, stem, row_number() OVER (PARTITION BY query_id ORDER BY p, p2) AS pos FROM q_first WHERE nth = 1) WHERE pos <= {T.MAX_TERMS})"""
 
-BODY = f"string_split(left(array_to_string({split_identifiers('content')}, ' '), {T.MAX_BODY}), ' ')"
+BODY = split_identifiers("content")
 #: (id, repo_id, language, term, weight, tf) of corpus_chunks.
 POSTINGS = f"""p_words AS (SELECT id, repo_id, language, unnest(list_concat({split_identifiers('symbol')}, {split_identifiers('path')})) AS word, 'A' AS weight FROM corpus_chunks
 UNION ALL SELECT id, repo_id, language, unnest({BODY}) AS word, 'D' AS weight FROM corpus_chunks),
