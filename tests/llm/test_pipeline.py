@@ -40,6 +40,23 @@ def test_against_brute_force(spark, sf):
     assert 0.5 * docs.count() < len(want) < docs.count()
 
 
+def test_nulls_repeated_rows_and_clashing_columns(spark, sf):
+    from tests_llm_corpus import prose
+
+    t = [prose(k, 80) for k in range(4)]
+    rows = [(1, t[0]), (1, t[0]), (2, t[0]), (3, None), (4, ""), (None, t[1]), (None, None), (5, t[1] + " " + t[2]), (6, t[3])]
+    df = spark.createDataFrame([(i, x, k, "x", -1, 0.5, True) for k, (i, x) in enumerate(rows)], "doc_id long, text string, bucket int, rest string, row int, score double, kept boolean")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.schema.names == df.schema.names, name
+        got = {r.bucket: (r.doc_id, r.text, r.rest, r.row, r.score, r.kept) for r in out.collect()}
+        gone = {2} if name == "minhash_near_dedup" else {2} if name == "substring_dedup" else set()  # the copy of document 1
+        assert set(range(len(rows))) - set(got) == gone, name
+        assert all((v[0], *v[2:]) == (rows[k][0], "x", -1, 0.5, True) for k, v in got.items()), name
+        changed = {k for k, v in got.items() if (v[1] or "") != (rows[k][1] or "")}
+        assert changed == ({7} if name == "substring_dedup" else set()), name
+
+
 def test_stages_keep_the_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
