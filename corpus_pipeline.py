@@ -1,4 +1,10 @@
-"""From raw documents to tokens: toxic texts go, one of each group of near copies stays, repeated passages and texts that leak benchmarks go, the rest is encoded."""
+"""From raw documents to tokens: toxic texts go, one of each group of near copies stays, repeated passages and texts that leak benchmarks go, the rest is encoded.
+
+Null texts count as empty and stay, as nothing speaks against them. Rows of a null doc_id belong to no document: no stage
+drops them by id, but repeats of earlier documents are cut from them. Repeated rows of one doc_id are one document: all
+of them stay or go. Texts of any length are whole rows. An empty table comes back empty. Extra columns of documents, with
+whatever names, come along unchanged up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gleanery import ship
 from gleanery.llm import bpe, cdc, decontam, minhash, toxicity
-from gleanery.llm.common import materialize, small
+from gleanery.llm.common import delete, materialize, small
 from gleanery.llm.common import shared_dir as _shared_dir
 from gleanery.llm.queries import tokenizer_path
 
@@ -62,9 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         out, path = stage(spark, docs, sf_dir), _shared_dir(spark)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
