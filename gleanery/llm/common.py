@@ -145,8 +145,8 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def distinct_words(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows data[at[i]:at[i+1]]: the xxh3-128 digests of their different words (lower-cased A-Z), and of all words in order: which of those it is, its row, and len + 1 word offsets of the rows. Words never cross rows."""
+def distinct_words(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows data[at[i]:at[i+1]]: the xxh3-128 digests of their different words (lower-cased A-Z), as two numbers each, and of all words in order: which of those it is, its row, and len + 1 word offsets of the rows. Words never cross rows."""
     n = len(at) - 1
     lengths = np.diff(at)
     parted = np.full(int(at[-1] - at[0]) + n, 0x20, np.uint8)  # a space after each row
@@ -158,13 +158,14 @@ def distinct_words(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tupl
     kind, offsets = (pa.binary(), ends.astype(np.int32)) if ends[-1] < 1 << 31 else (pa.large_binary(), ends)
     words = pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(offsets), pa.py_buffer(parted[~SPACE[parted]])]).dictionary_encode()
     bounds = np.searchsorted(start, at - at[0] + np.arange(n + 1))
-    return list(map(xxhash.xxh3_128_digest, words.dictionary.to_pylist())), words.indices.to_numpy(), np.repeat(np.arange(n), np.diff(bounds)), bounds
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.dictionary.to_pylist())), "<u8").reshape(-1, 2)
+    return digests, words.indices.to_numpy(), np.repeat(np.arange(n), np.diff(bounds)), bounds
 
 
 def words_of(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same words' 64-bit hashes, their rows, and the rows' word offsets."""
     digests, which, row, bounds = distinct_words(data, at, lower)
-    return np.frombuffer(b"".join(digests), "<u8")[1::2][which], row, bounds
+    return digests[which, 1], row, bounds
 
 
 _libc = ctypes.CDLL(None)

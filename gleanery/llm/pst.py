@@ -29,7 +29,9 @@ DEPTH = 5
 LEAST = 2
 BLOCK_MB = 16
 #: The end of a text among words; no word has this digest.
-END = b"end of the text."
+END = np.frombuffer(b"end of the text.", "<u8")
+#: Places that are sorted at once, so that a gram and its place fit into 64 bits.
+CHUNK = 1 << 16
 PLANES = {f"b{k}": "u1" for k in range(DEPTH + 1)}
 GRAM = PLANES | {"n": "<i8"}
 ANSWER = PLANES | {"logp": "<f4"}
@@ -123,18 +125,28 @@ def _learned(texts: pa.Table, folds: int) -> np.ndarray:
     return np.array([h is False for h in held_out(texts.column("doc_id").to_pylist(), folds)], bool)
 
 
-def block_words(texts: pa.Table, folds: int) -> tuple[dict[bytes, int], np.ndarray]:
-    """The different words of a block by their digests, numbered in sorted order, END too, and how often each stands in training texts."""
+def told_apart(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of word digests, sorted, and which of those each is."""
+    order = np.lexsort((w[:, 1], w[:, 0]))
+    w = w[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]).any(axis=1)
+    which = np.empty(len(w), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return w[new], which
+
+
+def block_words(texts: pa.Table, folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different words of a block by their digests, sorted, END too, and how often each stands in training texts."""
     data, at = C.binary(texts.column("text"))
-    learned, counts = _learned(texts, folds), {END: 0}
-    counts[END] = int(learned.sum())
+    learned = _learned(texts, folds)
+    all_, counts = [END[None, :]], [np.array([learned.sum()], np.int64)]
     for i, j in C.slices(at):
         digests, which, row, _ = C.distinct_words(data, at[i : j + 1])
-        n = np.bincount(which, learned[i:j][row], len(digests)).astype(np.int64)
-        for d, c in zip(digests, n.tolist(), strict=True):
-            counts[d] = counts.get(d, 0) + c
-    order = sorted(counts)
-    return {d: k for k, d in enumerate(order)}, np.array([counts[d] for d in order], np.int64)
+        all_.append(digests)
+        counts.append(np.bincount(which, learned[i:j][row], len(digests)).astype(np.int64))
+    words, which = told_apart(np.concatenate(all_))
+    return words, np.bincount(which, np.concatenate(counts)).astype(np.int64)
 
 
 def block_grams(texts: pa.Table, folds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +168,22 @@ def block_grams(texts: pa.Table, folds: int) -> tuple[np.ndarray, np.ndarray]:
     return _summed(keys, counts)
 
 
-def _word_arrays(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    w = np.frombuffer(b"".join(words), "<u8").reshape(-1, 2)
-    return w[:, 0], w[:, 1]
+def placed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams with their places, sorted chunk by chunk: (different ones of each chunk, how often each, places in that order)."""
+    n = len(key)
+    rows = -(-n // CHUNK)
+    packed = np.full(rows * CHUNK, np.iinfo(np.uint64).max, np.uint64)
+    packed[:n] = key << U64(16)
+    packed = packed.reshape(rows, CHUNK)
+    packed |= np.arange(CHUNK, dtype=np.uint64)
+    packed.sort(axis=1)
+    place = (packed & U64(CHUNK - 1)).astype(np.int32) + (np.arange(rows, dtype=np.int32) * CHUNK)[:, None]
+    place, packed = place.ravel()[:n], packed.ravel()[:n] >> U64(16)  # what fills the last chunk comes last
+    new = np.ones(n, bool)
+    new[1:] = packed[1:] != packed[:-1]
+    new[::CHUNK] = True
+    cut = np.flatnonzero(new)
+    return packed[cut], np.diff(np.append(cut, n)), place
 
 
 def _asked(texts: pa.Table, parts: int, folds: int, grams: bool) -> pa.Table:
@@ -170,9 +195,8 @@ def _asked(texts: pa.Table, parts: int, folds: int, grams: bool) -> pa.Table:
         blobs = [C.pack(_planes(key[g]) | {"n": n[g]}) for g in groups]
     else:
         words, n = block_words(texts, folds)
-        w0, w1 = _word_arrays(words)
-        groups = _in_buckets(bucket := _dealt(w0, parts))
-        blobs = [C.pack({"w0": w0[g], "w1": w1[g], "n": n[g].astype("<u4")}) for g in groups]
+        groups = _in_buckets(bucket := _dealt(words[:, 0], parts))
+        blobs = [C.pack({"w0": words[g, 0], "w1": words[g, 1], "n": n[g].astype("<u4")}) for g in groups]
     return pa.table([pa.array([int(bucket[g[0]]) for g in groups], pa.int32()), pa.array([block] * len(groups), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
 
 
@@ -337,31 +361,29 @@ def _totals(texts: pa.Table, answers: pa.Table, parts: int, folds: int) -> pa.Ta
     n = len(texts)
     data, at = C.binary(texts.column("text"))
     # of each slice its different words and grams, and where they stand; the answers come once for all slices
-    slices = []
+    slices, all_ = [], [END[None, :]]
     for i, j in C.slices(at):
         digests, which, row, starts = C.distinct_words(data, at[i : j + 1])
         x, bounds = canonical(data, at[i : j + 1])
-        key = _grams(x, bounds)
-        order = np.argsort(key)
-        key = key[order]
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        slices.append((i, j, digests, which, row, np.diff(starts), np.diff(bounds) - DEPTH, key[cut], np.diff(np.append(cut, len(key))), order.astype(np.int32)))
-    words = {d: k for k, d in enumerate(sorted({END, *(d for s in slices for d in s[2])}))}
-    bucket = _dealt(_word_arrays(words)[0], parts)
-    train = _told(answers, 0, parts, _in_buckets(bucket), bucket, "<i8")
-    log = np.log10(train + 0.1)
+        slices.append((i, j, len(digests), which, row, np.diff(starts), np.diff(bounds) - DEPTH, *placed(_grams(x, bounds))))
+        all_.append(digests)
+    words, number = told_apart(np.concatenate(all_))
+    bucket = _dealt(words[:, 0], parts)
+    train = _told(answers, 0, parts, _in_buckets(bucket), bucket, "<i8")[number]  # END, then the slices' words
+    log, seen = np.log10(train + 0.1), train > 0
     key = np.unique(np.concatenate([s[7] for s in slices]))
     bucket = _dealt(key, parts)
     logp = _told(answers, parts, 2 * parts, _in_buckets(bucket), bucket, "<f4").astype(np.float64)
-    score_, base, tokens, known = np.zeros(n), np.full(n, log[words[END]]), np.ones(n, np.int64), np.full(n, int(train[words[END]] > 0))
-    for i, j, digests, which, row, count, sizes, grams, times, order in slices:
-        p = np.empty(len(order))
-        p[order] = np.repeat(logp[np.searchsorted(key, grams)], times)
+    score_, base, tokens, known = np.zeros(n), np.full(n, log[0]), np.ones(n, np.int64), np.full(n, int(seen[0]))
+    first = 1
+    for i, j, kinds_, which, row, count, sizes, grams, times, place in slices:
+        p = np.empty(len(place))
+        p[place] = np.repeat(logp[np.searchsorted(key, grams)], times)
         score_[i:j] = np.add.reduceat(p, np.cumsum(sizes) - sizes)
-        mine = np.array([words[d] for d in digests], np.int64)[which] if len(which) else which
-        base[i:j] += np.bincount(row, log[mine], j - i)
-        known[i:j] += np.bincount(row, train[mine] > 0, j - i).astype(np.int64)
+        base[i:j] += np.bincount(row, log[first : first + kinds_][which], j - i)
+        known[i:j] += np.bincount(row, seen[first : first + kinds_][which], j - i).astype(np.int64)
         tokens[i:j] += count
+        first += kinds_
     ids = texts.column("doc_id").to_pylist()
     base -= tokens * np.log10(size + 0.1 * (kinds + 1))
     return pa.table([ids, held_out(ids, folds), tokens, known, np.full(n, size), base, score_], schema=SCHEMA)
