@@ -179,15 +179,20 @@ def _joined(table: pa.Table, payloads: bool) -> pa.Table:
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """file, offset, page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload) of every record of the WARC/1.1 files below path. Files may be read in any number of byte ranges; records that payload magics cut into pieces are put together again; records cut off by the end of a file are left out."""
     raw = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    pieces = raw.mapInArrow(lambda it: _pieces(it, payloads), f"{PIECE}, {RECORD}")
+    # a file's pieces meet without their payloads, however large it is
+    pieces = raw.mapInArrow(C.mapped(_pieces, False), f"{PIECE}, {RECORD}")
     own = [c.split()[0] for c in RECORD.split(", ")]
-    chained = C.materialize(pieces.groupBy("file").applyInArrow(_chained, f"{PIECE}, {RECORD}, offset long, nth long"))
-    records = chained.where("nth = 0 and whole").select("file", "offset", *own)
+    chained = C.materialize(pieces.groupBy("file").applyInArrow(C.grouped(_chained), f"{PIECE}, {RECORD}, offset long, nth long"))
+    records = chained.where("nth = 0 and whole").select("file", "offset", "block", "idx", *own)
+    if payloads:
+        full = raw.mapInArrow(C.mapped(_pieces, True), f"{PIECE}, {RECORD}").select("file", "block", "idx", "payload")
+        records = records.drop("payload").join(full, ["file", "block", "idx"])
+    records = records.select("file", "offset", *own)
     if chained.where("nth = 0 and not whole").take(1):
         cut = chained.where("nth = 0 and not whole").select("file", "offset")
         parts = chained.join(C.small(cut), ["file", "offset"], "left_semi").select("file", "block", "idx", "offset", "nth")
-        values = raw.mapInArrow(_numbered, "value binary, file string, block long, idx long")
-        whole = values.join(C.small(parts), ["file", "block", "idx"]).groupBy("file", "offset").applyInArrow(lambda t: _joined(t, payloads), f"file string, offset long, {RECORD}")
+        values = raw.mapInArrow(C.mapped(_numbered), "value binary, file string, block long, idx long")
+        whole = values.join(C.small(parts), ["file", "block", "idx"]).groupBy("file", "offset").applyInArrow(C.grouped(_joined, payloads), f"file string, offset long, {RECORD}")
         records = records.union(whole)
     return records if payloads else records.drop("payload")
 
