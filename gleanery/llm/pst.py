@@ -27,7 +27,7 @@ U64 = np.uint64
 DEPTH = 5
 #: A context seen once says nothing of what follows it; for all others the likelihood test decides.
 LEAST = 2
-BLOCK_MB = 16
+BLOCK_MB = 8
 #: The end of a text among words; no word has this digest.
 END = np.frombuffer(b"end of the text.", "<u8")
 #: Places that are sorted at once, so that a gram and its place fit into 64 bits.
