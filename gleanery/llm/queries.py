@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cdc, decontam, html_extract, media, minhash, pst, suffix, toxicity, warc
+from . import bpe, cdc, decontam, fim, html_extract, media, minhash, pst, suffix, toxicity, warc
 from .common import shared_dir
 
 
@@ -64,6 +64,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.text_to_png(_read(spark, sf_dir, "documents")), digests=True)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(_read(spark, sf_dir, "documents"), seed=42, fim_percent=50, spm_percent=80))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op5_suffix_tree, op6_decontamination, op7_html, op8_toxicity, op9_warc, op10_media, pipeline)}
+    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op5_suffix_tree, op6_decontamination, op7_html, op8_toxicity, op9_warc, op10_media, op13_fill_in_middle, pipeline)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,7 +112,15 @@ OP9 = f"""WITH r AS (SELECT page_id, coalesce(html, '') AS p FROM pages), d AS (
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
+_HEX = lambda k: f"CAST(concat('0x', substr(h, {8 * k + 1}, 8)) AS BIGINT)"
+OP13 = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS ts, sha256(concat('42:', doc_id)) AS h FROM documents),
+c AS (SELECT *, len(ts) AS n, {_HEX(0)} % (len(ts) + 1) AS a, {_HEX(1)} % (len(ts) + 1) AS b,
+CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {_HEX(2)} % 100 >= 50 THEN 'plain' WHEN {_HEX(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT doc_id, n, form, text, array_to_string(ts[1:least(a, b)], '') AS p, array_to_string(ts[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(ts[greatest(a, b) + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Of those that SQL can express on whole tables; the others are tested against brute-force versions."""
-    return {"op1_minhash": OP1, "op6_decontamination": OP6, "op9_warc": OP9}
+    return {"op1_minhash": OP1, "op6_decontamination": OP6, "op9_warc": OP9, "op13_fill_in_middle": OP13}
