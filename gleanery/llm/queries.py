@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cdc, decontam, fim, html_extract, media, minhash, pst, suffix, toxicity, warc
+from . import bpe, cdc, decontam, fim, html_extract, jaccard, media, minhash, pst, suffix, toxicity, warc
 from .common import shared_dir
 
 
@@ -64,6 +64,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.text_to_png(_read(spark, sf_dir, "documents")), digests=True)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.fill_in_middle(_read(spark, sf_dir, "documents"), seed=42, fim_percent=50, spm_percent=80))
 
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op5_suffix_tree, op6_decontamination, op7_html, op8_toxicity, op9_warc, op10_media, op13_fill_in_middle, pipeline)}
+    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op5_suffix_tree, op6_decontamination, op7_html, op8_toxicity, op9_warc, op10_media, op12_jaccard_join, op13_fill_in_middle, pipeline)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
