@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cdc, decontam, fim, html_extract, jaccard, media, minhash, pst, suffix, toxicity, warc
+from . import bpe, cdc, decontam, fim, html_extract, jaccard, media, minhash, pst, suffix, toxicity, trie, warc
 from .common import shared_dir
 
 
@@ -64,6 +64,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.text_to_png(_read(spark, sf_dir, "documents")), digests=True)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op5_suffix_tree, op6_decontamination, op7_html, op8_toxicity, op9_warc, op10_media, op12_jaccard_join, op13_fill_in_middle, pipeline)}
+    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_bpe, op4_cdc_dedup, op5_suffix_tree, op6_decontamination, op7_html, op8_toxicity, op9_warc, op10_media, op11_prefix_trie, op12_jaccard_join, op13_fill_in_middle, pipeline)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,6 +122,18 @@ OP9 = f"""WITH r AS (SELECT page_id, coalesce(html, '') AS p FROM pages), d AS (
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
+_STEPS = "list_concat([4294967295::BIGINT], flatten(list_transform(str_split(conv_id::VARCHAR, ''), lambda x: list_concat([ascii(x)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]))))"
+_CRC = f"xor(4294967295::BIGINT, list_reduce({_STEPS}, lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END))"
+OP11 = f"""WITH o AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT *, {_CRC} % 9 AS h FROM o),
+b AS (SELECT h.conv_id, list_concat(coalesce(f.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN o f ON f.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, len(ts) AS n, md5(to_json(ts[1:d])::VARCHAR) AS k, CASE WHEN d > 0 THEN md5(to_json(ts[1:d - 1])::VARCHAR) END AS up, CASE WHEN d > 0 THEN strlen(ts[d].t) ELSE 0 END AS bytes FROM (SELECT *, unnest(generate_series(0, len(ts))) AS d FROM b)),
+n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, any_value(up) AS up, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends FROM p GROUP BY 1, 2),
+c AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND x.up = n.k) AS n_children FROM n),
+s AS (SELECT p.d, p.k, sum(CASE WHEN c.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((c.n_convs - 1) * c.bytes) AS saved FROM c JOIN p ON p.conv_id = c.conv_id AND p.d <= c.d GROUP BY 1, 2)
+SELECT c.conv_id, c.d AS depth, u.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(c.ends) AS ends_sha256
+FROM c JOIN s ON s.d = c.d AND s.k = c.k LEFT JOIN n u ON u.d = c.d - 1 AND u.k = c.up"""
+
 _HEX = lambda k: f"CAST(concat('0x', substr(h, {8 * k + 1}, 8)) AS BIGINT)"
 OP13 = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS ts, sha256(concat('42:', doc_id)) AS h FROM documents),
 c AS (SELECT *, len(ts) AS n, {_HEX(0)} % (len(ts) + 1) AS a, {_HEX(1)} % (len(ts) + 1) AS b,
@@ -129,4 +145,4 @@ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', p, '<S>',
 
 def oracle_sql() -> dict[str, str]:
     """Of those that SQL can express on whole tables; the others are tested against brute-force versions."""
-    return {"op1_minhash": OP1, "op6_decontamination": OP6, "op9_warc": OP9, "op12_jaccard_join": OP12, "op13_fill_in_middle": OP13}
+    return {"op1_minhash": OP1, "op6_decontamination": OP6, "op9_warc": OP9, "op11_prefix_trie": OP11, "op12_jaccard_join": OP12, "op13_fill_in_middle": OP13}
