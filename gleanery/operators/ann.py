@@ -59,8 +59,8 @@ def knn_ivf(index: DataFrame, centers: np.ndarray, queries: DataFrame, n: int =
         schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
-        ids, rows = b.column("query_id").to_numpy().astype(np.int64), a.column("id").to_numpy()
-        return pa.Table.from_batches(_nearest(matrix(a.column("embedding")), rows, rows, matrix(b.column("vector")), ids, [None] * len(ids), n)).cast(schema)
+        ids = b.column("query_id").to_numpy().astype(np.int64)
+        return pa.Table.from_batches(_nearest(matrix(a.column("embedding")), a.column("id").to_numpy(), {}, matrix(b.column("vector")), ids, [(None, None)] * len(ids), n), schema)
 
     found = v.groupBy("list", "part").cogroup(q.groupBy("list", "part")).applyInArrow(near, "query_id long, id long, similarity double")
     return ranked(found, [F.desc("similarity"), F.asc("id")], n, "semantic_rank")

@@ -3,6 +3,9 @@
 Tables: chunks (id, repo_id, path, language, symbol, kind, start_line, content), terms (id, repo_id, language, term,
 weight, tf), vectors (id, repo_id, language, embedding), queries (query_id, query, vector). A question's words and
 vector are small; chunks stay where they are and each leg reads only its own table.
+
+Each question may have a scope of its own: repo_id or repo_ids (an array), and languages (an array). None of them, null
+or an array without values stands for all. Both legs keep to it before they rank.
 """
 
 from __future__ import annotations
@@ -21,15 +24,39 @@ from ..sources.tables import materialize, planned_bytes
 CANDIDATES, RESULTS, RRF_K, KEYWORD_WEIGHT = 40, 10, 60, 0.6
 #: Weight of a term in a name or path, and in a body.
 WEIGHTS = {"A": 1.0, "D": 0.1}
-#: Up to so many queries are sent to every task; more are joined by shuffle or dealt into blocks.
-MANY_QUERIES = 20_000
+#: Up to so many queries of so many bytes are sent to every task; more are joined by shuffle or dealt into blocks.
+MANY_QUERIES, MANY_BYTES = 20_000, 64 << 20
+#: Up to so many repos or languages go into a scan's filter.
+MANY_VALUES = 1000
 
 
-def few(df: DataFrame, most: int = 100_000, kb: int = 1024) -> DataFrame:
-    """df, to be broadcast if it is known to be small (files or local rows of at most so many KB) or counted and has few rows; else it is joined by shuffle."""
+def fits(df: DataFrame, most: int = 100_000, kb: int = 1024, size: Column | None = None) -> bool:
+    """Whether df may be broadcast: known to be small (files or local rows of at most so many KB), or counted and of few rows. size: bytes of a row that isn't a few numbers; their sum is bounded by MANY_BYTES."""
     if planned_bytes(df) <= kb << 10:
-        return F.broadcast(df)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+        return True
+    if size is None:
+        return df.limit(most + 1).count() <= most
+    rows, total = df.limit(most + 1).agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return rows <= most and (total or 0) <= MANY_BYTES
+
+
+def few(df: DataFrame, most: int = 100_000, kb: int = 1024, size: Column | None = None) -> DataFrame:
+    """df, to be broadcast if it fits; else it is joined by shuffle."""
+    return F.broadcast(df) if fits(df, most, kb, size) else df
+
+
+def scoped(queries: DataFrame) -> DataFrame:
+    """queries with in_repos and in_languages: sorted arrays of what each may find, null for all."""
+    names = set(queries.columns)
+    none = F.lit(None).cast("array<string>")
+    one = F.when(F.col("repo_id").isNotNull(), F.array(F.col("repo_id").cast("string"))) if "repo_id" in names else none
+    repos = F.col("repo_ids") if "repo_ids" in names else one
+    some = lambda c: F.nullif(F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull()))), F.array().cast("array<string>"))
+    return queries.withColumns({"in_repos": some(repos), "in_languages": some(F.col("languages") if "languages" in names else none)})
+
+
+def _within(value: str, scope: str) -> Column:
+    return F.col(scope).isNull() | F.array_contains(F.col(scope), F.col(value))
 
 
 def postings(chunks: DataFrame, most_body: int | None = None) -> DataFrame:
@@ -43,9 +70,9 @@ def postings(chunks: DataFrame, most_body: int | None = None) -> DataFrame:
 
 
 def query_stems(queries: DataFrame) -> DataFrame:
-    """(query_id, term): what the keyword leg looks for."""
-    terms = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("t"))
-    return terms.where(~F.col("t.word").isin(T.ENGLISH_WORDS)).select("query_id", F.col("t.stem").alias("term"))
+    """(query_id, term, in_repos, in_languages): what the keyword leg looks for, and where."""
+    terms = scoped(queries).select("query_id", "in_repos", "in_languages", F.explode(T.query_terms(F.col("query"))).alias("t"))
+    return terms.where(~F.col("t.word").isin(T.ENGLISH_WORDS)).select("query_id", F.col("t.stem").alias("term"), "in_repos", "in_languages")
 
 
 def ranked(df: DataFrame, order: list[Column], n: int, name: str = "rnk") -> DataFrame:
@@ -54,9 +81,19 @@ def ranked(df: DataFrame, order: list[Column], n: int, name: str = "rnk") -> Dat
 
 
 def text_rank(terms: DataFrame, queries: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(query_id, id, rank) of every chunk that holds any term of a query: the sum of weight times occurrences."""
+    """(query_id, id, rank) of every chunk in a query's scope that holds any term of it: the sum of weight times occurrences.
+
+    A question's words are broadcast with its scope, so other repos' postings go where they are read. More words than that
+    meet the postings by (repo, term), those of questions without repos by the term.
+    """
     weight = F.try_element_at(F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v)))), F.col("weight"))
-    hits = terms.join(few(query_stems(queries)), "term")
+    stems = query_stems(queries)
+    if fits(stems, size=F.lit(64) + 32 * F.coalesce(F.size("in_repos"), F.lit(0))):
+        hits = terms.join(F.broadcast(stems), "term").where(_within("repo_id", "in_repos"))
+    else:
+        own = stems.where("in_repos is not null").withColumn("repo_id", F.explode("in_repos"))
+        hits = terms.join(own, ["repo_id", "term"]).unionByName(terms.join(stems.where("in_repos is null"), "term"))
+    hits = hits.where(_within("language", "in_languages"))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(weight * F.col("tf")), 6).alias("rank"))
 
 
@@ -92,73 +129,113 @@ def best_of(sim: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.lexsort((rows, -sim))[:n]
 
 
-def _nearest(v: np.ndarray, rows: np.ndarray, repo: np.ndarray, q: np.ndarray, ids: np.ndarray, repos: list, n: int) -> Iterator[pa.RecordBatch]:
-    """The n best rows of a block for each query of a block."""
-    for start in range(0, len(ids), 256):
-        sim, out = np.round(q[start : start + 256] @ v.T, 6), []
-        for k in range(sim.shape[0]):
-            want = repos[start + k]
-            ok = np.arange(len(rows)) if want is None else np.flatnonzero(repo == want)
-            best = ok[best_of(sim[k, ok], rows[ok], n)]
-            out.append((np.full(len(best), ids[start + k]), rows[best], sim[k, best]))
-        yield pa.record_batch([np.concatenate(x) for x in zip(*out, strict=True)], ["query_id", "id", "similarity"])
-
-
-def _rows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return matrix(batch.column("embedding")), batch.column("id").to_numpy(), np.array(batch.column("repo_id").to_pylist(), object)
+def _nearest(v: np.ndarray, rows: np.ndarray, held: dict[str, np.ndarray], q: np.ndarray, ids: np.ndarray, scopes: list[tuple], n: int) -> Iterator[pa.RecordBatch]:
+    """The n best rows of a block for each query of a block. Queries of one scope are multiplied with the rows in it; held: the rows' repo and language."""
+    groups: dict[tuple, list[int]] = {}
+    for k, scope in enumerate(scopes):
+        groups.setdefault(scope, []).append(k)
+    for scope, members in groups.items():
+        ok = np.arange(len(rows))
+        for column, wanted in zip(("repo_id", "language"), scope, strict=True):
+            if wanted is not None:
+                ok = ok[np.isin(held[column][ok], np.array(wanted, object))]
+        if not len(ok):
+            continue
+        inside, names = (v, rows) if len(ok) == len(rows) else (v[ok], rows[ok])
+        for start in range(0, len(members), 256):
+            some = members[start : start + 256]
+            sim, out = np.round(q[some] @ inside.T, 6), []
+            for k, x in zip(some, sim, strict=True):
+                best = best_of(x, names, n)
+                out.append((np.full(len(best), ids[k]), names[best], x[best]))
+            yield pa.record_batch([np.concatenate(x) for x in zip(*out, strict=True)], ["query_id", "id", "similarity"])
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    text = lambda c: np.array(["" if x is None else x for x in batch.column(c).to_pylist()], object)
+    return matrix(batch.column("embedding")), batch.column("id").to_numpy(), {c: text(c) for c in ("repo_id", "language") if c in batch.schema.names}
+
+
+def _asked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Unit vectors, ids and scopes of queries."""
+    scope = [[None if x is None else tuple(x) for x in table.column(c).to_pylist()] for c in ("in_repos", "in_languages")]
+    return matrix(table.column("vector")), table.column("query_id").to_numpy().astype(np.int64), list(zip(*scope, strict=True))
+
+
+def local_queries(own: DataFrame) -> pa.Table | None:
+    """The rows of own (with a vector) if they are few and small enough to be sent to all tasks."""
+    first = own.limit(1001).toArrow()
+    if first.num_rows <= 1000:
+        return first if first.nbytes <= MANY_BYTES else None
+    most = min(MANY_QUERIES, MANY_BYTES * first.num_rows // max(first.nbytes, 1))
+    got = own.limit(most + 1).toArrow()
+    return got if got.num_rows <= most else None
 
 
 NEAREST = "query_id long, id long, similarity double"
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """(query_id, id, similarity, semantic_rank): exact nearest chunks by cosine, similarities rounded to 6 digits, ties by id.
+    """(query_id, id, similarity, semantic_rank): exact nearest chunks in each query's scope by cosine, similarities rounded to 6 digits, ties by id.
 
     Every task multiplies its vectors with the queries, block by block, and keeps n of each query, so only those are
-    shuffled. queries: (query_id, vector) and, to search one repo each, repo_id. Up to 20,000 queries come to the tasks
-    from the driver; more are dealt into blocks that meet the vectors' blocks by shuffle. A vector without length has
-    similarity 0; null ones are no candidates.
+    shuffled. Queries that are few and small come to the tasks from the driver, and if all of them name repos or
+    languages, these reach the scan as a filter; more queries are dealt into blocks that meet the vectors' blocks by
+    shuffle. A vector without length has similarity 0; null ones are no candidates.
     """
-    own = queries.withColumn("repo_id", F.col("repo_id") if "repo_id" in queries.columns else F.lit(None).cast("string"))
-    own = own.where("vector is not null").select("query_id", "vector", "repo_id")
-    asked = own.limit(MANY_QUERIES + 1).toArrow()
-    have = vectors.where("embedding is not null").select("id", "repo_id", "embedding")
-    if asked.num_rows > MANY_QUERIES:
-        local = _nearest_blocks(have, own, n)
+    own = scoped(queries).where("vector is not null").select("query_id", "vector", "in_repos", "in_languages")
+    asked = local_queries(own)
+    have = vectors.where("embedding is not null")
+    if asked is None:
+        local = _nearest_blocks(have, queries, n)
     else:
-        q, ids, repos = matrix(asked.column("vector")), asked.column("query_id").to_numpy().astype(np.int64), asked.column("repo_id").to_pylist()
+        q, ids, scopes = _asked(asked)
+        for k, column in enumerate(("repo_id", "language")):
+            if column in have.columns and scopes and all(s[k] is not None for s in scopes):
+                wanted = sorted({x for s in scopes for x in s[k]})
+                have = have.where(F.col(column).isin(wanted)) if len(wanted) <= MANY_VALUES else have
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows and len(ids):
-                    yield from _nearest(*_rows(batch), q, ids, repos, n)
+                    yield from _nearest(*_rows(batch), q, ids, scopes, n)
 
-        local = have.mapInArrow(near, NEAREST)
+        local = have.select("id", *_scope_columns(have), "embedding").mapInArrow(near, NEAREST)
     return ranked(local, [F.desc("similarity"), F.asc("id")], n, "semantic_rank")
 
 
+def _scope_columns(vectors: DataFrame) -> list[str]:
+    return [c for c in ("repo_id", "language") if c in vectors.columns]
+
+
 def _nearest_blocks(vectors: DataFrame, queries: DataFrame, n: int, q_rows: int = MANY_QUERIES, v_rows: int = 200_000) -> DataFrame:
     """A block matrix product: each block of queries meets each block of vectors in one task, and n of each query leave it."""
+    queries = scoped(queries).where("vector is not null")
     nq, nv = (max(1, -(-df.count() // rows)) for df, rows in ((queries, q_rows), (vectors, v_rows)))
     block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    v = vectors.select(block("id", nv).alias("vb"), every(nq).alias("qb"), "id", "repo_id", "embedding")
-    q = queries.select(every(nv).alias("vb"), block("query_id", nq).alias("qb"), "query_id", "vector", F.col("repo_id"))
+    v = vectors.select(block("id", nv).alias("vb"), every(nq).alias("qb"), "id", *_scope_columns(vectors), "embedding")
+    q = queries.select(every(nv).alias("vb"), block("query_id", nq).alias("qb"), "query_id", "vector", "in_repos", "in_languages")
 
     def near(a: pa.Table, b: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
-        return pa.Table.from_batches(_nearest(*_rows(a), matrix(b.column("vector")), b.column("query_id").to_numpy().astype(np.int64), b.column("repo_id").to_pylist(), n)).cast(schema)
+        return pa.Table.from_batches(_nearest(*_rows(a), *_asked(b), n), schema)
 
     return v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(near, NEAREST)
 
 
 def best_query(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(id, query_id, similarity): of each vector the query that it answers best, every one compared, ties to the smaller query. Queries are a stated set; their number is checked."""
-    asked = queries.where("vector is not null").select("query_id", "vector").orderBy("query_id").limit(MANY_QUERIES + 1).toArrow()
-    if asked.num_rows > MANY_QUERIES:
-        raise ValueError(f"more than {MANY_QUERIES} queries")
+    """(id, query_id, similarity): of each vector the query that it answers best, every one compared, ties to the smaller query. Many queries meet the vectors in blocks."""
+    own = queries.where("vector is not null").select("query_id", "vector")
+    have = vectors.where("embedding is not null").select("id", "embedding")
+    asked = local_queries(own)
+    if asked is None:  # the same search with sides changed
+        turned = _nearest_blocks(own.select(F.col("query_id").alias("id"), F.col("vector").alias("embedding")), have.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), 1, q_rows=200_000, v_rows=MANY_QUERIES)
+        best_ = ranked(turned, [F.desc("similarity"), F.asc("id")], 1, "rnk")
+        return best_.select(F.col("query_id").alias("id"), F.col("id").alias("query_id"), "similarity")
+    asked = asked.sort_by("query_id")
     q, ids = matrix(asked.column("vector")), asked.column("query_id").to_numpy().astype(np.int64)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +245,7 @@ def best_query(vectors: DataFrame, queries: DataFrame) -> DataFrame:
                 at = sim.argmax(axis=1)
                 yield pa.record_batch([batch.column("id"), pa.array(ids[at]), pa.array(sim[np.arange(len(at)), at])], ["id", "query_id", "similarity"])
 
-    return vectors.where("embedding is not null").select("id", "embedding").mapInArrow(best, "id long, query_id long, similarity double")
+    return have.mapInArrow(best, "id long, query_id long, similarity double")
 
 
 def rrf_fuse(semantic: DataFrame, keyword: DataFrame, k: int = RRF_K, weight: float = KEYWORD_WEIGHT) -> DataFrame:
@@ -188,16 +265,17 @@ def apply_prior(fused: DataFrame, chunks: DataFrame, n: int = RESULTS) -> DataFr
 def hybrid_search(chunks: DataFrame, terms: DataFrame, vectors: DataFrame, queries: DataFrame, n: int = RESULTS, languages: list[str] | None = None) -> DataFrame:
     """The n best chunks of each query: query_id, id, path, language, semantic_rank, keyword_rank, score, similarity, final_rank.
 
-    A query without terms is answered by its vector alone, one without a vector by its terms; a chunk without a vector
-    has similarity 0. languages: only chunks in those; none or an empty list: all. The fused ids are written to the
-    shared folder, so the legs run when this is called.
+    Each query finds only what is in its scope: its repos and languages, or all (see `scoped`). A query without terms is
+    answered by its vector alone, one without a vector by its terms; a chunk without a vector has similarity 0.
+    languages: for all queries, only chunks in those; none or an empty list: all. The fused ids are written to the shared
+    folder, so the legs run when this is called.
     """
     if languages:
         terms, vectors = terms.where(F.col("language").isin(languages)), vectors.where(F.col("language").isin(languages))
     # both are a few dozen rows a query and read several times below
     fused = materialize(rrf_fuse(nearest(vectors, queries), keyword_leg(terms, queries)))
     top = materialize(apply_prior(fused, chunks, n))
-    with_vectors = vectors.select("id", "embedding").join(few(top.select("query_id", "id")), "id").join(few(queries.select("query_id", "vector")), "query_id")
+    with_vectors = vectors.select("id", "embedding").join(few(top.select("query_id", "id")), "id").join(few(queries.select("query_id", "vector"), size=F.size("vector") * 8), "query_id")
     similarity = with_vectors.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"))
     return top.join(similarity, ["query_id", "id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
@@ -215,10 +293,10 @@ def containing(items: DataFrame, docs: DataFrame, run: int = 4) -> DataFrame:
     ws = docs.select("id", "text", words(F.col("text")).alias("ws"))
     keys = F.transform(F.when(F.size("ws") >= run, F.sequence(F.lit(0), F.size("ws") - run)).otherwise(F.array().cast("array<int>")), lambda i: key(F.col("ws"), i))
     met = ws.select("id", F.explode(F.array_distinct(keys)).alias("key")).join(few(long.select("key", "query_id")), "key").select("id", "query_id").distinct()
-    found = docs.join(few(met), "id").join(few(long.drop("key")), "query_id").where(F.contains("text", "item")).select("query_id", "id")
+    found = docs.join(few(met), "id").join(few(long.drop("key"), size=F.octet_length("item")), "query_id").where(F.contains("text", "item")).select("query_id", "id")
     short = items.where(F.size("ws") < run + 2)
     if short.take(1):
-        found = found.union(docs.join(few(short), F.contains("text", "item")).select("query_id", "id"))
+        found = found.union(docs.join(few(short, size=F.octet_length("item")), F.contains("text", "item")).select("query_id", "id"))
     return found.distinct()
 
 

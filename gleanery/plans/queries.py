@@ -16,7 +16,7 @@ from ..operators import catalog as K
 from ..operators import incremental as I
 from ..operators import retrieval as R
 from ..operators.explain import explain_hits
-from ..sources.tables import materialize, read_repo_meta, shared_dir
+from ..sources.tables import materialize, read_repo_meta, read_terms, shared_dir, write_terms
 from . import sqltext as S
 from .views import AS_OF, view, with_views
 
@@ -141,6 +141,22 @@ def t19_hybrid_search(spark, d):
     return _hits(spark, d)
 
 
+@query(f"WITH {S.SCOPED_LEGS} SELECT h.query_id, h.id, c.repo_id, h.language, h.semantic_rank, h.keyword_rank, h.score, h.final_rank, CASE WHEN q.vector IS NULL OR v.embedding IS NULL THEN 0 ELSE {S.SIMILARITY} END AS similarity FROM hits h JOIN scoped_queries q USING (query_id) JOIN corpus_chunks c ON c.id = h.id LEFT JOIN chunk_vectors v ON v.id = h.id")
+def p8_p9_t19_scoped_search(spark, d):
+    """Hybrid search in which each question has its own repos and languages, one, several or all; both legs keep to them."""
+    chunks = view(spark, d, "corpus_chunks")
+    hits = R.hybrid_search(chunks, R.postings(chunks), view(spark, d, "chunk_vectors"), view(spark, d, "scoped_queries"))
+    return hits.join(chunks.select("id", "repo_id"), "id").select("query_id", "id", "repo_id", "language", "semantic_rank", "keyword_rank", "score", "final_rank", "similarity")
+
+
+@query(f"WITH {S.SCOPED_LEGS} SELECT query_id, id, rank FROM text_ranks")
+def p9_s11_scoped_terms(spark, d):
+    """Postings stored by repo and term; a question reads those of its own repos."""
+    path, q = shared_dir(spark, "terms"), view(spark, d, "scoped_queries")
+    write_terms(R.postings(view(spark, d, "corpus_chunks")), path, by_repo=True)
+    return R.text_rank(read_terms(spark, path, R.query_stems(q)), q)
+
+
 @query(f"WITH {S.LEGS} SELECT query_id, id, final_rank FROM hits WHERE final_rank <= 3")
 def k8_top_three(spark, d):
     return _hits(spark, d).where("final_rank <= 3").select("query_id", "id", "final_rank")

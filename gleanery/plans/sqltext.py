@@ -64,6 +64,14 @@ def prior(path: str, language: str) -> str:
 
 LEGS = LEGS.replace("{prior}", prior("c.path", "c.language"))
 
+#: The same where each question has repos and languages of its own.
+_IN_SCOPE = "(q.repo_ids IS NULL OR list_contains(q.repo_ids, {t}.repo_id)) AND (q.languages IS NULL OR list_contains(q.languages, {t}.language))"
+SCOPED_LEGS = (
+    LEGS.replace("search_queries", "scoped_queries")
+    .replace("JOIN q_terms t ON p.term = t.stem WHERE", f"JOIN q_terms t ON p.term = t.stem JOIN scoped_queries q ON q.query_id = t.query_id WHERE {_IN_SCOPE.format(t='p')} AND")
+    .replace("WHERE q.vector IS NOT NULL)", f"WHERE q.vector IS NOT NULL AND {_IN_SCOPE.format(t='v')})")
+)
+
 
 def case(x: str, table: dict) -> str:
     return f"CASE {x} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in table.items() if v) + " END"

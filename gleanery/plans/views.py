@@ -29,6 +29,11 @@ VIEWS = {
     "chunk_vectors": """SELECT d.doc_id AS id, d.source AS repo_id, CASE d.lang WHEN 'en' THEN 'Markdown' WHEN 'fr' THEN 'Python' WHEN 'de' THEN 'Go' ELSE 'Rust' END AS language,
   e.embedding FROM {documents} d JOIN {embeddings} e ON d.doc_id = e.vec_id""",
     "search_queries": """SELECT b.item_id AS query_id, substr(trim(b.text), 1, 300) AS query, e.embedding AS vector
+  FROM {benchmark} b LEFT JOIN {embeddings} e ON b.item_id = e.vec_id""",
+    "scoped_queries": """SELECT b.item_id AS query_id, substr(trim(b.text), 1, 300) AS query, e.embedding AS vector,
+  CASE b.item_id % 4 WHEN 1 THEN split(concat('src', CAST(b.item_id % 20 AS VARCHAR(20))), ',')
+    WHEN 2 THEN split(concat('src', CAST(b.item_id % 20 AS VARCHAR(20)), ',src', CAST((b.item_id * 7 + 3) % 20 AS VARCHAR(20)), ',src', CAST((b.item_id + 11) % 20 AS VARCHAR(20))), ',') END AS repo_ids,
+  CASE WHEN b.item_id % 4 = 2 THEN split('Go,Markdown', ',') WHEN b.item_id % 4 = 3 THEN split('Python,Rust,Markdown', ',') END AS languages
   FROM {benchmark} b LEFT JOIN {embeddings} e ON b.item_id = e.vec_id""",
     "search_labels": "SELECT b.item_id AS query_id, d.doc_id AS id FROM {benchmark} b JOIN {documents} d ON contains(d.text, b.text)",
     "talk_files": """SELECT concat('conv', CAST(conv_id % 10 AS VARCHAR(20))) AS repo_id, concat('docs/c', CAST(conv_id AS VARCHAR(20)), '_', CAST(turn AS VARCHAR(20)), '.md') AS path,

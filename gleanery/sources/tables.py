@@ -81,26 +81,37 @@ def bucket_count(rows: int, per_bucket: int = 2_000_000, least: int = 16) -> int
     return max(least, 1 << max(0, (rows // per_bucket) - 1).bit_length())
 
 
-def write_terms(terms: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Postings by a hash of the term, sorted by it, so that a search reads the buckets of its words only and in them the row groups that hold these. The number of buckets follows from the counted postings."""
+def write_terms(terms: DataFrame, path: str, buckets: int | None = None, by_repo: bool = False) -> None:
+    """Postings by a hash of the term, sorted by it, so that a search reads the buckets of its words only and in them the row groups that hold these. by_repo: by a hash of repo and term, so that questions with repos of their own read these repos' postings only. The number of buckets follows from the counted postings."""
     if buckets is None:
         terms = materialize(terms, "postings")
         buckets = bucket_count(terms.count())
-    rows = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    terms.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}-meta")
+    key = ["repo_id", "term"] if by_repo else ["term"]
+    rows = terms.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "repo_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    terms.sparkSession.createDataFrame([(buckets, by_repo)], "buckets int, by_repo boolean").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}-meta")
 
 
 def read_terms(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
-    """Postings of some words (term; a question's few): only their buckets are listed, and the words reach the scan as a filter."""
-    buckets = spark.read.parquet(f"{path.rstrip('/')}-meta").first().buckets
-    wanted = [r.term for r in words.select("term").distinct().limit(MANY_WORDS + 1).collect()]
-    table = spark.read.parquet(path)
+    """Postings of some words (term, and in_repos if they are looked for in some repos; a question's few): only their buckets are listed, and words and repos reach the scan as filters."""
+    meta, table = spark.read.parquet(f"{path.rstrip('/')}-meta").first(), spark.read.parquet(path)
+    scope = F.col("in_repos") if "in_repos" in words.columns else F.lit(None).cast("array<string>")
+    asked = words.select("term", F.explode_outer(scope).alias("repo_id")).distinct()
+    wanted = asked.limit(MANY_WORDS + 1).collect()
+    everywhere = any(r.repo_id is None for r in wanted)
+    key = ["repo_id", "term"] if meta.by_repo else ["term"]
     if len(wanted) > MANY_WORDS:
-        ids = words.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket")).distinct()
-        return table.join(ids, "bucket", "left_semi")
-    at = [r.b for r in spark.createDataFrame([(w,) for w in wanted], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("b")).distinct().collect()]
-    return table.where(F.col("bucket").isin(at) & F.col("term").isin(wanted))
+        if meta.by_repo and asked.where("repo_id is null").take(1):
+            return table
+        return table.join(asked.select(F.pmod(F.xxhash64(*key), F.lit(meta.buckets)).alias("bucket")).distinct(), "bucket", "left_semi")
+    table = table.where(F.col("term").isin(sorted({r.term for r in wanted})))
+    if not everywhere:
+        table = table.where(F.col("repo_id").isin(sorted({r.repo_id for r in wanted})))
+    if meta.by_repo and everywhere:
+        return table
+    local = spark.createDataFrame([(r.term, r.repo_id) for r in wanted], "term string, repo_id string")
+    at = [r.b for r in local.select(F.pmod(F.xxhash64(*key), F.lit(meta.buckets)).alias("b")).distinct().collect()]
+    return table.where(F.col("bucket").isin(at))
 
 
 def write_vectors(vectors: DataFrame, chunks: DataFrame, path: str) -> None:
