@@ -112,8 +112,3 @@ def read_terms(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
     local = spark.createDataFrame([(r.term, r.repo_id) for r in wanted], "term string, repo_id string")
     at = [r.b for r in local.select(F.pmod(F.xxhash64(*key), F.lit(meta.buckets)).alias("b")).distinct().collect()]
     return table.where(F.col("bucket").isin(at))
-
-
-def write_vectors(vectors: DataFrame, chunks: DataFrame, path: str) -> None:
-    """Vectors (id, embedding) of known chunks, with what searches filter by; appended."""
-    vectors.join(chunks.select("id", "repo_id", "language"), "id").write.mode("append").parquet(path)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from ..operators import incremental as I
+from ..sources.store import IndexStore, apply_snapshot
 from ..sources.tables import materialize, shared_dir
 
 
@@ -118,44 +121,136 @@ def expire(events: DataFrame, key: str, ttl_seconds: int, delay: str = "10 minut
     return marked.groupBy(key).applyInPandasWithState(step, f"{key} long, at double", "last double", "append", GroupStateTimeout.EventTimeTimeout).select(key, F.timestamp_seconds("at").alias("expired_at"))
 
 
-BUCKETS = 16
-
-
-def write_store(files: DataFrame, derived: DataFrame, base: str) -> None:
-    """The index as two tables by bucket of the repo: files (repo_id, path, content_hash) and what is derived from them (repo_id, path, …)."""
-    for df, name in ((derived, "derived"), (files, "files")):  # a file counts as done only once what is derived from it stands
-        rows = df.withColumn("bucket", F.pmod(F.xxhash64("repo_id"), F.lit(BUCKETS)))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{base}/{name}")
-
-
-def read_store(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{name}").drop("bucket")
+#: Rows of one repo that a batch holds in memory before they go into the state.
+MOST_FRESH = 10_000
+
+
+def _whole(rows_type: StructType, wait_seconds: int) -> StatefulProcessor:
+    """The processor of `whole_snapshots`. Its class is made here, so that it goes to the workers, of which one is the driver's, with its code."""
+    most_fresh = MOST_FRESH
+
+    class Whole(StatefulProcessor):
+        """Gathers one repo's snapshot: rows by path until as many are there as its end mark says."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.paths = handle.getMapState("paths", "path string", StructType([f for f in rows_type.fields if f.name != "path"]))
+            self.open = handle.getValueState("open", "snapshot long, expected long, seen long")
+
+        def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+            snapshot, expected, seen = self.open.get() if self.open.exists() else (None, None, 0)
+            fresh: dict[str, tuple] = {}  # what came just now; it goes into the state if more is to come, or if it is much
+            names = [f.name for f in rows_type.fields if f.name != "path"]
+            for pdf in rows:
+                pdf = pdf.astype(object).where(pdf.notna(), None)
+                for r in pdf.sort_values("snapshot", kind="stable").itertuples(index=False):
+                    if snapshot is not None and r.snapshot < snapshot:
+                        continue  # a newer one has begun, or is done
+                    if snapshot is None or r.snapshot > snapshot:
+                        self.paths.clear()
+                        fresh.clear()
+                        snapshot, expected, seen = int(r.snapshot), None, 0
+                    if seen < 0:
+                        continue  # handed on already
+                    if r.path is None:
+                        expected = int(r.expected)
+                    else:
+                        fresh[r.path] = tuple(getattr(r, c) for c in names)
+                    if len(fresh) >= most_fresh:
+                        seen = self._keep(fresh, seen)
+                if expected is not None and seen >= 0:
+                    if seen:
+                        seen = self._keep(fresh, seen)
+                    if seen + len(fresh) >= expected:
+                        yield from self._done(key, names, fresh)
+                        seen = -1
+            if seen >= 0:
+                seen = self._keep(fresh, seen)
+            self.open.update((snapshot, expected, seen))
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if seen >= 0:
+                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + wait_seconds * 1000)
+
+        def _keep(self, fresh: dict[str, tuple], seen: int) -> int:
+            """Moves rows into the state; how many paths are there now."""
+            for path, values in fresh.items():
+                seen += not (seen and self.paths.containsKey((path,)))
+                self.paths.updateValue((path,), values)
+            fresh.clear()
+            return seen
+
+        def _done(self, key: tuple, names: list[str], fresh: dict[str, tuple]) -> Iterator[pd.DataFrame]:
+            """The snapshot's rows, a few thousand at a time, and one without a path."""
+            out, held = [], 0
+            for (path,), values in itertools.chain((((p,), v) for p, v in fresh.items()), self.paths.iterator()):
+                out.append((key[0], path, *values))
+                held += sum(len(v) for v in values if isinstance(v, str))
+                if len(out) >= 2000 or held > 8 << 20:
+                    yield pd.DataFrame(out, columns=["repo_id", "path", *names])
+                    out, held = [], 0
+            yield pd.DataFrame([*out, (key[0], None, *(None for _ in names))], columns=["repo_id", "path", *names])
+            self.paths.clear()
+
+        def handleExpiredTimer(self, key, timers, info) -> Iterator[pd.DataFrame]:  # noqa: N802
+            """A snapshot that stayed incomplete is given up; its rows are forgotten, later ones of it are ignored."""
+            snapshot = self.open.get()[0]
+            self.paths.clear()
+            self.open.update((snapshot, None, -1))
+            yield pd.DataFrame(columns=["repo_id", *(f.name for f in rows_type.fields)])
+
+        def close(self) -> None:
+            pass
+
+    return Whole()
+
+
+#: What a stream of snapshots has besides the rows' own columns.
+MARKS = ("repo_id", "snapshot", "expected")
+
+
+def whole_snapshots(rows: DataFrame, wait_seconds: int = 3600) -> DataFrame:
+    """Rows of complete snapshots only, and one row without a path for each, however its rows were split over micro-batches.
+
+    rows: repo_id, snapshot (a number that grows), path, content_hash, ..., and per snapshot an end mark: path null and
+    `expected` its number of paths, in any place. A path that comes twice counts once, its last row stands. A newer
+    snapshot takes the place of an older one that isn't complete, rows of older ones are left out, and one that lacks rows
+    for wait_seconds is given up. Rows wait in RocksDB on disk, which the session must have as its state store
+    (`index_stream` sees to that); what stays of a repo afterwards is three numbers.
+    """
+    own = StructType(sorted((f for f in rows.schema.fields if f.name not in MARKS), key=lambda f: f.name != "path"))
+    out = StructType([rows.schema["repo_id"], *own.fields])
+    return rows.groupBy("repo_id").transformWithStateInPandas(_whole(own, wait_seconds), out, "Append", "ProcessingTime")
 
 
-def index_stream(snapshots: DataFrame, base: str, derive: Callable[[DataFrame], DataFrame]) -> None:
-    """Takes arriving snapshots (repo_id, path, content_hash, …; a repo's rows come together) into the index at base.
+def index_stream(snapshots: DataFrame, store: IndexStore, derive: Callable[[DataFrame], dict[str, DataFrame]], keys: dict[str, list[str]], wait_seconds: int = 3600) -> None:
+    """Takes arriving snapshots (see `whole_snapshots`; with content_hash) into the index, each once it is complete.
 
-    Each batch is compared with the repos' stored files; derive gets only rows of added and changed ones, and only the
-    buckets of the batch's repos are written. All state is at base, the stream's checkpoint too, so a later call goes on
-    where the last one ended; a batch that is repeated after a failure gives the same index.
+    A batch's snapshots are compared with the stored files, derive gets only rows of added and changed ones, and only the
+    buckets that change are written. Files and what is derived from them become visible together, as one version of the
+    store, so a batch that is repeated after a failure gives the same index. The stream's checkpoint stands beside the
+    tables; a later call goes on where the last one ended.
     """
-    spark = snapshots.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
         df = materialize(df, "batch")
-        repos = df.select("repo_id").distinct()
-        in_batch = [r.b for r in repos.select(F.pmod(F.xxhash64("repo_id"), F.lit(BUCKETS)).alias("b")).distinct().collect()]
-        if not in_batch:
+        done = df.where("path is null").select("repo_id").distinct()
+        if not done.take(1):
             return
-        files, derived = (spark.read.parquet(f"{base}/{t}").where(F.col("bucket").isin(in_batch)).drop("bucket") for t in ("files", "derived"))
-        own, others = (files.join(repos, "repo_id", how) for how in ("left_semi", "left_anti"))
-        diff = materialize(I.diff_snapshot(own, df), "diff")
-        new = df.join(diff.where(F.col("change").isin("added", "changed")).select("repo_id", "path"), ["repo_id", "path"], "left_semi")
-        hashes = df.select("repo_id", "path", "content_hash")
-        # both are read in full before their buckets are overwritten
-        files = materialize(I.apply_diff(own, diff, hashes).unionByName(others), "files")
-        derived = materialize(I.apply_diff(derived, diff, derive(new)), "derived")
-        write_store(files, derived, base)
-
-    q = snapshots.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").start()
-    q.awaitTermination()
+        change = store.change()
+        emptied = done.join(df.where("path is not null").select("repo_id").distinct(), "repo_id", "left_anti")
+        apply_snapshot(change, df.where("path is not null"), derive, keys, also=emptied)
+        change.commit()
+
+    conf = snapshots.sparkSession.conf
+    # the one store with such state; and as timers would ask for empty batches for ever, they fire when the next rows come
+    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            conf.set(k, v)
+        q = whole_snapshots(snapshots, wait_seconds).writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", f"{store.base}-stream").start()
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)

@@ -51,10 +51,6 @@ def test_ivf_recall(spark, sf):
     q = view(spark, sf, "search_queries").where("vector is not null")
     near = {(r.query_id, r.id) for r in ann.knn_ivf(index, centers, q, 10, probes=6).collect()}
     assert len(exact & near) >= 0.9 * len(exact) and index.count() == view(spark, sf, "chunk_vectors").count()
-    go = F.col("language") == "Go"
-    some = ann.knn_ivf_filtered(index, centers, q.select("query_id", "vector"), go, n=10, probes=1)
-    per = [r["count"] for r in some.groupBy("query_id").count().collect()]
-    assert len(per) == q.count() and min(per) == min(10, index.where(go).count())
 
 
 def test_hybrid_edges(spark, sf):
@@ -138,36 +134,6 @@ def test_vectors_are_unit(spark, sf):
     assert np.allclose([np.linalg.norm(r.embedding) for r in rows], 1) and {len(r.embedding) for r in rows} == {64}
 
 
-def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
-    """Snapshots that arrive one after the other; only what changed is derived, and the index equals one built at once."""
-    from gleanery.plans.jobs import derive_chunks
-    from gleanery.streaming import jobs as ST
-
-    base, source = str(tmp_path / "index"), str(tmp_path / "in")
-    body = lambda k, v: f"def f{k}():\n    return {v}\n" * 3
-    table = lambda rows: spark.createDataFrame(rows, "repo_id int, path string, content string").withColumn("content_hash", F.sha1("content"))
-    first = table([(r, f"a{k}.py", body(k, 0)) for r in range(4) for k in range(3)])
-    ST.write_store(first.select("repo_id", "path", "content_hash"), derive_chunks(first), base)
-    derived = spark.sparkContext.accumulator(0)
-
-    def derive(df):
-        derived.add(df.count())
-        return derive_chunks(df)
-
-    second = table([(0, "a0.py", body(0, 0)), (0, "a1.py", body(1, 9)), (0, "new.py", body(7, 7))])
-    third = table([(0, "a1.py", body(1, 9)), (3, "a0.py", body(0, 5)), (9, "z.py", body(1, 1))])
-    for k, snapshot in enumerate((second, third)):
-        snapshot.coalesce(1).write.parquet(f"{source}/{k}")
-        stream = spark.readStream.schema(snapshot.schema).option("recursiveFileLookup", "true").parquet(source)
-        ST.index_stream(stream, base, derive)
-    assert derived.value == 2 + 2
-    want = table([(0, "a1.py", body(1, 9)), *((r, f"a{k}.py", body(k, 0)) for r in (1, 2) for k in range(3)), (3, "a0.py", body(0, 5)), (9, "z.py", body(1, 1))])
-    key = lambda r: (r.repo_id, r.path)
-    assert sorted(map(tuple, ST.read_store(spark, base, "files").select("repo_id", "path", "content_hash").collect())) == sorted(map(tuple, want.select("repo_id", "path", "content_hash").collect()))
-    got = sorted(ST.read_store(spark, base, "derived").select("repo_id", "path", "id", "content", "embedding").collect(), key=key)
-    assert got == sorted(derive_chunks(want).select("repo_id", "path", "id", "content", "embedding").collect(), key=key) and all(len(r.embedding) == 64 for r in got)
-
-
 def test_chunks_from_archives_are_those_of_the_files(spark, sf):
     from gleanery.operators import admission as AD
     from gleanery.operators import chunking as C
