@@ -3,9 +3,10 @@
 Two sets link when 100 * common >= percent * (size of the union). Small sets are enumerated: of sizes a and b at least
 o(a, b) elements are common, so linked sets have a subset of that fixed size in common, and every such subset is a key.
 Large sets scan inverted lists: ordered by hash, a set's first n - ceil(n * percent / 100) + 1 elements hold one that
-is common. The size from which sets count as large is the one that makes subsets plus scanned list entries fewest. The
-elements of long lists are heavy; sets that hold one are told apart by what parts of their elements they have: linked
-sets differ in at most d elements, so of d + 1 parts (elements dealt out by hash) one is the same in both.
+is common. The size from which sets count as large is the one that makes subsets plus scanned list entries fewest. A
+list of very many sets says little of any two of them (a passage that half of the texts hold makes such lists), so sets
+that share an entry are told apart by parts: linked sets differ in at most d elements, so of d + 1 parts (elements dealt
+out by hash) one is the same in both. Sets without a part that another has as well need no lists.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from .minhash import _sets, shingle_sets
 from .verify import components
 
 U64 = np.uint64
-#: Lists of more sets than this are heavy.
-HEAVY = 256
 #: Sizes that may be enumerated.
 SMALL = 64
 #: Subsets and parts that are held at once.
@@ -68,8 +67,38 @@ def levels(most: int, percent: int) -> list[int]:
     return out
 
 
-def _sized(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Size and 128-bit key of each text's set."""
+def part_keys(x: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the parts of each set of mixed hashes x[at[i]:at[i+1]] on its own level, with their offsets, and the same on the level below. Linked sets of one level agree in a key of their own level, of neighbouring levels in one that is the upper set's level below."""
+    size = np.diff(at)
+    bounds = np.array(levels(int(size.max(initial=1)), percent))
+    level = np.repeat(np.searchsorted(bounds, size, "right") - 1, 2)
+    level[1::2] -= 1
+    parts = ((100 - percent) * 2 * (bounds[level + 2] - 1) // (100 + percent) + 1) * (np.repeat(size > 0, 2) & (level >= 0))
+    upto = np.concatenate([[0], np.cumsum(parts)])
+    sums = np.zeros(int(upto[-1]), np.uint64)
+    row = np.repeat(np.arange(len(size)), size)
+    dealt = C.mix(x + U64(0xD1B54A32D192ED03)) >> U64(20)
+    for k in (0, 1):
+        of = parts[2 * row + k].astype(np.uint64)
+        some = of > 0
+        np.add.at(sums, upto[2 * row[some] + k] + (dealt[some] % of[some]).astype(np.int64), x[some])
+    number = np.arange(upto[-1]) - np.repeat(upto[:-1], parts)
+    keys = C.mix(sums + C.mix(np.repeat(level, parts).astype(np.uint64) << U64(32) | number.astype(np.uint64)))
+    own = np.repeat(np.arange(len(parts)) % 2 == 0, parts)
+    return keys[own], np.concatenate([[0], np.cumsum(parts[::2])]), keys[~own], np.concatenate([[0], np.cumsum(parts[1::2])])
+
+
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _remixed(sets: np.ndarray) -> np.ndarray:
+    """Hashes whose sums say nothing about those of the lists' order."""
+    return C.mix(sets * U64(0x9FB21C651E98DF25))
+
+
+def _sized(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Size, 128-bit key and part keys of each text's set."""
     for batch in batches:
         data, at = C.binary(batch.column("text"))
         for i, j in C.slices(at, 1 << 20):
@@ -78,21 +107,8 @@ def _sized(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordB
             for x in (sets, C.mix(sets * U64(0xC2B2AE3D27D4EB4F))):
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
                 keys.append(pa.array((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)))
-            yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds), pa.int64()), *keys], ["doc_id", "n_shingles", "k1", "k2"])
-
-
-def _posted(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(el, rep, n): the entries of each set in the inverted lists. Sets come sorted by hash."""
-    for batch in batches:
-        data, at = C.binary(batch.column("text"))
-        reps = batch.column("doc_id").to_numpy()
-        for i, j in C.slices(at, 1 << 20):
-            sets, bounds = shingle_sets(data, at[i : j + 1], words)
-            n = np.diff(bounds)
-            first = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-            place = np.arange(len(sets)) - np.repeat(bounds[:-1], n)
-            listed = place < np.repeat(first, n)
-            yield pa.record_batch([pa.array(sets[listed].view(np.int64)), pa.array(np.repeat(reps[i:j], first), pa.int64()), pa.array(np.repeat(n, first), pa.int64())], ["el", "rep", "n"])
+            keys_, at_, below, below_at = part_keys(_remixed(sets), bounds, percent)
+            yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds), pa.int64()), *keys, _lists(keys_, at_), _lists(below, below_at)], ["doc_id", "n_shingles", "k1", "k2", "parts", "below"])
 
 
 @lru_cache(256)
@@ -102,17 +118,27 @@ def _left_out(n: int, k: int) -> np.ndarray:
 
 
 def _read_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sets' hashes one after the other, mixed anew, their offsets and owners."""
+    """The sets' hashes one after the other, their offsets and owners."""
     data, at = C.binary(batch.column("sh"))
-    elems = np.frombuffer(data[at[0] : at[-1]].tobytes(), np.uint64)
-    return C.mix(elems * U64(0x9FB21C651E98DF25)), (at - at[0]) // 8, batch.column("rep").to_numpy()
+    return np.frombuffer(data[at[0] : at[-1]].tobytes(), np.uint64), (at - at[0]) // 8, batch.column("rep").to_numpy()
+
+
+def _posted(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(el, rep, n): the entries of each set in the inverted lists, the first of its hashes in order."""
+    for batch in batches:
+        sets, at, reps = _read_sets(batch)
+        for i, j in C.slices(at, AT_ONCE):
+            n, some = np.diff(at[i : j + 1]), sets[at[i] : at[j]]
+            first = n - -(-percent * n // 100) + 1
+            listed = np.arange(len(some)) - np.repeat(at[i:j] - at[i], n) < np.repeat(first, n)
+            yield pa.record_batch([pa.array(some[listed].view(np.int64)), pa.array(np.repeat(reps[i:j], first), pa.int64()), pa.array(np.repeat(n, first), pa.int64())], ["el", "rep", "n"])
 
 
 def _enumerated(batches: Iterator[pa.RecordBatch], percent: int, below: int) -> Iterator[pa.RecordBatch]:
     """(b, rep): a key for each subset that a linked set of some size must have too. A subset's hash is the sum of its elements'."""
     for batch in batches:
         elems, at, reps = _read_sets(batch)
-        sizes = np.diff(at)
+        elems, sizes = _remixed(elems), np.diff(at)
         for n in np.unique(sizes[sizes < below]).tolist():
             rows = np.flatnonzero(sizes == n)
             for m in partners(n, percent):
@@ -125,64 +151,48 @@ def _enumerated(batches: Iterator[pa.RecordBatch], percent: int, below: int) ->
                     yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(reps[some], len(out)), pa.int64())], ["b", "rep"])
 
 
-def _parted(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(b, rep): a key for each part of a set, on its level and the one below. Linked sets agree in one part of a level that both have."""
-    for batch in batches:
-        elems, at, reps = _read_sets(batch)
-        for i, j in C.slices(at, AT_ONCE):
-            size, x = np.diff(at[i : j + 1]), elems[at[i] : at[j]]
-            bounds = np.array(levels(int(size.max(initial=1)), percent))
-            level = np.searchsorted(bounds, size, "right") - 1
-            for lower in (0, 1):
-                k = np.maximum(level - lower, 0)
-                parts = (100 - percent) * 2 * (bounds[k + 2] - 1) // (100 + percent) + 1
-                upto = np.concatenate([[0], np.cumsum(parts)])
-                row = np.repeat(np.arange(j - i), size)
-                part = ((C.mix(x + U64(0xD1B54A32D192ED03)) >> U64(20)) % parts[row].astype(np.uint64)).astype(np.int64)
-                sums = np.zeros(int(upto[-1]), np.uint64)
-                np.add.at(sums, upto[row] + part, x)
-                number = np.arange(upto[-1]) - np.repeat(upto[:-1], parts)
-                tag = C.mix(np.repeat(k, parts).astype(np.uint64) << U64(32) | number.astype(np.uint64))
-                yield pa.record_batch([pa.array(C.mix(sums + tag).view(np.int64)), pa.array(np.repeat(reps[i:j], parts), pa.int64())], ["b", "rep"])
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (size of the text's set of `words`-word shingles), component_id (smallest doc_id reachable over links, itself included).
 
     The join is exact: any two linked sets meet under a common subset, in an inverted list, or under a common part, and
     pairs that meet are decided on their full sets. Equal sets are one class first, so copies cost one row. Only classes
-    that share an entry of the inverted lists have their sets written; no pair ever becomes a row. A text with fewer
+    that share a list entry and a part have their sets written; no pair ever becomes a row. A text with fewer
     words has its whole sequence as one shingle; null texts and texts without words are empty, linked with nothing, and
     are their own component. Rows of one doc_id share a component; if their texts differ, links of one of them count. A
     null doc_id is linked with nothing and has a null component_id. Texts of any length are whole rows; other columns
     don't matter; an empty table comes back empty.
     """
     rows = C.text_rows(docs, id_col, text_col)
-    sized = C.materialize(rows.mapInArrow(C.mapped(_sized, words), "doc_id long, n_shingles long, k1 long, k2 long"))
+    sized = C.materialize(rows.mapInArrow(C.mapped(_sized, words, percent), "doc_id long, n_shingles long, k1 long, k2 long, parts array<long>, below array<long>"))
     key = ["k1", "k2", "n_shingles"]
     classes = C.materialize(sized.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    labels = _joined(rows, classes.where(100 * F.col("n_shingles") >= percent * (F.col("n_shingles") + 1)), words, percent)
+    large_enough = classes.where(100 * F.col("n_shingles") >= percent * (F.col("n_shingles") + 1)).select(F.col("rep").alias("doc_id"))
+    labels = _joined(rows, sized.join(C.small(large_enough), "doc_id", "left_semi"), words, percent)
     named = classes if labels is None else classes.join(labels, "rep", "left")
     named = named.select(*key, F.coalesce("comp", "rep").alias("comp") if labels is not None else F.col("rep").alias("comp"))
-    out = sized.join(named, key, "left")
+    out = sized.drop("parts", "below").join(named, key, "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"))
 
 
-def _joined(rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """(rep, comp) over the links of the classes."""
-    texts = rows.join(C.small(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-    entries = C.materialize(texts.mapInArrow(C.mapped(_posted, words, percent), "el long, rep long, n long"))
+def _joined(rows: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """(rep, comp) over the links of the sets that stand for their class."""
+    on = lambda c, own: reps.select(F.col("doc_id").alias("rep"), F.explode(c).alias("b"), F.lit(own).alias("own"))
+    parts = on("parts", 1).union(on("below", 0))
+    # sets of the upper level only meet on a level of their own
+    twice = C.materialize(parts.groupBy("b").agg(F.count("*").alias("c"), F.max("own").alias("own")).where("c > 1 and own = 1").select("b"))
+    parts = C.materialize(parts.select("rep", "b").join(C.small(twice), "b"))
+    alive = C.materialize(parts.select("rep").distinct())
+    sets = rows.join(C.small(alive.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi").mapInArrow(C.mapped(_sets, words), "rep long, sh binary")
+    sets = C.materialize(sets.groupBy("rep").agg(F.min("sh").alias("sh")).withColumn("n", F.octet_length("sh").cast("long") / 8))
+
+    entries = sets.select("rep", "sh").mapInArrow(C.mapped(_posted, percent), "el long, rep long, n long")
     shared = entries.groupBy("el").agg(F.count("*").alias("c"), F.max("n").alias("most")).where("c > 1")
     met = C.materialize(entries.join(shared, "el"))
-    scans = met.where(F.col("n") < SMALL).groupBy("n").agg(F.sum(F.col("c") - 1).alias("more"))
-    stats = entries.where(F.col("n") < SMALL).groupBy("n").agg(F.countDistinct("rep").alias("sets"), F.count("*").alias("own")).join(scans, "n", "left")
-    large = boundary([(r.n, r.sets, r.own + (r.more or 0)) for r in stats.collect()], percent)  # one row a size below SMALL
-    ids = C.materialize(met.select(F.col("rep").alias("doc_id")).distinct())
-    sets = texts.join(C.small(ids), "doc_id", "left_semi").mapInArrow(C.mapped(_sets, words), "rep long, sh binary").groupBy("rep").agg(F.min("sh").alias("sh"))
-    sets = C.materialize(sets.withColumn("n", F.octet_length("sh").cast("long") / 8))
-    light = met.where((F.col("c") <= HEAVY) & (F.col("most") >= large)).select(F.col("el").alias("b"), "rep")
-    heavy = C.materialize(met.where(F.col("c") > HEAVY).select("rep").distinct())
-    parted = sets.join(C.small(heavy), "rep", "left_semi").select("rep", "sh").mapInArrow(C.mapped(_parted, percent), "b long, rep long")
+    stats = sets.where(F.col("n") < SMALL).groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("sets"))
+    stats = stats.join(met.where(F.col("n") < SMALL).groupBy("n").agg(F.sum("c").alias("scanned")), "n", "left")
+    large = boundary([(r.n, r.sets, r.scanned or 0) for r in stats.collect()], percent)  # one row a size below SMALL
+
     small = sets.where(F.col("n") < large).select("rep", "sh").mapInArrow(C.mapped(_enumerated, percent, large), "b long, rep long")
-    return components(C.materialize(light.union(small).union(parted)), sets, percent)
+    listed = C.materialize(met.where(F.col("most") >= large).select("rep").distinct())
+    return components(small.union(parts.join(C.small(listed), "rep", "left_semi").select("b", "rep")), sets, percent)
