@@ -191,6 +191,29 @@ def _qualified(d: Definition, above: list[str]) -> str:
     return " › ".join([*above[-1:], d.name]) if d.kind == "test" else ".".join([*above, d.name])
 
 
+#: A line that only ends a definition.
+CLOSES = re.compile(r"\s*([\])}]+[;,]?|end)\s*$")
+#: What a piece may grow to, in whole chunks, to keep its definition's first and last lines.
+EDGE = 1.3
+
+
+def _with_edges(lines: Lines, pieces: list[Span], start: int, end: int, name: str) -> list[Span]:
+    """The pieces of a definition with its signature before the first and its closing line after the last; where a piece would grow too much they are pieces of their own."""
+    if not pieces:
+        return pieces
+    first, last = pieces[0], pieces[-1]
+    before, after = (start, first.start - 1), (last.end + 1, end)
+    fits = lines.size(start, first.end) <= EDGE * MAX_CHARS
+    if fits:
+        first.start = start
+    out = pieces if fits or before[0] > before[1] else [Span(*before, [name], "block"), *pieces]
+    if lines.size(last.start, end) <= EDGE * MAX_CHARS:
+        last.end = end
+    elif after[0] <= after[1]:
+        out = [*out, Span(*after, [name], "block")]
+    return out
+
+
 def definition_spans(lines: Lines, defs: list[Definition], start: int, end: int, above: list[str], depth: int = 0) -> list[Span]:
     """Spans of lines start..end: definitions at this depth, and what lies between them. Small neighbours join, large definitions are split along theirs."""
     own = [d for d in defs if d.depth == depth and start <= d.start and d.end <= end]
@@ -217,7 +240,9 @@ def definition_spans(lines: Lines, defs: list[Definition], start: int, end: int,
                 group = None
             inner = [x for x in defs if d and x.depth == depth + 1 and d.start < x.start and x.end <= d.end]
             if d and inner:
-                subs = definition_spans(lines, defs, a, b, [*above, d.name], depth + 1)
+                closing = b - 1 if CLOSES.match(lines.lines[b]) else b
+                subs = definition_spans(lines, defs, a + 1, closing, [*above, d.name], depth + 1)
+                subs = _with_edges(lines, subs, a, b, name)
             else:
                 subs = line_windows(lines, a, b, [name] if name else above[-1:], d.kind if d else "block")
             for s in subs:

@@ -29,6 +29,22 @@ def test_definitions():
         assert any(c[3] == "method" for c in chunks)
 
 
+def test_a_long_class_keeps_its_first_and_last_lines():
+    """Signature, fields and closing line go with the methods beside them, and each chunk has the class's name."""
+    field = "  private readonly name_of_a_field: Map<string, number> = new Map();\n"
+    for fields, rows in ((1, 18), (1, 26), (25, 26)):
+        method = lambda k: f"  method{k}(x: number) {{\n" + "".join(f"    const value{k}_{i} = compute(x, {i}, 'some text');\n" for i in range(rows)) + "  }\n"  # noqa: B023, E731
+        text = "export class Store extends Base {\n" + field * fields + "".join(map(method, range(4))) + "}\n"
+        chunks = [c for c in spans(text, "TypeScript") if c[4].strip()]
+        held = {i for a, b, *_ in chunks for i in range(a, b + 1)}
+        lines = text.split("\n")
+        assert all(i in held for i, x in enumerate(lines, 1) if x.strip() and x != "}")
+        assert all("Store" in (c[2] or "") for c in chunks) and all(len(c[4]) <= C.EDGE * C.MAX_CHARS for c in chunks)
+        assert chunks[0][4].startswith("export class Store") and (chunks[-1][4].endswith("\n}") or rows > 20)
+        if fields == 1:
+            assert chunks[0][2].startswith("Store.method0") or "Store" in chunks[0][2]
+
+
 def test_headings():
     md = "# One\n\n" + "a sentence of the first section. " * 9 + "\n\n## Two\n\n" + "word " * 180 + "\n\n```\n# not a heading\n```\n## Three\n\n" + "text " * 200
     chunks = spans(md, "Markdown", "markdown")
