@@ -70,8 +70,9 @@ BRACES = (
     (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", "function"),
     (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*(?:fn|func)\s+(?:\([^)]*\)\s*)?(\w+)", "function"),
     (r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|\w+\s*=>)", "function"),
-    (r"^\s*(?:module\.)?exports\.?(\w*)\s*=\s*(?:async\s*)?(?:function|class|\()", "function"),
-    (r"^\s*(?:test|it|describe|suite|context|specify|bench)(?:\.\w+)*\(\s*['\"`]([^'\"`]{1,60})", "test"),
+    (r"^\s*([\w$]+(?:\.[\w$]+)+)\s*=\s*(?:async\s*)?(?:function\b|class\b|\([^)]*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)", "member"),
+    (r"^\s*((?:test|it|describe|suite|context|specify|bench)(?:\.\w+)*)\(", "test"),
+    (r"^\s*(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+)?=(?!=)", "variable"),
     (r"^\s*(?:(?:public|private|protected|internal|static|final|override|virtual|async|abstract|readonly|get|set)\s+)*(?:[\w<>\[\],.?*&:]+\s+)?(?!if\b|for\b|while\b|switch\b|catch\b|return\b|else\b|do\b|new\b|throw\b|await\b)(\w+)\s*\([^;]*\)\s*(?::\s*[^={]+)?\{\s*$", "method"),
 )
 CLASSLIKE = {"class": "class", "record": "class", "interface": "interface", "struct": "struct", "enum": "enum", "trait": "trait", "namespace": "module", "mod": "module", "impl": "impl"}
@@ -94,20 +95,78 @@ def _end_by_indent(lines: list[str], start: int, closing: bool) -> int:
     return end
 
 
-def _end_by_braces(lines: list[str], start: int) -> int:
+def code_only(lines: list[str]) -> tuple[list[str], list[bool]]:
+    """Each line without its strings and comments, and whether it begins in code: one pass with a stack of what is open (block comments, template literals, and code inside these). Quotes that don't close on their line are ordinary letters."""
+    out, begins, stack = [], [], []  # a number counts the braces of code inside a template
+    for line in lines:
+        begins.append(not stack or isinstance(stack[-1], int))
+        code, i = [], 0
+        while i < len(line):
+            c, two, top = line[i], line[i : i + 2], stack[-1] if stack else 0
+            if top == "comment":
+                i, stack = (i + 2, stack[:-1]) if two == "*/" else (i + 1, stack)
+            elif top == "template":
+                if c == "`":
+                    stack.pop()
+                elif two == "${":
+                    stack.append(1)
+                i += 2 if c == "\\" or two == "${" else 1
+            elif two == "//":
+                break
+            elif two == "/*" or c == "`":
+                stack.append("comment" if two == "/*" else "template")
+                i += len(two) if two == "/*" else 1
+            elif c in "'\"" and (m := QUOTED[c].match(line, i)):
+                i = m.end()
+            else:
+                if stack and c in "{}":
+                    stack[-1] += 1 if c == "{" else -1
+                    if not stack[-1]:
+                        stack.pop()
+                        c = " "
+                code.append(c)
+                i += 1
+        out.append("".join(code))
+    return out, begins
+
+
+QUOTED = {q: re.compile(rf"{q}(?:\\.|[^{q}\\])*{q}") for q in "'\""}
+
+
+def _end_by_braces(code: list[str], start: int) -> int:
     depth, seen = 0, False
-    for i in range(start, len(lines)):
-        code = re.sub(r"//.*$|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", "", lines[i])
-        for c in code:
+    for i in range(start, len(code)):
+        for c in code[i]:
             if c == "{":
                 depth, seen = depth + 1, True
             elif c == "}":
                 depth -= 1
         if seen and depth <= 0:
             return i
-        if not seen and (code.rstrip().endswith(";") or i - start > 8):
-            return i if code.rstrip().endswith(";") else start
-    return len(lines) - 1
+        if not seen and (code[i].rstrip().endswith(";") or i - start > 8):
+            return i if code[i].rstrip().endswith(";") else start
+    return len(code) - 1
+
+
+def _end_of_statement(code: list[str], start: int) -> int:
+    """Where brackets are closed and nothing asks for more."""
+    depth = 0
+    for i in range(start, len(code)):
+        depth += sum(c in "([{" for c in code[i]) - sum(c in ")]}" for c in code[i])
+        goes_on = re.search(r"[=+\-*/&|?:,.]\s*$", code[i]) or (i + 1 < len(code) and re.match(r"\s*[.?:&|+]", code[i + 1]))
+        if depth <= 0 and not goes_on:
+            return i
+    return len(code) - 1
+
+
+def _named(kind: str, m: re.Match, line: str) -> tuple[str, str]:
+    """Name and kind of a match: tests are call and label, members what they are assigned to, without what exports them."""
+    if kind == "test":
+        label = re.compile(r"\s*(['\"`])((?:\\.|(?!\1).)*)\1").match(line, m.end())
+        return (f'{m[1].split(".")[0]} "{label[2][:60]}"' if label and label[2] else m[1]), kind
+    if kind == "member":
+        return re.sub(r"^module\.exports\.?|^exports\.", "", m[1]) or "module.exports", "class" if "class" in line[m.start(1) + len(m[1]) : m.end()] else "function"
+    return m[1], kind
 
 
 def signature_boundaries(lines: list[str], language: str) -> list[Definition]:
@@ -115,7 +174,10 @@ def signature_boundaries(lines: list[str], language: str) -> list[Definition]:
     family = "indent" if language == "Python" else "ruby" if language == "Ruby" else "brace"
     out: list[Definition] = []
     open_: list[Definition] = []
+    code, begins = code_only(lines) if family == "brace" else (lines, [True] * len(lines))
     for i, line in enumerate(lines):
+        if not begins[i]:
+            continue
         while open_ and open_[-1].end < i:
             open_.pop()
         for pattern, kind in COMPILED[family]:
@@ -124,10 +186,12 @@ def signature_boundaries(lines: list[str], language: str) -> list[Definition]:
                 continue
             if kind == "method" and family == "brace" and not (open_ and open_[-1].kind in ("class", "interface", "impl", "struct", "trait")) and language in ("TypeScript", "JavaScript"):
                 continue
-            name, what = (m[2], CLASSLIKE[m[1]]) if kind is None else (m[1] or "module.exports", kind)
+            if kind == "variable" and (any(d.kind in ("function", "method", "test") for d in open_) or language not in ("TypeScript", "JavaScript")):
+                continue  # locals have no name of their own
+            name, what = (m[2], CLASSLIKE[m[1]]) if kind is None else _named(kind, m, line)
             if len(name) > 80:
                 break
-            end = _end_by_braces(lines, i) if family == "brace" else _end_by_indent(lines, i, family == "ruby")
+            end = _end_of_statement(code, i) if what == "variable" else _end_by_braces(code, i) if family == "brace" else _end_by_indent(lines, i, family == "ruby")
             start = i
             while start > 0 and re.match(r"\s*(@|#\[|//|/\*|\*|#(?!include))", lines[start - 1]) and _indent(lines[start - 1]) == _indent(line) and not any(d.start <= start - 1 <= d.end and d is not open_[-1] for d in out[-1:] if open_):
                 start -= 1

@@ -45,6 +45,54 @@ def test_a_long_class_keeps_its_first_and_last_lines():
             assert chunks[0][2].startswith("Store.method0") or "Store" in chunks[0][2]
 
 
+def names(text, language="TypeScript"):
+    return [(d.name, d.kind, d.start + 1, d.end + 1, d.depth) for d in C.signature_boundaries(text.split("\n"), language)]
+
+
+def test_names_of_members_constants_and_tests():
+    text = """const limit = 5
+const table = {
+  a: 1, // }
+  b: [2, 3],
+};
+function run() {
+  const local = 1;
+  return local;
+}
+res.sendFile = function sendFile(path) {
+  return path;
+};
+module.exports.open = (a) => {
+  return a;
+};
+exports.Store = class {
+};
+describe('the store', () => {
+  it.only("keeps 'all'", async () => {
+    const inner = 2;
+  });
+});
+const { a, b } = table;
+"""
+    assert names(text) == [("limit", "variable", 1, 1, 0), ("table", "variable", 2, 5, 0), ("run", "function", 6, 9, 0), ("res.sendFile", "function", 10, 12, 0), ("open", "function", 13, 15, 0), ("Store", "class", 16, 17, 0), ('describe "the store"', "test", 18, 22, 0), ("it \"keeps 'all'\"", "test", 19, 21, 1)]
+
+
+def test_braces_in_strings_templates_and_comments_are_no_code():
+    text = """function one() {
+  const a = "}"; // }
+  /* }
+  function hidden() { */
+  const b = `}
+function alsoHidden() {
+  ${ [1].map((x) => { return `}${x}`; }) } }`;
+  return a + b + '\\'}';
+}
+function two(x) {
+}
+"""
+    assert [(n, a, b) for n, _, a, b, _ in names(text)] == [("one", 1, 9), ("two", 10, 11)]
+
+
 def test_headings():
     md = "# One\n\n" + "a sentence of the first section. " * 9 + "\n\n## Two\n\n" + "word " * 180 + "\n\n```\n# not a heading\n```\n## Three\n\n" + "text " * 200
     chunks = spans(md, "Markdown", "markdown")
