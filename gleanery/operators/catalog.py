@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display as D
 from ..functions.display import slug
+from ..sources.tables import materialize
 from .retrieval import few
 
 STATUSES = ("queued", "fetching", "indexing", "ready", "error")
@@ -37,6 +38,15 @@ def sort_repos(repos: DataFrame, mode: str) -> DataFrame:
     return repos.orderBy(key.desc(), F.asc("id"))
 
 
+def positions(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """The rows of a sorted table with their place from 1 on, without a task that has them all: places within the sort's ranges, and the rows of the ranges before (a row a range)."""
+    at = F.monotonically_increasing_id()
+    rows = materialize(ordered.withColumns({"_range": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "sorted")
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("n"))
+    before = sizes.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
+
+
 def page(df: DataFrame, order: list[Column], size: int = 60, number: int = 1) -> DataFrame:
     """Rows of the pages up to the given one, as after so many clicks on "show more"."""
     return df.orderBy(*order).limit(size * number)

@@ -406,11 +406,11 @@ def k5_all_repos(spark, d):
     return K.all_repos(view(spark, d, "repos_v")).select("id", "status")
 
 
-@query("SELECT mode, id FROM (SELECT 'recent' AS mode, id, row_number() OVER (ORDER BY coalesce(indexed_at, updated_at) DESC, id) AS n FROM repos_v UNION ALL SELECT 'searched', id, row_number() OVER (ORDER BY search_count DESC, id) FROM repos_v UNION ALL SELECT 'largest', id, row_number() OVER (ORDER BY total_chunks DESC, id) FROM repos_v UNION ALL SELECT 'stars', id, row_number() OVER (ORDER BY coalesce(stars, 0) DESC, id) FROM repos_v) WHERE n <= 50")
+@query("SELECT mode, id, n AS position FROM (SELECT 'recent' AS mode, id, row_number() OVER (ORDER BY coalesce(indexed_at, updated_at) DESC, id) AS n FROM repos_v UNION ALL SELECT 'searched', id, row_number() OVER (ORDER BY search_count DESC, id) FROM repos_v UNION ALL SELECT 'largest', id, row_number() OVER (ORDER BY total_chunks DESC, id) FROM repos_v UNION ALL SELECT 'stars', id, row_number() OVER (ORDER BY coalesce(stars, 0) DESC, id) FROM repos_v)")
 def k6_sort_modes(spark, d):
     repos, out = view(spark, d, "repos_v"), None
     for mode in ("recent", "searched", "largest", "stars"):
-        part = K.sort_repos(repos, mode).limit(50).select(F.lit(mode).alias("mode"), "id")
+        part = K.positions(K.sort_repos(repos, mode)).select(F.lit(mode).alias("mode"), "id", "position")
         out = part if out is None else out.union(part)
     return out
 
