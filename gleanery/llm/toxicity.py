@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import exp
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Words in a window; bytes of the grams that tell the classes apart, which is also the shortest match less one.
-WORDS, GRAM = 16, 5
-SIZE = 4096
+#: Words in a window; bytes that stand for a word, the digest of it.
+WORDS, CODE = 16, 16
+#: Most bytes of a dictionary.
+SIZE = 8192
 #: ASCII letters and digits (lower-cased) and all other bytes stay, ASCII punctuation and white space become spaces.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -32,109 +34,90 @@ def windows(text: str) -> list[bytes]:
     return [b" " + b" ".join(w[i : i + WORDS]) + b" " for i in range(0, len(w), WORDS)]
 
 
-def _grams(ws: Iterable[bytes]) -> set[bytes]:
-    return {x[i : i + GRAM] for x in (b" " + w + b" " for w in ws) for i in range(len(x) - GRAM + 1)}
+def coded(window: bytes) -> bytes:
+    """A window as the compressors see it: each word by the 16 bytes of its digest, so that whole words match or nothing does, however long they are and in whatever script."""
+    return b"".join([xxhash.xxh3_128_digest(w) for w in window.split()])
 
 
-def _pieces(word: bytes, keys: set[bytes]) -> list[bytes]:
-    """The longest pieces of a word of which every gram is a key."""
-    w, i, out = b" " + word + b" ", 0, []
-    while i <= len(w) - GRAM:
-        j = i
-        while j <= len(w) - GRAM and w[j : j + GRAM] in keys:
-            j += 1
-        if j > i:
-            out.append(w[i : j + GRAM - 1])
-        i = max(j, i + 1)
-    return out
-
-
-def dictionary(own: list[list[bytes]], own_grams: Counter, other_grams: Counter, n_other: int, share: float, ratio: float) -> bytes:
-    """zstandard dictionary of one class, from the words of its texts in order: windows are reduced to the pieces of words of which every 5-gram stands in at least `share` of its texts and `ratio` times as often as in the other class, and the library's trainer makes a dictionary of half the size from them. The most frequent pieces follow, the first of them last, where matches are cheapest."""
+def dictionary(own: list[list[bytes]], own_words: Counter, other_words: Counter, n_other: int, share: float, ratio: float) -> bytes:
+    """zstandard dictionary of one class, trained on the windows of its texts. In each window the words that tell the classes apart stay: those in `share` of the class's texts (3 at least) that are in `ratio` times as large a share of them as of the other class's. Trained on whole windows, dictionaries spend their bytes on words that both classes have. Too few windows for the library's trainer are a dictionary as they are."""
     n = len(own)
-    keys = {g for g, k in own_grams.items() if k >= max(5, share * n) and (k + 0.5) / n >= ratio * (other_grams[g] + 0.5) / max(n_other, 1)}
-    found, samples = Counter(), []
-    for ws in own:
-        per = [_pieces(w, keys) for w in ws]
-        found.update({p for ps in per for p in ps})
-        for i in range(0, len(ws), WORDS):
-            if window := b"".join(p + b"\n" for ps in per[i : i + WORDS] for p in ps):  # what no text has stands between
-                samples.append(window)
+    keys = {w for w, k in own_words.items() if k >= max(3, share * n) and (k + 0.5) / n >= ratio * (other_words[w] + 0.5) / max(n_other, 1)}
+    samples = [x for ws in own for i in range(0, len(ws), WORDS) if (x := coded(b" ".join(w for w in ws[i : i + WORDS] if w in keys)))]
     try:
-        trained = zstandard.train_dictionary(SIZE // 2, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples for the trainer
-        trained = b""
-    pieces: list[bytes] = []
-    for p, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if not any(p in q for q in pieces):
-            pieces.append(p)
-        if sum(map(len, pieces)) > SIZE - len(trained):
-            break
-    body = trained + b"".join(p + bytes([1 + i % 7]) for i, p in enumerate(reversed(pieces)))
-    return body[-SIZE:].rjust(SIZE, b"\0")
+        return zstandard.train_dictionary(SIZE, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(sorted(set(samples)))[:SIZE].rjust(CODE, b"\0")
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    params = zstandard.ZstdCompressionParameters.from_level(1, write_content_size=False, write_dict_id=False, strategy=zstandard.STRATEGY_GREEDY, min_match=GRAM + 1, window_log=17, hash_log=17, chain_log=16, search_log=3, target_length=1)
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_AUTO)
+    params = zstandard.ZstdCompressionParameters.from_level(1, write_content_size=False, write_dict_id=False, strategy=zstandard.STRATEGY_GREEDY, min_match=6, window_log=20, hash_log=17, chain_log=17, search_log=6, target_length=1)
     d.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
 
 
 @dataclass
 class Model:
-    """Two dictionaries and a logistic calibration of what the toxic one saves: the most in a window, and in all windows."""
+    """Two dictionaries and a logistic calibration of what the toxic one saves: the most in a window, in all windows, and on average."""
 
     toxic: bytes
     ordinary: bytes
-    weights: tuple[float, float, float]
+    weights: tuple[float, float, float, float]
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         return _compressor(self.ordinary), _compressor(self.toxic)
 
-    def score(self, saved: tuple[float, float]) -> float:
-        a, b, c = self.weights
-        return 1 / (1 + exp(-max(-30.0, min(30.0, a * saved[0] + b * saved[1] + c))))
+    def score(self, saved: tuple[float, float, float]) -> float:
+        z = sum(w * x for w, x in zip(self.weights, (*saved, 1.0), strict=True))
+        return 1 / (1 + exp(-max(-30.0, min(30.0, z))))
 
 
-def saved(text: str, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Bytes that the toxic dictionary saves against the ordinary one: the most in a window (at most 8), and the log of their sum."""
-    most = total = 0
-    for w in windows(text):
+def saved(text: str, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> tuple[float, float, float]:
+    """Bytes that the toxic dictionary saves against the ordinary one: the most in a window, the log of the sum over windows where it saves any, and the mean of all."""
+    most = total = net = 0
+    ws = windows(text)
+    for w in map(coded, ws):
         d = len(ordinary.compress(w)) - len(toxic.compress(w))
+        net += d
         if d > 0:
             most, total = max(most, d), total + d
-    return float(min(most, 8)), float(np.log1p(total))
+    return float(most), float(np.log1p(total)), net / max(1, len(ws))
 
 
-def fit(texts: list[str], labels: list[int], prior: float, share: float = 0.02, ratio: float = 10.0) -> Model:
-    """Dictionaries from half the texts, calibration on the other half; prior: the share of toxic texts among all labelled ones."""
+def fit(texts: list[str], labels: list[int], prior: float, share: float = 0.01, ratio: float = 10.0) -> Model:
+    """Calibration on a third of the texts, with dictionaries from the others; then dictionaries from all. prior: the share of toxic texts among all labelled ones."""
     y = np.array(labels)
     lists = [words(t) for t in texts]
-    half = np.arange(len(y)) % 3 != 2
-    grams = [Counter(), Counter()]
-    for k in np.flatnonzero(half):
-        grams[y[k]].update(_grams(set(lists[k])))
-    own = [[lists[k] for k in np.flatnonzero(half & (y == c))] for c in (0, 1)]
-    if not own[0] or not own[1]:  # one class only: nothing to tell apart
-        return Model(b"\0" * SIZE, b"\0" * SIZE, (0.0, 0.0, 3.0 if len(y) and y.mean() > 0.5 else -3.0))
-    model = Model(dictionary(own[1], grams[1], grams[0], len(own[0]), share, ratio), dictionary(own[0], grams[0], grams[1], len(own[1]), share, ratio), (0.0, 0.0, 0.0))
-    both, rest = model.compressors(), np.flatnonzero(~half) if (~half).any() else np.arange(len(y))
+
+    def dictionaries(some: np.ndarray) -> tuple[bytes, bytes]:
+        counts = [Counter(), Counter()]
+        for k in np.flatnonzero(some):
+            counts[y[k]].update(set(lists[k]))
+        own = [[lists[k] for k in np.flatnonzero(some & (y == c))] for c in (0, 1)]
+        return dictionary(own[1], counts[1], counts[0], len(own[0]), share, ratio), dictionary(own[0], counts[0], counts[1], len(own[1]), share, ratio)
+
+    part = np.zeros(len(y), bool)
+    for c in (0, 1):  # two of three of each class
+        part[np.flatnonzero(y == c)[np.arange((y == c).sum()) % 3 != 2]] = True
+    if not (y == 0).any() or not (y == 1).any():  # one class only: nothing to tell apart
+        return Model(b"\0" * CODE, b"\0" * CODE, (0.0, 0.0, 0.0, 3.0 if len(y) and y.mean() > 0.5 else -3.0))
+    both = Model(*dictionaries(part), (0.0,) * 4).compressors()
+    rest = np.flatnonzero(~part) if len(set(y[~part])) == 2 else np.arange(len(y))
     x = np.array([(*saved(texts[k], *both), 1.0) for k in rest])
     t = y[rest]
     weight = np.where(t == 1, prior / max(t.mean(), 1e-9), (1 - prior) / max(1 - t.mean(), 1e-9))
-    w = np.zeros(3)
+    w = np.zeros(4)
     for _ in range(40):  # Newton steps of a logistic fit with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (weight * (p - t)) + 0.01 * w
-        w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(3), grad)
+        w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(4), grad)
     # the threshold: the cut of 0.5 goes where it errs least
     z = x @ w
     cuts = np.unique(np.concatenate([[z.min() - 1], (np.unique(z)[1:] + np.unique(z)[:-1]) / 2, [z.max() + 1]]))
     errors = [(weight * ((z >= c) != t)).sum() for c in cuts]
-    w[2] -= cuts[int(np.argmin(errors))]
-    model.weights = tuple(float(v) for v in w)
-    return model
+    w[3] -= cuts[int(np.argmin(errors))]
+    return Model(*dictionaries(np.ones(len(y), bool)), tuple(float(v) for v in w))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500, folds: int = 5, sample_mb: int = 32) -> Model:
@@ -166,7 +149,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, folds: int) -> Iter
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted (1 if score >= 0.5).
 
-    The whole text is scored in windows of 16 words. Texts without words save nothing and get the lowest score; null
-    text is empty; a null doc_id has a null held_out; rows of one doc_id are scored each; other columns don't matter. The model is two dictionaries of 4 KB and three numbers.
+    The whole text is scored in windows of 16 words, however long it is; equal texts get equal scores. Texts without words save nothing and get the lowest score; null
+    text is empty; a null doc_id has a null held_out; rows of one doc_id are scored each; other columns don't matter. The model is two
+    dictionaries of at most 8 KB and four numbers.
     """
     return C.text_rows(docs, id_col, text_col).mapInArrow(C.mapped(_scored, model, folds), "doc_id long, held_out boolean, score double, predicted int")
