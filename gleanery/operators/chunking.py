@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import plain_chunks
+
 MAX_CHARS, MIN_CHARS, MAX_CHUNKS, MAX_LINES, OVERLAP = 1500, 350, 120, 81, 4
 
 
@@ -382,7 +384,7 @@ CHUNKS = "repo_id string, path string, language string, start_line int, end_line
 
 
 def chunk_files(files: DataFrame, provider: BoundaryProvider = signature_boundaries, most: int | None = None) -> DataFrame:
-    """(id, repo_id, path, language, start_line, end_line, symbol, kind, content) of admitted files (repo_id, path, language, strategy, content): whole files, or the first `most` chunks of each (MAX_CHUNKS is the usual limit). The id follows from repo, path and lines, so that runs agree."""
+    """(id, repo_id, path, language, start_line, end_line, symbol, kind, content) of admitted files (repo_id, path, language, strategy, content): whole files, or the first `most` chunks of each (MAX_CHUNKS is the usual limit). The id follows from repo, path and lines, so that runs agree. Markdown, short files and files without a grammar are cut by column expressions; only long files with a grammar go to Python, for their definitions."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in CHUNKS.split(", ")]
@@ -390,7 +392,10 @@ def chunk_files(files: DataFrame, provider: BoundaryProvider = signature_boundar
             rows = [(r.repo_id, r.path, r.language, *c) for r in pdf.itertuples() if r.content for c in chunk_text(r.content, r.language, r.strategy, provider, most)]
             yield pd.DataFrame(rows, columns=names)
 
-    out = files.select(F.col("repo_id").cast("string"), "path", "language", "strategy", "content").mapInPandas(cut, CHUNKS)
+    files = files.select(F.col("repo_id").cast("string"), "path", "language", "strategy", "content")
+    defines = (F.col("strategy") == "ast") & (F.char_length(F.regexp_replace("content", "\r\n?", "\n")) > MAX_CHARS)
+    plain = plain_chunks(files.where(~F.coalesce(defines, F.lit(False))), MAX_CHARS, MIN_CHARS, MAX_LINES, OVERLAP, most)
+    out = files.where(defines).mapInPandas(cut, CHUNKS).unionByName(plain)
     return out.select(F.xxhash64("repo_id", "path", "start_line", "end_line").alias("id"), "*")
 
 

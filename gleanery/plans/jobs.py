@@ -51,15 +51,24 @@ def _admitted(spark, d):
     return AD.admit_files(files).where("reason is null")
 
 
-@query()
+_CHUNK = "repo_id, path, language, start_line, end_line, symbol, kind, content"
+
+
+@query(S.plain_chunks(S.admitted(), _CHUNK))
 def c1_chunk_files(spark, d):
-    """Checked by properties in tests: lines equal the source, sizes, caps, equal ids on equal runs."""
-    return C.chunk_files(_admitted(spark, d))
+    """All columns but the id, a hash that SQL doesn't have (tests hold equal ids on equal runs). The given texts are prose: none holds a definition, so long files with a grammar are windows too."""
+    return C.chunk_files(_admitted(spark, d)).drop("id")
 
 
-@query()
+@query(S.plain_chunks(S.admitted("'lines'"), _CHUNK))
 def c4_line_windows(spark, d):
-    return C.chunk_files(_admitted(spark, d).withColumn("strategy", F.lit("lines")))
+    return C.chunk_files(_admitted(spark, d).withColumn("strategy", F.lit("lines"))).drop("id")
+
+
+@query(S.plain_chunks(S.admitted("'markdown'"), _CHUNK))
+def c3_c8_heading_chunks(spark, d):
+    """Every file by its headings: sections, joined while short, windows where long."""
+    return C.chunk_files(_admitted(spark, d).withColumn("strategy", F.lit("markdown"))).drop("id")
 
 
 @query("SELECT concat(repo_id, '.tar.gz') AS archive, sha1(repo_id) AS commit_sha, path, strlen(content)::BIGINT AS size, CASE WHEN strlen(content) <= 204800 THEN sha1(content) END AS content_hash FROM corpus_files")
@@ -108,8 +117,8 @@ def f6_s4_archive_texts(spark, d):
 
 @query()
 def c1_s4_archive_chunks(spark, d):
-    """From archives to chunks; equal to c1_chunk_files on the same files, which is tested."""
-    files = AR.file_texts(AR.open_archives(AR.pack_archives(view(spark, d, "corpus_files")), wanted=P.wants_content))
+    """From archives to chunks; equal to c1_chunk_files on the same files, which is tested. Texts are written once, as files with and without definitions are read apart."""
+    files = TB.materialize(AR.file_texts(AR.open_archives(AR.pack_archives(view(spark, d, "corpus_files")), wanted=P.wants_content)))
     return C.chunk_files(AD.admit_files(files).where("reason is null"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..operators.chunking import MAX_CHARS, MAX_LINES, MIN_CHARS, OVERLAP
+from ..operators.folds import BLANKS
 
 
 def lit(s: str) -> str:
@@ -92,3 +94,44 @@ LONGEST = "list_max(list_transform(string_split(content, chr(10)), lambda x: len
 CONTENT_REASON = f"CASE WHEN contains(content, chr(0)) THEN 'binary' WHEN {LONGEST} > 2000 OR length(content) / {LINES} > 300 THEN 'minified' END"
 REASON = f"coalesce({PATH_REASON}, CASE WHEN strlen(content) > {P.MAX_FILE_BYTES} THEN 'too-large' END, {CONTENT_REASON})"
 HISTOGRAM = "SELECT repo_id, language, count(*) AS n FROM files_v GROUP BY 1, 2"
+
+STRATEGY = f"CASE WHEN {LANGUAGE} = 'Markdown' THEN 'markdown' WHEN {GRAMMAR} IS NOT NULL THEN 'ast' ELSE 'lines' END"
+
+
+def plain_chunks(files: str, columns: str) -> str:
+    """Chunks of files (repo_id, path, language, strategy, content) without definitions: windows by recursion, joins by reduction."""
+    blanks = lit(BLANKS)
+    begin = "CASE WHEN {s} = 0 THEN 0 ELSE f.stops[{s}] END"
+    reach = f"{{s}} + greatest(1, len(list_filter(list_slice(f.stops, {{s}} + 1, least({{b}}, {{s}} + {MAX_LINES - 1}) + 1), lambda x: x - ({begin}) <= {MAX_CHARS}))) - 1"
+    span = "struct_pack(a := {a}, b := {b}, start := {start}, stop := {stop}, symbols := {symbols})"
+    nxt = f"greatest(w.e - {OVERLAP - 1}, w.s + 1)"
+    return f"""WITH RECURSIVE files AS ({files}),
+numbered AS MATERIALIZED (SELECT row_number() OVER () AS k, repo_id, path, language, strategy = 'markdown' AS md, string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10)) AS ls FROM files WHERE content <> ''),
+l AS (SELECT k, md, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS text FROM numbered),
+o AS MATERIALIZED (SELECT *, sum(length(text) + 1) OVER w::BIGINT AS stop, sum(CASE WHEN regexp_matches(text, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER w % 2 AS fenced FROM l WINDOW w AS (PARTITION BY k ORDER BY line)),
+h AS (SELECT *, md AND fenced = 0 AND regexp_matches(text, '^#{{1,6}}\\s+.+') AS head FROM o),
+parts AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY line) AS sec FROM h),
+sections AS MATERIALIZED (SELECT k, md, sec, min(line) AS a, max(line) AS b, min(stop - length(text) - 1) AS start, max(stop) AS stop, nullif(left(trim(regexp_extract(arg_min(CASE WHEN head THEN text ELSE '' END, line), '^#{{1,6}}\\s+(.+)', 1), {blanks}), 80), '') AS name FROM parts GROUP BY ALL),
+f AS MATERIALIZED (SELECT k, list(stop ORDER BY line) AS stops FROM o GROUP BY k),
+long AS (SELECT *, stop - start - CASE WHEN md THEN 0 ELSE 1 END > {MAX_CHARS} AS is_long FROM sections),
+w AS (SELECT k, sec, b, a AS s, {reach.format(s="a", b="b")} AS e FROM long JOIN f USING (k) WHERE is_long
+UNION ALL SELECT w.k, w.sec, w.b, {nxt}, {reach.format(s=nxt, b="w.b")} FROM w JOIN f ON f.k = w.k WHERE w.e < w.b),
+spans AS (SELECT k, sec, md, {span.format(a="a", b="b", start="start", stop="stop", symbols="CASE WHEN name IS NULL THEN []::VARCHAR[] ELSE [name] END")} AS sp FROM long WHERE NOT is_long
+UNION ALL SELECT w.k, w.sec, md, {span.format(a="w.s", b="w.e", start=begin.format(s="w.s"), stop="f.stops[w.e + 1]", symbols="CASE WHEN name IS NULL THEN []::VARCHAR[] ELSE [name] END")} FROM w JOIN f ON f.k = w.k JOIN long ON long.k = w.k AND long.sec = w.sec),
+by_section AS (SELECT k, sec, any_value(md) AS md, list(sp ORDER BY sp.a) AS sps FROM spans GROUP BY k, sec),
+by_file AS (SELECT k, any_value(md) AS md, list(sps ORDER BY sec) AS secs FROM by_section GROUP BY k),
+merged AS (SELECT k, md, list_reduce(secs, lambda x, y: CASE WHEN y[-1].stop - x[-1].start <= {2 * MIN_CHARS} THEN list_concat(x[:-2], [{span.format(a="x[-1].a", b="y[-1].b", start="x[-1].start", stop="y[-1].stop", symbols="x[-1].symbols")}]) ELSE list_concat(x, y) END) AS sps FROM by_file),
+folded AS (SELECT k, md, list_reduce(list_transform(sps, lambda s: [s]), lambda x, y: CASE WHEN y[1].a <= x[-1].b + 2 AND 2 * least(x[-1].stop - x[-1].start, y[1].stop - y[1].start) < {MIN_CHARS} AND greatest(x[-1].stop, y[1].stop) - x[-1].start <= {MAX_CHARS} THEN list_concat(x[:-2], [{span.format(a="x[-1].a", b="greatest(x[-1].b, y[1].b)", start="x[-1].start", stop="greatest(x[-1].stop, y[1].stop)", symbols="list_concat(x[-1].symbols, y[1].symbols)")}]) ELSE list_concat(x, y) END) AS sps FROM merged),
+flat AS (SELECT k, md, unnest(sps) AS sp FROM folded),
+told AS (SELECT flat.k, flat.md, sp, n.ls, list_transform(list_slice(n.ls, sp.a + 1, sp.b + 1), lambda t: trim(t, {blanks}) <> '') AS t, list_filter(sp.symbols, lambda s, i: list_position(sp.symbols, s) = i) AS names FROM flat JOIN numbered n ON n.k = flat.k),
+edges AS (SELECT *, sp.a + greatest(coalesce(list_position(t, true), 1), 1) AS first_line, sp.b + 2 - greatest(coalesce(list_position(list_reverse(t), true), 1), 1) AS last_line FROM told),
+cut AS (SELECT k, first_line::INT AS start_line, last_line::INT AS end_line, nullif(left(concat(array_to_string(names[:3], ', '), CASE WHEN len(names) > 3 THEN concat(' +', len(names) - 3) ELSE '' END), 160), '') AS symbol, CASE WHEN md THEN 'section' WHEN list_sum(list_transform(ls, lambda t: length(t) + 1)) - 1 <= {MAX_CHARS} THEN 'file' ELSE 'block' END AS kind, array_to_string(list_slice(ls, first_line, last_line), chr(10)) AS content FROM edges)
+SELECT {columns} FROM cut JOIN numbered USING (k) WHERE length(trim(content, {blanks})) >= 25"""
+
+
+_CORPUS = "SELECT repo_id, path, {language} AS language, {strategy} AS strategy, content FROM (SELECT repo_id, path, content FROM corpus_files{more}) WHERE {reason} IS NULL"
+_TALK = " UNION ALL SELECT repo_id, path, content FROM talk_files"
+
+
+def admitted(strategy: str = STRATEGY, talk: bool = True) -> str:
+    return _CORPUS.format(language=LANGUAGE, strategy=strategy, more=_TALK if talk else "", reason=REASON)

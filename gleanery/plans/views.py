@@ -88,4 +88,5 @@ def with_views(body: str) -> str:
     ctes = [f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n])})" for n in named]
     if not ctes:
         return body
-    return "WITH " + ", ".join(ctes) + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)
+    head = next((h for h in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(h)), "")
+    return (head or "WITH ") + ", ".join(ctes) + (", " if head else " ") + body[len(head) :]
