@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ BLOCK_MB = 8
 END = np.frombuffer(b"end of the text.", "<u8")
 #: Places that are sorted at once, so that a gram and its place fit into 64 bits.
 CHUNK = 1 << 16
+#: For bytes.translate, which is far faster than indexing: A-Z lower-cased, and 1 for bytes of words.
+LOWERED, INSIDE = C.LOWER.tobytes(), (~C.SPACE).tobytes()
 PLANES = {f"b{k}": "u1" for k in range(DEPTH + 1)}
 GRAM = PLANES | {"n": "<i8"}
 ANSWER = PLANES | {"logp": "<f4"}
@@ -45,44 +48,75 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def canonical(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row as DEPTH zero bytes, its lower-cased words with one space between, and a newline as end; len + 1 offsets."""
+@dataclass
+class Canonical:
+    """Rows as DEPTH zero bytes, their lower-cased words with one space between, and a newline as end: x. real: which bytes of x are not those zeros; sizes: how many each row has. Of all words in order: their bytes (letters), how many each has, and how many words each row has."""
+
+    x: np.ndarray
+    real: np.ndarray
+    sizes: np.ndarray
+    letters: np.ndarray
+    lengths: np.ndarray
+    words: np.ndarray
+
+
+def canonical(data: np.ndarray, at: np.ndarray) -> Canonical:
+    """Of rows data[at[i]:at[i+1]]."""
     n = len(at) - 1
-    lengths = np.diff(at)
-    text = np.full(int(at[-1] - at[0]) + n, 0x20, np.uint8)
-    text[np.arange(int(at[-1] - at[0])) + np.repeat(np.arange(n), lengths)] = C.LOWER[data[at[0] : at[-1]]]
     stop = at[1:] - at[0] + np.arange(n)  # the space after each row
-    start, end = C.word_spans(text)
-    row = np.searchsorted(stop, start)
-    keep = ~C.SPACE[text]
-    keep[end] = True
+    text = np.full(int(at[-1] - at[0]) + n, 0x20, np.uint8)
+    own = np.ones(len(text), bool)
+    own[stop] = False
+    text[own] = data[at[0] : at[-1]]
+    raw = text.tobytes()
+    text = np.frombuffer(raw.translate(LOWERED), np.uint8).copy()
+    inside = np.zeros(len(text) + 1, bool)
+    inside[1:] = np.frombuffer(raw.translate(INSIDE), bool)
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end, inside = edge[::2], edge[1::2], inside[1:]
+    letters, lengths = text[inside], end - start
+    first = np.concatenate([[0], np.searchsorted(start, stop)])
+    words = np.diff(first)
+    bare = words == 0
+    inside[end] = True  # the byte after each word stays too
     text[end] = 0x20
-    last = np.ones(len(row), bool)
-    last[:-1] = row[1:] != row[:-1]
-    text[end[last]] = 0x0A
-    bare = np.ones(n, bool)
-    bare[row] = False
-    keep[stop[bare]] = True
+    text[end[first[1:][~bare] - 1]] = 0x0A
+    inside[stop[bare]] = True
     text[stop[bare]] = 0x0A
-    total = np.concatenate([[0], np.cumsum(keep)])
-    sizes = np.diff(np.concatenate([[0], total[stop + 1]]))
-    out = np.zeros(int(total[-1]) + DEPTH * n, np.uint8)
-    out[np.arange(int(total[-1])) + np.repeat((np.arange(n) + 1) * DEPTH, sizes)] = text[keep]
-    return out, np.concatenate([[0], np.cumsum(sizes + DEPTH)])
+    sizes = np.maximum(np.diff(np.concatenate([[0], np.cumsum(lengths)])[first]) + words, 1)
+    top = np.cumsum(sizes + DEPTH) - sizes - DEPTH
+    real = np.ones(int(sizes.sum()) + DEPTH * n, bool)
+    real[(top[:, None] + np.arange(DEPTH)).ravel()] = False
+    x = np.zeros(len(real), np.uint8)
+    x[real] = text[inside]
+    return Canonical(x, real, sizes, letters, lengths, words)
 
 
-def _places(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Where symbols stand, without the zero bytes before each row."""
-    real = np.ones(len(x), bool)
-    real[(bounds[:-1, None] + np.arange(DEPTH)).ravel()] = False
-    return np.flatnonzero(real)
+def _last(c: Canonical, kind: str) -> np.ndarray:
+    """The bytes up to every place, as a number of that big-endian kind."""
+    width = np.dtype(kind).itemsize
+    padded = np.concatenate([np.zeros(width - 1, np.uint8), c.x])
+    return np.ndarray(len(c.x), kind, padded, strides=(1,))[c.real]
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of the sorted x, and which of those each is."""
+    at = _starts(x)
+    return x[at], np.repeat(np.arange(len(at)), np.diff(np.append(at, len(x))))
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, n = k[order], n[order]
-    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    at = _starts(k)
     return k[at], (np.add.reduceat(n, at) if len(at) else n)
 
 
@@ -90,13 +124,9 @@ def held_out(ids: list[int | None], folds: int) -> list[bool | None]:
     return [None if i is None else zlib.crc32(str(i).encode()) % folds == 0 for i in ids]
 
 
-def _grams(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _grams(c: Canonical) -> np.ndarray:
     """(context of DEPTH bytes, next byte) of every place, as one number."""
-    where = _places(x, bounds)
-    key = np.zeros(len(where), np.uint64)
-    for k in range(DEPTH, -1, -1):
-        key = key << U64(8) | x[where - k].astype(np.uint64)
-    return key
+    return _last(c, ">u8").astype(np.uint64) & U64((1 << 8 * (DEPTH + 1)) - 1)
 
 
 def _planes(key: np.ndarray) -> dict[str, np.ndarray]:
@@ -117,36 +147,45 @@ def _dealt(key: np.ndarray, parts: int) -> np.ndarray:
 
 def _in_buckets(bucket: np.ndarray) -> list[np.ndarray]:
     """The places of each bucket's items, in order."""
-    order = np.argsort(bucket, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    if not len(bucket):
+        return []
+    order = np.argsort(bucket.astype(np.min_scalar_type(int(bucket.max()))), kind="stable")  # by radix if they are small
+    return np.split(order, _starts(bucket[order])[1:])
 
 
 def _learned(texts: pa.Table, folds: int) -> np.ndarray:
     return np.array([h is False for h in held_out(texts.column("doc_id").to_pylist(), folds)], bool)
 
 
-def told_apart(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different rows of word digests, sorted, and which of those each is."""
-    order = np.lexsort((w[:, 1], w[:, 0]))
-    w = w[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]).any(axis=1)
-    which = np.empty(len(w), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return w[new], which
+def told_apart(letters: list[np.ndarray], lengths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of the different words of a block, sorted, END too, and which of those are END and all words in order. Each different word is digested once."""
+    ends = np.concatenate([np.zeros(1, np.int64), *lengths]).cumsum()
+    kind, offsets = (pa.binary(), ends.astype(np.int32)) if ends[-1] < 1 << 31 else (pa.large_binary(), ends)
+    data = np.concatenate([np.zeros(0, np.uint8), *letters])
+    words = pa.Array.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    digests = np.frombuffer(END.tobytes() + b"".join(map(xxhash.xxh3_128_digest, words.dictionary.to_numpy(zero_copy_only=False))), "<u8").reshape(-1, 2)
+    order = np.argsort(digests[:, 0])
+    if (np.diff(digests[order, 0]) == 0).any():
+        order = np.lexsort((digests[:, 1], digests[:, 0]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return digests[order], np.concatenate([rank[:1], rank[1:][words.indices.to_numpy()]])
 
 
 def block_words(texts: pa.Table, folds: int) -> tuple[np.ndarray, np.ndarray]:
     """The different words of a block by their digests, sorted, END too, and how often each stands in training texts."""
     data, at = C.binary(texts.column("text"))
     learned = _learned(texts, folds)
-    all_, counts = [END[None, :]], [np.array([learned.sum()], np.int64)]
+    letters, lengths, own = [], [], [np.zeros(1, bool)]
     for i, j in C.slices(at):
-        digests, which, row, _ = C.distinct_words(data, at[i : j + 1])
-        all_.append(digests)
-        counts.append(np.bincount(which, learned[i:j][row], len(digests)).astype(np.int64))
-    words, which = told_apart(np.concatenate(all_))
-    return words, np.bincount(which, np.concatenate(counts)).astype(np.int64)
+        c = canonical(data, at[i : j + 1])
+        letters.append(c.letters)
+        lengths.append(c.lengths)
+        own.append(np.repeat(learned[i:j], c.words))
+    words, which = told_apart(letters, lengths)
+    n = np.bincount(which[np.concatenate(own)], minlength=len(words))
+    n[which[0]] = learned.sum()
+    return words, n
 
 
 def block_grams(texts: pa.Table, folds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +193,12 @@ def block_grams(texts: pa.Table, folds: int) -> tuple[np.ndarray, np.ndarray]:
     data, at = C.binary(texts.column("text"))
     learned, keys, counts = _learned(texts, folds), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, j in C.slices(at):
-        x, bounds = canonical(data, at[i : j + 1])
-        key = _grams(x, bounds) << U64(1) | np.repeat(~learned[i:j], np.diff(bounds) - DEPTH).astype(np.uint64)
+        c = canonical(data, at[i : j + 1])
+        key = _grams(c) << U64(1) | np.repeat(~learned[i:j], c.sizes)
         key.sort()
         own = 1 - (key & U64(1)).astype(np.int64)
         key >>= U64(1)
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        cut = _starts(key)
         keys.append(key[cut])
         counts.append(np.add.reduceat(own, cut) if len(cut) else own)
         if len(keys) > 8:
@@ -231,9 +270,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.RecordB
         batch = batch.filter(pa.array(_learned(batch, folds)))
         data, at = C.binary(batch.column("text"))
         for i, j in C.slices(at):
-            x, bounds = canonical(data, at[i : j + 1])
-            where = _places(x, bounds)
-            total += np.bincount(x[where - 1].astype(np.int64) << 8 | x[where], minlength=1 << 16)
+            total += np.bincount(_last(canonical(data, at[i : j + 1]), ">u2"), minlength=1 << 16)
     some = np.flatnonzero(total)
     yield pa.record_batch([pa.array(some, pa.int32()), pa.array(total[some])], ["pair", "n"])
 
@@ -280,11 +317,11 @@ def retained(key: np.ndarray, n: np.ndarray, top: Roots, least: float) -> list[t
     keep: dict[int, np.ndarray] = {}
     for k in range(DEPTH, 1, -1):
         grams, c = levels[k]
-        ctx, of = np.unique(grams >> U64(8), return_inverse=True)
+        ctx, of = _runs(grams >> U64(8))
         suffix = grams & U64((1 << 8 * k) - 1)
         if k > 2:
             up, cu = levels[k - 1]
-            up_ctx, up_of = np.unique(up >> U64(8), return_inverse=True)
+            up_ctx, up_of = _runs(up >> U64(8))
             parent = cu[np.searchsorted(up, suffix)] / np.bincount(up_of, cu)[np.searchsorted(up_ctx, suffix >> U64(8))] if len(up) else np.zeros(0)
         else:
             last, next_ = (suffix >> U64(8)).astype(np.int64), (suffix & U64(255)).astype(np.int64)
@@ -314,7 +351,9 @@ def log10_of(key: np.ndarray, top: Roots, levels: list[tuple[int, np.ndarray, np
     """log10 probability of each gram: the longest retained suffix is the state. Each state's distribution is smoothed with that of its suffix, by as much weight as it has kinds of next bytes (Witten and Bell)."""
     p, live = top.p[(key >> U64(8) & U64(255)).astype(np.int64), (key & U64(255)).astype(np.int64)], np.arange(len(key))
     for k, grams, n in levels:
-        ctx, at = np.unique(grams >> U64(8), return_index=True)
+        ctx = grams >> U64(8)
+        at = _starts(ctx)
+        ctx = ctx[at]
         total, kinds = np.add.reduceat(n, at) if len(at) else n, np.diff(np.append(at, len(grams)))
         at, ok = _found(ctx, key[live] >> U64(8) & U64((1 << 8 * k) - 1))
         live, at = live[ok], at[ok]
@@ -360,33 +399,33 @@ def _totals(texts: pa.Table, answers: pa.Table, parts: int, folds: int) -> pa.Ta
     size, kinds = map(int, answers.column("blob").filter(pa.array(answers.column("bucket").to_numpy() == -1))[0].as_py().split())
     n = len(texts)
     data, at = C.binary(texts.column("text"))
-    # of each slice its different words and grams, and where they stand; the answers come once for all slices
-    slices, all_ = [], [END[None, :]]
+    # of each slice its words, and its different grams and where they stand; the answers come once for all slices
+    letters, lengths, words, sizes, grams = [], [], [], [], []
     for i, j in C.slices(at):
-        digests, which, row, starts = C.distinct_words(data, at[i : j + 1])
-        x, bounds = canonical(data, at[i : j + 1])
-        slices.append((i, j, len(digests), which, row, np.diff(starts), np.diff(bounds) - DEPTH, *placed(_grams(x, bounds))))
-        all_.append(digests)
-    words, number = told_apart(np.concatenate(all_))
-    bucket = _dealt(words[:, 0], parts)
-    train = _told(answers, 0, parts, _in_buckets(bucket), bucket, "<i8")[number]  # END, then the slices' words
-    log, seen = np.log10(train + 0.1), train > 0
-    key = np.unique(np.concatenate([s[7] for s in slices]))
+        c = canonical(data, at[i : j + 1])
+        for to, own in ((letters, c.letters), (lengths, c.lengths), (words, c.words), (sizes, c.sizes), (grams, placed(_grams(c)))):
+            to.append(own)
+    key = np.sort(np.concatenate([g[0] for g in grams]))
+    key = key[_starts(key)]
     bucket = _dealt(key, parts)
     logp = _told(answers, parts, 2 * parts, _in_buckets(bucket), bucket, "<f4").astype(np.float64)
-    score_, base, tokens, known = np.zeros(n), np.full(n, log[0]), np.ones(n, np.int64), np.full(n, int(seen[0]))
-    first = 1
-    for i, j, kinds_, which, row, count, sizes, grams, times, place in slices:
+    scores = []
+    for long, (some, times, place) in zip(sizes, grams, strict=True):
         p = np.empty(len(place))
-        p[place] = np.repeat(logp[np.searchsorted(key, grams)], times)
-        score_[i:j] = np.add.reduceat(p, np.cumsum(sizes) - sizes)
-        base[i:j] += np.bincount(row, log[first : first + kinds_][which], j - i)
-        known[i:j] += np.bincount(row, seen[first : first + kinds_][which], j - i).astype(np.int64)
-        tokens[i:j] += count
-        first += kinds_
+        p[place] = np.repeat(logp[np.searchsorted(key, some)], times)
+        scores.append(np.add.reduceat(p, np.cumsum(long) - long))
+    del grams
+    digests, which = told_apart(letters, lengths)
+    bucket = _dealt(digests[:, 0], parts)
+    train = _told(answers, 0, parts, _in_buckets(bucket), bucket, "<i8")
+    log, seen, end, which = np.log10(train + 0.1), train > 0, which[0], which[1:]
+    words = np.concatenate(words)
+    row, tokens = np.repeat(np.arange(n), words), words + 1
+    base = log[end] + np.bincount(row, log[which], n)
+    known = int(seen[end]) + np.bincount(row[seen[which]], minlength=n)
     ids = texts.column("doc_id").to_pylist()
     base -= tokens * np.log10(size + 0.1 * (kinds + 1))
-    return pa.table([ids, held_out(ids, folds), tokens, known, np.full(n, size), base, score_], schema=SCHEMA)
+    return pa.table([ids, held_out(ids, folds), tokens, known, np.full(n, size), base, np.concatenate(scores)], schema=SCHEMA)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, least: int = LEAST, block_mb: int = BLOCK_MB) -> DataFrame:

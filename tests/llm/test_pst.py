@@ -4,11 +4,14 @@ from collections import Counter
 from math import log, log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tests_llm_corpus import prose
 
-from gleanery.llm.pst import DEPTH, retained, roots, score
+from gleanery.llm import common as C
+from gleanery.llm.pst import DEPTH, END, _grams, block_words, canonical, retained, roots, score
 
 SPLIT = r"[^\x20\x09-\x0D]+"
 
@@ -117,3 +120,54 @@ def test_a_rare_context_keeps_its_probability_when_the_corpus_grows(spark):
     df = spark.createDataFrame([*rare, *many], "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.score for r in score(df).where(F.col("doc_id") <= ids[19]).collect()}
     assert all(got[k] > -6 for k, _ in rare)
+
+
+def table(texts):
+    return pa.table([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), pa.array([0] * len(texts), pa.int32())], names=["doc_id", "text", "block"])
+
+
+def test_a_block_digests_each_word_once(monkeypatch):
+    """Blocks are read in slices of a megabyte; their common words were digested again in each."""
+    words = [f"w{k}" for k in range(500)]
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(words, 5000)) for _ in range(150)]
+    assert sum(map(len, texts)) > 3 << 20
+    seen, digest = [], xxhash.xxh3_128_digest
+    monkeypatch.setattr(xxhash, "xxh3_128_digest", lambda w: seen.append(w) or digest(w))
+    got, n = block_words(table(texts), 10)
+    assert sorted(seen) == sorted(w.encode() for w in words)
+    train = Counter(w for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10 for w in tokens(t))
+    want = {digest(w.encode()) if w else END.tobytes(): c for w, c in train.items()}
+    assert {d.tobytes(): c for d, c in zip(got, n, strict=True)} == want
+
+
+@pytest.mark.parametrize("texts", [[], [""], ["", " \t", ""], ["A", "", " b\x0bC ", "\0", "\0 \0\0", "É ÀZ　z", "x\n", "\nx", "  ", "Zz"], ["", "a" * (1 << 20), "", "b c" * 400000, " "]])
+def test_the_form_that_is_read(texts):
+    data, at = C.binary(table(texts).column("text"))
+    c = canonical(data, at)
+    words = [[w.encode() for w in tokens(t)[:-1]] for t in texts]
+    rows = [b" ".join(w) + b"\n" for w in words]
+    assert c.x.tobytes() == b"".join(b"\0" * DEPTH + r for r in rows)
+    assert c.x[c.real].tobytes() == b"".join(rows) and c.sizes.tolist() == [*map(len, rows)]
+    assert c.letters.tobytes() == b"".join(w for r in words for w in r)
+    assert c.lengths.tolist() == [len(w) for r in words for w in r] and c.words.tolist() == [*map(len, words)]
+    some = np.flatnonzero(c.real)[:: max(1, int(c.real.sum()) // 1000)]
+    key = dict(zip(np.flatnonzero(c.real), _grams(c), strict=True))
+    assert all(int(key[k]) == int.from_bytes(c.x[k - DEPTH : k + 1].tobytes(), "big") for k in some)
+
+
+def test_odd_bytes_and_long_texts_against_brute_force(spark):
+    """NUL bytes beside the zero bytes before a text, bare texts, and a text that is a slice of its own."""
+    rng = np.random.default_rng(5)
+    words = ["\0", "\0\0a", "é", "　", *prose(6, 40).split()]
+    data = [(k, " ".join(rng.choice(words, 30))) for k in range(40)]
+    data += [(50, ""), (51, None), (52, "\n"), (53, "\0" * 9), (54, " ".join(rng.choice(words, 220000))), (55, " ")]
+    assert len(data[-2][1]) > 1 << 20
+    kept, _, want = brute(data)
+    got = {r.doc_id: r for r in score(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    train = Counter(w for i, t in data if zlib.crc32(str(i).encode()) % 10 for w in tokens(t))
+    n, v = sum(train.values()), len(train)
+    for i, t in data:
+        assert got[i].score == pytest.approx(want[i], rel=1e-4)
+        assert (got[i].n_tokens, got[i].n_known) == (len(tokens(t)), sum(train[w] > 0 for w in tokens(t)))
+        assert got[i].base_score == pytest.approx(sum(log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), rel=1e-9)
