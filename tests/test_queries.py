@@ -212,3 +212,10 @@ def test_vector_literals_round_as_the_sql_does(spark, sf, tmp_path):
     documents = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id") < len(odd))
     got, want = both(spark, "f15_vector_literal", {"embeddings": vectors, "documents": documents}, tmp_path)
     assert got == want and len(got) == len(odd) and got[0][1] == "[0.070312,-0.070312,0.023438,123456.007812]"
+
+
+def test_archive_texts_at_the_limits_of_admission(spark, tmp_path):
+    texts = ["x" * 300, "x" * 301, "é" * 299, "a\n" + "x" * 598, "b\n" * 20 + "x" * 2000, "b\n" * 20 + "x" * 2001, "b\n" * 20 + "x" * 1999 + "\n", "", "a\0b", "�", "x" * 299 + "�", "﻿" + "x" * 299, "\n", None, ("y" * 99 + "\n") * 2047 + "y" * 96, ("y" * 99 + "\n") * 2047 + "y" * 97]
+    documents = spark.createDataFrame([(6 * k + 1, t, "en", "s") for k, t in enumerate(texts) if (6 * k + 1) % 13 and (6 * k + 1) % 17] + [(6 * (k + 300) + 1, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got, want = both(spark, "f6_s4_archive_texts", {"documents": documents}, tmp_path)
+    assert got == want and {r[3] for r in got} == {"kept", "minified", "binary"} and len(got) > len(texts)
