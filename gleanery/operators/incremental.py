@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def diff_rows(old: DataFrame, new: DataFrame) -> DataFrame:
+    """new's columns and change: added, changed, unchanged or removed. Only added and changed rows have more than repo_id and path."""
+    o = old.select("repo_id", "path", F.col("content_hash").alias("_was"))
+    now = F.col("content_hash")
+    change = F.when(F.col("_was").isNull(), "added").when(now.isNull(), "removed").when(F.col("_was") == now, "unchanged").otherwise("changed")
+    both = o.join(new, ["repo_id", "path"], "full_outer").withColumn("change", change)
+    kept = F.col("change").isin("added", "changed")
+    return both.select(*(F.col(c) if c in ("repo_id", "path") else F.when(kept, F.col(c)).alias(c) for c in new.columns), "change")
+
+
 def diff_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
     """(repo_id, path, change): added, changed, unchanged or removed."""
-    o = old.select("repo_id", "path", F.col("content_hash").alias("was"))
-    n = new.select("repo_id", "path", F.col("content_hash").alias("now"))
-    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") == F.col("now"), "unchanged").otherwise("changed")
-    return o.join(n, ["repo_id", "path"], "full_outer").select("repo_id", "path", change.alias("change"))
+    return diff_rows(old, new.select("repo_id", "path", "content_hash")).select("repo_id", "path", "change")
 
 
 def stale_paths(diff: DataFrame) -> DataFrame:

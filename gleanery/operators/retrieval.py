@@ -10,12 +10,15 @@ or an array without values stands for all. Both legs keep to it before they rank
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
 from ..functions.paths import path_prior
@@ -347,3 +350,23 @@ def hashed_embedding(chunks: DataFrame, dims: int = 64) -> DataFrame:
     dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))
     norm = F.sqrt(F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x * x))
     return vec.where(norm > 0).select("id", F.transform(dense, lambda x: x / norm).alias("embedding"))
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _hashed_vector(words: pa.Array, dims: pa.Array) -> pa.Array:
+    n, size = len(words), dims[0].as_py() if len(dims) else 1
+    coded = words.flatten().dictionary_encode()
+    digests = [hashlib.md5(w.encode()).digest() for w in coded.dictionary.to_pylist()]
+    at = np.array([int.from_bytes(h[:4], "big") % size for h in digests], np.int64)
+    sign = np.array([1.0 if h[4] < 128 else -1.0 for h in digests])
+    codes, row = coded.indices.to_numpy(), np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    sums = np.bincount(row * size + at[codes], sign[codes], n * size).reshape(n, size)
+    norm = np.sqrt((sums * sums).sum(1))
+    some = norm > 0
+    ends = np.concatenate([[0], np.cumsum(some * size)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((sums[some] / norm[some, None]).ravel()), mask=pa.array(~some))
+
+
+def hashed_vector(words: Column, dims: int = 64) -> Column:
+    """The vector that `hashed_embedding` has for a text of these words, row by row: no shuffle. Null without words, or where they cancel out."""
+    return _hashed_vector(words, F.lit(dims))

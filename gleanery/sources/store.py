@@ -22,7 +22,9 @@ from ..operators import incremental as I
 from .tables import materialize
 
 MANIFESTS = "_manifests"
-BUCKET = "_bucket"
+BUCKET, PART = "_bucket", "_part"
+#: About what one task writes of a bucket.
+PART_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -152,9 +154,6 @@ class Change:
 
     def _write(self, name: str, rows: DataFrame, key: list[str], by: list[str] | None, gone: DataFrame | None) -> None:
         store = self.store
-        if key:  # the order of all columns decides between rows of one key
-            least = F.min(F.struct(*(c for c in rows.columns if c not in key))).alias("_row")
-            rows = rows.groupBy(*key).agg(least).select(*(F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in rows.columns)) if len(key) < len(rows.columns) else rows.distinct()
         fresh, gone = materialize(rows, "fresh"), None if gone is None else materialize(gone.distinct(), "gone")
         table, size = self.tables.get(name), self._bytes(fresh)
         if table is None:
@@ -177,9 +176,17 @@ class Change:
             stored = _anti(stored, gone, gone.columns)
         if key:
             stored = _anti(stored, fresh.select(*key), key)
+        parts = max(1, -(-size // (table.buckets * PART_BYTES)))  # a bucket is written by so many tasks
+        part = F.col(BUCKET) * parts + F.pmod(F.hash(*table.by), F.lit(parts))
         both = stored.unionByName(fresh.select(*table.type.names)).select(*table.type.names, _bucket(table.by, table.buckets))
+        both = both.withColumn(PART, part.cast("int")).repartitionById(min(len(touched) * parts, 10_000), PART)
+        if key:  # the order of all columns decides between rows of one key; they meet in their part
+            ordered = [*table.by, *(c for c in key if c not in table.by)]
+            rest = [c for c in table.type.names if c not in key]
+            both = both.groupBy(BUCKET, *ordered, PART).agg(F.min(F.struct(*rest)).alias("_row") if rest else F.count("*").alias("_row"))
+            both = both.select(*(F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in table.type.names), BUCKET)
         folder = f"v{self.version + 1:012d}-{uuid.uuid4().hex[:12]}"
-        both.repartition(min(len(touched), 10_000), BUCKET).sortWithinPartitions(BUCKET, *table.by).write.partitionBy(BUCKET).parquet(f"{store.base}/{name}/{folder}")
+        both.drop(PART).sortWithinPartitions(BUCKET, *table.by).write.partitionBy(BUCKET).parquet(f"{store.base}/{name}/{folder}")
         folders, sizes = ({b: x for b, x in d.items() if b < table.buckets and b not in set(touched)} for d in (table.folders, table.sizes))
         for status in store._fs.listStatus(store._path(name, folder)):
             part = status.getPath().getName()
@@ -236,14 +243,17 @@ def apply_snapshot(change: Change, snapshot: DataFrame, derive: Callable[[DataFr
     of added and changed rows only; keys: their key columns. also: repos (repo_id) whose snapshot is empty. What was derived from removed and changed paths goes. Nothing
     is visible before the change is committed.
     """
-    snapshot = materialize(snapshot, "snapshot")
-    repos = snapshot.select("repo_id").distinct() if also is None else snapshot.select("repo_id").union(also.select("repo_id")).distinct()
-    files = change.read("files") if "files" in change.tables else snapshot.select("repo_id", "path", "content_hash").limit(0)
-    diff = materialize(I.diff_snapshot(files.join(repos, "repo_id", "left_semi"), snapshot), "diff")
+    if "files" in change.tables:
+        snapshot = materialize(snapshot, "snapshot")
+        repos = snapshot.select("repo_id") if also is None else snapshot.select("repo_id").union(also.select("repo_id"))
+        diff = I.diff_rows(change.read("files").join(repos.distinct(), "repo_id", "left_semi"), snapshot)
+    else:
+        diff = snapshot.withColumn("change", F.lit("added"))
+    diff = materialize(diff, "diff")
     stale = I.stale_paths(diff)
-    fresh = materialize(snapshot.join(diff.where(F.col("change").isin("added", "changed")).select("repo_id", "path"), ["repo_id", "path"], "left_semi"), "added")
+    fresh = diff.where(F.col("change").isin("added", "changed")).drop("change")
     for name, rows in derive(fresh).items():
         old = change.read(name).join(stale, ["repo_id", "path"], "left_semi").select(*keys[name]) if name in change.tables else None
         change.upsert(name, rows, keys[name], gone=old)
     change.upsert("files", fresh.select("repo_id", "path", "content_hash"), ["repo_id", "path"], gone=stale)
-    return diff
+    return diff.select("repo_id", "path", "change")

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import itertools
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..sources.store import IndexStore, apply_snapshot
+from ..sources.store import Change, IndexStore, apply_snapshot
 from ..sources.tables import materialize, shared_dir
 
 
@@ -215,42 +216,66 @@ def whole_snapshots(rows: DataFrame, wait_seconds: int = 3600) -> DataFrame:
     rows: repo_id, snapshot (a number that grows), path, content_hash, ..., and per snapshot an end mark: path null and
     `expected` its number of paths, in any place. A path that comes twice counts once, its last row stands. A newer
     snapshot takes the place of an older one that isn't complete, rows of older ones are left out, and one that lacks rows
-    for wait_seconds is given up. Rows wait in RocksDB on disk, which the session must have as its state store
-    (`index_stream` sees to that); what stays of a repo afterwards is three numbers.
+    for wait_seconds is given up. Rows wait in RocksDB on disk, which the session must have as its state store; what stays
+    of a repo afterwards is three numbers. Timers would ask for empty batches for ever: with
+    spark.sql.streaming.noDataMicroBatches.enabled off they fire when the next rows come.
     """
     own = StructType(sorted((f for f in rows.schema.fields if f.name not in MARKS), key=lambda f: f.name != "path"))
     out = StructType([rows.schema["repo_id"], *own.fields])
     return rows.groupBy("repo_id").transformWithStateInPandas(_whole(own, wait_seconds), out, "Append", "ProcessingTime")
 
 
+def _gather(change: Change, rows: DataFrame, now: int, wait_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """Puts a batch's rows to those that wait; the rows of snapshots that are whole by now, and their repos.
+
+    Two tables: `waiting` has the rows and end marks of what isn't whole, `begun` each repo's last snapshot, whether it is
+    done (handed on or given up), and when rows of it came last.
+    """
+    store, id_ = change.store, rows.schema["repo_id"]
+    begun = change.read("begun") if "begun" in change.tables else store.spark.createDataFrame([], StructType([id_]).add("snapshot", "long").add("done", "boolean").add("came", "long"))
+    last = begun.select("repo_id", F.col("snapshot").alias("last"), "done")
+    live = rows.join(last, "repo_id", "left").where("last is null or snapshot > last or (snapshot = last and not done)").select(*rows.columns)
+    live.write.parquet(path := shared_dir(store.spark, "live"))
+    live = store.spark.read.schema(live.schema).parquet(path)  # the stream's own session plans without statistics of what has run
+    repos = live.select("repo_id").distinct()
+    change.upsert("waiting", live, ["repo_id", "snapshot", "path"], by=["repo_id"])
+    held = change.read("waiting", keys=repos)
+    of_repo = Window.partitionBy("repo_id")
+    counted = held.join(repos, "repo_id", "left_semi").groupBy("repo_id", "snapshot").agg((F.count("path") >= F.max("expected")).alias("all"))
+    counted = materialize(counted.withColumns({"newest": F.max("snapshot").over(of_repo), "whole": F.max(F.when(F.col("all"), F.col("snapshot"))).over(of_repo)}), "counted")
+    late = begun.where(~F.col("done") & (F.col("came") < now - wait_seconds * 1000)).join(repos, "repo_id", "left_anti")
+    late = materialize(late.withColumn("done", F.lit(True)), "late")
+    now_begun = counted.where("snapshot = newest").select("repo_id", "snapshot", F.coalesce(F.col("all"), F.lit(False)).alias("done"), F.lit(now).cast("long").alias("came"))
+    change.upsert("begun", now_begun.unionByName(late), ["repo_id"])
+    change.delete("waiting", counted.where("snapshot < newest or snapshot <= whole").select("repo_id", "snapshot").union(late.select("repo_id", "snapshot")))
+    whole = counted.where("snapshot = whole").select("repo_id", "snapshot")
+    return held.where("path is not null").join(whole, ["repo_id", "snapshot"], "left_semi").select("repo_id", *(c for c in rows.columns if c not in MARKS)), whole.select("repo_id")
+
+
 def index_stream(snapshots: DataFrame, store: IndexStore, derive: Callable[[DataFrame], dict[str, DataFrame]], keys: dict[str, list[str]], wait_seconds: int = 3600) -> None:
-    """Takes arriving snapshots (see `whole_snapshots`; with content_hash) into the index, each once it is complete.
+    """Takes arriving snapshots (as `whole_snapshots` has them; with content_hash) into the index, each once it is complete.
 
     A batch's snapshots are compared with the stored files, derive gets only rows of added and changed ones, and only the
     buckets that change are written. Files and what is derived from them become visible together, as one version of the
     store, so a batch that is repeated after a failure gives the same index. The stream's checkpoint stands beside the
     tables; a later call goes on where the last one ended.
+
+    Rows wait in a store of their own inside the checkpoint, not in a streaming state: that takes a call to Python for each
+    repo and some more for each row. It is committed after the index, so rows may come to the index twice, which changes
+    nothing, but not get lost.
     """
+    waiting = IndexStore(store.spark, f"{store.base}-stream/waiting")
+    waiting.bucket_bytes = store.bucket_bytes
 
     def batch(df: DataFrame, number: int) -> None:
-        df = materialize(df, "batch")
-        done = df.where("path is null").select("repo_id").distinct()
-        if not done.take(1):
-            return
-        change = store.change()
-        emptied = done.join(df.where("path is not null").select("repo_id").distinct(), "repo_id", "left_anti")
-        apply_snapshot(change, df.where("path is not null"), derive, keys, also=emptied)
-        change.commit()
-
-    conf = snapshots.sparkSession.conf
-    # the one store with such state; and as timers would ask for empty batches for ever, they fire when the next rows come
-    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    before = {k: conf.get(k) for k in own}
-    try:
-        for k, v in own.items():
-            conf.set(k, v)
-        q = whole_snapshots(snapshots, wait_seconds).writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", f"{store.base}-stream").start()
-        q.awaitTermination()
-    finally:
-        for k, v in before.items():
-            conf.set(k, v)
+        state = waiting.change()
+        rows, repos = _gather(state, df, int(time.time() * 1000), wait_seconds)
+        if repos.take(1):
+            change = store.change()
+            apply_snapshot(change, rows, derive, keys, also=repos)
+            change.commit()
+        state.commit()
+        waiting.vacuum(keep=1)
+
+    q = snapshots.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", f"{store.base}-stream").start()
+    q.awaitTermination()

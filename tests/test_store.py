@@ -190,3 +190,61 @@ def test_much_of_one_repo_waits_in_the_state(spark, tmp_path, monkeypatch):
     store = IndexStore(spark, str(tmp_path / "index"))
     ST.index_stream(stream, store, lambda df: {}, {})
     assert store.read("files").count() == 900
+
+
+def test_many_repos_come_without_a_state_for_each(spark, tmp_path, monkeypatch):
+    """Their rows wait in tables; a call to Python for each repo and row took most of the time."""
+    monkeypatch.setattr(ST, "whole_snapshots", None)
+    big = 1 << 40
+    rows_ = [(big + r, 1, f"f{k}.py", body(k, r), None) for r in range(1500) for k in range(2)] + [(big + r, 1, None, None, 2 + (r == 7)) for r in range(1500)]
+    random.Random(1).shuffle(rows_)
+    df = spark.createDataFrame(rows_, SNAPSHOT.replace("repo_id int", "repo_id long")).withColumn("content_hash", F.sha1("content"))
+    df.repartition(2).write.parquet(f"{tmp_path}/in")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    ST.index_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), store, derive, {"derived": ["id"]})
+    want = df.where(f"path is not null and repo_id <> {big + 7}")
+    assert rows(store.read("files").select("repo_id", "path")) == rows(want.select("repo_id", "path"))
+    assert rows(store.read("derived").select("repo_id", "path", "embedding")) == rows(derive_chunks(want).select("repo_id", "path", "embedding"))
+
+
+def test_snapshots_that_stay_incomplete_are_given_up(spark, tmp_path):
+    """And the newest whole one of a batch counts, a begun newer one waits; nothing stays of what is done."""
+    one, two = [(1, 1, "a.py", body(1, 1), None)], [(2, 1, "b.py", "old", None), (2, 2, "b.py", "new", None), (2, 3, "c.py", "next", None), (2, 1, None, None, 1), (2, 2, None, None, 1)]
+    rest = [(1, 1, "z.py", body(2, 1), None), (1, 1, None, None, 2), (2, 3, None, None, 1)]
+    for wait, given_up in ((0, True), (3600, False)):
+        base = tmp_path / str(wait)
+        store = IndexStore(spark, str(base / "index"))
+        for call, batches in enumerate(([one, two], [rest])):
+            stream = arrives(spark, str(base / "in"), batches) if not call else arrives(spark, str(base / "in/more"), batches)
+            stream = spark.readStream.schema(spark.read.option("recursiveFileLookup", "true").parquet(str(base / "in")).schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(base / "in"))
+            ST.index_stream(stream, store, lambda df: {}, {}, wait_seconds=wait)
+            got = {(r.repo_id, r.path) for r in store.read("files").collect()}
+            assert got == ({(2, "b.py")} if not call else {(1, "a.py"), (1, "z.py"), (2, "c.py")} if not given_up else got & {(2, "b.py"), (2, "c.py")})
+        held = IndexStore(spark, f"{store.base}-stream/waiting").read("waiting")
+        assert held.count() == 0 or given_up
+
+
+def test_vectors_row_by_row_are_those_of_the_embedding(spark, sf):
+    from gleanery.functions import text as T
+    from gleanery.operators import retrieval as R
+    from gleanery.plans.views import view
+
+    chunks = view(spark, sf, "corpus_chunks").withColumn("content", F.when(F.col("id") % 9 != 1, F.col("content")).otherwise("")).withColumn("path", F.when(F.col("id") % 9 != 1, F.col("path")).otherwise("."))
+    text = T.embedding_text(F.col("path"), F.col("symbol"), F.col("kind"), F.col("content"))
+    got = chunks.select("id", R.hashed_vector(T.split_identifiers(text)).alias("v")).where("v is not null")
+    assert rows(got) == rows(R.hashed_embedding(chunks)) and 0 < got.count() < chunks.count()
+
+
+def test_whole_snapshots_by_themselves(spark, tmp_path, monkeypatch):
+    """The operator without the index: one row without a path for each whole snapshot."""
+    monkeypatch.setattr(ST, "MOST_FRESH", 20)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        rows_ = [(1, 1, f"p{k % 90}.py", body(k % 90, 1), None) for k in range(100)] + [(1, 1, None, None, 90), (2, 1, "x.py", "", None)]
+        out = []
+        ST.whole_snapshots(arrives(spark, str(tmp_path / "in"), [rows_[:50], rows_[50:]])).writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert sorted((r.repo_id, r.path or "") for r in out) == [(1, ""), *sorted((1, f"p{k}.py") for k in range(90))]
